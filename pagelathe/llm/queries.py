@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import licenses, secrets
+from . import licenses, minhash, secrets
 
 
 def queries() -> dict:
     return {
         "op1_license_scan": licenses.op1_license_scan,
+        "op5_minhash_dedup": minhash.op5_minhash_dedup,
         "op10_secret_scan": secrets.op10_secret_scan,
     }
 
