@@ -50,7 +50,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """Bytes of df as the optimizer estimates them from file sizes, without a scan."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return size if size < 1 << 60 else 1 << 26
 
 

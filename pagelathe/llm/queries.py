@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import licenses, minhash, secrets
+from . import licenses, minhash, passages, secrets
 
 
 def queries() -> dict:
     return {
         "op1_license_scan": licenses.op1_license_scan,
         "op5_minhash_dedup": minhash.op5_minhash_dedup,
+        "op6_passage_dedup": passages.op6_passage_dedup,
         "op10_secret_scan": secrets.op10_secret_scan,
     }
 
