@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, minhash, passages, secrets
+from . import licenses, minhash, passages, secrets, suffixes
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_license_scan": licenses.op1_license_scan,
         "op5_minhash_dedup": minhash.op5_minhash_dedup,
         "op6_passage_dedup": passages.op6_passage_dedup,
+        "op9_suffix_dedup": suffixes.op9_suffix_dedup,
         "op10_secret_scan": secrets.op10_secret_scan,
     }
 
