@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import licenses, minhash, passages, secrets, suffixes
+from . import decontam, licenses, minhash, passages, secrets, suffixes, topk
 
 
 def queries() -> dict:
     return {
         "op1_license_scan": licenses.op1_license_scan,
+        "op2_exact_topk": topk.op2_exact_topk,
         "op5_minhash_dedup": minhash.op5_minhash_dedup,
         "op6_passage_dedup": passages.op6_passage_dedup,
+        "op8_benchmark_decontamination": decontam.op8_benchmark_decontamination,
         "op9_suffix_dedup": suffixes.op9_suffix_dedup,
         "op10_secret_scan": secrets.op10_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle()}
+    return {"op1_license_scan": licenses.oracle(), "op2_exact_topk": topk.oracle()}
