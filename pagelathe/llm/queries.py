@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontam, licenses, minhash, passages, secrets, suffixes, topk
+from . import decontam, licenses, minhash, passages, pii, quality, secrets, suffixes, topk
 
 
 def queries() -> dict:
     return {
         "op1_license_scan": licenses.op1_license_scan,
         "op2_exact_topk": topk.op2_exact_topk,
+        "op4_quality_resample": quality.op4_quality_resample,
         "op5_minhash_dedup": minhash.op5_minhash_dedup,
         "op6_passage_dedup": passages.op6_passage_dedup,
+        "op7_pii_spans": pii.op7_pii_spans,
         "op8_benchmark_decontamination": decontam.op8_benchmark_decontamination,
         "op9_suffix_dedup": suffixes.op9_suffix_dedup,
         "op10_secret_scan": secrets.op10_secret_scan,
