@@ -1,17 +1,18 @@
 """MinHash near-duplicates: many universal minima, banding, verification, components.
 
 1. Every text gives its set of word shingles, a 128-bit digest of the set, HASHES
-   universal minima folded into BANDS band keys, and one byte of each minimum.
+   universal minima folded into BANDS band keys.
 2. Texts with equal sets are one class (its smallest doc_id stands for it), so
    copies never meet in a band.
 3. In each band bucket every class is paired with the bucket's smallest class
    only. Pairs are confirmed on the full sets, streamed past their pivot; a pivot
    with many partners is dealt over several groups.
 4. Confirmed links make components by alternating large-star and small-star.
-5. Buckets that still hold several components are compared in full, in blocks:
-   the kept bytes of the minima filter pairs far below the threshold (more than
-   six standard deviations), the rest are confirmed on full sets. So no link is
-   lost to the star of step 3.
+5. Classes that meet in buckets of one pivot but in several components are
+   compared with each other on full sets, in blocks of BLOCK by BLOCK: a sparse
+   product gives all intersections of a block, and only links that join two
+   components leave it. So no link is lost to the star of step 3, and no pairs are
+   written.
 
 With 32 bands of 4 a pair at similarity 0.8 shares no bucket with probability
 (1 - 0.8**4)**32 < 5e-8.
@@ -37,9 +38,9 @@ from .components import components
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Members of a pivot that go to one task at most, and of a block in step 5.
-PER_GROUP, BLOCK = 512, 1024
-#: Six standard deviations below 0.8 of HASHES equal bytes.
-LEAST_EQUAL = int(HASHES * 0.8 - 6 * (HASHES * 0.8 * 0.2) ** 0.5)
+PER_GROUP, BLOCK = 512, 2048
+#: Shingles that a product of a block takes at a time.
+COLUMNS = 4096
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -74,23 +75,21 @@ def minima(items: np.ndarray) -> np.ndarray:
 def sketch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, off = text_bytes(batch.column("text"))
-        size, digest, bands, kept = [], [], [], []
+        size, digest, bands = [], [], []
         for s in shingle_sets(raw, off, n):
             size.append(len(s))
             if len(s):
                 low = minima(s)
                 digest.append(mix64(s ^ np.uint64(7)).sum(dtype=np.uint64).tobytes() + mix64(s ^ np.uint64(77)).sum(dtype=np.uint64).tobytes())
                 bands.append(signed(mix64((low.reshape(BANDS, ROWS) * _FOLD).sum(axis=1, dtype=np.uint64) + _BAND)))
-                kept.append(low.astype(np.uint8).tobytes())
             else:
                 digest.append(None)
                 bands.append(np.zeros(0, np.int64))
-                kept.append(None)
         ends = np.cumsum([0, *map(len, bands)]).astype(np.int32)
         flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(kept, pa.binary())],
-            names=["doc_id", "n_shingles", "digest", "bands", "kept_bytes"],
+            [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+            names=["doc_id", "n_shingles", "digest", "bands"],
         )
 
 
@@ -122,23 +121,46 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     return dealt.select("pivot", "salt", "role", "doc_id", "text").mapInArrow(lambda it: confirm(it, n, percent), "u bigint, v bigint")
 
 
-def plausible(data: pa.Table) -> pa.Table:
-    """One pair of blocks of a bucket -> pairs in different components, not far below the threshold."""
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set."""
+    both = [*left, *right]
+    size = np.array([len(s) for s in both])
+    if not size.sum():
+        return np.zeros((len(left), len(right)), np.int64)
+    value, column, count = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(both)), size)
+    use = (count > 1)[column]
+    row, column = row[use], column[use]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total = np.zeros((len(left), len(right)), np.float32)
+    cuts = np.searchsorted(column, np.arange(0, len(value) + COLUMNS, COLUMNS))
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if a < b:
+            used, at = np.unique(column[a:b], return_inverse=True)
+            plane = np.zeros((len(both), len(used)), np.float32)
+            plane[row[a:b], at] = 1
+            total += plane[: len(left)] @ plane[len(left) :].T
+    return total.astype(np.int64)
+
+
+def joining_links(data: pa.Table, n: int, percent: int) -> pa.Table:
+    """A block of a pivot's classes -> links between different components, one that suffices for each pair of them."""
+    data = data.sort_by([("side", "ascending"), ("doc", "ascending")]).combine_chunks()
     doc, root, side = (data.column(c).to_numpy() for c in ("doc", "root", "side"))
-    raw, _ = text_bytes(data.column("kept_bytes"))
-    sig = raw.reshape(len(doc), HASHES)
+    if len(np.unique(root)) < 2:
+        return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+    sets = list(shingle_sets(*text_bytes(data.column("text")), n))
     same = data.column("i")[0].as_py() == data.column("j")[0].as_py()
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if same else 1))
-    u, v = [], []
-    for x in left:
-        y = right[root[right] != root[x]]
-        if same:
-            y = y[doc[y] > doc[x]]
-        y = y[(sig[y] == sig[x]).sum(axis=1) >= LEAST_EQUAL]
-        u.append(np.maximum(doc[y], doc[x]))
-        v.append(np.minimum(doc[y], doc[x]))
-    cat = lambda z: np.concatenate(z) if z else np.zeros(0, np.int64)
-    return pa.table({"doc_id": pa.array(cat(u), pa.int64()), "pivot": pa.array(cat(v), pa.int64())})
+    left = np.flatnonzero(side == 0)
+    right = left if same else np.flatnonzero(side == 1)
+    size = np.array([len(s) for s in sets])
+    common = intersections([sets[k] for k in left], [sets[k] for k in right])
+    linked = (100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)) & (root[left][:, None] != root[right][None, :])
+    x, y = np.nonzero(linked)
+    pair = np.stack([np.minimum(root[left][x], root[right][y]), np.maximum(root[left][x], root[right][y])], axis=1)
+    _, first = np.unique(pair, axis=0, return_index=True) if len(pair) else (None, np.zeros(0, np.int64))
+    return pa.table({"u": pa.array(doc[left][x[first]], pa.int64()), "v": pa.array(doc[right][y[first]], pa.int64())})
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -147,9 +169,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     Links texts whose shingle sets have 100 * intersection >= percent * union.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = materialize(docs.mapInArrow(lambda it: sketch(it, shingle), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, kept_bytes binary"))
+    sketched = materialize(docs.mapInArrow(lambda it: sketch(it, shingle), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"))
     linked = sketched.where("doc_id IS NOT NULL AND digest IS NOT NULL")
-    classes = linked.groupBy("n_shingles", "digest").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("kept_bytes", "doc_id").alias("kept_bytes"))
+    classes = linked.groupBy("n_shingles", "digest").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
     classes = materialize(classes)
     band = classes.select(F.col("rep").alias("doc"), F.posexplode("bands").alias("band", "key"))
     buckets = band.groupBy("band", "key").agg(F.min("doc").alias("pivot"), F.count("*").alias("size")).where("size > 1")
@@ -158,17 +180,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     links = materialize(confirmed(pairs, docs, shingle, percent))
     roots = components(links)
 
-    placed = member.where("size > 2").join(roots, F.col("doc") == F.col("node"), "left").select("band", "key", "size", "doc", "pivot", F.coalesce("root", "doc").alias("root"))
-    mixed = placed.groupBy("band", "key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band", "key")
-    rest = placed.where("doc <> pivot").join(mixed, ["band", "key"]).join(classes.select(F.col("rep").alias("doc"), "kept_bytes"), "doc")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc"), blocks).cast("int")
-    other = rest.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
-    grid = other.select("band", "key", "doc", "root", "kept_bytes", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).cast("int").alias("side"))
-    late = grid.groupBy("band", "key", "i", "j").applyInArrow(plausible, "doc_id bigint, pivot bigint").distinct()
-    late_links = materialize(confirmed(materialize(late), docs, shingle, percent))
-    if not late_links.isEmpty():
-        roots = components(links.union(late_links))
+    met = member.where("size > 2").select("pivot", "doc").distinct()
+    placed = met.join(roots, F.col("doc") == F.col("node"), "left").select("pivot", "doc", F.coalesce("root", "doc").alias("root"))
+    mixed = placed.groupBy("pivot").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("size")).where("a <> b")
+    rest = placed.join(mixed, "pivot").where("doc <> pivot").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    own = F.pmod(F.xxhash64("doc"), "blocks").cast("int")
+    other = rest.select("pivot", "doc", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    grid = materialize(other.select("pivot", "doc", "root", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).cast("int").alias("side")))
+    if not grid.isEmpty():
+        with_text = grid.join(docs.withColumnRenamed("doc_id", "doc"), "doc")
+        late = materialize(with_text.groupBy("pivot", "i", "j").applyInArrow(lambda t: joining_links(t, shingle, percent), "u bigint, v bigint"))
+        if not late.isEmpty():
+            roots = components(links.union(late))
 
     where = classes.select("n_shingles", "digest", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("n_shingles", "digest", F.coalesce("root", "rep").alias("component"))
     alike = sketched.select("doc_id", "n_shingles", "digest").join(where, ["n_shingles", "digest"], "left")
