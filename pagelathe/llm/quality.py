@@ -1,10 +1,14 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text.
 
-Two generative models over BUCKETS hashed word n-grams are counted: the target
-from documents labelled good and not toxic, the raw one from all documents. Counts
-are document frequencies, so no repeated line counts twice. The log importance
-weight of a text is the sum over its distinct n-grams of the log ratio target to
-raw, where
+Two generative models over hashed word n-grams are counted: the target from
+documents labelled good and not toxic, the raw one from all documents. Beside
+words and pairs, n-grams are the outer shape of a word and the level of words that
+repeat their predecessor (pairs of equal words are one n-gram, whatever the word). Each n-gram has a
+bucket in each of TABLES tables; of its log ratios the one nearest to 0 holds, and
+0 if they disagree in sign, so a collision in one table does no harm. Counts are
+document frequencies, so no repeated line counts twice. The log importance weight
+of a text is the sum over its distinct n-grams of the log ratio target to raw,
+where
 
 - the ratio's scale is that of the bulk (the median ratio of buckets), so length
   carries no weight of its own, and
@@ -35,25 +39,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, grams, materialize, slices, table, text_bytes, words
+from .common import LOWER, grams, materialize, mix64, slices, table, text_bytes, words
 
-BUCKETS = 1 << 20
+TABLE, TABLES = 1 << 19, 3
+BUCKETS = TABLE * TABLES
 SLICES = 64
-NGRAMS = (1, 2)
-NOISE, SMOOTH, SHARPNESS = 3.0, 2.0, 8.0
+NOISE, SMOOTH, SHARPNESS, LOSS = 3.0, 2.0, 64.0, 4.0
 MOST_LABELLED = 200_000
 
 
-def features(raw: np.ndarray, off: np.ndarray, buckets: int = BUCKETS) -> Iterator[np.ndarray]:
-    """The distinct n-gram buckets of each text: words as they are, pairs in lower case."""
+_SHAPE = np.full(256, 4, np.uint64)  # other bytes
+_SHAPE[48:58], _SHAPE[65:91], _SHAPE[97:123] = 1, 2, 3
+_SHAPE[128:] = 3
+_SHAPE[[33, 35, 36, 37, 38, 42, 124]] = [5, 6, 7, 8, 9, 10, 11]
+
+
+LEVEL = mix64(np.arange(1000, 1017, dtype=np.uint64))
+
+
+def shapes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A word's outer shape: classes of its first two and last two bytes."""
+    at = [start, np.minimum(start + 1, end - 1), np.maximum(end - 2, start), end - 1]
+    return mix64(sum(_SHAPE[raw[p]] << np.uint64(8 * k + 3) for k, p in enumerate(at)) + np.uint64(1))
+
+
+def features(raw: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
+    """The buckets of each text's distinct n-grams: an (n, TABLES) array."""
     for a, b in slices(off):
         part, at = raw[off[a] : off[b]], off[a : b + 1] - off[a]
-        word, _, _, by = words(part, at)
+        word, start, end, by = words(part, at)
         low = words(LOWER[part], at)[0]
         pairs = grams(low, 2, 41)
+        shape = shapes(part, start, end) if len(start) else word
+        same = np.concatenate([[0, 0], np.cumsum(low[1:] == low[:-1])])
         for i in range(b - a):
             lo, hi = by[i], by[i + 1]
-            yield np.unique(np.concatenate([word[lo:hi], low[lo:hi], pairs[lo : max(lo, hi - 1)]]) % np.uint64(buckets)).astype(np.int64)
+            level = (same[hi] - same[lo + 1]) * 16 // (hi - lo) if hi - lo > 1 else 0
+            f = np.unique(np.concatenate([word[lo:hi], low[lo:hi], shape[lo:hi], pairs[lo : max(lo, hi - 1)], LEVEL[level : level + 1]]))
+            yield np.stack([(f >> np.uint64(20 * k)) % np.uint64(TABLE) + np.uint64(k * TABLE) for k in range(TABLES)], axis=1).astype(np.int64)
 
 
 def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,23 +125,29 @@ def log_ratios(good: np.ndarray, every: np.ndarray) -> np.ndarray:
     return (np.sign(ratio) * np.maximum(0, np.abs(ratio) - margin)).astype(np.float32)
 
 
+def weight_of(ratios: np.ndarray, buckets: np.ndarray) -> float:
+    found = ratios[buckets]
+    agree = (np.sign(found) == np.sign(found[:, :1])).all(axis=1)
+    return float((np.sign(found[:, 0]) * np.abs(found).min(axis=1))[agree].sum(dtype=np.float64))
+
+
 def weigh(batches: Iterator[pa.RecordBatch], ratios: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, off = text_bytes(batch.column("text"))
-        weight = [float(ratios[f].sum(dtype=np.float64)) for f in features(raw, off)]
+        weight = [weight_of(ratios, f) for f in features(raw, off)]
         keep = [c for c in batch.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(weight, pa.float64())], names=[*keep, "weight"])
 
 
 def fit_cut(weight: np.ndarray, good: np.ndarray) -> float:
-    """The cut between bad and good weights with the best balanced accuracy, in the widest such gap."""
+    """The cut with the least share of bad documents kept plus LOSS times that of good ones lost."""
     if not good.any() or good.all():
         return -np.inf
     order = np.argsort(weight, kind="stable")
     w, g = weight[order], good[order]
     bad_below = np.concatenate([[0], np.cumsum(~g)]) / (~g).sum()
-    good_above = 1 - np.concatenate([[0], np.cumsum(g)]) / g.sum()
-    ahead = bad_below + good_above
+    good_below = np.concatenate([[0], np.cumsum(g)]) / g.sum()
+    ahead = bad_below - LOSS * good_below
     edge = np.concatenate([[w[0] - 1], (w[1:] + w[:-1]) / 2, [w[-1] + 1]])
     gap = np.concatenate([[0], np.diff(w), [0]])
     possible = (gap > 0) | (np.arange(len(gap)) % len(w) == 0)
