@@ -150,9 +150,12 @@ def count_patterns(batches: Iterator[pa.RecordBatch], held: frozenset[str] | Non
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["pattern", "n"])
 
 
-def find_personal_data(docs: DataFrame, support: int = SUPPORT, precision: float = PRECISION, rounds: int = ROUNDS, most_held: int = MOST_HELD) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, base, added (array of start, stop)."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def find_personal_data(docs: DataFrame, support: int = SUPPORT, precision: float = PRECISION, rounds: int = ROUNDS, most_held: int = MOST_HELD, key: str = "doc_id") -> DataFrame:
+    """key, n_email, n_ip, n_card, n_phone, base_sha256, base, added (array of start, stop).
+
+    key is a long column that the results carry.
+    """
+    docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = materialize(docs.mapInArrow(scan, FOUND).withColumn("row", F.monotonically_increasing_id()))
     seen = found.select("row", F.explode("instances").alias("i")).select("row", "i.known", "i.start", "i.stop", "i.value", F.explode("i.patterns").alias("pattern"))
     edges = seen.groupBy("pattern", "value").agg(F.max("known").alias("known"), F.count("*").alias("n"))
@@ -174,7 +177,7 @@ def find_personal_data(docs: DataFrame, support: int = SUPPORT, precision: float
         known = materialize(known.union(graph.join(chosen, "pattern").select("value")).distinct())
     added = seen.where("NOT known").join(chosen, "pattern").select("row", "start", "stop").distinct()
     by_row = added.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("added"))
-    return found.drop("instances").join(by_row, "row", "left").drop("row").withColumn("added", F.coalesce("added", F.array().cast("array<struct<start:bigint,stop:bigint>>")))
+    return found.drop("instances").join(by_row, "row", "left").drop("row").withColumnRenamed("doc_id", key).withColumn("added", F.coalesce("added", F.array().cast("array<struct<start:bigint,stop:bigint>>")))
 
 
 def span_text(df: DataFrame) -> DataFrame:

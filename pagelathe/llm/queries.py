@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, licenses, minhash, passages, pii, quality, secrets, suffixes, topk
+from . import decontam, licenses, minhash, passages, pieces, pii, quality, secrets, suffixes, topk
 
 
 def queries() -> dict:
     return {
         "op1_license_scan": licenses.op1_license_scan,
         "op2_exact_topk": topk.op2_exact_topk,
+        "op3_sentencepiece": pieces.op3_sentencepiece,
         "op4_quality_resample": quality.op4_quality_resample,
         "op5_minhash_dedup": minhash.op5_minhash_dedup,
         "op6_passage_dedup": passages.op6_passage_dedup,
