@@ -27,7 +27,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier's resampling keeps."""
     rows = numbered(docs)
-    kept = resample(rows.select("doc_id", "text", F.col("_row").alias("row")), table(spark, sf_dir, "labels")).where("kept")
+    kept = resample(rows, table(spark, sf_dir, "labels"), key="_row").where("kept")
     return rows.join(kept.select(F.col("row").alias("_row")), "_row", "left_semi").select(*docs.columns)
 
 

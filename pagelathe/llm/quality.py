@@ -174,14 +174,13 @@ def kth_largest(keys: DataFrame, k: int) -> int | None:
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = 7) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, seed: int = 7, key: str | None = None) -> DataFrame:
     """doc_id, row, weight, gumbel_key, kept: one row per row of docs.
 
-    row is the position key that the caller may have put in a column `row`.
+    row repeats the long column named by key, if any.
     """
-    if "row" not in docs.columns:
-        docs = docs.withColumn("row", F.lit(0).cast("bigint"))
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("row").cast("bigint").alias("row"), F.col("text").cast("string").alias("text"))
+    row = F.col(key) if key else F.lit(0)
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row.cast("bigint").alias("row"), F.col("text").cast("string").alias("text"))
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).alias("good"))
     marked = docs.join(marks, "doc_id", "left")
     counted = marked.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(count, "slice int, good binary, every binary")

@@ -349,7 +349,7 @@ def find_repeats(data: pa.Table, window: int, array_bytes: int) -> pa.Table:
     order = np.lexsort((start, shard))
     shard, start, size = shard[order], start[order], size[order]
     heads = starts_of(shard)
-    for a, b in zip(heads, np.append(heads[1:], len(shard)), strict=True):
+    for a, b in zip(heads, np.append(heads[1:], len(shard))[: len(heads)], strict=True):
         out.append((int(shard[a]), pack(*covered(start[a:b], start[a:b] + size[a:b]))))
     return reply_rows(out)
 
