@@ -20,9 +20,10 @@ documents; the k with the largest Gumbel keys (weight * SHARPNESS + Gumbel noise
 from a hash of the row) are kept. The noise decides only near the cut.
 
 Model sizes are fixed. Counts are summed in slices of the model, one row a task
-and slice; the log-ratio table of BUCKETS floats goes to the workers. The cut is
-fitted on at most MOST_LABELLED labelled rows, chosen by hash; all counts cover
-all rows.
+and slice; the log-ratio table of BUCKETS floats goes to the workers. The target
+model and the cut are fitted on the documents of at most MOST_LABELLED labels,
+chosen by hash, which every worker holds (9 bytes each), so texts are never
+shuffled; the raw model and k cover all rows.
 
 Defined cases: a null or wordless text has weight 0 and is kept; without good
 labels, or without any label, no text is rejected; documents labelled both ways
@@ -79,16 +80,28 @@ def features(raw: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
             yield np.stack([(f >> np.uint64(20 * k)) % np.uint64(TABLE) + np.uint64(k * TABLE) for k in range(TABLES)], axis=1).astype(np.int64)
 
 
-def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def marks_of(ids: pa.Array, marks: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of each doc_id: 1 good, 0 bad, -1 without a label."""
+    known, good = marks
+    out = np.full(len(ids), -1, np.int8)
+    if len(known):
+        have = ids.is_valid().to_numpy(zero_copy_only=False)
+        key = ids.fill_null(0).to_numpy()
+        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        hit = have & (known[at] == key)
+        out[hit] = good[at[hit]]
+    return out
+
+
+def count(batches: Iterator[pa.RecordBatch], marks: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Document frequencies of a task's rows, in slices: (slice, target, raw)."""
     good, every, n = np.zeros(BUCKETS, np.uint32), np.zeros(BUCKETS, np.uint32), 0
     for batch in batches:
         raw, off = text_bytes(batch.column("text"))
-        mark = batch.column("good").to_pylist()
-        for m, f in zip(mark, features(raw, off), strict=True):
+        for m, f in zip(marks_of(batch.column("doc_id"), marks).tolist(), features(raw, off), strict=True):
             every[f] += 1
             n += 1
-            if m:
+            if m == 1:
                 good[f] += 1
     if n:
         cut = lambda x: [p.tobytes() for p in np.split(x, SLICES)]
@@ -131,12 +144,13 @@ def weight_of(ratios: np.ndarray, buckets: np.ndarray) -> float:
     return float((np.sign(found[:, 0]) * np.abs(found).min(axis=1))[agree].sum(dtype=np.float64))
 
 
-def weigh(batches: Iterator[pa.RecordBatch], ratios: np.ndarray) -> Iterator[pa.RecordBatch]:
+def weigh(batches: Iterator[pa.RecordBatch], ratios: np.ndarray, marks: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, off = text_bytes(batch.column("text"))
         weight = [weight_of(ratios, f) for f in features(raw, off)]
         keep = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(weight, pa.float64())], names=[*keep, "weight"])
+        mark = pa.array(marks_of(batch.column("doc_id"), marks), pa.int8())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), mark, pa.array(weight, pa.float64())], names=[*keep, "mark", "weight"])
 
 
 def fit_cut(weight: np.ndarray, good: np.ndarray) -> float:
@@ -181,20 +195,21 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 7, key: str | None
     """
     row = F.col(key) if key else F.lit(0)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row.cast("bigint").alias("row"), F.col("text").cast("string").alias("text"))
-    marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).alias("good"))
-    marked = docs.join(marks, "doc_id", "left")
-    counted = marked.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(count, "slice int, good binary, every binary")
+    marked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).alias("good"))
+    sample = marked.orderBy(F.xxhash64("doc_id", F.lit(seed + 1))).limit(MOST_LABELLED).toPandas().sort_values("doc_id")
+    share = docs.sparkSession.sparkContext.broadcast
+    held_marks = share((sample["doc_id"].to_numpy(np.int64), sample["good"].to_numpy(bool)))
+    counted = docs.select("doc_id", "text").mapInArrow(lambda it: count(it, held_marks.value), "slice int, good binary, every binary")
     summed = counted.repartition(SLICES, "slice").sortWithinPartitions("slice").mapInArrow(add_up, "slice int, good binary, every binary")
-    model = sorted(summed.collect(), key=lambda r: r["slice"])  # SLICES rows, 16 MB for any corpus
+    model = sorted(summed.collect(), key=lambda r: r["slice"])  # SLICES rows, 24 MB for any corpus
     if model:
         good, every = (np.concatenate([np.frombuffer(r[c], np.int64) for r in model]) for c in ("good", "every"))
     else:
         good = every = np.zeros(BUCKETS, np.int64)
-    ratios = log_ratios(good, every) if good.any() else np.zeros(BUCKETS, np.float32)
-    held = docs.sparkSession.sparkContext.broadcast(ratios)
-    scored = materialize(marked.select("doc_id", "row", "good", "text").mapInArrow(lambda it: weigh(it, held.value), "doc_id bigint, row bigint, good boolean, weight double"))
-    sample = scored.where("good IS NOT NULL").orderBy(F.xxhash64("doc_id", F.lit(seed)), "weight").limit(MOST_LABELLED).select("weight", "good").toPandas()
-    cut = fit_cut(sample["weight"].to_numpy(float), sample["good"].to_numpy(bool)) if len(sample) else -np.inf
+    held = share(log_ratios(good, every) if good.any() else np.zeros(BUCKETS, np.float32))
+    scored = materialize(docs.mapInArrow(lambda it: weigh(it, held.value, held_marks.value), "doc_id bigint, row bigint, mark tinyint, weight double"))
+    fitted = scored.where("mark >= 0").orderBy(F.xxhash64("doc_id", F.lit(seed)), "weight").limit(MOST_LABELLED).select("weight", "mark").toPandas()
+    cut = fit_cut(fitted["weight"].to_numpy(float), fitted["mark"].to_numpy() == 1) if len(fitted) else -np.inf
     noise = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") / float(1 << 53)
     gumbel = -F.log(-F.log(noise * (1 - 2e-16) + 1e-16))
     keyed = scored.withColumn("gumbel_key", F.col("weight") * SHARPNESS + gumbel).withColumn("key", F.round(F.col("gumbel_key") * 1e6).cast("bigint"))
