@@ -70,6 +70,22 @@ def test_n_best(seed):
         assert all(scores[tuple(ids.tolist())] == s for s, ids in found)
 
 
+@pytest.mark.parametrize("listed", [LISTED, None])
+def test_lattice_equals_pieces(listed):
+    v = pieces.Pieces(listed, 2, 2) if listed else pieces.Pieces.load(pieces.MODEL)
+    rng = random.Random(8)
+    texts = [t or "" for t in EDGES] + ["".join(rng.choice("aaabbc  ñ漢▁\n😀") for _ in range(rng.randrange(60))) for _ in range(300)] + [t or "" for _, t in mixed(9)]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    for a, b, ids, n_ids, best, second, right in pieces.Lattice(v).encode_texts(raw, off):
+        ends = np.cumsum(n_ids)
+        for i in range(a, b):
+            want = v.encode(texts[i], 2)
+            got = ids[ends[i - a] - n_ids[i - a] : ends[i - a]]
+            assert want[0][1].tolist() == got.tolist() and want[0][0] == best[i - a] and right[i - a], texts[i]
+            assert (want[1][0] if len(want) > 1 else -np.inf) == second[i - a], texts[i]
+
+
 def test_round_trip(spark):
     texts = [*EDGES, "a▁b ▁ ▁▁", "  two  blanks ", "tab\tand\r\nline", "  \x00 x"]
     docs = corpus(spark, list(enumerate(texts)))
