@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 _LUHN = "list_sum(list_transform(range(len(d)), lambda i: CASE WHEN i % 2 = 0 THEN (substr(d, len(d) - i, 1))::BIGINT ELSE (CASE WHEN (substr(d, len(d) - i, 1))::BIGINT > 4 THEN (substr(d, len(d) - i, 1))::BIGINT * 2 - 9 ELSE (substr(d, len(d) - i, 1))::BIGINT * 2 END) END)) % 10 = 0"
 _FOUND = rf"""raw AS (
   SELECT doc_id, 'email' AS type, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}._%+-]+@[\p{{L}}\p{{N}}-]+(?:\.[\p{{L}}\p{{N}}-]+)*\.\p{{L}}{{2,}}')) AS value FROM documents
-  UNION ALL SELECT doc_id, 'cartao', unnest(regexp_extract_all(' ' || text || ' ', '[^\p{{L}}\p{{N}}./-]([2-6]\d{{12,18}})[^\p{{L}}\p{{N}}./-]', 1)) FROM documents
+  UNION ALL SELECT doc_id, 'cartao', unnest(regexp_extract_all(' ' || regexp_replace(text, '\s', '  ', 'g') || ' ', '[^\p{{L}}\p{{N}}./-]([2-6]\d{{12,18}})[^\p{{L}}\p{{N}}./-]', 1)) FROM documents
   UNION ALL SELECT doc_id, 'cartao', unnest(regexp_extract_all(' ' || text || ' ', '[^\p{{L}}\p{{N}}./-]([2-6]\d{{3}} \d{{4}} \d{{4}} \d{{1,7}}|[2-6]\d{{3}}-\d{{4}}-\d{{4}}-\d{{1,7}})[^\p{{L}}\p{{N}}./-]', 1)) FROM documents),
 found AS (SELECT doc_id, type, value FROM (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS d FROM raw)
           WHERE type = 'email' OR {_LUHN})"""
