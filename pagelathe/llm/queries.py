@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, licenses, minhash, passages, pieces, pii, quality, secrets, suffixes, topk
+from . import decontam, licenses, minhash, oracles, passages, pieces, pii, quality, secrets, suffixes, topk
 
 
 def queries() -> dict:
@@ -21,4 +21,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle(), "op2_exact_topk": topk.oracle()}
+    return {
+        "op1_license_scan": licenses.oracle(),
+        "op2_exact_topk": topk.oracle(),
+        "op5_minhash_dedup": oracles.OP5,
+        "op6_passage_dedup": oracles.OP6,
+        "op9_suffix_dedup": oracles.OP9,
+        "op10_secret_scan": oracles.OP10,
+    }
