@@ -20,7 +20,7 @@ documents; the k with the largest Gumbel keys (weight * SHARPNESS + Gumbel noise
 from a hash of the row) are kept. The noise decides only near the cut.
 
 Model sizes are fixed. Counts are summed in slices of the model, one row a task
-and slice; the log-ratio table of BUCKETS floats goes to the workers. The target
+and slice, in two levels (SALTS groups of tasks first); the log-ratio table of BUCKETS floats goes to the workers. The target
 model and the cut are fitted on the documents of at most MOST_LABELLED labels,
 chosen by hash, which every worker holds (9 bytes each), so texts are never
 shuffled; the raw model and k cover all rows.
@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ from .common import LOWER, grams, materialize, mix64, slices, table, text_bytes,
 
 TABLE, TABLES = 1 << 19, 3
 BUCKETS = TABLE * TABLES
-SLICES = 64
+SLICES, SALTS = 64, 64
 NOISE, SMOOTH, SHARPNESS, LOSS = 3.0, 2.0, 64.0, 4.0
 MOST_LABELLED = 200_000
 
@@ -105,24 +106,25 @@ def count(batches: Iterator[pa.RecordBatch], marks: tuple[np.ndarray, np.ndarray
                 good[f] += 1
     if n:
         cut = lambda x: [p.tobytes() for p in np.split(x, SLICES)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(cut(good), pa.binary()), pa.array(cut(every), pa.binary())], names=["slice", "good", "every"])
+        salt = TaskContext.get().partitionId() % SALTS
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([salt] * SLICES, pa.int32()), pa.array(cut(good), pa.binary()), pa.array(cut(every), pa.binary())], names=["slice", "salt", "good", "every"])
 
 
-def add_up(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by slice -> one row a slice."""
+def add_up(rows: Iterator[pa.RecordBatch], kind: type) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by slice and salt -> one row for each; kind: of the counts that come in."""
     at, total = None, None
 
     def done() -> Iterator[pa.RecordBatch]:
         if at is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), *(pa.array([t.tobytes()], pa.binary()) for t in total)], names=["slice", "good", "every"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([k], pa.int32()) for k in at), *(pa.array([t.tobytes()], pa.binary()) for t in total)], names=["slice", "salt", "good", "every"])
 
     for batch in rows:
         for row in batch.to_pylist():
-            if row["slice"] != at:
+            if (row["slice"], row["salt"]) != at:
                 yield from done()
-                at, total = row["slice"], [np.zeros(BUCKETS // SLICES, np.int64) for _ in range(2)]
+                at, total = (row["slice"], row["salt"]), [np.zeros(BUCKETS // SLICES, np.int64) for _ in range(2)]
             for t, k in zip(total, ("good", "every"), strict=True):
-                t += np.frombuffer(row[k], np.uint32)
+                t += np.frombuffer(row[k], kind)
     yield from done()
 
 
@@ -199,8 +201,11 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 7, key: str | None
     sample = marked.orderBy(F.xxhash64("doc_id", F.lit(seed + 1))).limit(MOST_LABELLED).toPandas().sort_values("doc_id")
     share = docs.sparkSession.sparkContext.broadcast
     held_marks = share((sample["doc_id"].to_numpy(np.int64), sample["good"].to_numpy(bool)))
-    counted = docs.select("doc_id", "text").mapInArrow(lambda it: count(it, held_marks.value), "slice int, good binary, every binary")
-    summed = counted.repartition(SLICES, "slice").sortWithinPartitions("slice").mapInArrow(add_up, "slice int, good binary, every binary")
+    counts = "slice int, salt int, good binary, every binary"
+    counted = docs.select("doc_id", "text").mapInArrow(lambda it: count(it, held_marks.value), counts)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    halfway = counted.repartition(parts, "slice", "salt").sortWithinPartitions("slice", "salt").mapInArrow(lambda it: add_up(it, np.uint32), counts).withColumn("salt", F.lit(0))
+    summed = halfway.repartition(SLICES, "slice").sortWithinPartitions("slice").mapInArrow(lambda it: add_up(it, np.int64), counts)
     model = sorted(summed.collect(), key=lambda r: r["slice"])  # SLICES rows, 24 MB for any corpus
     if model:
         good, every = (np.concatenate([np.frombuffer(r[c], np.int64) for r in model]) for c in ("good", "every"))
