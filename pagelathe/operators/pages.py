@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 # Fixed pattern of one range: n, n-m, n to m, n a m, n- (open end).
 RANGE = r"(?i)^(\d+)\s*(?:([-–—a]|to)\s*(\d*))?$"
 
@@ -78,14 +80,14 @@ def reachable(roots: DataFrame, refs: DataFrame, most_rounds: int = 1000) -> Dat
     A frontier loop: each round joins only the nodes found last; what is known is
     written out, so the plan does not grow.
     """
-    seen = roots.select("doc_id", "num").distinct().checkpoint()
+    seen = roots.select("doc_id", "num").distinct().transform(cut)
     front = seen
     for _ in range(most_rounds):
         step = front.join(refs.select("doc_id", F.col("src").alias("num"), "dst"), ["doc_id", "num"]).select("doc_id", F.col("dst").alias("num")).distinct()
-        front = step.join(seen, ["doc_id", "num"], "left_anti").checkpoint()
+        front = step.join(seen, ["doc_id", "num"], "left_anti").transform(cut)
         if front.isEmpty():
             return seen
-        seen = seen.union(front).checkpoint()
+        seen = cut(seen.union(front))
     raise RuntimeError("reachability did not end")
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import amounts, boxes, names, personal, texts
-from ..operators import pages, reading, redact
+from ..functions import amounts, boxes, dates, names, personal, texts
+from ..operators import pages, reading, redact, structure
 from ..streaming import paper
 from . import base
 from .base import load
@@ -531,6 +531,70 @@ def median_upper(spark, sf_dir):
     return _grey(spark, sf_dir).select("image_id", F.element_at(g, (F.floor(F.size(g) / 2) + 1).cast("int")).alias("median"))
 
 
+# --- structure ---------------------------------------------------------------
+
+
+@query(
+    """WITH RECURSIVE s AS (SELECT p_partkey AS id, p_partkey // 2 AS up, CASE WHEN p_partkey % 3 = 0 THEN p_size END AS size, CASE WHEN p_partkey % 7 = 0 THEN p_brand END AS font FROM part),
+a(id, up, depth, size, font) AS (SELECT id, up, 0, size, font FROM s UNION ALL SELECT a.id, s.up, depth + 1, s.size, s.font FROM a JOIN s ON a.up = s.id WHERE depth < 64)
+SELECT id, arg_min(size, depth) FILTER (size IS NOT NULL) AS size, arg_min(font, depth) FILTER (font IS NOT NULL) AS font FROM a GROUP BY id"""
+)
+def style_inheritance(spark, sf_dir):
+    p = load(spark, sf_dir, "part")
+    styles = p.select(F.col("p_partkey").alias("id"), F.floor(F.col("p_partkey") / 2).alias("up"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_size")).alias("size"), F.when(F.col("p_partkey") % 7 == 0, F.col("p_brand")).alias("font"))
+    return structure.inherit(styles, "id", "up", ["size", "font"])
+
+
+@query(
+    """WITH RECURSIVE refs AS (SELECT c_nationkey AS doc_id, c_custkey AS src, c_custkey * 7 % 1000 + 1 AS dst FROM customer UNION ALL SELECT c_nationkey, c_custkey, c_custkey + 25 FROM customer),
+r(doc_id, num) AS (SELECT c_nationkey, c_custkey FROM customer WHERE c_custkey % 100 = 0 UNION SELECT refs.doc_id, dst FROM r JOIN refs ON r.doc_id = refs.doc_id AND r.num = refs.src)
+SELECT doc_id, num FROM r"""
+)
+def reachable_objects(spark, sf_dir):
+    c = load(spark, sf_dir, "customer")
+    refs = c.select(F.col("c_nationkey").alias("doc_id"), F.col("c_custkey").alias("src"), F.explode(F.array(F.col("c_custkey") * 7 % 1000 + 1, F.col("c_custkey") + 25)).alias("dst"))
+    return pages.reachable(c.where("c_custkey % 100 = 0").select(F.col("c_nationkey").alias("doc_id"), F.col("c_custkey").alias("num")), refs)
+
+
+@query(
+    """WITH f AS (SELECT p_partkey % 10 AS doc_id, p_brand || '.' || p_partkey AS name, p_brand AS b FROM part)
+SELECT doc_id, name FROM f WHERE CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN b IN ('Brand#11', 'Brand#12', 'Brand#21') ELSE b NOT IN ('Brand#11', 'Brand#12', 'Brand#21') END"""
+)
+def locked_fields(spark, sf_dir):
+    p = load(spark, sf_dir, "part")
+    fields = p.select((F.col("p_partkey") % 10).alias("doc_id"), F.concat_ws(".", "p_brand", F.col("p_partkey").cast("string")).alias("name"))
+    action = F.element_at(F.array(*map(F.lit, ["All", "Include", "Exclude"])), (F.col("id") % 3 + 1).cast("int"))
+    rules = spark.range(10).select(F.col("id").alias("doc_id"), action.alias("action"), F.array(*map(F.lit, ["Brand#11", "Brand#12", "Brand#21"])).alias("names"))
+    return structure.locked_fields(fields, rules)
+
+
+@query(
+    f"""WITH {base.WORDS}, p AS (SELECT page_id, word_no AS point_no, x1 + 0.001::DOUBLE AS x, y0 + 0.001::DOUBLE AS y FROM words WHERE word_no % 13 = 4),
+d AS (SELECT p.page_id, p.point_no, w.word_no, greatest(w.x0 - p.x, p.x - w.x1, 0.0) AS dx, greatest(w.y0 - p.y, p.y - w.y1, 0.0) AS dy, w.y1 - w.y0 AS h FROM p JOIN words w USING (page_id))
+SELECT page_id, point_no::INTEGER AS point_no, arg_min(word_no, [dx * dx + dy * dy, word_no])::INTEGER AS box_no FROM d WHERE greatest(dx, dy) <= 0.35::DOUBLE * h GROUP BY ALL"""
+)
+def target_at_point(spark, sf_dir):
+    w = base.words(spark, sf_dir)
+    points = w.where("word_no % 13 = 4").select("page_id", F.col("word_no").alias("point_no"), (F.col("x1") + 0.001).alias("x"), (F.col("y0") + 0.001).alias("y"))
+    return structure.target_at(points, w.withColumnRenamed("word_no", "box_no"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS shown, strftime(o_orderdate, '%Y-%m-%d') AS read FROM orders")
+def form_dates(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    typed = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "d.M.yyyy")).otherwise(F.date_format("o_orderdate", "ddMMyyyy"))
+    return o.select("o_orderkey", dates.print_date(F.col("o_orderdate"), "dd/mm/yyyy").alias("shown"), F.date_format(dates.read_date(typed), "yyyy-MM-dd").alias("read"))
+
+
+@query()
+def find_in_pieces(spark, sf_dir):
+    w = base.words(spark, sf_dir).where(F.col("text").rlike("[0-9@]"))
+    n = F.length("text")
+    xs = F.transform(F.sequence(F.lit(0), n), lambda i: F.col("x0") + (F.col("x1") - F.col("x0")) * i / n)
+    pieces = w.select("page_id", F.col("text").alias("str"), xs.alias("xs"), "y0", "y1", F.lit(None).cast("int").alias("line"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
+    return structure.find_in_pieces(pieces).select("page_id", "line_no", "start", "type", "value")
+
+
 def queries() -> dict:
     return {name: f for name, (f, _) in QUERIES.items()}
 
