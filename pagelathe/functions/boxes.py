@@ -63,3 +63,22 @@ def area(points: Column) -> Column:
     n = F.size(points)
     terms = F.transform(points, lambda p, i: p["x"] * F.get(points, (i + 1) % n)["y"] - F.get(points, (i + 1) % n)["x"] * p["y"])
     return F.abs(F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)) / 2
+
+
+# Page sizes in points.
+SHEETS = {"a4": (595.28, 841.89), "letter": (612.0, 792.0)}
+
+
+def layout_page(width: Column, height: Column, sheet: str, margin: float) -> Column:
+    """struct<width, height, x, y, w, h>: an image on a sheet, or on a sheet of its own shape (`fit`)."""
+
+    def made(w: Column, h: Column, pw: Column, ph: Column) -> Column:
+        return F.struct(pw.alias("width"), ph.alias("height"), ((pw - w) / 2).alias("x"), ((ph - h) / 2).alias("y"), w.alias("w"), h.alias("h"))
+
+    if sheet == "fit":
+        scale = F.lit(SHEETS["a4"][0]) / F.least(width, height)
+        return made(width * scale, height * scale, width * scale + margin * 2, height * scale + margin * 2)
+    small, large = map(F.lit, SHEETS[sheet])
+    pw, ph = F.when(width > height, large).otherwise(small), F.when(width > height, small).otherwise(large)
+    scale = F.least((pw - margin * 2) / width, (ph - margin * 2) / height)
+    return made(width * scale, height * scale, pw, ph)

@@ -102,5 +102,14 @@ def payment_code(key: Column, name: Column, city: Column) -> Column:
 
 
 def remaining_ms(elapsed: Column, done: Column, total: Column) -> Column:
-    """Time left at the pace so far; null before the first page."""
-    return F.when(done > 0, elapsed / done * (total - done))
+    """Time left at the pace so far; null before the first page and after the last."""
+    return F.when((done > 0) & (elapsed > 0) & (total > done), elapsed / done * (total - done))
+
+
+def reader_count(memory_gb: Column, cores: Column, n_pages: Column) -> Column:
+    """Two readers with memory, cores and pages enough for them, else one; unknown counts as too little."""
+    return F.when((memory_gb >= 8) & (cores >= 4) & (n_pages >= 3), 2).otherwise(1)
+
+
+def dpi_hint(dpi: Column) -> Column:
+    return F.least(F.greatest(F.round(dpi), F.lit(70)), F.lit(2400)).cast("int")

@@ -393,6 +393,26 @@ def rect_pad(spark, sf_dir):
     return r.select("o_orderkey", boxes.pad(F.col("r"), F.lit(600.0), F.lit(800.0)).alias("r")).select("o_orderkey", "r.*")
 
 
+_SCALE = "least((pw - 40.0::DOUBLE) / w, (ph - 40.0::DOUBLE) / h)"
+
+
+@query(
+    f"""SELECT o_orderkey, pw AS width, ph AS height, (pw - w * {_SCALE}) / 2 AS x, (ph - h * {_SCALE}) / 2 AS y, w * {_SCALE} AS w, h * {_SCALE} AS h
+FROM (SELECT *, CASE WHEN w > h THEN 841.89 ELSE 595.28 END::DOUBLE AS pw, CASE WHEN w > h THEN 595.28 ELSE 841.89 END::DOUBLE AS ph
+ FROM (SELECT o_orderkey, (o_orderkey % 3000 + 100)::DOUBLE AS w, (o_orderkey * 7 % 3000 + 100)::DOUBLE AS h FROM orders))"""
+)
+def layout_page(spark, sf_dir):
+    key = F.col("o_orderkey")
+    made = boxes.layout_page((key % 3000 + 100).cast("double"), (key * 7 % 3000 + 100).cast("double"), "a4", 20.0)
+    return load(spark, sf_dir, "orders").select("o_orderkey", made.alias("p")).select("o_orderkey", "p.*")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size >= 8 AND p_partkey % 8 >= 4 AND p_partkey % 5 >= 3 THEN 2 ELSE 1 END AS readers, least(greatest(round(p_size * 60.0), 70), 2400)::INTEGER AS dpi FROM part")
+def reading_plan(spark, sf_dir):
+    p = load(spark, sf_dir, "part")
+    return p.select("p_partkey", texts.reader_count(F.col("p_size"), F.col("p_partkey") % 8, F.col("p_partkey") % 5).alias("readers"), texts.dpi_hint(F.col("p_size") * 60.0).alias("dpi"))
+
+
 # --- pages -------------------------------------------------------------------
 
 

@@ -72,6 +72,13 @@ def test_small_texts(spark):
     assert code.startswith("00020126") and "0014BR.GOV.BCB.PIX0136" in code
 
 
+def test_reading_plans(spark):
+    rows = spark.createDataFrame([(20000, 2, 10), (5000, 0, 10), (5000, 10, 10)], "e long, d int, t int")
+    assert [r[0] for r in rows.select(texts.remaining_ms(F.col("e"), F.col("d"), F.col("t"))).collect()] == [80000.0, None, None]
+    devices = spark.createDataFrame([(8, 8, 3), (8, 8, 2), (None, 8, 9)], "m int, c int, p int")
+    assert [r[0] for r in devices.select(texts.reader_count(F.col("m"), F.col("c"), F.col("p"))).collect()] == [2, 1, 1]
+
+
 def test_ranges(spark):
     parse = lambda total: lambda v: pages.parse_ranges(v, F.lit(total))
     get = lambda total, *v: [r.groups for r in one(spark, parse(total), *v)]
