@@ -15,8 +15,8 @@ from pagelathe.llm.common import materialize, table
 from pagelathe.llm.decontam import benchmark_leaks
 from pagelathe.llm.minhash import near_duplicates
 from pagelathe.llm.pieces import encode
-from pagelathe.llm.pii import find_personal_data
-from pagelathe.llm.quality import resample
+from pagelathe.llm.pii import find_personal_data, mask_texts
+from pagelathe.llm.quality import kept_rows
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -26,9 +26,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier's resampling keeps."""
-    rows = numbered(docs)
-    kept = resample(rows, table(spark, sf_dir, "labels"), key="_row").where("kept")
-    return rows.join(kept.select(F.col("row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    return kept_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,6 +44,16 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each personal datum becomes its kind in angle brackets; n_chars follows."""
+    done = mask_texts(docs)
+    if done is None:
+        return mask_by_join(docs)
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return done.select(*docs.columns)
+
+
+def mask_by_join(docs: DataFrame) -> DataFrame:
+    """The same with the spans of each row joined to it: for more patterns than workers may hold."""
     rows = numbered(docs)
     found = find_personal_data(rows, key="_row")
     # where spans overlap, the one that starts first is masked

@@ -150,12 +150,8 @@ def count_patterns(batches: Iterator[pa.RecordBatch], held: frozenset[str] | Non
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["pattern", "n"])
 
 
-def find_personal_data(docs: DataFrame, support: int = SUPPORT, precision: float = PRECISION, rounds: int = ROUNDS, most_held: int = MOST_HELD, key: str = "doc_id") -> DataFrame:
-    """key, n_email, n_ip, n_card, n_phone, base_sha256, base, added (array of start, stop).
-
-    key is a long column that the results carry.
-    """
-    docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def bootstrap(docs: DataFrame, support: int, precision: float, rounds: int, most_held: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs (doc_id, text) -> scanned rows, their instances by pattern, and the patterns of high confidence."""
     found = materialize(docs.mapInArrow(scan, FOUND).withColumn("row", F.monotonically_increasing_id()))
     seen = found.select("row", F.explode("instances").alias("i")).select("row", "i.known", "i.start", "i.stop", "i.value", F.explode("i.patterns").alias("pattern"))
     edges = seen.groupBy("pattern", "value").agg(F.max("known").alias("known"), F.count("*").alias("n"))
@@ -175,11 +171,51 @@ def find_personal_data(docs: DataFrame, support: int = SUPPORT, precision: float
         )
         chosen = scored.where((F.col("support") >= support) & (F.col("hits") >= precision * F.col("total"))).select("pattern")
         known = materialize(known.union(graph.join(chosen, "pattern").select("value")).distinct())
+    return found, seen, chosen
+
+
+def find_personal_data(docs: DataFrame, support: int = SUPPORT, precision: float = PRECISION, rounds: int = ROUNDS, most_held: int = MOST_HELD, key: str = "doc_id") -> DataFrame:
+    """key, n_email, n_ip, n_card, n_phone, base_sha256, base, added (array of start, stop).
+
+    key is a long column that the results carry.
+    """
+    docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found, seen, chosen = bootstrap(docs, support, precision, rounds, most_held)
     added = seen.where("NOT known").join(chosen, "pattern").select("row", "start", "stop").distinct()
     by_row = added.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("added"))
     return found.drop("instances").join(by_row, "row", "left").drop("row").withColumnRenamed("doc_id", key).withColumn("added", F.coalesce("added", F.array().cast("array<struct<start:bigint,stop:bigint>>")))
 
 
+def masked(text: str, chosen: frozenset[str]) -> str:
+    """The text with each span as its kind in angle brackets; of overlapping spans the first counts."""
+    base = base_spans(text)
+    spans = [(a, b, KINDS[k].upper()) for k, a, b in base]
+    if chosen:
+        spans += [(i["start"], i["stop"], "CONTEXT") for i in instances(text, base) if not i["known"] and not chosen.isdisjoint(i["patterns"])]
+    out, at = [], 0
+    for a, b, kind in sorted(spans):
+        if a >= at:
+            out += [text[at:a], f"<{kind}>"]
+            at = b
+    return "".join([*out, text[at:]]) if out else text
+
+
+def mask_texts(docs: DataFrame, most_held: int = MOST_HELD) -> DataFrame | None:
+    """docs with masked texts, all columns; None if more patterns are chosen than workers may hold."""
+    few = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    chosen = materialize(bootstrap(few, SUPPORT, PRECISION, ROUNDS, most_held)[2])
+    if chosen.count() > most_held:
+        return None
+    held = docs.sparkSession.sparkContext.broadcast(frozenset(r["pattern"] for r in chosen.collect()))
+
+    def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([None if x.as_py() is None else masked(x.as_py(), held.value) for x in batch.column("text")], pa.string())
+            yield pa.RecordBatch.from_arrays([texts if n == "text" else c for n, c in zip(batch.schema.names, batch.columns, strict=True)], names=batch.schema.names)
+
+    return docs.mapInArrow(mask, docs.schema)
+
+
 def span_text(df: DataFrame) -> DataFrame:
     """All spans as kind:start:end, base kinds first."""
     extra = F.transform("added", lambda s: F.concat_ws(":", F.lit("context"), s["start"], s["stop"]))

@@ -38,8 +38,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, DoubleType, StructField, StructType
 
 from .common import LOWER, grams, materialize, mix64, slices, table, text_bytes, words
 
@@ -150,9 +151,24 @@ def weigh(batches: Iterator[pa.RecordBatch], ratios: np.ndarray, marks: tuple[np
     for batch in batches:
         raw, off = text_bytes(batch.column("text"))
         weight = [weight_of(ratios, f) for f in features(raw, off)]
-        keep = [c for c in batch.schema.names if c != "text"]
         mark = pa.array(marks_of(batch.column("doc_id"), marks), pa.int8())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), mark, pa.array(weight, pa.float64())], names=[*keep, "mark", "weight"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, mark, pa.array(weight, pa.float64())], names=[*batch.schema.names, "_mark", "_weight"])
+
+
+def weighed(docs: DataFrame, ratios, marks) -> DataFrame:
+    """docs with the columns _mark and _weight; ratios and marks are broadcasts."""
+    kinds = StructType([*docs.schema.fields, StructField("_mark", ByteType()), StructField("_weight", DoubleType())])
+    return docs.mapInArrow(lambda it: weigh(it, ratios.value, marks.value), kinds)
+
+
+def gumbel_key(weight: Column, seed: int) -> Column:
+    """weight * SHARPNESS + Gumbel noise of the row's doc_id."""
+    noise = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") / float(1 << 53)
+    return weight * SHARPNESS - F.log(-F.log(noise * (1 - 2e-16) + 1e-16))
+
+
+def whole_key(key: Column) -> Column:
+    return F.round(key * 1e6).cast("bigint")
 
 
 def fit_cut(weight: np.ndarray, good: np.ndarray) -> float:
@@ -190,13 +206,8 @@ def kth_largest(keys: DataFrame, k: int) -> int | None:
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = 7, key: str | None = None) -> DataFrame:
-    """doc_id, row, weight, gumbel_key, kept: one row per row of docs.
-
-    row repeats the long column named by key, if any.
-    """
-    row = F.col(key) if key else F.lit(0)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row.cast("bigint").alias("row"), F.col("text").cast("string").alias("text"))
+def fit(docs: DataFrame, labels: DataFrame, seed: int) -> tuple:
+    """Broadcasts of the log ratios and the sampled labels."""
     marked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).alias("good"))
     sample = marked.orderBy(F.xxhash64("doc_id", F.lit(seed + 1))).limit(MOST_LABELLED).toPandas().sort_values("doc_id")
     share = docs.sparkSession.sparkContext.broadcast
@@ -212,16 +223,43 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 7, key: str | None
     else:
         good = every = np.zeros(BUCKETS, np.int64)
     held = share(log_ratios(good, every) if good.any() else np.zeros(BUCKETS, np.float32))
-    scored = materialize(docs.mapInArrow(lambda it: weigh(it, held.value, held_marks.value), "doc_id bigint, row bigint, mark tinyint, weight double"))
+    return held, held_marks
+
+
+def threshold(scored: DataFrame, seed: int) -> int | None:
+    """scored (doc_id, mark, weight) -> the k-th largest key, k the documents whose weight passes the fitted cut."""
     fitted = scored.where("mark >= 0").orderBy(F.xxhash64("doc_id", F.lit(seed)), "weight").limit(MOST_LABELLED).select("weight", "mark").toPandas()
     cut = fit_cut(fitted["weight"].to_numpy(float), fitted["mark"].to_numpy() == 1) if len(fitted) else -np.inf
-    noise = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") / float(1 << 53)
-    gumbel = -F.log(-F.log(noise * (1 - 2e-16) + 1e-16))
-    keyed = scored.withColumn("gumbel_key", F.col("weight") * SHARPNESS + gumbel).withColumn("key", F.round(F.col("gumbel_key") * 1e6).cast("bigint"))
-    k = scored.where(F.col("weight") >= cut).count()
-    least = kth_largest(keyed, k)
-    kept = F.col("key") >= least if least is not None else F.lit(False)
-    return keyed.select("doc_id", "row", "weight", "gumbel_key", kept.alias("kept"))
+    keyed = scored.select(whole_key(gumbel_key(F.col("weight"), seed)).alias("key"))
+    return kth_largest(keyed, scored.where(F.col("weight") >= cut).count())
+
+
+def slim(docs: DataFrame, ratios, marks) -> DataFrame:
+    """doc_id, mark, weight as a table."""
+    few = weighed(docs.select("doc_id", "text"), ratios, marks)
+    return materialize(few.select("doc_id", F.col("_mark").alias("mark"), F.col("_weight").alias("weight")))
+
+
+def resample(docs: DataFrame, labels: DataFrame, seed: int = 7) -> DataFrame:
+    """doc_id, weight, gumbel_key, kept: one row per row of docs."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scored = slim(docs, *fit(docs, labels, seed))
+    least = threshold(scored, seed)
+    keyed = scored.withColumn("gumbel_key", gumbel_key(F.col("weight"), seed))
+    kept = whole_key(F.col("gumbel_key")) >= least if least is not None else F.lit(False)
+    return keyed.select("doc_id", "weight", "gumbel_key", kept.alias("kept"))
+
+
+def kept_rows(docs: DataFrame, labels: DataFrame, seed: int = 7) -> DataFrame:
+    """The rows of docs that resample keeps, all columns.
+
+    Texts are weighed once more where they are instead of being shuffled to a join.
+    """
+    held = fit(docs, labels, seed)
+    least = threshold(slim(docs, *held), seed)
+    if least is None:
+        return docs.limit(0)
+    return weighed(docs, *held).where(whole_key(gumbel_key(F.col("_weight"), seed)) >= least).select(*docs.columns)
 
 
 def op4_quality_resample(spark, sf_dir: str) -> DataFrame:

@@ -154,6 +154,7 @@ def test_pipeline(spark, tmp_path):
     assert not {300, 301} & set(kept) and 1 in kept
     assert kept[302].text.startswith("mail me at <EMAIL> or <PHONE> now ") and kept[302].n_chars == len(kept[302].text)
     assert {303, 304} <= set(kept)
+    assert sorted(map(str, p.mask_by_join(docs).collect())) == sorted(map(str, p.mask_personal_data(spark, docs, str(tmp_path)).collect()))
     out = p.run(spark, str(tmp_path))
     assert {r.doc_id for r in out.select("doc_id").collect()} == set(kept)
     assert out.where(~F.col("round_trip")).count() == 0
