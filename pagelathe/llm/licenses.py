@@ -7,12 +7,19 @@ must all occur in its order, other licence sentences may stand between. The
 sentence table is a constant of this module, so no shuffle or join is needed:
 one pass over each text.
 
+A known sentence is also found where single line breaks (and the comment marks of
+the next line) wrap it, or where a mark such as 'v. 2.0' would cut it: it stands
+between the same cuts as any sentence and is then looked up whole. All other text
+is cut at every line break.
+
 Defined cases: a null or empty text has no sentences and no licence; repeated
 rows each get their result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +88,19 @@ RULES = {
     "Proprietary": [["reserved"]],
 }
 
+# The sentences of whole licence texts, as SENTENCES; and more lists as in RULES.
+COMPLETE = {
+    "licensed under the apache license, version 2.0 (the license); you may not use this file except in compliance with the license": "apache2full",
+    "unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an as is basis, without warranties or conditions of any kind, either express or implied": "apache2asis",
+    "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the software), to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so, subject to the following conditions": "mitgrant",
+    "the software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement": "mitwarranty",
+    "redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution": "bsdbinary",
+    "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies": "iscgrant",
+    "permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies": "iscgrant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "iscwarranty",
+}
+MORE_RULES = {"Apache-2.0": [["apache2full", "apache2copy"]], "ISC": [["iscgrant", "iscwarranty"]]}
+
 # Fixed patterns. Every known sentence holds a keyword.
 KEYWORD = "licen[sc]e|copyright|redistribut|permission|warrant|public domain|all rights reserved"
 _ENDS = r"([.!?:])[ \t\r\n]+"
@@ -96,15 +116,37 @@ def normalized(sentence: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, _BLANK, " "), _EDGE, "")
 
 
+def table_key(sentence: str) -> str:
+    """normalized() of a constant."""
+    return re.sub(_EDGE, "", re.sub(_BLANK, " ", re.sub(_JUNK, "", sentence.lower())))
+
+
+def known_pattern() -> str:
+    """One regex for all known sentences between two cuts, wrapped or not, the longest first."""
+    junk = r"""["'`*#/]"""
+    gap = rf"""(?:["'`*#/ \t\r]++(?:\n{_MARKS})?+|\n{_MARKS})"""
+    word = lambda w: "".join(f"{junk}*+" if c == "/" else c if c.isalnum() else rf"{junk}*+\{c}" for c in w)
+    listed = sorted({**SENTENCES, **COMPLETE}, key=lambda s: (-len(s), s))
+    edge = r"""["'`*#/ \t\r.,;:!?-]"""
+    return rf"(?:^|\n|[.!?:][ \t\r\n]){edge}*+(?i:" + "|".join(gap.join(map(word, s.split(" "))) for s in listed) + rf")(?={edge}*+(?:\n|\z)|{edge}*?[.!?:][ \t\r\n])"
+
+
+_MARKS = r"""["'`*#/ \t\r;%-]*+"""
+KNOWN = known_pattern()
+
+
 def licence_sentences(text: Column) -> Column:
     """Normalised sentences that hold a licence keyword, in text order."""
-    cut = F.split(F.regexp_replace(text, _ENDS, "$1\n"), _BREAKS, -1)
-    kept = F.filter(cut, lambda s: F.lower(s).rlike(KEYWORD))
-    return F.when(F.lower(text).rlike(KEYWORD), F.transform(kept, normalized)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    parts = F.arrays_zip(F.split(text, KNOWN, -1).alias("rest"), F.regexp_extract_all(text, F.lit(KNOWN), F.lit(0)).alias("known"))
+    cut = lambda x: F.split(F.regexp_replace(x, _ENDS, "$1\n"), _BREAKS, -1)
+    whole = lambda x: F.when(x.isNotNull(), F.array(F.regexp_replace(x, rf"\n{_MARKS}", " "))).otherwise(none)
+    kept = F.filter(F.flatten(F.transform(parts, lambda p: F.concat(cut(p["rest"]), whole(p["known"])))), lambda s: F.lower(s).rlike(KEYWORD))
+    return F.when(F.lower(text).rlike(f"{KEYWORD}|public|reserved"), F.transform(kept, normalized)).otherwise(none)
 
 
 def identifiers(sentences: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
+    known = F.create_map(*[F.lit(x) for k, v in {**SENTENCES, **COMPLETE}.items() for x in (table_key(k), v)])
     return F.filter(F.transform(sentences, lambda s: F.element_at(known, s)), lambda i: i.isNotNull())
 
 
@@ -120,7 +162,7 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     found = found.select("doc_id", F.size("s").cast("bigint").alias("n_sentences"), identifiers(F.col("s")).alias("ids"))
     sequence = F.when(F.size("ids") > 0, F.concat(F.lit(";"), F.concat_ws(";", "ids"), F.lit(";"))).otherwise(F.lit(""))
     found = found.select("doc_id", "n_sentences", (F.col("n_sentences") - F.size("ids")).cast("bigint").alias("n_unknown"), sequence.alias("sequence"))
-    names = [F.when(F.col("sequence").rlike(rule_pattern(v)), F.lit(k)) for k, v in RULES.items()]
+    names = [F.when(F.col("sequence").rlike(rule_pattern(v + MORE_RULES.get(k, []))), F.lit(k)) for k, v in RULES.items()]
     return found.withColumn("licences", F.concat_ws(",", *names))
 
 

@@ -28,6 +28,103 @@ def test_licence_keywords():
     assert {i for lists in licenses.RULES.values() for ids in lists for i in ids} <= set(licenses.SENTENCES.values())
 
 
+GENUINE = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY""",
+    "BSD-3-Clause": """Copyright (c) 2020, Someone
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+""",
+    "ISC": """ISC License
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE""",
+    "MPL-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */""",
+    "GPL-3.0": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.""",
+    "GPL-2.0": """/*
+ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ */""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not
+use this file except in compliance with the License. You may obtain a copy of
+the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+}
+
+
+def test_genuine_licences(spark):
+    listed = list(GENUINE.items())
+    flat = [(100 + i, "\n\n".join(" ".join(p.split()) for p in re.split(r"\n\s*\n", re.sub(r"(?m)^[ #/*]+", "", t)))) for i, (_, t) in enumerate(listed)]
+    got = {r.doc_id: r for r in licenses.scan_licences(corpus(spark, [(i, t) for i, (_, t) in enumerate(listed)] + flat)).collect()}
+    assert [got[i].licences for i in range(len(listed))] == [k for k, _ in listed]
+    assert [got[100 + i].licences for i in range(len(listed))] == [k for k, _ in listed]
+    # a wrapped sentence that goes on is another one, and a line of its own stays one
+    more = ["licensed under the MIT\nLicense and others", "Licensed under the MIT License\nmore words", "Licensed under the\n\nMIT License"]
+    got = {r.doc_id: r.licences for r in licenses.scan_licences(corpus(spark, list(enumerate(more)))).collect()}
+    assert got == {0: "", 1: "MIT", 2: ""}
+
+
+def test_licence_table(spark):
+    listed = list({**licenses.SENTENCES, **licenses.COMPLETE}.items())
+    texts = [f"Before. {s.capitalize()}. After" for s, _ in listed] + ["\n * ".join(s.split(" ")) for s, _ in listed]
+    got = {r.doc_id: r for r in licenses.scan_licences(corpus(spark, list(enumerate(texts)))).collect()}
+    assert [got[i].sequence for i in range(len(texts))] == [f";{i};" for _, i in listed] * 2
+
+
 def base_secrets(text):
     found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text or "", re.A) if len(m[2]) >= 6]
     found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text or "") if len(m[0]) >= 20]
