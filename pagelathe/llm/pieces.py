@@ -11,11 +11,10 @@ A character that no single piece covers is one node that scores PENALTY below th
 least piece score and is encoded as its UTF-8 bytes; so is a literal U+2581, which
 stands for a blank inside the vocabulary. Decoding inverts encoding for any text.
 
-For up to two segmentations the search runs in numpy over the bytes of all
-distinct chunks of a slice together (`Lattice`): once the best path is expanded,
-the front of the A* search holds just the ways that leave it, each with its exact
-score, so the best of them is the second segmentation's. More segmentations are
-searched chunk by chunk (`Pieces`).
+The search runs in numpy over the bytes of all distinct chunks of a slice together
+(`Lattice`): for each segmentation every chunk takes the best way from its front and
+follows it to the start, and the ways that leave it join the front. `Pieces` is the
+same search chunk by chunk, for tests. All N segmentations are returned and decoded.
 
 Defined cases: a null text gives null pieces and a null decoded text; an empty
 text gives no pieces; of equal scores the one with the longer last piece comes first;
@@ -51,6 +50,27 @@ _MULTIPLIER = 0xD6E8FEB86659FD93
 _CHUNK = re.compile(f" *[^ {BLANK}]+| +|{BLANK}")
 
 
+def combinations(losses: dict[int, list[float]], n: int) -> list[tuple[float, dict[int, int]]]:
+    """Losses of each rank of chunks with a choice -> (loss, rank by chunk) of the 2nd to n-th best combination."""
+    # steps down from the best
+    loose = sorted((x[1], k) for k, x in losses.items())[: n - 1]
+    steps = [losses[k] for _, k in loose]
+    queue = [(steps[0][1], 0, ((0, 1),))] if steps else []
+    out: list[tuple[float, dict[int, int]]] = []
+    while queue and len(out) < n - 1:
+        loss, at, taken = heapq.heappop(queue)
+        out.append((loss, {loose[a][1]: r for a, r in taken}))
+        rank = taken[-1][1]
+        before = loss - steps[at][rank]
+        if rank + 1 < len(steps[at]):
+            heapq.heappush(queue, (before + steps[at][rank + 1], at, (*taken[:-1], (at, rank + 1))))
+        if at + 1 < len(steps):
+            heapq.heappush(queue, (loss + steps[at + 1][1], at + 1, (*taken, (at + 1, 1))))
+            if rank == 1:
+                heapq.heappush(queue, (before + steps[at + 1][1], at + 1, (*taken[:-1], (at + 1, 1))))
+    return out
+
+
 class Pieces:
     """A vocabulary and its lattice search. Made from (piece, score) by id."""
 
@@ -165,22 +185,9 @@ class Pieces:
         out = [(total, np.frombuffer(b"".join([c[0][1] for c in chunks]), np.int32))]
         if n == 1:
             return out
-        # steps down from the best: per chunk with a choice, the losses of its alternatives
-        loose = sorted((c[0][0] - c[1][0], k) for k, c in enumerate(chunks) if len(c) > 1)[: n - 1]
-        steps = [[chunks[k][0][0] - x[0] for x in chunks[k]] for _, k in loose]
-        queue = [(steps[0][1], 0, ((0, 1),))] if steps else []
-        while queue and len(out) < n:
-            loss, at, taken = heapq.heappop(queue)
-            choice = {loose[a][1]: r for a, r in taken}
+        losses = {k: [c[0][0] - x[0] for x in c] for k, c in enumerate(chunks) if len(c) > 1}
+        for loss, choice in combinations(losses, n):
             out.append((total - loss, np.frombuffer(b"".join([c[choice.get(k, 0)][1] for k, c in enumerate(chunks)]), np.int32)))
-            rank = taken[-1][1]
-            before = loss - steps[at][rank]
-            if rank + 1 < len(steps[at]):
-                heapq.heappush(queue, (before + steps[at][rank + 1], at, (*taken[:-1], (at, rank + 1))))
-            if at + 1 < len(steps):
-                heapq.heappush(queue, (loss + steps[at + 1][1], at + 1, (*taken, (at + 1, 1))))
-                if rank == 1:
-                    heapq.heappush(queue, (before + steps[at + 1][1], at + 1, (*taken[:-1], (at + 1, 1))))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -245,8 +252,8 @@ class Lattice:
         cat = lambda x, y: np.concatenate([*x, y])
         return cat(starts, lone), cat(ends, lone + size[lone]), cat(ids, np.full(len(lone), -1))
 
-    def search(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Chunks flat[begin:begin + size], one after another -> their ids, numbers of ids, best scores, second scores (-inf: none), and whether the ids spell the chunk."""
+    def search(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Chunks flat[begin:begin + size], one after another -> for each of n ranks their ids, numbers of ids and scores (-inf: none)."""
         of = np.repeat(np.arange(len(begin)), size)
         start, end, piece = self.edges(flat, (begin + size)[of])
         relative = end - begin[of[start]]
@@ -255,7 +262,8 @@ class Lattice:
         score = np.where(piece >= 0, self.score[piece], self.pieces.unknown)
         best = np.zeros(len(flat) + len(begin) + 1)  # place k of chunk c is at begin + c + k
         place_of_start, place_of_end = start + of[start], end + of[start]
-        other, taken = np.full(len(best), -np.inf), np.zeros(len(best), np.int64)
+        taken = np.zeros(len(best), np.int64)
+        edge_from, edge_count = np.zeros(len(best), np.int64), np.zeros(len(best), np.int64)  # the nodes that end at a place
         cuts = np.searchsorted(relative, np.arange(1, int(size.max(initial=0)) + 2))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if a == b:
@@ -269,43 +277,99 @@ class Lattice:
             won = np.repeat(np.arange(len(heads)), count)[wins]
             wins = wins[np.append(True, won[1:] != won[:-1])]
             best[goal[heads]], taken[goal[heads]] = top, wins + a
-            value[wins] = -np.inf
-            other[goal[heads]] = np.maximum.reduceat(value, heads)
-        # walk back all best paths together
+            edge_from[goal[heads]], edge_count[goal[heads]] = heads + a, count
+        # backward A*, all chunks together: the way with the best priority is followed to the start, the ways that leave it join the front
         first = begin + np.arange(len(begin))
-        at, behind = first + size, np.zeros(len(begin))
-        live, second, steps = np.arange(len(begin)), np.full(len(begin), -np.inf), []
-        while len(live := live[at[live] > first[live]]):
-            here = at[live]
-            second[live] = np.maximum(second[live], other[here] + behind[live])
-            edge = taken[here]
-            steps.append((live, edge))
-            behind[live] += score[edge]
-            at[live] = place_of_start[edge]
-        chunk = np.concatenate([c for c, _ in steps]) if steps else np.zeros(0, np.int64)
-        edge = np.concatenate([e for _, e in steps]) if steps else chunk
-        order = np.argsort((chunk << 32) | start[edge], kind="stable")
-        chunk, edge = chunk[order], edge[order]
-        known, span = piece[edge] >= 0, end[edge] - start[edge]
+        goes, at, behind, edge, parent = np.arange(len(begin)), first + size, np.zeros(len(begin)), np.full(len(begin), -1), np.zeros(len(begin), np.int64)
+        front = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)]  # chunk, priority, place, score so far, node, rank it left
+        paths, found = [], []
+        for rank in range(n):
+            steps, live = [], np.flatnonzero(at > first[goes])
+            to, so_far = at.copy(), behind.copy()
+            while len(live):
+                step = taken[to[live]]
+                steps.append((goes[live], step, to[live], so_far[live]))
+                so_far[live] += score[step]
+                to[live] = place_of_start[step]
+                live = live[to[live] > first[goes[live]]]
+            chunk, walked, place, before = (np.concatenate(x) for x in zip(*steps, strict=True)) if steps else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            if rank + 1 < n:
+                count = edge_count[place]
+                ways = np.repeat(edge_from[place] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+                ways_of = np.repeat(np.arange(len(place)), count)
+                leaves = ways != walked[ways_of]
+                ways, ways_of = ways[leaves], ways_of[leaves]
+                reached = before[ways_of] + score[ways]
+                new = [chunk[ways_of], reached + best[place_of_start[ways]], place_of_start[ways], reached, ways, np.full(len(ways), rank)]
+                front = [np.concatenate(x) for x in zip(front, new, strict=True)]
+                by_chunk = np.argsort(front[0], kind="stable")
+                front = [x[by_chunk] for x in front]
+            # the path: what was walked, the node that left the parent, the parent's nodes behind it
+            left = edge >= 0
+            path = [np.stack([chunk, walked]), np.stack([goes[left], edge[left]])]
+            behind_at = np.full(len(begin), np.iinfo(np.int64).max)
+            for r in np.unique(parent[left]).tolist():
+                mine = left & (parent == r)
+                behind_at[:] = np.iinfo(np.int64).max
+                behind_at[goes[mine]] = end[edge[mine]]
+                path.append(paths[r][:, start[paths[r][1]] >= behind_at[paths[r][0]]])
+            path = np.concatenate(path, axis=1)
+            path = path[:, np.argsort((path[0] << 32) | start[path[1]], kind="stable")]
+            paths.append(path)
+            total = np.full(len(begin), -np.inf)
+            total[goes] = behind + best[at]
+            found.append((*self.spell(path[0], piece[path[1]], start[path[1]], end[path[1]], flat, len(begin)), total))
+            if not len(front[0]):
+                goes = goes[:0]
+            else:
+                heads = np.flatnonzero(np.append(True, front[0][1:] != front[0][:-1]))
+                top = np.repeat(np.maximum.reduceat(front[1], heads), np.diff(np.append(heads, len(front[0]))))
+                ties = np.flatnonzero(front[1] == top)
+                ties = ties[np.lexsort((ties, front[2][ties], front[0][ties]))]
+                popped = ties[np.append(True, front[0][ties][1:] != front[0][ties][:-1])]
+                goes, _, at, behind, edge, parent = (x[popped] for x in front)
+                front = [np.delete(x, popped) for x in front]
+            if not len(goes):
+                at, behind, edge, parent = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return found
+
+    def spell(self, chunk: np.ndarray, piece: np.ndarray, start: np.ndarray, end: np.ndarray, flat: np.ndarray, n_chunks: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and numbers of ids of paths given by their nodes in order."""
+        known, span = piece >= 0, end - start
         made = np.where(known, 1, span)
         where = np.cumsum(made) - made
         ids = np.zeros(int(made.sum()), np.int32)
-        ids[where[known]] = piece[edge[known]]
+        ids[where[known]] = piece[known]
         for k in range(4):
             part = ~known & (span > k)
-            ids[where[part] + k] = self.pieces.bytes_at + flat[start[edge[part]] + k]
-        n_ids = np.bincount(chunk, weights=made, minlength=len(begin)).astype(np.int64)
+            ids[where[part] + k] = self.pieces.bytes_at + flat[start[part] + k]
+        return ids, np.bincount(chunk, weights=made, minlength=n_chunks).astype(np.int64)
+
+    def decode(self, ids: np.ndarray, n_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the texts with so many ids each, without the blank before them, and their n + 1 offsets."""
         width = self.spelt_size[ids]
-        right = np.zeros(len(begin), bool)
-        owner = np.repeat(np.arange(len(begin)), n_ids)
-        if len(flat) == width.sum():
-            same = gather(self.spelt, self.spelt_at[ids], width) == flat
-            right = np.bincount(of[same], minlength=len(begin)) == size
-            right &= np.bincount(owner, weights=width, minlength=len(begin)).astype(np.int64) == size
-        return ids, n_ids, best[first + size], second, right
+        flat = gather(self.spelt, self.spelt_at[ids], width)
+        size = np.diff(np.concatenate([[0], np.cumsum(width)])[np.concatenate([[0], np.cumsum(n_ids)])])
+        kept = np.ones(len(flat), bool)
+        kept[(np.cumsum(size) - size)[size > 0]] = False
+        return flat[kept], np.concatenate([[0], np.cumsum(size - (size > 0))])
+
+    def round_trip(self, ids: np.ndarray, n_ids: np.ndarray, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Whether the ids of each text decode to it."""
+        got, at = self.decode(ids, n_ids)
+        right = np.diff(at) == np.diff(off)
+        if right.all():
+            wrong = np.concatenate([[0], np.cumsum(got != raw[off[0] : off[-1]])])
+            return np.diff(wrong[at]) == 0
+        return np.array([ok and np.array_equal(got[at[i] : at[i + 1]], raw[off[i] : off[i + 1]]) for i, ok in enumerate(right.tolist())], bool)
 
     def encode_texts(self, raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Texts in slices: (first, end text, ids, numbers of ids, best, second scores, round trip)."""
+        for a, b, ((ids, n_ids, best), (_, _, second)), right in self.encode_n(raw, off, 2):
+            yield a, b, ids, n_ids, best, second, right
+
+    def encode_n(self, raw: np.ndarray, off: np.ndarray, n: int) -> Iterator[tuple[int, int, list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]]:
+        """Texts in slices: (first, end text, (ids, numbers of ids, scores; -inf: none) of each rank, whether all decode to the text)."""
         for a, b in slices(off, ENCODE_BYTES):
             size = np.diff(off[a : b + 1])
             blank = np.flatnonzero(size > 0)
@@ -318,20 +382,58 @@ class Lattice:
             begin = np.flatnonzero(opens)
             length = np.diff(np.append(begin, len(flat)))
             if not len(begin):
-                yield a, b, np.zeros(0, np.int32), np.zeros(b - a, np.int64), np.zeros(b - a), np.full(b - a, -np.inf), np.ones(b - a, bool)
+                none = (np.zeros(0, np.int32), np.zeros(b - a, np.int64))
+                yield a, b, [(*none, np.full(b - a, -np.inf if r else 0.0)) for r in range(n)], np.ones(b - a, bool)
                 continue
             digest = digests(flat, length)
             _, first, chunk = np.unique(digest[:, 0] ^ (digest[:, 1] << np.uint64(1)), return_index=True, return_inverse=True)
             some = gather(flat, begin[first], length[first])
-            ids, n_ids, best, second, right = self.search(some, np.cumsum(length[first]) - length[first], length[first])
-            ids_at = np.cumsum(n_ids) - n_ids
-            all_ids = gather(ids, ids_at[chunk], n_ids[chunk])
+            found = self.search(some, np.cumsum(length[first]) - length[first], length[first], n)
+            ids = np.concatenate([x for x, _, _ in found])
+            n_ids = np.stack([x for _, x, _ in found])
+            ids_at = (np.cumsum(n_ids) - n_ids.ravel()).reshape(n_ids.shape)
+            scores = np.stack([x for _, _, x in found])
             per = np.searchsorted(begin, np.append(text_at, len(flat)))
             sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[per])
-            total = sums(best[chunk])
-            loss = np.full(b - a, np.inf)
-            loss[blank] = np.minimum.reduceat((best - second)[chunk], per[:-1][blank])
-            yield a, b, all_ids, sums(n_ids[chunk]), total, total - loss, sums(~right[chunk]) == 0
+            total = sums(scores[0][chunk])
+            ranks, right = [], np.ones(b - a, bool)
+            for score, pick in self.picks(scores, chunk, per, total, n):
+                have = np.repeat(score > -np.inf, np.diff(per))
+                count = np.where(have, n_ids[pick, chunk], 0)
+                made = gather(ids, ids_at[pick, chunk][have], count[have])
+                ranks.append((made, sums(count), score))
+                same = self.round_trip(made, ranks[-1][1], raw, off[a : b + 1])
+                right &= same | (score == -np.inf)
+            yield a, b, ranks, right
+
+    def picks(self, scores: np.ndarray, chunk: np.ndarray, per: np.ndarray, total: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each rank the scores of the texts and the rank taken of each of their chunks."""
+        pick = np.zeros(len(chunk), np.int64)
+        yield total, pick
+        if n == 1:
+            return
+        texts = np.flatnonzero(np.diff(per) > 0)
+        if n == 2:
+            # the chunk whose second way loses least, the first of equals
+            loss = (scores[0] - scores[1])[chunk]
+            least = np.minimum.reduceat(loss, per[:-1][texts])
+            ties = np.flatnonzero(loss == np.repeat(least, np.diff(per)[texts]))
+            owner = np.searchsorted(per, ties, side="right")
+            ties = ties[np.append(True, owner[1:] != owner[:-1])]
+            pick[ties[least < np.inf]] = 1
+            score = np.full(len(total), -np.inf)
+            score[texts] = total[texts] - least
+            yield score, pick
+            return
+        chosen = [(np.full(len(total), -np.inf), np.zeros(len(chunk), np.int64)) for _ in range(n - 1)]
+        for i in texts.tolist():
+            mine = scores[:, chunk[per[i] : per[i + 1]]]
+            losses = {k: [x for x in (mine[0, k] - mine[:, k]).tolist() if x < np.inf] for k in np.flatnonzero(mine[1] > -np.inf).tolist()}
+            for (score, taken), (loss, choice) in zip(chosen, combinations(losses, n), strict=False):
+                score[i] = total[i] - loss
+                for k, r in choice.items():
+                    taken[per[i] + k] = r
+        yield from chosen
 
 
 _loaded: dict = {}
@@ -347,34 +449,40 @@ def worker_pieces(shipped: tuple) -> tuple[Pieces, Lattice]:
     return _loaded[key]
 
 
-ENCODED = "pieces array<int>, scores array<double>, n_pieces bigint, ids_sha256 string, round_trip boolean"
+ENCODED = "pieces array<int>, others array<array<int>>, scores array<double>, n_pieces bigint, ids_sha256 string, round_trip boolean"
+
+
+def lists(ids: np.ndarray, n_ids: np.ndarray, mask: pa.Array | None = None) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_ids)]).astype(np.int32)), pa.array(ids), mask=mask)
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch], held, n: int, ids_too: bool) -> Iterator[pa.RecordBatch]:
-    pieces, lattice = worker_pieces(held.value)
+    _, lattice = worker_pieces(held.value)
     for batch in batches:
         text = batch.column("text")
         raw, off = text_bytes(text)
         null = text.is_null().to_numpy(zero_copy_only=False)
-        for a, b, ids, n_ids, best, second, right in lattice.encode_texts(raw, off):
+        for a, b, ranks, right in lattice.encode_n(raw, off, n):
+            ids, n_ids, _ = ranks[0]
             ends = np.cumsum(n_ids)
             sha = [hashlib.sha256(ids[y - k : y]).hexdigest() for y, k in zip(ends.tolist(), n_ids.tolist(), strict=True)]
-            if n <= 2:
-                scores = [[x] if n == 1 or y == -np.inf else [x, y] for x, y in zip(best.tolist(), second.tolist(), strict=True)]
-            else:
-                scores = [[x for x, _ in pieces.encode(text[i].as_py() or "", n)] for i in range(a, b)]
+            have = np.stack([s > -np.inf for _, _, s in ranks], axis=1)
+            scores = [[x for x, y in zip(row, ok, strict=True) if y] for row, ok in zip(np.stack([s for _, _, s in ranks], axis=1).tolist(), have.tolist(), strict=True)]
             gone = pa.array(null[a:b])
             unless = lambda x, gone=gone: pc.if_else(gone, None, x)
             if ids_too:
                 # a null list where the text is null
-                listed = pa.ListArray.from_arrays(pa.array(np.append(ends - n_ids, len(ids)).astype(np.int32)), pa.array(ids), mask=gone)
+                listed = lists(ids, n_ids, gone)
+                more = pa.concat_arrays([lists(x, k) for x, k, _ in ranks[1:]] or [lists(ids[:0], n_ids[:0])])
+                row, rank = np.nonzero(have[:, 1:])
+                more = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(have[:, 1:].sum(axis=1))]).astype(np.int32)), more.take(pa.array(rank * (b - a) + row)), mask=gone)
             else:
-                listed = pa.nulls(b - a, pa.list_(pa.int32()))
+                listed, more = pa.nulls(b - a, pa.list_(pa.int32())), pa.nulls(b - a, pa.list_(pa.list_(pa.int32())))
             keep = [c for c in batch.schema.names if c != "text"]
             rows = batch.slice(a, b - a)
             yield pa.RecordBatch.from_arrays(
-                [*(rows.column(c) for c in keep), listed, unless(pa.array(scores, pa.list_(pa.float64()))), unless(pa.array(n_ids)), unless(pa.array(sha, pa.string())), unless(pa.array(right))],
-                names=[*keep, "pieces", "scores", "n_pieces", "ids_sha256", "round_trip"],
+                [*(rows.column(c) for c in keep), listed, more, unless(pa.array(scores, pa.list_(pa.float64()))), unless(pa.array(n_ids)), unless(pa.array(sha, pa.string())), unless(pa.array(right))],
+                names=[*keep, "pieces", "others", "scores", "n_pieces", "ids_sha256", "round_trip"],
             )
 
 
@@ -389,9 +497,10 @@ def ship(spark: SparkSession, model: str):
 
 
 def encode(docs: DataFrame, model: str = MODEL, n: int = 2, ids_too: bool = True) -> DataFrame:
-    """doc_id, pieces (best ids, null unless ids_too), scores of the n best, n_pieces, ids_sha256, round_trip.
+    """doc_id, pieces (best ids), others (ids of the 2nd to n-th), scores of the n best, n_pieces, ids_sha256, round_trip.
 
-    ids_sha256 hashes the best ids as little-endian 32-bit numbers.
+    ids_sha256 hashes the best ids as little-endian 32-bit numbers; round_trip tells
+    whether all segmentations decode to the text. pieces and others are null unless ids_too.
     """
     held = ship(docs.sparkSession, model)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -403,14 +512,18 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     held = ship(encoded.sparkSession, model)
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, _ = worker_pieces(held.value)
+        _, lattice = worker_pieces(held.value)
         for batch in batches:
-            texts = [None if x.as_py() is None else pieces.decode(x.as_py()) for x in batch.column("pieces")]
+            column = batch.column("pieces")
+            n_ids = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            raw, off = lattice.decode(column.flatten().to_numpy(zero_copy_only=False), n_ids)
+            null = column.is_null().to_pylist()
+            texts = [None if gone else raw[x:y].tobytes().decode("utf-8", "replace") for gone, x, y in zip(null, off[:-1].tolist(), off[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "pieces").mapInArrow(back, "doc_id bigint, text string")
 
 
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    found = encode(table(spark, sf_dir, "documents"), ids_too=False)
-    return found.select("doc_id", "n_pieces", "ids_sha256", F.col("scores")[0].alias("best_score"), F.get("scores", F.lit(1)).alias("second_score"), "round_trip")
+    found = encode(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_pieces", "ids_sha256", F.col("scores")[0].alias("best_score"), F.get("scores", F.lit(1)).alias("second_score"), "round_trip", "pieces", F.get("others", F.lit(0)).alias("second_pieces"))

@@ -96,6 +96,36 @@ def test_round_trip(spark):
     assert rows[0].pieces is None and rows[1].pieces == []
 
 
+@pytest.mark.parametrize("listed", [LISTED, None])
+def test_all_segmentations(listed):
+    v = pieces.Pieces(listed, 2, 2) if listed else pieces.Pieces.load(pieces.MODEL)
+    rng = random.Random(4)
+    texts = ["", "a", "▁"] + ["".join(rng.choice("aaabbc  ñ漢▁\n😀") for _ in range(rng.randrange(12))) for _ in range(60)] + ["the same words and others"]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    for n in (1, 2, 3, 7):
+        for a, b, ranks, right in pieces.Lattice(v).encode_n(raw, off, n):
+            assert right.all()
+            ends = [np.cumsum(k) for _, k, _ in ranks]
+            for i in range(a, b):
+                got = [(s[i - a], x[e[i - a] - k[i - a] : e[i - a]].tolist()) for (x, k, s), e in zip(ranks, ends, strict=True) if s[i - a] > -np.inf]
+                want = v.encode(texts[i], n)
+                assert [s for s, _ in got] == [s for s, _ in want], texts[i]
+                assert len({tuple(x) for _, x in got}) == len(got)
+                assert all(v.decode(x) == texts[i] for _, x in got)
+                if n <= 2:
+                    assert [x for _, x in got] == [x.tolist() for _, x in want], texts[i]
+
+
+def test_other_segmentations(spark):
+    texts = [*EDGES[:6], "two words", "a▁b ▁ ▁▁"]
+    for n in (2, 4):
+        rows = pieces.encode(corpus(spark, list(enumerate(texts))), n=n).cache()
+        assert all(r.others is None if texts[r.doc_id] is None else len(r.others) == len(r.scores) - 1 for r in rows.collect())
+        more = pieces.decode(rows.select("doc_id", F.explode("others").alias("pieces"))).collect()
+        assert len(more) > 4 and all(r.text == texts[r.doc_id] for r in more)
+
+
 def labelled(spark, seed=2, n=900):
     rng = random.Random(seed)
     texts, labels = [], []
