@@ -4,9 +4,14 @@ Words are canonicalised: numbers, names (capitals inside a sentence) and units
 after a number become typed placeholders, other words lose case and edge
 punctuation. Windows of WINDOW canonical words (a shorter item: all of it) of
 texts and items are joined by hash. Windows of a text that match an item at the
-same shift are one alignment; its slots must be filled consistently: a value of
-the item always by the same value of the text. So a question with other numbers
-or names is caught, a chance mix of templates is not.
+same shift are one alignment; its slots must be filled consistently: of the fillings
+of a value only the most frequent counts, and windows that hold another are left
+out, those without it stay. Of equally frequent ones none counts for a name, all for
+a number, since equal numbers of an item need not mean the same. So a question with
+other numbers or names is caught, a chance mix of templates is not.
+
+A capital that opens a sentence may or may not begin a name: windows with such words
+are made both ways, as words and as names.
 
 The benchmark's window hashes are held by each worker if there are at most
 MOST_HELD of them (8 bytes each); beyond that, all windows of the texts go to the
@@ -45,6 +50,8 @@ _IS_UPPER[65:91] = True
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?:")] = True
 NUMBER, NAME, UNIT = seeds(3, 909)
+#: Kinds of slots: numbers and units, names, capitals that open a sentence.
+VALUE, NAMED, OPENING, WORD = range(4)
 _INVERSE = np.uint64(pow(int(powers(2)[1]), -1, 1 << 64))
 _inverses = np.ones(1, np.uint64)
 
@@ -66,10 +73,10 @@ def spans_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
 
 
 def canonical(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word: canonical hash, own hash, whether it is a placeholder; and the word offsets of the texts."""
+    """Of each word: canonical hash, own hash, its kind of slot (WORD: none); and the word offsets of the texts."""
     _, start, end, at = words(raw, off)
     if not len(start):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), at
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), at
     ends_sentence = _ENDS[raw[end - 1]]
     newline = np.concatenate([[0], np.cumsum(raw == 10)])
     opens = np.ones(len(start), bool)
@@ -91,7 +98,9 @@ def canonical(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     unit = np.zeros(len(a), bool)
     unit[1:] = number[:-1] & np.isin(own[1:], _UNIT_HASHES)
     canon = np.where(number, NUMBER, np.where(name, NAME, np.where(unit, UNIT, own)))
-    return canon, own, number | name | unit, at
+    kind = np.where(number | unit, VALUE, np.where(name, NAMED, np.where(_IS_UPPER[head], OPENING, WORD)))
+    kind[name & unit] = NAMED
+    return canon, own, kind, at
 
 
 _joined = np.frombuffer(" ".join(UNITS).encode(), np.uint8)
@@ -100,44 +109,57 @@ _UNIT_HASHES = np.sort(spans_hash(LOWER[_joined], np.concatenate([[0], _e[:-1] +
 
 
 def windows(raw: np.ndarray, off: np.ndarray, size: int, whole: bool) -> Iterator[tuple]:
-    """Template windows of each text: (text, positions, hashes, slot values of each window, windows of the text).
+    """Template windows of each text: (text, size, positions, hashes, slots from, slots to, slot values, slot places, windows of the text).
 
     whole: a text of fewer words is one window. Windows almost all placeholders
-    say nothing and are left out.
+    say nothing and are left out. Windows with words that open a sentence with a
+    capital come again with them as names. A slot's place is 8 * word + kind, 4 more
+    in those.
     """
-    canon, own, slot, at = canonical(raw, off)
-    fill = np.concatenate([[0], np.cumsum(slot)])
-    filled = own[slot]
-    gram = grams(canon, size, 31)
+    canon, own, kind, at = canonical(raw, off)
+    opens = np.concatenate([[0], np.cumsum(kind == OPENING)])
+    ways = []
+    for slot, way in ((kind < OPENING, canon), (kind < WORD, np.where(kind == OPENING, NAME, canon))):
+        ways.append((way, np.concatenate([[0], np.cumsum(slot)]), own[slot], np.flatnonzero(slot), kind[slot], grams(way, size, 31)))
     for i in range(len(off) - 1):
         lo, hi = at[i], at[i + 1]
         if hi - lo < size and not whole or hi == lo:
             continue
         n = min(size, hi - lo)
-        pos = np.arange(lo, hi - n + 1)
-        key = gram[pos] if n == size else grams(canon[lo:hi], n, 31)
-        ok = n - (fill[pos + n] - fill[pos]) >= min(LITERAL, (n + 1) // 2)
-        yield i, n, (pos - lo)[ok], key[ok], fill[pos[ok]], fill[pos[ok] + n], filled
+        n_all = 0
+        for k, (way, fill, filled, where, kinds, gram) in enumerate(ways):
+            pos = np.arange(lo, hi - n + 1)
+            if k:
+                pos = pos[opens[pos + n] > opens[pos]]
+                if not len(pos):
+                    continue
+            key = gram[pos] if n == size else grams(way[lo:hi], n, 31)
+            ok = n - (fill[pos + n] - fill[pos]) >= min(LITERAL, (n + 1) // 2)
+            n_all = n_all or int(ok.sum())
+            a, b = fill[lo], fill[hi]
+            yield i, n, (pos - lo)[ok], key[ok], fill[pos[ok]] - a, fill[pos[ok] + n] - a, filled[a:b], 8 * (where[a:b] - lo) + 4 * k + kinds[a:b], n_all
 
 
-FOUND = "id bigint, size int, key bigint, pos int, slots array<bigint>, of int"
+FOUND = "id bigint, size int, key bigint, pos int, slots array<bigint>, places array<int>, of int"
 
 
 def found_rows(ids: list, rows: list[tuple]) -> pa.RecordBatch:
-    """rows: (text, size, positions, keys, slots from, slots to, slot values, windows)."""
+    """rows: what windows() gives."""
     cat = lambda k, t: np.concatenate([r[k] for r in rows]).astype(t) if rows else np.zeros(0, t)
     count = [len(r[2]) for r in rows]
     spread = lambda values, t: np.repeat(np.array(values, dtype=t), count)
-    slots, ends = [], [0]
+    slots, places, ends = [], [], [0]
     for r in rows:
         for a, b in zip(r[4].tolist(), r[5].tolist(), strict=True):
             slots.append(r[6][a:b])
+            places.append(r[7][a:b])
             ends.append(ends[-1] + b - a)
     flat = np.concatenate(slots) if slots else np.zeros(0, np.uint64)
+    flat_places = np.concatenate(places).astype(np.int32) if places else np.zeros(0, np.int32)
     who = [ids[r[0]] for r, c in zip(rows, count, strict=True) for _ in range(c)]
     return pa.RecordBatch.from_arrays(
-        [pa.array(who, pa.int64()), pa.array(spread([r[1] for r in rows], np.int32)), pa.array(signed(cat(3, np.uint64))), pa.array(cat(2, np.int32)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(flat))), pa.array(spread([r[7] for r in rows], np.int32))],
-        names=["id", "size", "key", "pos", "slots", "of"],
+        [pa.array(who, pa.int64()), pa.array(spread([r[1] for r in rows], np.int32)), pa.array(signed(cat(3, np.uint64))), pa.array(cat(2, np.int32)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(flat))), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat_places)), pa.array(spread([r[8] for r in rows], np.int32))],
+        names=["id", "size", "key", "pos", "slots", "places", "of"],
     )
 
 
@@ -148,14 +170,13 @@ def find_windows(batches: Iterator[pa.RecordBatch], sizes: list[int], held: dict
         for a, b in slices(off):
             rows = []
             for size in sizes:
-                for i, n, pos, key, lo, hi, filled in windows(raw[off[a] : off[b]], off[a : b + 1] - off[a], size, whole):
-                    n_all = len(key)
+                for i, n, pos, key, lo, hi, filled, where, n_all in windows(raw[off[a] : off[b]], off[a : b + 1] - off[a], size, whole):
                     if held is not None and len(key):
                         known = held.get(n, np.zeros(0, np.uint64))
                         hit = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key if len(known) else np.zeros(len(key), bool)
                         pos, key, lo, hi = pos[hit], key[hit], lo[hit], hi[hit]
                     if len(key):
-                        rows.append((i, n, pos, key, lo, hi, filled, n_all))
+                        rows.append((i, n, pos, key, lo, hi, filled, where, n_all))
             yield found_rows(ids[a:b], rows)
 
 
@@ -177,13 +198,21 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     sizes = sorted(by_size)
     hits = texts.mapInArrow(lambda it: find_windows(it, sizes, held, False), FOUND)
     both = hits.alias("d").join(bench.alias("b"), ["size", "key"])
-    aligned = both.select(F.col("d.id").alias("doc_id"), F.col("b.id").alias("item_id"), F.col("b.of").alias("of"), F.col("b.pos").alias("pos"), (F.col("d.pos") - F.col("b.pos")).alias("shift"), F.arrays_zip(F.col("b.slots").alias("b"), F.col("d.slots").alias("d")).alias("slots"))
+    aligned = both.select(F.col("d.id").alias("doc_id"), F.col("b.id").alias("item_id"), F.col("b.of").alias("of"), F.col("b.pos").alias("pos"), (F.col("d.pos") - F.col("b.pos")).alias("shift"), F.arrays_zip(F.col("b.slots").alias("b"), F.col("d.slots").alias("d"), F.col("b.places").alias("at")).alias("slots"))
     aligned = materialize(aligned)
-    filled = aligned.select("doc_id", "item_id", "shift", F.explode("slots").alias("s")).distinct()
-    per_value = filled.groupBy("doc_id", "item_id", "shift", F.col("s.b").alias("value")).agg(F.count("*").alias("fillings"), F.count_if(F.col("s.b") != F.col("s.d")).alias("changed"))
-    slots = per_value.groupBy("doc_id", "item_id", "shift").agg(F.max("fillings").alias("most"), F.count("*").alias("slots"), F.sum(F.when(F.col("changed") > 0, 1).otherwise(0)).alias("changed"))
-    checked = aligned.drop("slots").join(slots, ["doc_id", "item_id", "shift"], "left").where("coalesce(most, 1) = 1")
-    matched = checked.groupBy("doc_id", "item_id").agg(F.max("of").cast("bigint").alias("n_windows"), F.count_distinct("pos").alias("n_matched"), F.max(F.coalesce("slots", F.lit(0))).cast("bigint").alias("n_slots"), F.max(F.coalesce("changed", F.lit(0))).cast("bigint").alias("n_changed"))
+    key = ["doc_id", "item_id", "shift"]
+    filled = aligned.select(*key, F.explode("slots").alias("s")).select(*key, F.col("s.b").alias("b"), F.col("s.d").alias("d"), F.col("s.at").alias("at"))
+    # windows made with openings as names are judged by all votes, the others by their own
+    filled = filled.withColumn("at", F.explode(F.when(F.col("at") % 8 < 4, F.array(F.col("at"), F.col("at") + 4)).otherwise(F.array("at")))).distinct()
+    votes = filled.groupBy(*key, (F.col("at") % 8).alias("kind"), "b", "d").agg(F.count("*").alias("n"))
+    per_value = votes.groupBy(*key, "kind", "b").agg(F.collect_list(F.struct("kind", "b", "d", "n")).alias("f"), F.max("n").alias("top"), F.max(F.col("b") != F.col("d")).alias("changed"))
+    tied = (F.col("kind") % 4 != VALUE) & (F.size(F.filter("f", lambda x: x["n"] == F.col("top"))) > 1)
+    per_value = per_value.withColumn("bad", F.filter("f", lambda x: tied | (x["n"] < F.col("top"))))
+    told = (F.col("kind") % 4 < OPENING) | F.col("changed")
+    slots = per_value.groupBy(*key).agg(F.flatten(F.collect_list("bad")).alias("bad"), F.count_distinct(F.when(told, F.col("b"))).alias("n_filled"), F.count_distinct(F.when(F.col("changed"), F.col("b"))).alias("changed"))
+    conflict = F.exists("slots", lambda s: F.exists("bad", lambda x: (x["kind"] == s["at"] % 8) & (x["b"] == s["b"]) & (x["d"] == s["d"])))
+    checked = aligned.join(slots, key, "left").where(~F.coalesce(conflict, F.lit(False)))
+    matched = checked.groupBy("doc_id", "item_id").agg(F.max("of").cast("bigint").alias("n_windows"), F.count_distinct("pos").alias("n_matched"), F.max(F.coalesce("n_filled", F.lit(0))).cast("bigint").alias("n_slots"), F.max(F.coalesce("changed", F.lit(0))).cast("bigint").alias("n_changed"))
     return matched.where(F.col("n_matched") >= share * F.col("n_windows"))
 
 

@@ -198,3 +198,22 @@ def test_benchmark_leaks(spark):
         assert (5, 2) in got and (got[1, 0].n_changed > 0) and got[0, 0].n_changed == 0
     assert decontam.benchmark_leaks(corpus(spark, []), bench).count() == 0
     assert decontam.benchmark_leaks(corpus(spark, texts), bench.limit(0)).count() == 0
+
+
+def test_leaks_with_conflicting_slots(spark):
+    rng = random.Random(5)
+    words = [f"word{rng.randrange(10**6)}" for _ in range(60)]
+    words[20] = words[40] = "5"
+    long = " ".join(words)
+    edited = " ".join([*words[:40], "9", *words[41:]])
+    pears = "she put 3 apples and 3 pears into the basket and then gave half of them away so how many are left"
+    toms = "Tom has 5 apples. Tom buys 7 more. How many apples does Tom have?"
+    away = "Tom has 5 apples left. Tom buys 7 more of them and then leaves."
+    items = [(0, long), (1, pears), (2, toms), (3, away)]
+    texts = [(0, edited), (1, pears.replace("3 apples", "4 apples").replace("3 pears", "8 pears")), (2, toms.replace("Tom", "Ann")), (3, toms), (4, "Before it. How strange. " + toms + " And a word From How To."), (5, away.replace("Tom", "Ann").replace("7", "8"))]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for held in (10**6, 0):
+        got = {(r.doc_id, r.item_id): r for r in decontam.benchmark_leaks(corpus(spark, texts), bench, most_held=held).collect()}
+        assert {(0, 0), (1, 1), (2, 2), (3, 2), (4, 2), (5, 3)} == set(got)
+        assert all(r.n_matched <= r.n_windows for r in got.values())
+        assert got[0, 0].n_changed == got[1, 1].n_changed == 1 and got[3, 2].n_changed == 0
