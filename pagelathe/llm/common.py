@@ -6,6 +6,7 @@ worker computes the same value for the same bytes.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,12 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests)."""
+    """The cluster's shared folder. Where none is set a local master gets one of its own; a cluster gets an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = have.get() if have.isDefined() else None
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="corpus-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -40,18 +43,22 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back.
 
     A lost executor later costs a reread, not a recomputation. Parquet is
-    compressed, which a plain checkpoint() is not.
+    compressed, which a plain checkpoint() is not. The table goes when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpus-tables/{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
     df.write.option("compression", "zstd").parquet(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Bytes of df as the optimizer estimates them from file sizes, without a scan."""
+    """Bytes of df as the optimizer estimates them from file sizes; where it can't, the bytes of the texts."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return size if size < 1 << 60 else 1 << 26
+    if size < 1 << 60:
+        return size
+    return int(df.agg(F.sum(F.octet_length(F.col("text").cast("string")))).collect()[0][0] or 0)
 
 
 def parts_for(df: DataFrame, bytes_each: int, least: int = 1) -> int:

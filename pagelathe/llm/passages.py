@@ -5,17 +5,23 @@ some step below PERIOD, a pair of positions that both lie in the cover: for ever
 residues i and j a perfect difference set modulo PERIOD has such a step. So only
 the runs of WINDOW - PERIOD + 1 words that start at cover positions are hashed
 (6 of 31), and every long match shares an aligned anchor. Windows with an anchor
-that a second document shares are then extended: hashed in full (96 bits) and
-compared by their first document.
+that a second document shares are then extended to all their words: hashed in full
+(128 bits) and compared by their first document.
 
-1. Each shard sends its distinct anchors; buckets answer with those of several documents.
+1. Each shard sends its distinct anchors; a window over equal keys answers with
+   those of several documents.
 2. Each shard sends its distinct windows around such anchors with their first document.
-3. Buckets answer with the windows that begin in an earlier document elsewhere.
+3. A window over equal hashes answers with the places whose window begins in an
+   earlier document.
 4. Each shard drops the words those windows cover, and those repeated within it.
 
+What is exchanged is one row for an anchor or window of a shard, so it grows in
+proportion to the words.
+
 Defined cases: a null or empty text has no words; documents under WINDOW words
 lose nothing; rows with equal doc_id are one document and never repeat each
-other; a null doc_id comes after all others; extra columns are ignored.
+other; rows without doc_id are one document after all others, spread by text;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +30,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import grams, table, words
-from .shards import REPLIES, VALUES, all_keys, by_bucket, member, ordered, pack, reply_rows, shared_keys, sharded, starts_of, unpack, value_rows
+from .common import grams, signed, table, words
+from .shards import KEYS, key_rows, member, ordered, replied_keys, shared_keys, sharded, starts_of
 
 PERIOD = 31
 #: A perfect difference set: every residue modulo 31 is a difference of two members.
@@ -55,7 +61,8 @@ def anchors(word: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np
     return where, grams(word, short, 21)[where]
 
 
-def send_anchors(shard: pa.Table, size: int, buckets: int) -> pa.Table:
+def send_anchors(shard: pa.Table, size: int) -> pa.Table:
+    """The shard's anchors; n is 2 where several of its documents hold one."""
     number = shard.column("shard")[0].as_py()
     _, ids, raw, off = ordered(shard)
     word, _, _, at = words(raw, off)
@@ -64,85 +71,72 @@ def send_anchors(shard: pa.Table, size: int, buckets: int) -> pa.Table:
     order = np.lexsort((owner, key))
     key, owner = key[order], owner[order]
     heads = starts_of(key)
-    several = np.zeros(len(heads), np.uint8)
-    if len(heads):
-        several = (owner[heads] != owner[np.append(heads[1:], len(key)) - 1]).astype(np.uint8)
-    key = key[heads]
-    return value_rows([(b, number, pack(key[x], several[x])) for b, x in by_bucket(key, buckets)])
+    if not len(heads):
+        return key_rows(number, key, owner)
+    several = owner[heads] != owner[np.append(heads[1:], len(key)) - 1]
+    return key_rows(number, key[heads], 1 + several)
 
 
-def windows(word: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all windows and their 64-bit hashes."""
+def windows(word: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of all windows and their two 64-bit hashes."""
     where = np.flatnonzero(fits(at, len(word), size))
-    return where, grams(word, size, 22)[where]
-
-
-def send_windows(shard: pa.Table, replies: pa.Table, size: int, buckets: int) -> pa.Table:
-    if not len(shard) or not len(replies):
-        return value_rows([])
-    number = shard.column("shard")[0].as_py()
-    _, ids, raw, off = ordered(shard)
-    word, _, _, at = words(raw, off)
-    spot, key = anchors(word, at, size)
-    spot = spot[member(key, all_keys(replies))]
-    hit = np.zeros(len(word) + 1, np.int64)
-    hit[spot + 1] = 1
-    hit = np.cumsum(hit)
-    where, key = windows(word, at, size)
-    where_ok = hit[where + PERIOD] > hit[where]
-    where, key = where[where_ok], key[where_ok]
-    more = grams(word, size, 23)[where].astype(np.uint32) if len(where) else np.zeros(0, np.uint32)
-    owner = ids[np.searchsorted(at, where, side="right") - 1]
-    _, first = np.unique(key, return_index=True)
-    first = np.sort(first)
-    key, more, owner = key[first], more[first], owner[first]
-    return value_rows([(b, number, pack(key[x], more[x], owner[x])) for b, x in by_bucket(key, buckets)])
-
-
-def earlier_windows(data: pa.Table) -> pa.Table:
-    """A bucket -> for each shard the windows that begin in an earlier document of another."""
-    shard, key, more, owner = [], [], [], []
-    for s, value in zip(data.column("shard").to_pylist(), data.column("value").to_pylist(), strict=True):
-        k, m, o = unpack(value)
-        shard.append(np.full(len(k), s, np.int32))
-        key.append(k)
-        more.append(m)
-        owner.append(o)
-    shard, key, more, owner = map(np.concatenate, (shard, key, more, owner))
-    order = np.lexsort((owner, more, key))
-    key, more, owner, shard = key[order], more[order], owner[order], shard[order]
-    first = np.ones(len(key), bool)
-    first[1:] = (key[1:] != key[:-1]) | (more[1:] != more[:-1])
-    heads = np.flatnonzero(first)
-    least = np.repeat(owner[heads], np.diff(np.append(heads, len(key))))
-    late = least < owner
-    key, shard = key[late], shard[late]
-    order = np.argsort(shard, kind="stable")
-    key, shard = key[order], shard[order]
-    heads = starts_of(shard)
-    parts = np.split(key, heads[1:]) if len(heads) else []
-    return reply_rows([(int(s), pack(np.sort(p))) for s, p in zip(shard[heads], parts, strict=True)])
+    return where, grams(word, size, 22)[where], grams(word ^ np.uint64(_OTHER), size, 23)[where]
+
+
+_OTHER = 0x5851F42D4C957F2D
+WINDOWS = "one bigint, two bigint, owner bigint, shard int, place int"
+
+
+def firsts(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in document order: the class of each, and the first row of each class."""
+    order = np.lexsort((two, one))
+    new = np.ones(len(order), bool)
+    new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return group, order[new]
+
+
+def send_windows(shard: pa.Table, replies: pa.Table, size: int) -> pa.Table:
+    """The distinct windows around shared anchors, each with its first document and the place there."""
+    one = two = np.zeros(0, np.uint64)
+    owner, first, number = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    if len(shard) and len(replies):
+        number = shard.column("shard")[0].as_py()
+        _, ids, raw, off = ordered(shard)
+        word, _, _, at = words(raw, off)
+        spot, key = anchors(word, at, size)
+        spot = spot[member(key, replied_keys(replies)[0])]
+        hit = np.zeros(len(word) + 1, np.int64)
+        hit[spot + 1] = 1
+        hit = np.cumsum(hit)
+        first, one, two = windows(word, at, size)
+        near = hit[first + PERIOD] > hit[first]
+        first, one, two = first[near], one[near], two[near]
+        _, new = firsts(one, two)
+        first, one, two = first[new], one[new], two[new]
+        owner = ids[np.searchsorted(at, first, side="right") - 1]
+    return pa.table({"one": pa.array(signed(one)), "two": pa.array(signed(two)), "owner": pa.array(owner), "shard": pa.array(np.full(len(first), number, np.int32)), "place": pa.array(first.astype(np.int32))})
 
 
 RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
 
 
-def drop_words(shard: pa.Table, replies: pa.Table, size: int, texts: bool) -> pa.Table:
+def drop_words(shard: pa.Table, late: pa.Table, size: int, texts: bool) -> pa.Table:
+    """late: places whose window begins in an earlier document of another shard."""
     if not len(shard):
         return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept_sha256": pa.array([], pa.string()), "kept_text": pa.array([], pa.string())})
     shard, ids, raw, off = ordered(shard)
     word, begin, end, at = words(raw, off)
-    where, key = windows(word, at, size)
+    where, one, two = windows(word, at, size)
     owner = ids[np.searchsorted(at, where, side="right") - 1]
-    late = member(key, all_keys(replies))
-    order = np.argsort(key, kind="stable")  # by document within a key
-    heads = starts_of(key[order])
-    if len(heads):
-        least = np.repeat(owner[order][heads], np.diff(np.append(heads, len(key))))
-        late[order] |= least < owner[order]
+    group, first = firsts(one, two)
+    gone_class = np.zeros(len(first), bool)
+    gone_class[group[np.searchsorted(where, late.column("place").to_numpy())]] = True
+    removed = gone_class[group] | (owner[first][group] < owner)
     cover = np.zeros(len(word) + size + 1, np.int64)
-    np.add.at(cover, where[late], 1)
-    np.add.at(cover, where[late] + size, -1)
+    np.add.at(cover, where[removed], 1)
+    np.add.at(cover, where[removed] + size, -1)
     gone = np.cumsum(cover)[: len(word)] > 0
     total = np.concatenate([[0], np.cumsum(gone)])
     n_removed = total[at[1:]] - total[at[:-1]]
@@ -168,12 +162,11 @@ def drop_repeated_passages(docs: DataFrame, window: int = 50, texts: bool = True
     """
     if window <= PERIOD:
         raise ValueError(f"window must be over {PERIOD} words")
-    dealt, n = sharded(docs)
-    held = dealt.groupBy("shard")
-    sent = held.applyInArrow(lambda t: send_anchors(t, window, n), VALUES)
-    common = sent.groupBy("bucket").applyInArrow(shared_keys, REPLIES)
-    tried = held.cogroup(common.groupBy("shard")).applyInArrow(lambda a, b: send_windows(a, b, window, n), VALUES)
-    late = tried.groupBy("bucket").applyInArrow(earlier_windows, REPLIES)
+    held = sharded(docs).groupBy("shard")
+    common = shared_keys(held.applyInArrow(lambda t: send_anchors(t, window), KEYS))
+    tried = held.cogroup(common.groupBy("shard")).applyInArrow(lambda a, b: send_windows(a, b, window), WINDOWS)
+    first = F.min("owner").over(Window.partitionBy("one", "two"))
+    late = tried.withColumn("first", first).where("first < owner").select("shard", "place")
     return held.cogroup(late.groupBy("shard")).applyInArrow(lambda a, b: drop_words(a, b, window, texts), RESULT)
 
 

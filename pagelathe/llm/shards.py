@@ -1,32 +1,33 @@
-"""Documents dealt over shards, and key exchange between shards and buckets.
+"""Documents dealt over shards, and the exchange of keys between shards.
 
 Operators that look for repeats over the whole corpus make several passes over
-the same shards: a shard derives keys from its texts, buckets of keys compare
-what all shards sent, and the answer joins the shard's texts again. A shard sends
-a key once however often it holds it, so a key that a third of all rows hold
-costs its bucket one entry a shard. Texts are shuffled once: every pass reads the
-same exchange.
+the same shards: a shard derives keys from its texts, Spark brings equal keys
+together, and the answer joins the shard's texts again. Every key is one plain row,
+so what is exchanged grows in proportion to the texts; a shard sends a key once
+however often it holds it, and Spark's sort and window stream over the rows of a hot
+key and spill. Texts are shuffled once: every pass reads the same exchange.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts_for, text_bytes
+from .common import parts_for, signed, text_bytes
 
 #: Bytes of input files a shard: a few MB of text, as a task's Python holds one shard at a time.
 SHARD_BYTES = 1 << 20
 LAST = np.iinfo(np.int64).max
 
 
-def sharded(docs: DataFrame) -> tuple[DataFrame, int]:
-    """doc_id, text and shard; and the number of shards. Rows of one doc_id share a shard."""
+def sharded(docs: DataFrame) -> DataFrame:
+    """doc_id, text and shard. Rows of one doc_id share a shard; those without spread by text."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = parts_for(docs, SHARD_BYTES)
-    return docs.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")), n
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    return docs.withColumn("shard", F.pmod(key, F.lit(n)).cast("int"))
 
 
 def ordered(shard: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
@@ -37,33 +38,6 @@ def ordered(shard: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarr
     return shard, ids, raw, off
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed value."""
-    head = np.array([len(arrays), *(x for a in arrays for x in (len(a), ord(a.dtype.char)))], dtype=np.int64)
-    plain = head.tobytes() + b"".join(a.tobytes() for a in arrays)
-    return len(plain).to_bytes(8, "little") + pa.compress(plain, codec="zstd", asbytes=True)
-
-
-def unpack(value: bytes) -> list[np.ndarray]:
-    plain = pa.decompress(value[8:], int.from_bytes(value[:8], "little"), codec="zstd", asbytes=True)
-    n = int(np.frombuffer(plain, np.int64, 1)[0])
-    head = np.frombuffer(plain, np.int64, 2 * n, 8).reshape(n, 2)
-    out, at = [], 8 + 16 * n
-    for size, char in head:
-        kind = np.dtype(chr(int(char)))
-        out.append(np.frombuffer(plain, kind, int(size), at))
-        at += int(size) * kind.itemsize
-    return out
-
-
-def by_bucket(keys: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
-    """(bucket, indexes of its keys in their order) for each bucket that has keys."""
-    bucket = ((keys >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cut = np.flatnonzero(np.diff(bucket[order])) + 1
-    return [(int(bucket[x[0]]), x) for x in np.split(order, cut) if len(x)]
-
-
 def starts_of(sorted_keys: np.ndarray) -> np.ndarray:
     """Indexes at which a sorted array has a new value."""
     first = np.ones(len(sorted_keys), bool)
@@ -71,41 +45,18 @@ def starts_of(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
-def shared_keys(data: pa.Table) -> pa.Table:
-    """A bucket of (shard, keys packed with a flag) -> per shard the keys of several shards or flags.
-
-    keys are distinct within a row; flag 1: the shard alone already repeats the key.
-    """
-    shard, keys, flags = [], [], []
-    for s, value in zip(data.column("shard").to_pylist(), data.column("value").to_pylist(), strict=True):
-        k, f = unpack(value)
-        shard.append(np.full(len(k), s, np.int32))
-        keys.append(k)
-        flags.append(f)
-    shard, keys, flags = map(np.concatenate, (shard, keys, flags))
-    order = np.argsort(keys, kind="stable")
-    keys, shard, flags = keys[order], shard[order], flags[order]
-    heads = starts_of(keys)
-    sizes = np.diff(np.append(heads, len(keys)))
-    again = np.repeat((sizes > 1) | (np.add.reduceat(flags.astype(np.int64), heads) > 0), sizes)
-    keys, shard = keys[again], shard[again]
-    order = np.argsort(shard, kind="stable")
-    keys, shard = keys[order], shard[order]
-    heads = starts_of(shard)
-    parts = np.split(keys, heads[1:]) if len(heads) else []
-    return pa.table({"shard": pa.array([int(s) for s in shard[heads]], pa.int32()), "value": pa.array([pack(np.sort(p)) for p in parts], pa.binary())})
-
-
-VALUES = "bucket int, shard int, value binary"
-REPLIES = "shard int, value binary"
+KEYS = "key bigint, shard int, n int"
 
 
-def reply_rows(rows: list[tuple]) -> pa.Table:
-    return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "value": pa.array([r[1] for r in rows], pa.binary())})
+def key_rows(shard: int, keys: np.ndarray, n: np.ndarray) -> pa.Table:
+    """Distinct keys of a shard and how often each counts."""
+    return pa.table({"key": pa.array(signed(keys)), "shard": pa.array(np.full(len(keys), shard, np.int32)), "n": pa.array(n.astype(np.int32))})
 
 
-def value_rows(rows: list[tuple]) -> pa.Table:
-    return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "shard": pa.array([r[1] for r in rows], pa.int32()), "value": pa.array([r[2] for r in rows], pa.binary())})
+def shared_keys(sent: DataFrame) -> DataFrame:
+    """(key, shard, n) -> (shard, key, total) of the keys whose n sum to more than one."""
+    total = F.sum("n").over(Window.partitionBy("key"))
+    return sent.withColumn("total", total).where("total > 1").select("shard", "key", "total")
 
 
 def member(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -115,6 +66,8 @@ def member(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
 
 
-def all_keys(replies: pa.Table) -> np.ndarray:
-    got = [unpack(v)[0] for v in replies.column("value").to_pylist()]
-    return np.sort(np.concatenate(got)) if got else np.zeros(0, np.uint64)
+def replied_keys(replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of replies, sorted, and their totals."""
+    key = replies.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    return key[order], replies.column("total").to_numpy()[order]

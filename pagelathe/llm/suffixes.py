@@ -2,23 +2,26 @@
 
 Any repeat of WINDOW bytes holds the same anchor: the leftmost GRAM-byte run with
 the smallest hash among its runs. Windows that share one anchor occurrence form a
-context, the bytes they span together. Equal windows have equal anchors, so all
-contexts of an anchor go to one bucket and no comparison crosses buckets.
+context, the bytes they span together. Equal windows have equal anchors, so it is
+enough to compare the contexts of one anchor.
 
-1. Shards send their distinct anchors; buckets answer with those that occur again.
-   Contexts of other anchors cannot repeat.
+1. Shards send their distinct anchors, one row each; a window over equal keys
+   answers with those that occur again. Contexts of other anchors cannot repeat.
 2. Shards send the contexts of such anchors, each distinct one once, with its
-   first place; later equal ones are repeats already.
-3. A bucket cuts its contexts, in anchor order, into suffix-array shards. Each
-   gets its suffix array by Larsson-Sadakane refinement and the common prefixes of
-   neighbours by Kasai, in numpy: windows with a common prefix of WINDOW bytes are
-   equal, all but the first place are repeats. An anchor whose contexts continue
-   in the next shard is merged by binary search of its sorted windows.
+   first place; later equal ones are repeats already. An anchor with very many
+   occurrences is split by the bytes around it (`split`), so that no task gets all.
+3. Spark sorts contexts by anchor and deals anchors over tasks. A task cuts its
+   stream into suffix-array shards. Each gets its suffix array by Larsson-Sadakane
+   refinement and the common prefixes of neighbours by Kasai, in numpy: windows with
+   a common prefix of WINDOW bytes are equal, all but the first place are repeats.
+   An anchor that continues in the next shard is merged by binary search of sorted
+   windows (`Sorted`).
 4. Shards drop the bytes that repeats cover.
 
 Defined cases: a null or empty text has no bytes; texts under WINDOW bytes lose
 nothing; rows with equal doc_id are separate documents in the order of their
-texts; a null doc_id comes after all others; extra columns are ignored.
+texts; those without doc_id come after all others, by shard and text; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -28,17 +31,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE, mix64, powers, table
-from .shards import REPLIES, VALUES, all_keys, by_bucket, member, ordered, pack, reply_rows, shared_keys, sharded, starts_of, unpack, value_rows
+from .common import BYTE, mix64, powers, seeds, signed, table, text_bytes
+from .shards import KEYS, key_rows, member, ordered, replied_keys, shared_keys, sharded
 
 GRAM = 24
 #: Window starts that numpy works on at a time.
 PIECE = 1 << 18
 #: Bytes of contexts in one suffix array.
 ARRAY_BYTES = 1 << 20
+#: log2 of the occurrences that an anchor may have unsplit, and of what each split allows more.
+UNSPLIT, EACH_SPLIT = 13, 3
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -55,8 +61,8 @@ def gram_hashes(raw: np.ndarray, n: int) -> np.ndarray:
     return mix64(have[step][:size] * powers(n - step + 1)[n - step] + have[n - step][step : step + size])
 
 
-def runs(raw: np.ndarray, off: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(first window, number of windows, anchor) of the runs of windows with one anchor."""
+def runs(raw: np.ndarray, off: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first window, number of windows, anchor, its place) of the runs of windows with one anchor."""
     wide = window - GRAM + 1
     for p in range(0, len(raw) - window + 1, PIECE):
         part = raw[p : p + PIECE + window - 1]
@@ -78,23 +84,22 @@ def runs(raw: np.ndarray, off: np.ndarray, window: int) -> Iterator[tuple[np.nda
         starts = np.flatnonzero(first & inside)
         marks = np.flatnonzero(first | ~inside)
         ends = np.append(marks, n)[np.searchsorted(marks, starts, side="right")]
-        yield starts + p, ends - starts, full[spot[starts]]
+        yield starts + p, ends - starts, full[spot[starts]], spot[starts] + p
 
 
-def all_runs(raw: np.ndarray, off: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def all_runs(raw: np.ndarray, off: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     found = list(runs(raw, off, window))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
-def send_anchors(shard: pa.Table, window: int, buckets: int) -> pa.Table:
+def send_anchors(shard: pa.Table, window: int) -> pa.Table:
+    """The shard's anchors and how often each occurs."""
     number = shard.column("shard")[0].as_py()
     _, _, raw, off = ordered(shard)
-    _, _, key = all_runs(raw, off, window)
-    key, count = np.unique(key, return_counts=True)
-    again = (count > 1).astype(np.uint8)
-    return value_rows([(b, number, pack(key[x], again[x])) for b, x in by_bucket(key, buckets)])
+    key, count = np.unique(all_runs(raw, off, window)[2], return_counts=True)
+    return key_rows(number, key, count)
 
 
 def gather(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -128,22 +133,70 @@ def first_of_equal(keys: list[np.ndarray], order_by: list[np.ndarray]) -> np.nda
     return out
 
 
-def send_contexts(shard: pa.Table, replies: pa.Table, window: int, buckets: int) -> pa.Table:
-    if not len(shard) or not len(replies):
-        return value_rows([])
-    number = shard.column("shard")[0].as_py()
-    _, ids, raw, off = ordered(shard)
-    start, n, key = all_runs(raw, off, window)
-    hit = member(key, all_keys(replies))
-    start, n, key = start[hit], n[hit], key[hit]
-    size = n + window - 1
-    digest = digests(gather(raw, start, size), size)
-    new = first_of_equal([digest[:, 0], digest[:, 1], key], [start])
-    own = pack(start[~new], start[~new] + size[~new])
-    start, n, key, size = start[new], n[new], key[new], size[new]
-    owner = ids[np.searchsorted(off, start, side="right") - 1]
-    rows = [(b, number, pack(key[x], owner[x], start[x], n[x].astype(np.int32), gather(raw, start[x], size[x]))) for b, x in by_bucket(key, buckets)]
-    return value_rows([*rows, (number % buckets, number, own)])
+_EXTEND = seeds(256, 31)
+
+
+def split(raw: np.ndarray, start: np.ndarray, n: np.ndarray, key: np.ndarray, spot: np.ndarray, width: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that share width bytes at spot -> runs that share half of the other bytes more.
+
+    A window has room for `half` more shared bytes behind spot + width or, failing
+    that, before spot. Equal windows have spot at one offset, so they go the same way
+    and extend it by equal bytes, which join the key.
+    """
+    half = (window - width) // 2
+    turn = spot - (window - width - half)  # windows from here on have the room behind
+    out = []
+    for lo, hi, at, new_spot, salt in ((np.maximum(start, turn), start + n, spot + width, spot, 1), (start, np.minimum(start + n, turn), spot - half, spot - half, 2)):
+        some = np.flatnonzero(hi > lo)
+        more = _EXTEND[raw[at[some][:, None] + np.arange(half)]] * powers(half + 1)[1:]
+        out.append((lo[some], (hi - lo)[some], mix64(key[some] * np.uint64(2 * salt + 1) + more.sum(axis=1, dtype=np.uint64)), new_spot[some]))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def split_hot(raw: np.ndarray, start: np.ndarray, n: np.ndarray, key: np.ndarray, spot: np.ndarray, total: np.ndarray, window: int, unsplit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs with their keys, those of anchors that occur often split by the bytes around them."""
+    depth = np.maximum(0, np.ceil((np.log2(np.maximum(total, 1)) - unsplit) / EACH_SPLIT)).astype(np.int64)
+    done, width = [], GRAM
+    while len(start):
+        hot = depth > 0 if window - width > 1 else np.zeros(len(start), bool)
+        done.append((start[~hot], n[~hot], key[~hot]))
+        where = np.flatnonzero(hot)
+        parts = [split(raw, start[x], n[x], key[x], spot[x], width, window) for d in np.unique(depth[where]) for x in [where[depth[where] == d]]]
+        depth = np.repeat(np.unique(depth[where]) - 1, [len(p[0]) for p in parts])
+        start, n, key, spot = map(np.concatenate, zip(*parts, strict=True)) if parts else (start[:0],) * 4
+        width += (window - width) // 2
+    return tuple(map(np.concatenate, zip(*done, strict=True))) if done else (start, n, key)
+
+
+CONTEXTS = "key bigint, owner bigint, shard int, start int, n int, context binary"
+
+
+def send_contexts(shard: pa.Table, replies: pa.Table, window: int, unsplit: int) -> pa.Table:
+    """Distinct contexts of repeated anchors with their first place; n below 0: -n bytes that repeat within the shard."""
+    number, key, owner = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    start, n, context = np.zeros(0, np.int64), np.zeros(0, np.int64), pa.array([], pa.binary())
+    if len(shard) and len(replies):
+        number = shard.column("shard")[0].as_py()
+        _, ids, raw, off = ordered(shard)
+        start, n, key, spot = all_runs(raw, off, window)
+        again, total = replied_keys(replies)
+        hit = member(key, again)
+        start, n, key, spot = start[hit], n[hit], key[hit], spot[hit]
+        start, n, key = split_hot(raw, start, n, key, spot, total[np.searchsorted(again, key)], window, unsplit)
+    if len(start):
+        size = n + window - 1
+        digest = digests(gather(raw, start, size), size)
+        new = first_of_equal([digest[:, 0], digest[:, 1], key], [start])
+        order = np.argsort(start[~new])
+        lost, end = covered(start[~new][order], (start + size)[~new][order])
+        flat = gather(raw, start[new], size[new])
+        ends = np.concatenate([[0], np.cumsum(size[new])])
+        context = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(flat.tobytes())]).cast(pa.binary())
+        context = pa.concat_arrays([context, pa.array([b""] * len(lost), pa.binary())])
+        key = np.concatenate([key[new], mix64(lost.astype(np.uint64) + np.uint64(number << 32))])
+        start, n = np.concatenate([start[new], lost]), np.concatenate([n[new], lost - end])
+        owner = ids[np.searchsorted(off, start, side="right") - 1]
+    return pa.table({"key": pa.array(signed(key)), "owner": pa.array(owner), "shard": pa.array(np.full(len(start), number, np.int32)), "start": pa.array(start.astype(np.int32)), "n": pa.array(n.astype(np.int32)), "context": context})
 
 
 # --- suffix arrays ----------------------------------------------------------
@@ -250,108 +303,124 @@ def search(rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return lo
 
 
-def repeats_in(key: np.ndarray, owner: np.ndarray, start: np.ndarray, n: np.ndarray, flat: np.ndarray, window: int, array_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct contexts in anchor order -> (context, window offset) of windows that begin earlier elsewhere."""
-    size = n + window - 1
-    begin = np.cumsum(size) - size
-    found_c, found_t = [], []
-    pool_key, pool = None, None  # an anchor that continues: sorted windows, first owner, first place, context, offset
-    a = 0
-    while a < len(key):
-        b = max(a + 1, int(np.searchsorted(begin, begin[a] + array_bytes)))
-        part = flat[begin[a] : begin[b - 1] + size[b - 1]]
-        own_begin, own_size = begin[a:b] - begin[a], size[a:b]
-        ctx = np.repeat(np.arange(a, b), own_size)
-        off = np.arange(len(part)) - np.repeat(own_begin, own_size)
-        sa, inverse = suffix_array(part, np.repeat(own_begin + own_size, own_size))
-        common = kasai(part, own_begin, own_size, sa, inverse)
+class Sorted:
+    """Distinct windows of one anchor, as sorted runs of falling size, with their first places.
+
+    Each window stands in one run; runs of like size are merged, so n windows cost
+    n log n steps however many arrays they come from.
+    """
+
+    def __init__(self):
+        self.runs: list[list[np.ndarray]] = []
+
+    def add(self, rows: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Sorted distinct windows with their (owner, shard, start) -> the places that lose."""
+        lost = []
+        for held in self.runs:
+            spot = search(held[0], rows)
+            at = np.minimum(spot, len(held[0]) - 1)
+            same = (spot < len(held[0])) & (held[0][at] == rows).all(axis=1)
+            p, mine = at[same], np.flatnonzero(same)
+            wins = np.lexsort((np.concatenate([place[mine], held[1][p]]).T)[::-1]).argsort()
+            wins = wins[: len(mine)] < wins[len(mine) :]
+            lost += [place[mine[~wins]], held[1][p[wins]]]
+            held[1][p[wins]] = place[mine[wins]]
+            rows, place = rows[~same], place[~same]
+        if len(rows):
+            self.runs.append([rows, place])
+        while len(self.runs) > 1 and len(self.runs[-2][0]) < 2 * len(self.runs[-1][0]):
+            more, most = self.runs.pop(), self.runs.pop()
+            at = search(most[0], more[0]) + np.arange(len(more[0]))
+            old = np.ones(len(most[0]) + len(more[0]), bool)
+            old[at] = False
+            joined = [np.empty((len(old), x.shape[1]), x.dtype) for x in most]
+            for k in range(2):
+                joined[k][old], joined[k][at] = most[k], more[k]
+            self.runs.append(joined)
+        return np.concatenate(lost) if lost else place[:0]
+
+
+class Repeats:
+    """Contexts in anchor order, a suffix-array shard at a time -> places whose window begins earlier elsewhere."""
+
+    def __init__(self, window: int):
+        self.window, self.key, self.pool = window, None, None
+
+    def add(self, key: np.ndarray, place: np.ndarray, n: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        """place: (owner, shard, start) of each context."""
+        window, size = self.window, n + self.window - 1
+        begin = np.cumsum(size) - size
+        ctx = np.repeat(np.arange(len(n)), size)
+        off = np.arange(len(flat)) - begin[ctx]
+        sa, inverse = suffix_array(flat, (begin + size)[ctx])
+        common = kasai(flat, begin, size, sa, inverse)
         group = np.cumsum(common < window)
         is_window = (off < n[ctx])[sa]
-        place, group = sa[is_window], group[is_window]
-        c, t = ctx[place], off[place]
-        first = first_of_equal([group], [owner[c], start[c] + t])
-        found_c.append(c[~first])
-        found_t.append(t[~first])
-        spread = pool_key is not None and key[a] == pool_key
-        goes_on = b < len(key) and key[b] == key[b - 1]
-        if spread or goes_on:
-            for anchor in {int(key[a])} | {int(key[b - 1])}:
-                mine = first & (key[c] == np.uint64(anchor))
-                # the first of each group, in suffix order
-                mc, mt = c[mine], t[mine]
-                order = np.argsort(group[mine], kind="stable")
-                mc, mt = mc[order], mt[order]
-                rows = windows_as_words(part, own_begin[mc - a] + mt, window)
-                held = [rows, owner[mc], start[mc] + mt, mc, mt]
-                if spread and np.uint64(anchor) == pool_key:
-                    held, late_c, late_t = merge(pool, held)
-                    found_c.append(late_c)
-                    found_t.append(late_t)
-                if goes_on and np.uint64(anchor) == key[b - 1]:
-                    pool_key, pool = key[b - 1], held
-        if not goes_on:
-            pool_key, pool = None, None
-        a = b
-    return (np.concatenate(found_c), np.concatenate(found_t)) if found_c else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def merge(pool: list[np.ndarray], held: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Two sorted sets of distinct windows -> their union with first places, and the places that lose."""
-    spot = search(pool[0], held[0])
-    at = np.minimum(spot, max(len(pool[0]) - 1, 0))
-    same = (spot < len(pool[0])) & (pool[0][at] == held[0]).all(axis=1)
-    p = at[same]
-    wins = (held[1][same] < pool[1][p]) | ((held[1][same] == pool[1][p]) & (held[2][same] < pool[2][p]))
-    mine = np.flatnonzero(same)
-    late_c = np.concatenate([held[3][mine[~wins]], pool[3][p[wins]]])
-    late_t = np.concatenate([held[4][mine[~wins]], pool[4][p[wins]]])
-    for k in range(1, 5):
-        pool[k][p[wins]] = held[k][mine[wins]]
-    new = np.flatnonzero(~same)
-    joined = [np.insert(pool[k], spot[new], held[k][new], axis=0) for k in range(5)]
-    return joined, late_c, late_t
-
-
-def intervals(start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted disjoint intervals that windows at start cover."""
-    start = np.sort(start)
-    new = np.ones(len(start), bool)
-    new[1:] = start[1:] > start[:-1] + window
-    heads = np.flatnonzero(new)
-    return start[heads], (start[np.append(heads[1:], len(start)) - 1] + window) if len(heads) else start[:0]
-
-
-def find_repeats(data: pa.Table, window: int, array_bytes: int) -> pa.Table:
-    """A bucket's contexts -> packed intervals of repeats for each shard."""
-    out, parts = [], []
-    for s, value in zip(data.column("shard").to_pylist(), data.column("value").to_pylist(), strict=True):
-        got = unpack(value)
-        if len(got) == 2:
-            out.append((s, value))
-        else:
-            parts.append((np.full(len(got[0]), s, np.int32), *got))
-    if not parts:
-        return reply_rows(out)
-    shard, key, owner, start, n, flat = map(np.concatenate, zip(*parts, strict=True))
-    del parts
-    n = n.astype(np.int64)
-    size = n + window - 1
-    digest = digests(flat, size)
-    new = first_of_equal([digest[:, 0], digest[:, 1], key], [owner, start])
-    old = ~new
-    lost = [(shard[old], start[old], size[old])]
-    keep = np.flatnonzero(new)
-    keep = keep[np.argsort(key[keep], kind="stable")]
-    flat = gather(flat, (np.cumsum(size) - size)[keep], size[keep])
-    c, t = repeats_in(key[keep], owner[keep], start[keep], n[keep], flat, window, array_bytes)
-    lost.append((shard[keep][c], start[keep][c] + t, np.full(len(c), window, np.int64)))
-    shard, start, size = map(np.concatenate, zip(*lost, strict=True))
-    order = np.lexsort((start, shard))
-    shard, start, size = shard[order], start[order], size[order]
-    heads = starts_of(shard)
-    for a, b in zip(heads, np.append(heads[1:], len(shard))[: len(heads)], strict=True):
-        out.append((int(shard[a]), pack(*covered(start[a:b], start[a:b] + size[a:b]))))
-    return reply_rows(out)
+        at, group = sa[is_window], group[is_window]
+        c = ctx[at]
+        where = place[c]
+        where[:, 2] += off[at]
+        first = first_of_equal([group], [where[:, 0], where[:, 1], where[:, 2]])
+        lost = [where[~first]]
+        for k in dict.fromkeys([key[0], key[-1]]):
+            if k != self.key:
+                if k != key[-1]:
+                    continue  # begins and ends within this shard
+                self.key, self.pool = k, Sorted()
+            mine = np.flatnonzero(first & (key[c] == k))
+            mine = mine[np.argsort(group[mine], kind="stable")]
+            lost.append(self.pool.add(windows_as_words(flat, at[mine], window), where[mine]))
+        return np.concatenate(lost)
+
+
+REPLIES = "shard int, start int, stop int"
+
+
+def lost_rows(shard: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+    """Intervals of shards, merged where they touch."""
+    base = shard.astype(np.int64) << 32
+    order = np.argsort(base + start, kind="stable")
+    a, b = covered((base + start)[order], (base + stop)[order])
+    low = (1 << 32) - 1
+    return pa.RecordBatch.from_arrays([pa.array((a >> 32).astype(np.int32)), pa.array((a & low).astype(np.int32)), pa.array((b & low).astype(np.int32))], names=["shard", "start", "stop"])
+
+
+def find_repeats(batches: Iterator[pa.RecordBatch], window: int, array_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Contexts sorted by key, context and place -> intervals of repeats of each shard."""
+    state, kept, held = Repeats(window), [], 0
+
+    def done() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(kept).combine_chunks()
+        key, owner, shard, start, n = (rows.column(c).to_numpy().astype(np.int64) for c in ("key", "owner", "shard", "start", "n"))
+        inner = n < 0
+        yield lost_rows(shard[inner], start[inner], (start - n)[inner])
+        rows = rows.filter(pa.array(~inner))
+        if not len(rows):
+            return
+        key, owner, shard, start, n = (x[~inner] for x in (key, owner, shard, start, n))
+        context = rows.column("context").combine_chunks()
+        context = pa.concat_arrays(context.chunks) if isinstance(context, pa.ChunkedArray) else context
+        same = np.zeros(len(n), bool)
+        same[1:] = (key[1:] == key[:-1]) & pc.equal(context.slice(1), context.slice(0, len(n) - 1)).to_numpy(zero_copy_only=False)
+        yield lost_rows(shard[same], start[same], (start + n)[same] + window - 1)
+        flat, _ = text_bytes(context.filter(pa.array(~same)))
+        late = state.add(key[~same], np.stack([owner, shard, start], axis=1)[~same], n[~same], flat)
+        yield lost_rows(late[:, 1], late[:, 2], late[:, 2] + window)
+
+    for batch in batches:
+        sizes = np.cumsum(pc.binary_length(batch.column("context")).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < len(batch):
+            before = int(sizes[a - 1]) if a else 0
+            b = min(len(batch), max(a + 1, int(np.searchsorted(sizes, before + array_bytes - held))))
+            kept.append(batch.slice(a, b - a))
+            held += int(sizes[b - 1]) - before
+            a = b
+            if held >= array_bytes or a < len(batch):
+                yield from done()
+                kept, held = [], 0
+    if kept:
+        yield from done()
 
 
 def covered(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -372,10 +441,8 @@ def drop_bytes(shard: pa.Table, replies: pa.Table, texts: bool) -> pa.Table:
     """A shard's texts without the bytes that its intervals cover."""
     shard, ids, raw, off = ordered(shard)
     change = np.zeros(len(raw) + 1, np.int32)
-    for value in replies.column("value").to_pylist():
-        start, end = unpack(value)
-        np.add.at(change, start, 1)
-        np.add.at(change, end, -1)
+    np.add.at(change, replies.column("start").to_numpy(), 1)
+    np.add.at(change, replies.column("stop").to_numpy(), -1)
     gone = np.cumsum(change[:-1]) > 0
     total = np.concatenate([[0], np.cumsum(gone)])
     n_removed = total[off[1:]] - total[off[:-1]]
@@ -396,7 +463,7 @@ def drop_bytes(shard: pa.Table, replies: pa.Table, texts: bool) -> pa.Table:
     return pa.table({"doc_id": shard.column("doc_id"), "n_bytes": pa.array(np.diff(off), pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "kept": pa.array(kept, pa.binary())})
 
 
-def drop_repeated_bytes(docs: DataFrame, window: int = 100, texts: bool = True, array_bytes: int = ARRAY_BYTES) -> DataFrame:
+def drop_repeated_bytes(docs: DataFrame, window: int = 100, texts: bool = True, array_bytes: int = ARRAY_BYTES, unsplit: int = UNSPLIT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (null unless texts).
 
     Removes each byte that a window-byte string covers which also starts earlier:
@@ -404,12 +471,11 @@ def drop_repeated_bytes(docs: DataFrame, window: int = 100, texts: bool = True,
     """
     if window < 2 * GRAM:
         raise ValueError(f"window must be at least {2 * GRAM} bytes")
-    dealt, n = sharded(docs)
-    held = dealt.groupBy("shard")
-    sent = held.applyInArrow(lambda t: send_anchors(t, window, n), VALUES)
-    common = sent.groupBy("bucket").applyInArrow(shared_keys, REPLIES)
-    tried = held.cogroup(common.groupBy("shard")).applyInArrow(lambda a, b: send_contexts(a, b, window, n), VALUES)
-    late = tried.groupBy("bucket").applyInArrow(lambda t: find_repeats(t, window, array_bytes), REPLIES)
+    held = sharded(docs).groupBy("shard")
+    common = shared_keys(held.applyInArrow(lambda t: send_anchors(t, window), KEYS))
+    tried = held.cogroup(common.groupBy("shard")).applyInArrow(lambda a, b: send_contexts(a, b, window, unsplit), CONTEXTS)
+    dealt = tried.repartition("key").sortWithinPartitions("key", "context", "owner", "shard", "start")
+    late = dealt.mapInArrow(lambda it: find_repeats(it, window, array_bytes), REPLIES)
     return held.cogroup(late.groupBy("shard")).applyInArrow(lambda a, b: drop_bytes(a, b, texts), RESULT)
 
 

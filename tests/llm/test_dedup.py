@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from pagelathe.llm import components, minhash, passages, suffixes
+from pagelathe.llm import components, minhash, passages, shards, suffixes
 
 from .helpers import WORD, corpus, edited, mixed, prose
 
@@ -111,13 +111,47 @@ def without_bytes(texts, n=100):
     return out
 
 
-@pytest.mark.parametrize("array_bytes", [suffixes.ARRAY_BYTES, 400])
-def test_substrings(spark, array_bytes):
+@pytest.mark.parametrize(("array_bytes", "unsplit"), [(suffixes.ARRAY_BYTES, suffixes.UNSPLIT), (400, suffixes.UNSPLIT), (400, -2), (5000, -30)])
+def test_substrings(spark, array_bytes, unsplit):
     texts = mixed(3)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.drop_repeated_bytes(corpus(spark, texts), array_bytes=array_bytes).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.drop_repeated_bytes(corpus(spark, texts), array_bytes=array_bytes, unsplit=unsplit).collect()}
     assert got == without_bytes(texts)
 
 
+def test_equal_and_null_doc_ids(spark, monkeypatch):
+    monkeypatch.setattr(shards, "parts_for", lambda *_: 7)
+    rng = random.Random(11)
+    shared = prose(rng, 70, 5000)
+    texts = [(2, shared), (2, shared + " " + prose(rng, 10)), (1, prose(rng, 60) + " " + shared), (5, shared), (5, shared)]
+    texts += [(None, prose(rng, 5 + k) + " " + shared) for k in range(4)] + [(None, None), (None, ""), (3, prose(rng, 60))]
+    words = {}
+    for r in passages.drop_repeated_passages(corpus(spark, texts)).collect():
+        words.setdefault(r.doc_id, []).append((r.n_words, r.n_removed))
+    assert words[1] == [(130, 0)] and words[3] == [(60, 0)]
+    assert sorted(words[2]) == [(70, 70), (80, 70)] and words[5] == [(70, 70)] * 2
+    assert sorted(words[None]) == [(0, 0), (0, 0)] + [(75 + k, 70) for k in range(4)]
+    # a repeated row, in the order of texts, is an earlier document here; of the null ones each but none before the numbered
+    raw = suffixes.drop_repeated_bytes(corpus(spark, texts)).collect()
+    size = len(shared.encode())
+    assert {r.doc_id: r.n_removed for r in raw if r.doc_id in (1, 3)} == {1: 0, 3: 0}
+    assert all(r.n_removed >= size for r in raw if r.doc_id in (2, 5)) and sorted(r.n_removed >= size for r in raw if r.doc_id is None) == [False] * 2 + [True] * 4
+    twice = [(None, prose(rng, 40, 10**6))] * 3
+    assert sorted(r.n_removed > 0 for r in suffixes.drop_repeated_bytes(corpus(spark, twice)).collect()) == [False, True, True]
+    assert sum(r.n_removed for r in passages.drop_repeated_passages(corpus(spark, twice)).collect()) == 0
+
+
+def test_exchange_grows_in_proportion(spark, monkeypatch):
+    """Keys sent by many shards: one row a key and shard, however many shards there are."""
+    rng = random.Random(12)
+    texts = [(i, prose(rng, 120, 10**6)) for i in range(80)]
+    sent = []
+    for n, rows in ((4, texts[:20]), (16, texts)):
+        monkeypatch.setattr(shards, "parts_for", lambda *_, n=n: n)
+        held = shards.sharded(corpus(spark, rows)).groupBy("shard")
+        sent.append((held.applyInArrow(lambda t: passages.send_anchors(t, 50), shards.KEYS).count(), held.applyInArrow(lambda t: suffixes.send_anchors(t, 100), shards.KEYS).count()))
+    assert all(3.8 < b / a < 4.2 for a, b in zip(*sent, strict=True))
+
+
 def test_substrings_of_empty_table(spark):
     assert suffixes.drop_repeated_bytes(corpus(spark, [])).count() == 0
 
