@@ -54,6 +54,24 @@ def test_near_duplicates_of_odd_tables(spark):
     assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(None, None, True), (3, 2, False), (2, 2, True), (1, 1, True)}
 
 
+def test_one_doc_id_with_several_texts(spark):
+    rng = random.Random(3)
+    a, b = prose(rng, 100, 10**6), prose(rng, 100, 10**6)
+    rows = [(7, a), (7, b), (9, a + " x"), (11, b + " y"), (13, b + " z")]
+    got = minhash.near_duplicates(corpus(spark, rows)).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(7, 7, True), (7, 7, True), (9, 7, False), (11, 7, False), (13, 7, False)]
+    assert len({r.cluster for r in got}) == 2
+
+
+def test_sizes_apart(spark):
+    """Links across zones of sizes, with blocks of a few classes."""
+    rng = random.Random(15)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(400)]
+    texts = [(i, " ".join(base[: 400 - 9 * (i % 23)] + [f"u{i}x{k}" for k in range(rng.randrange(40))])) for i in range(70)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(corpus(spark, texts), 4).collect()}
+    assert got == classes(texts)
+
+
 def test_block_products():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 400, rng.integers(0, 90))).astype(np.uint64) for _ in range(30)]
