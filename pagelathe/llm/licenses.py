@@ -99,10 +99,58 @@ COMPLETE = {
     "permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies": "iscgrant",
     "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "iscwarranty",
 }
-MORE_RULES = {"Apache-2.0": [["apache2full", "apache2copy"]], "ISC": [["iscgrant", "iscwarranty"]]}
+MORE_COMPLETE = {
+    "if a copy of the mpl was not distributed with this file, you can obtain one at": "mplcopy",
+    "this library is free software; you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation; either version 2.1 of the license, or (at your option) any later version": "lgpl21grant",
+    "this library is free software: you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version": "lgpl3grant",
+    "this program is free software: you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version": "lgpl3grant",
+    "this library is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose": "gplwarranty",
+    "licensed under the gnu lesser general public license, version 3": "lgpl3",
+    "this program is free software: you can redistribute it and/or modify it under the terms of the gnu affero general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version": "agpl3grant",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "distributed under the boost software license, version 1.0": "boostref",
+    "permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the software) to use, reproduce, display, distribute, execute, and transmit the software, and to prepare derivative works of the software, and to permit third-parties to whom the software is furnished to do so, all subject to the following": "boostgrant",
+    "this software is provided as-is, without any express or implied warranty": "zlibwarranty",
+    "permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions": "zlibgrant",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at": "epl2",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsdwarranty",
+    "licensed under the bsd 2-clause license": "bsd2ref",
+    "licensed under the bsd 3-clause license": "bsd3ref",
+    "licensed under the isc license": "iscref",
+    "licensed under the apache license 2.0": "apache2",
+}
+MORE_RULES = {
+    "Apache-2.0": [["apache2full", "apache2copy"]],
+    "ISC": [["iscgrant", "iscwarranty"], ["iscref"]],
+    "LGPL-2.1": [["lgpl21grant", "gplwarranty"]],
+    "AGPL-3.0": [["agpl3grant", "gplwarranty"]],
+    "BSD-3-Clause": [["bsd3ref"]],
+    "BSD-2-Clause": [["bsdgrant", "bsdsource", "bsdbinary"], ["bsd2ref"]],
+    "LGPL-3.0": [["lgpl3"], ["lgpl3grant"]],
+    "Unlicense": [["unlicense"]],
+    "BSL-1.0": [["boostref"], ["boostgrant"]],
+    "Zlib": [["zlibwarranty", "zlibgrant"]],
+    "EPL-2.0": [["epl2"]],
+}
+#: A licence whose sentences are all in another one counts only without that.
+UNLESS = {"BSD-2-Clause": "BSD-3-Clause"}
+
+
+def tags() -> dict[str, str]:
+    """Licence tags as sentences, one identifier for each licence."""
+    spelt = lambda k: [k, f"{k}-only", f"{k}-or-later", f"{k}+"] if "GPL" in k else [k]
+    return {f"spdx-license-identifier: {t.lower()}": f"tag{n}" for n, k in enumerate(all_rules()) if k not in ("BSD", "Proprietary") for t in spelt(k)}
+
+
+def all_rules() -> dict[str, list[list[str]]]:
+    return {k: RULES.get(k, []) + MORE_RULES.get(k, []) for k in dict.fromkeys([*RULES, *MORE_RULES])}
+
+
+ALL_RULES = {k: [*lists, [f"tag{n}"]] for n, (k, lists) in enumerate(all_rules().items())}
+KNOWN_SENTENCES = {**SENTENCES, **COMPLETE, **MORE_COMPLETE, **tags()}
 
 # Fixed patterns. Every known sentence holds a keyword.
-KEYWORD = "licen[sc]e|copyright|redistribut|permission|warrant|public domain|all rights reserved"
+KEYWORD = "licen[sc]e|copyright|redistribut|permission|warrant|public domain|all rights reserved|\\bmpl\\b"
 _ENDS = r"([.!?:])[ \t\r\n]+"
 _BREAKS = "\n+"
 _JUNK = r"""["'`*#/]+"""
@@ -126,7 +174,7 @@ def known_pattern() -> str:
     junk = r"""["'`*#/]"""
     gap = rf"""(?:["'`*#/ \t\r]++(?:\n{_MARKS})?+|\n{_MARKS})"""
     word = lambda w: "".join(f"{junk}*+" if c == "/" else c if c.isalnum() else rf"{junk}*+\{c}" for c in w)
-    listed = sorted({**SENTENCES, **COMPLETE}, key=lambda s: (-len(s), s))
+    listed = sorted(KNOWN_SENTENCES, key=lambda s: (-len(s), s))
     edge = r"""["'`*#/ \t\r.,;:!?-]"""
     return rf"(?:^|\n|[.!?:][ \t\r\n]){edge}*+(?i:" + "|".join(gap.join(map(word, s.split(" "))) for s in listed) + rf")(?={edge}*+(?:\n|\z)|{edge}*?[.!?:][ \t\r\n])"
 
@@ -146,13 +194,20 @@ def licence_sentences(text: Column) -> Column:
 
 
 def identifiers(sentences: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for k, v in {**SENTENCES, **COMPLETE}.items() for x in (table_key(k), v)])
+    known = F.create_map(*[F.lit(x) for k, v in KNOWN_SENTENCES.items() for x in (table_key(k), v)])
     return F.filter(F.transform(sentences, lambda s: F.element_at(known, s)), lambda i: i.isNotNull())
 
 
-def rule_pattern(lists: list[list[str]]) -> str:
-    """One regex on ';a;b;c;' for a licence's alternatives."""
-    return "|".join(";" + ";([a-z0-9]+;)*".join(ids) + ";" for ids in lists)
+def rules_met(ids: Column) -> Column:
+    """For each alternative of each licence whether its identifiers occur in order.
+
+    One pass over the identifiers: each alternative counts how many of its own it
+    has met so far, so a text of any length costs no recursion.
+    """
+    listed = [x for lists in ALL_RULES.values() for x in lists]
+    wanted = F.array(*[F.array(*map(F.lit, x)) for x in listed])
+    step = lambda met, i: F.zip_with(met, wanted, lambda n, x: F.when(F.get(x, n) == i, n + 1).otherwise(n))
+    return F.zip_with(F.aggregate(ids, F.array_repeat(F.lit(0), len(listed)), step), wanted, lambda n, x: n == F.size(x))
 
 
 def scan_licences(docs: DataFrame) -> DataFrame:
@@ -161,9 +216,14 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), licence_sentences(text).alias("s"))
     found = found.select("doc_id", F.size("s").cast("bigint").alias("n_sentences"), identifiers(F.col("s")).alias("ids"))
     sequence = F.when(F.size("ids") > 0, F.concat(F.lit(";"), F.concat_ws(";", "ids"), F.lit(";"))).otherwise(F.lit(""))
-    found = found.select("doc_id", "n_sentences", (F.col("n_sentences") - F.size("ids")).cast("bigint").alias("n_unknown"), sequence.alias("sequence"))
-    names = [F.when(F.col("sequence").rlike(rule_pattern(v + MORE_RULES.get(k, []))), F.lit(k)) for k, v in RULES.items()]
-    return found.withColumn("licences", F.concat_ws(",", *names))
+    met = F.when(F.size("ids") > 0, rules_met(F.col("ids"))).alias("met")
+    found = found.select("doc_id", "n_sentences", (F.col("n_sentences") - F.size("ids")).cast("bigint").alias("n_unknown"), sequence.alias("sequence"), met)
+    at, whole = 0, {}
+    for k, lists in ALL_RULES.items():
+        whole[k] = F.exists(F.slice("met", at + 1, len(lists)), lambda x: x)
+        at += len(lists)
+    names = [F.when(whole[k] & ~whole[UNLESS[k]] if k in UNLESS else whole[k], F.lit(k)) for k in whole]
+    return found.withColumn("licences", F.concat_ws(",", *names)).drop("met")
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
@@ -172,6 +232,11 @@ def op1_license_scan(spark, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"))
 
 
+def rule_pattern(lists: list[list[str]]) -> str:
+    """For the twin: one regex on ';a;b;c;' for a licence's alternatives."""
+    return "|".join(";" + ";([a-z0-9]+;)*".join(ids) + ";" for ids in lists)
+
+
 def oracle() -> str:
     """The query in DuckDB."""
     q = lambda s: "'" + s.replace("'", "''") + "'"

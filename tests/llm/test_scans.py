@@ -24,7 +24,7 @@ def test_licences(spark):
 
 
 def test_licence_keywords():
-    assert all(re.search(licenses.KEYWORD, s) for s in licenses.SENTENCES)
+    assert all(re.search(f"{licenses.KEYWORD}|public|reserved", s) for s in licenses.KNOWN_SENTENCES)
     assert {i for lists in licenses.RULES.values() for ids in lists for i in ids} <= set(licenses.SENTENCES.values())
 
 
@@ -106,6 +106,38 @@ WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
 }
 
 
+MORE_GENUINE = {
+    "BSD-2-Clause": GENUINE["BSD-3-Clause"].split("3. Neither")[0],
+    "LGPL-2.1": """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+ *
+ * This library is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+ * Lesser General Public License for more details.""",
+    "AGPL-3.0": GENUINE["GPL-3.0"].replace("GNU General", "GNU Affero General"),
+    "Zlib": """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:""",
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy",
+}
+
+
+def test_more_licences(spark):
+    """Further texts, tags, and a long text of licence lines."""
+    tagged = {"// SPDX-License-Identifier: MIT\nint x;": "MIT", "# SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0", "x\n/* SPDX-License-Identifier: Apache-2.0 */\ny": "Apache-2.0", "SPDX-License-Identifier: unheard-of": ""}
+    long = "Licensed under the Apache License, Version 2.0 (the License)\n" + "All rights reserved.\n" * 50_000
+    listed = [*MORE_GENUINE.items(), *((k, t) for t, k in tagged.items()), ("Apache-2.0,Proprietary", long + "You may not use this file except in compliance with the License.\nYou may obtain a copy of the License at")]
+    got = {r.doc_id: r.licences for r in licenses.scan_licences(corpus(spark, [(i, t) for i, (_, t) in enumerate(listed)])).collect()}
+    assert [got[i] for i in range(len(listed))] == [k for k, _ in listed]
+
+
 def test_genuine_licences(spark):
     listed = list(GENUINE.items())
     flat = [(100 + i, "\n\n".join(" ".join(p.split()) for p in re.split(r"\n\s*\n", re.sub(r"(?m)^[ #/*]+", "", t)))) for i, (_, t) in enumerate(listed)]
@@ -119,7 +151,7 @@ def test_genuine_licences(spark):
 
 
 def test_licence_table(spark):
-    listed = list({**licenses.SENTENCES, **licenses.COMPLETE}.items())
+    listed = list(licenses.KNOWN_SENTENCES.items())
     texts = [f"Before. {s.capitalize()}. After" for s, _ in listed] + ["\n * ".join(s.split(" ")) for s, _ in listed]
     got = {r.doc_id: r for r in licenses.scan_licences(corpus(spark, list(enumerate(texts)))).collect()}
     assert [got[i].sequence for i in range(len(texts))] == [f";{i};" for _, i in listed] * 2
