@@ -66,6 +66,17 @@ def parts_for(df: DataFrame, bytes_each: int, least: int = 1) -> int:
     return max(least, -(-input_bytes(df) // bytes_each))
 
 
+#: Tasks that the rows of one join key are dealt over.
+WAYS = 32
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
+    """left joined with right, which has one row a key; a hot key's rows are dealt over WAYS tasks by another column."""
+    salted = left.withColumn("way", F.pmod(F.xxhash64(by), F.lit(WAYS)).cast("int"))
+    copied = right.withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1))))
+    return salted.join(copied, [key, "way"]).drop("way")
+
+
 # --- hashing ---------------------------------------------------------------
 
 

@@ -34,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, grams, materialize, mix64, seeds, signed, slices, table, text_bytes, words
+from .common import LOWER, grams, materialize, mix64, seeds, signed, slices, spread_join, table, text_bytes, words
 from .components import components
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
-#: Groups that the partners of a pivot are dealt over, ways of a hot join key, and the most classes of a block in step 5.
-SALTS, WAYS, BLOCK = 64, 32, 2048
+#: Groups that the partners of a pivot are dealt over, and the most classes of a block in step 5.
+SALTS, BLOCK = 64, 2048
 #: Shingles that a product of a block takes at a time.
 COLUMNS = 4096
 
@@ -141,13 +141,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.select("pivot", "salt", "role", "cls", "items").mapInArrow(lambda it: confirm(it, percent), "u bigint, v bigint")
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
-    """left joined with right, which has one row a key; a hot key's rows are dealt over WAYS tasks by another column."""
-    salted = left.withColumn("way", F.pmod(F.xxhash64(by), F.lit(WAYS)).cast("int"))
-    copied = right.withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1))))
-    return salted.join(copied, [key, "way"]).drop("way")
-
-
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of each left with each right set."""
     both = [*left, *right]

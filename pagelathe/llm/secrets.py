@@ -2,9 +2,11 @@
 
 Base patterns give spans in code points: the gaps that `split` leaves and the
 matches that `regexp_extract_all` finds alternate, so running sums of their
-lengths are the offsets. Credential-like tokens (long runs of token letters with
-a digit and a letter) are then counted over the corpus by distinct repositories
-and owners: one that few owners hold looks live and adds a span, one that many
+lengths are the offsets. Matches are exploded and summed by a window over their
+text, so the cost is linear in them. Credential-like tokens (long runs of token
+letters with a digit and a letter) that no base span overlaps are candidates, too.
+Candidates are counted over the corpus by distinct repositories and owners: one that
+few repositories of few owners hold looks live and adds a span, one that many
 hold is a copied example.
 
 Defined cases: a null or empty text has no spans; a null repository or owner
@@ -16,10 +18,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, spread_join
 
 # Fixed patterns.
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -31,41 +33,31 @@ KINDS = ("assign", "access", "hex", "owner")
 SPAN = "array<struct<start:bigint,kind:int,stop:bigint,value:string>>"
 
 
-def spans(text: Column, pattern: str, kind: int, value_group: int = 0) -> Column:
-    """Leftmost non-overlapping matches as array<struct<start, kind, stop, value>>."""
+def matches(text: Column, pattern: str, kind: int, value_group: int = 0) -> Column:
+    """Leftmost non-overlapping matches in order, each with the length of the gap before it and its own."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else found
-    gaps = F.split(text, pattern, -1)
-    both = F.arrays_zip(found.alias("m"), gaps.alias("g"), value.alias("v"))
-    step = lambda acc, x: F.struct(
-        F.when(
-            x["m"].isNotNull(),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + F.length(x["g"])).cast("bigint").alias("start"),
-                        F.lit(kind).alias("kind"),
-                        (acc["at"] + F.length(x["g"]) + F.length(x["m"])).cast("bigint").alias("stop"),
-                        x["v"].alias("value"),
-                    )
-                ),
-            ),
-        )
-        .otherwise(acc["out"])
-        .alias("out"),
-        (acc["at"] + F.length(x["g"]) + F.coalesce(F.length(x["m"]), F.lit(0))).cast("bigint").alias("at"),
-    )
-    empty = F.array().cast(SPAN)
-    folded = F.aggregate(both, F.struct(empty.alias("out"), F.lit(0).cast("bigint").alias("at")), step)
-    return F.when(text.rlike(pattern), folded["out"]).otherwise(empty)
+    both = F.arrays_zip(found.alias("m"), F.split(text, pattern, -1).alias("g"), value.alias("v"))
+    listed = F.transform(F.filter(both, lambda x: x["m"].isNotNull()), lambda x: F.struct(F.lit(kind).alias("kind"), F.length(x["g"]).cast("bigint").alias("gap"), F.length(x["m"]).cast("bigint").alias("size"), x["v"].alias("value")))
+    return F.when(text.rlike(pattern), listed).otherwise(F.array().cast("array<struct<kind:int,gap:bigint,size:bigint,value:string>>"))
+
 
+def spans(scanned: DataFrame) -> DataFrame:
+    """(row, repo, owner, found) -> (row, repo, owner, kind, start, stop, value): the spans that count.
 
-def base_spans(text: Column) -> Column:
-    """The base spans of a text, failing matches dropped, by start and then kind."""
-    assign = F.filter(spans(text, ASSIGN, 0, 2), lambda s: F.length(s["value"]) >= 6)
-    access = F.filter(spans(text, ACCESS, 1), lambda s: F.length(s["value"]) >= 20)
-    return F.array_sort(F.concat(assign, access, spans(text, HEX, 2)))
+    Failing matches go; a token goes where a base span overlaps it.
+    """
+    each = scanned.select("row", "repo", "owner", F.posexplode("found").alias("k", "s")).select("row", "repo", "owner", "k", "s.*")
+    before = Window.partitionBy("row", "kind").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.withColumn("stop", F.sum(F.col("gap") + F.col("size")).over(before)).withColumn("start", F.col("stop") - F.col("size"))
+    length, kind = F.length("value"), F.col("kind")
+    good = F.when(kind == 0, length >= 6).when(kind == 1, length >= 20).when(kind == 3, F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")).otherwise(True)
+    each = each.where(good).withColumn("base", kind < 3)
+    left = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    right = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    reach, ahead = F.max(F.when(F.col("base"), F.col("stop"))).over(left), F.min(F.when(F.col("base"), F.col("start"))).over(right)
+    clear = F.coalesce(F.col("reach") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("ahead") >= F.col("stop"), F.lit(True))
+    return each.withColumn("reach", reach).withColumn("ahead", ahead).where(F.col("base") | clear).select("row", "repo", "owner", "kind", "start", "stop", "value")
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -79,45 +71,41 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return by_owner.groupBy("digest").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
-def find_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", max_owners: int = 2) -> DataFrame:
-    """doc_id, base (spans), live (added spans), n_live and n_shared base candidates.
+def find_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source", max_owners: int = 2, max_repos: int = 10) -> DataFrame:
+    """doc_id, base (spans), live (added spans), n_live and n_shared base candidates, judged (candidates with n_repos and n_owners).
 
-    A candidate with at most max_owners distinct owners is live-looking. Added
-    spans never overlap base ones.
+    A candidate with at most max_owners distinct owners and max_repos distinct
+    repositories is live-looking. Added spans never overlap base ones.
     """
     docs = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
-        F.col(repo).cast("string").alias("repo"),
-        F.col(owner).cast("string").alias("owner"),
+        F.col(f"`{repo}`").cast("string").alias("repo"),
+        F.col(f"`{owner}`").cast("string").alias("owner"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    scanned = docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        "doc_id",
-        "repo",
-        "owner",
-        base_spans(F.col("text")).alias("base"),
-        F.filter(spans(F.col("text"), TOKEN, 3), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")).alias("tokens"),
-    )
-    scanned = materialize(scanned)
-    clear = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
-    held = (
-        scanned.select("row", "repo", "owner", F.explode(F.concat("base", clear)).alias("s"))
-        .select("row", "repo", "owner", "s", F.sha2(F.col("s.value"), 256).alias("digest"))
-    )
-    judged = held.join(ownership(held.select("digest", "repo", "owner")), "digest")
-    live = F.col("n_owners") <= max_owners
+    text = F.col("text")
+    found = F.concat(matches(text, ASSIGN, 0, 2), matches(text, ACCESS, 1), matches(text, HEX, 2), matches(text, TOKEN, 3))
+    scanned = materialize(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "repo", "owner", found.alias("found")))
+    held = materialize(spans(scanned.where(F.size("found") > 0)).withColumn("digest", F.sha2("value", 256)))
+    judged = spread_join(held, ownership(held.select("digest", "repo", "owner")), "digest", "row")
+    live = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
+    span = F.struct("start", "kind", "stop", "value")
+    listed = lambda which, x=span: F.sort_array(F.collect_list(F.when(which, x)))
     by_row = judged.groupBy("row").agg(
-        F.sort_array(F.collect_list(F.when(live & (F.col("s.kind") == 3), F.col("s")))).alias("live"),
-        F.count_if(live & (F.col("s.kind") < 3)).alias("n_live"),
-        F.count_if(~live & (F.col("s.kind") < 3)).alias("n_shared"),
+        listed(F.col("kind") < 3).alias("base"),
+        listed(live & (F.col("kind") == 3)).alias("live"),
+        F.count_if(live & (F.col("kind") < 3)).alias("n_live"),
+        F.count_if(~live & (F.col("kind") < 3)).alias("n_shared"),
+        listed(F.lit(True), F.struct("start", "kind", "stop", "value", "n_repos", "n_owners")).alias("judged"),
     )
-    return scanned.drop("tokens", "repo", "owner").join(by_row, "row", "left").select(
+    none = F.array().cast(SPAN)
+    return scanned.select("row", "doc_id").join(by_row, "row", "left").select(
         "doc_id",
-        "base",
-        F.coalesce("live", F.array().cast(SPAN)).alias("live"),
+        F.coalesce("base", none).alias("base"),
+        F.coalesce("live", none).alias("live"),
         F.coalesce("n_live", F.lit(0).cast("bigint")).alias("n_live"),
         F.coalesce("n_shared", F.lit(0).cast("bigint")).alias("n_shared"),
+        F.coalesce("judged", F.array().cast("array<struct<start:bigint,kind:int,stop:bigint,value:string,n_repos:bigint,n_owners:bigint>>")).alias("judged"),
     )
 
 

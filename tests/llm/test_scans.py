@@ -184,6 +184,30 @@ def test_secrets(spark):
     assert secrets.find_secrets(corpus(spark, [])).count() == 0
 
 
+def test_secrets_by_ownership(spark):
+    """One owner's thousandth copy is no live secret, a null owner is one owner, and tokens next to base spans stay."""
+    rng = random.Random(9)
+    copied, own = "Q" + "a1B2" * 5, "R" + "c3D4" * 5
+    rows = [(i, f"x {copied} y", "one") for i in range(20)] + [(50 + i, f"x {own} y", None) for i in range(3)] + [(50, f"x {own} y", None)]
+    tight = "".join(rng.choice(["password=" + "k9" * 9, " " + "Zz9y" * 5, " " + "0f" * 14, ";", " ", "AKIA" + "Q7" * 9]) for _ in range(300))
+    rows.append((99, tight, "two"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = secrets.find_secrets(docs).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    assert [s.value for s in by[51].live] == [own] and by[0].live == [] and (by[0].judged[0].n_repos, by[0].judged[0].n_owners) == (20, 1)
+    base = base_secrets(tight)
+    tokens = [(m.start(), m.end()) for m in re.finditer(secrets.TOKEN, tight) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+    clear = [t for t in tokens if not any(a < t[1] and t[0] < b for a, _, b in base)]
+    assert sorted((s.start, s.stop) for s in by[99].judged if s.kind == 3) == clear and clear
+
+
+def test_very_many_secrets(spark):
+    text = " ".join(f"{k:024x}z" for k in range(16_000))
+    row = secrets.find_secrets(corpus(spark, [(1, text)])).collect()[0]
+    assert len(row.base) == 16_000 and [(s.start, s.stop) for s in row.base[:2]] == [(0, 24), (26, 50)]
+
+
 def base_pii(text):
     out = [(0, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(1, m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
