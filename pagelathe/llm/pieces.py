@@ -41,11 +41,13 @@ from .suffixes import digests, gather
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 PENALTY = 10.0
+#: Segmentations of a text.
+N_BEST = 4
 #: Chunks kept by a worker in each of two generations.
 CACHED = 100_000
 BLANK = "▁"
 #: Bytes of texts whose distinct chunks are searched together.
-ENCODE_BYTES = 2 << 20
+ENCODE_BYTES = 1 << 20
 _MULTIPLIER = 0xD6E8FEB86659FD93
 _CHUNK = re.compile(f" *[^ {BLANK}]+| +|{BLANK}")
 
@@ -412,27 +414,24 @@ class Lattice:
         yield total, pick
         if n == 1:
             return
-        texts = np.flatnonzero(np.diff(per) > 0)
-        if n == 2:
-            # the chunk whose second way loses least, the first of equals
-            loss = (scores[0] - scores[1])[chunk]
-            least = np.minimum.reduceat(loss, per[:-1][texts])
-            ties = np.flatnonzero(loss == np.repeat(least, np.diff(per)[texts]))
-            owner = np.searchsorted(per, ties, side="right")
-            ties = ties[np.append(True, owner[1:] != owner[:-1])]
-            pick[ties[least < np.inf]] = 1
-            score = np.full(len(total), -np.inf)
-            score[texts] = total[texts] - least
-            yield score, pick
-            return
+        # only the n - 1 chunks whose second way loses least can differ from the best
+        loss = (scores[0] - scores[1])[chunk]
+        owner = np.repeat(np.arange(len(per) - 1), np.diff(per))
+        loose = np.flatnonzero(loss < np.inf)
+        loose = loose[np.lexsort((loose, loss[loose], owner[loose]))]
+        heads = np.flatnonzero(np.append(True, owner[loose][1:] != owner[loose][:-1])) if len(loose) else loose
+        rank = np.arange(len(loose)) - np.repeat(heads, np.diff(np.append(heads, len(loose))))
+        loose = loose[rank < n - 1]
+        losses = (scores[0] - scores)[:, chunk[loose]].T.tolist()
+        heads = np.flatnonzero(np.append(True, owner[loose][1:] != owner[loose][:-1])).tolist() if len(loose) else []
         chosen = [(np.full(len(total), -np.inf), np.zeros(len(chunk), np.int64)) for _ in range(n - 1)]
-        for i in texts.tolist():
-            mine = scores[:, chunk[per[i] : per[i + 1]]]
-            losses = {k: [x for x in (mine[0, k] - mine[:, k]).tolist() if x < np.inf] for k in np.flatnonzero(mine[1] > -np.inf).tolist()}
-            for (score, taken), (loss, choice) in zip(chosen, combinations(losses, n), strict=False):
-                score[i] = total[i] - loss
+        at = loose.tolist()
+        for a, b in zip(heads, [*heads[1:], len(at)], strict=True):
+            i = int(owner[at[a]])
+            for (score, taken), (lost, choice) in zip(chosen, combinations({at[k]: [x for x in losses[k] if x < np.inf] for k in range(a, b)}, n), strict=False):
+                score[i] = total[i] - lost
                 for k, r in choice.items():
-                    taken[per[i] + k] = r
+                    taken[k] = r
         yield from chosen
 
 
@@ -496,7 +495,7 @@ def ship(spark: SparkSession, model: str):
     return spark.sparkContext.broadcast((listed, pieces.bytes_at, pieces.bytes_at))
 
 
-def encode(docs: DataFrame, model: str = MODEL, n: int = 2, ids_too: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, n: int = N_BEST, ids_too: bool = True) -> DataFrame:
     """doc_id, pieces (best ids), others (ids of the 2nd to n-th), scores of the n best, n_pieces, ids_sha256, round_trip.
 
     ids_sha256 hashes the best ids as little-endian 32-bit numbers; round_trip tells
@@ -526,4 +525,4 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
     found = encode(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_pieces", "ids_sha256", F.col("scores")[0].alias("best_score"), F.get("scores", F.lit(1)).alias("second_score"), "round_trip", "pieces", F.get("others", F.lit(0)).alias("second_pieces"))
+    return found.select("doc_id", "n_pieces", "ids_sha256", "scores", "round_trip", "pieces", "others")
