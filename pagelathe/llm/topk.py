@@ -8,8 +8,11 @@ away before the next block of dimensions.
 
 Queries and candidates are dealt over a grid of groups: a task reads one group of
 queries and one group of candidates block by block and carries the thresholds on;
-the best of each group are merged by query. Group sizes are fixed, so a task's
-memory is, too.
+the best of each group are merged by query. Group sizes are bounded, so a task's
+memory is, too. Both sides of a cell have about as many bytes, components travel as
+16-bit numbers where they fit, and a group of candidates goes to one task for every
+GROUP_QUERIES queries only. A block whose largest norm cannot reach a query's
+threshold is skipped.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components
 take no part; vectors of another length than the query's are no candidates; a null
@@ -28,8 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Rows of a block of candidates, blocks of a group, queries of a group, dimensions of a step.
-BLOCK_ROWS, GROUP_BLOCKS, GROUP_QUERIES, STEP = 4096, 4, 512, 16
+#: Rows of a block of candidates, most blocks of a group, queries of a group, queries scored together, dimensions of a step.
+BLOCK_ROWS, GROUP_BLOCKS, GROUP_QUERIES, TOGETHER, STEP = 4096, 4, 8192, 256, 16
+#: Cells that a grid has at least, if there are so many blocks.
+LEAST_CELLS = 32
 
 
 def whole_vectors(vectors: DataFrame, scale: int) -> DataFrame:
@@ -47,6 +52,8 @@ def to_block(rows: pa.Table) -> pa.Table:
     flat = rows.column("v").combine_chunks()
     flat = flat.flatten() if not isinstance(flat, pa.ChunkedArray) else pa.concat_arrays(flat.chunks).flatten()
     planes = np.ascontiguousarray(flat.to_numpy(zero_copy_only=False).reshape(len(ids), -1).T)
+    if np.abs(planes).max() < 1 << 15:
+        planes = planes.astype(np.int16)
     first = {k: rows.column(k)[0].as_py() for k in ("dim", "part")}
     return pa.table({"dim": pa.array([first["dim"]], pa.int32()), "part": pa.array([first["part"]], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "planes": pa.array([planes.tobytes()], pa.binary())})
 
@@ -56,7 +63,8 @@ BLOCK = "dim int, part int, n int, ids binary, planes binary"
 
 def read_block(row: dict) -> tuple[np.ndarray, np.ndarray]:
     ids = np.frombuffer(row["ids"], np.int64)
-    return ids, np.frombuffer(row["planes"], np.float64).reshape(row["dim"], row["n"])
+    kind = np.int16 if len(row["planes"]) == 2 * row["dim"] * row["n"] else np.float64
+    return ids, np.frombuffer(row["planes"], kind).reshape(row["dim"], row["n"]).astype(np.float64)
 
 
 def tails(planes: np.ndarray, step: int) -> np.ndarray:
@@ -88,12 +96,14 @@ def scan_block(best: Best, q_ids: np.ndarray, q: np.ndarray, q_left: np.ndarray,
     """One block of candidates against a group of queries."""
     left = tails(x, step)
     dims = np.arange(0, len(x), step)
-    head = q[:step].T @ x[:step]
-    for i in range(len(q_ids)):
-        part, alive = head[i], None
+    # a small slack covers rounding of the norms; scores themselves are whole numbers
+    able = np.flatnonzero(q_left[0] * left[0].max(initial=0) * (1 + 1e-9) + 1e-6 >= best.least)
+    for k, i in enumerate(able.tolist()):
+        if k % TOGETHER == 0:
+            head = q[:step, able[k : k + TOGETHER]].T @ x[:step]
+        part, alive = head[k % TOGETHER], None
         for s in range(1, len(dims) + 1):
             room = left[s] if alive is None else left[s][alive]
-            # a small slack covers rounding of the norms; scores themselves are whole numbers
             stay = np.flatnonzero(part + q_left[s, i] * room * (1 + 1e-9) + 1e-6 >= best.least[i])
             alive = stay if alive is None else alive[stay]
             part = part[stay]
@@ -134,8 +144,8 @@ def top_k(vectors: DataFrame, k: int = 20, scale: int = 64, every: int = 20) ->
     whole = whole_vectors(vectors, scale).withColumn("dim", F.size("v"))
     n = max(1, whole.count())
     parts = -(-n // BLOCK_ROWS)
-    groups = -(-parts // GROUP_BLOCKS)
     q_parts = -(-n // (every * GROUP_QUERIES))
+    groups = min(parts, max(-(-parts // GROUP_BLOCKS), -(-LEAST_CELLS // q_parts)))
     slot = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int").alias("part")
     blocks = whole.select("vec_id", "v", "dim", slot(parts)).groupBy("dim", "part").applyInArrow(to_block, BLOCK)
     asked = whole.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v", "dim", slot(q_parts)).groupBy("dim", "part").applyInArrow(to_block, BLOCK)
