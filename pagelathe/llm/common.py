@@ -70,11 +70,12 @@ def parts_for(df: DataFrame, bytes_each: int, least: int = 1) -> int:
 WAYS = 32
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
-    """left joined with right, which has one row a key; a hot key's rows are dealt over WAYS tasks by another column."""
-    salted = left.withColumn("way", F.pmod(F.xxhash64(by), F.lit(WAYS)).cast("int"))
-    copied = right.withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1))))
-    return salted.join(copied, [key, "way"]).drop("way")
+def spread_join(left: DataFrame, right: DataFrame, key: str | list[str], by: str, ways: int = WAYS) -> DataFrame:
+    """left joined with right; the left rows of a hot key are dealt over `ways` tasks by another column, right rows go to all."""
+    keys = [key] if isinstance(key, str) else key
+    salted = left.withColumn("way", F.pmod(F.xxhash64(by), F.lit(ways)).cast("int"))
+    copied = right.withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    return salted.join(copied, [*keys, "way"]).drop("way")
 
 
 # --- hashing ---------------------------------------------------------------

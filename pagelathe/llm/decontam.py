@@ -2,24 +2,30 @@
 
 Words are canonicalised: numbers, names (capitals inside a sentence) and units
 after a number become typed placeholders, other words lose case and edge
-punctuation. Windows of WINDOW canonical words (a shorter item: all of it) of
-texts and items are joined by hash. Windows of a text that match an item at the
-same shift are one alignment; its slots must be filled consistently: of the fillings
-of a value only the most frequent counts, and windows that hold another are left
-out, those without it stay. Of equally frequent ones none counts for a name, all for
-a number, since equal numbers of an item need not mean the same. So a question with
-other numbers or names is caught, a chance mix of templates is not.
+punctuation. Items with one template, slots equal in the same places, are one class
+(its smallest item_id stands for it), so thousands of items that differ in their
+numbers cost a text one match. Windows of WINDOW canonical words (a shorter item: all
+of it) of texts and classes are joined by hash. Windows of a text that match a class
+at the same shift are one alignment; its slots must be filled consistently: of the
+fillings of a value only the most frequent counts, and windows that hold another are
+left out, those without it stay. Of equally frequent ones none counts for a name, all
+for a number, since equal numbers of an item need not mean the same. So a question
+with other numbers or names is caught, a chance mix of templates is not.
 
 A capital that opens a sentence may or may not begin a name: windows with such words
 are made both ways, as words and as names.
 
+A window of almost only placeholders matches by chance, so it is hashed with its own
+words. Items of mostly such windows are found where they stand verbatim; with other
+numbers nothing tells them from chance.
+
 The benchmark's window hashes are held by each worker if there are at most
 MOST_HELD of them (8 bytes each); beyond that, all windows of the texts go to the
 join. Both ways give the same rows.
 
 Defined cases: a null or empty text or item matches nothing; rows with equal
 doc_id count as one document, a null doc_id is never reported; repeated items
-each match; extra columns are ignored.
+are one class; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,16 +37,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE, IS_SPACE, LOWER, grams, materialize, mix64, powers, seeds, signed, slices, table, text_bytes, words
+from .common import BYTE, IS_SPACE, LOWER, grams, materialize, mix64, powers, seeds, signed, slices, spread_join, table, text_bytes, words
 
 WINDOW = 8
 #: Window hashes of the benchmark that each worker may hold: 32 MB.
 MOST_HELD = 1 << 22
-#: A window needs so many words that are no placeholders, a shorter item half of its words.
+#: A template window needs so many words that are no placeholders, a shorter item half of its words.
 LITERAL = 4
 
 # Fixed values.
-UNITS = "mm cm m km in ft yd mi mg g kg t lb oz ml l gal s sec min h hr hrs day days week weeks month months year years % usd eur dollars euros dollar euro cents c f k w kw v a hz mph km/h m/s meters metres miles feet inches grams kilograms liters litres hours minutes seconds".split()
+UNITS = [
+    "mm", "cm", "m", "km", "in", "ft", "yd", "mi", "mg", "g", "kg", "t", "lb", "oz", "ml", "l", "gal", "s", "sec", "min", "h", "hr", "hrs", "day",
+    "days", "week", "weeks", "month", "months", "year", "years", "%", "usd", "eur", "dollars", "euros", "dollar", "euro", "cents", "c", "f", "k", "w",
+    "kw", "v", "a", "hz", "mph", "km/h", "m/s", "meters", "metres", "miles", "feet", "inches", "grams", "kilograms", "liters", "litres", "hours",
+    "minutes", "seconds",
+]
 _IS_PUNCT = np.zeros(256, bool)
 _IS_PUNCT[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "%$"]] = True
 _IS_DIGIT = np.zeros(256, bool)
@@ -108,36 +119,57 @@ _e = np.append(np.flatnonzero(IS_SPACE[_joined]), len(_joined))
 _UNIT_HASHES = np.sort(spans_hash(LOWER[_joined], np.concatenate([[0], _e[:-1] + 1]), _e))
 
 
+def templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) -> with cls: 64 bits of the canonical words and of which slots are filled alike."""
+    for batch in batches:
+        raw, off = text_bytes(batch.column("text"))
+        canon, own, kind, at = canonical(raw, off)
+        cls = np.zeros(len(batch), np.uint64)
+        for i in range(len(batch)):
+            lo, hi = at[i], at[i + 1]
+            slot = kind[lo:hi] < OPENING
+            alike = np.zeros(hi - lo, np.uint64)
+            _, first, which = np.unique(own[lo:hi][slot], return_index=True, return_inverse=True)
+            alike[slot] = first[which] + 1
+            cls[i] = (mix64(canon[lo:hi] ^ mix64(alike)) * powers(hi - lo + 1)[1:]).sum(dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(signed(mix64(cls)))], names=["id", "text", "cls"])
+
+
 def windows(raw: np.ndarray, off: np.ndarray, size: int, whole: bool) -> Iterator[tuple]:
     """Template windows of each text: (text, size, positions, hashes, slots from, slots to, slot values, slot places, windows of the text).
 
-    whole: a text of fewer words is one window. Windows almost all placeholders
-    say nothing and are left out. Windows with words that open a sentence with a
-    capital come again with them as names. A slot's place is 8 * word + kind, 4 more
-    in those.
+    whole: an item; one of fewer words is one window. Windows with words that open a
+    sentence with a capital come again with them as names. A slot's place is
+    8 * word + kind, 4 more in those. Windows of almost only placeholders come with
+    their own words and no slots; of an item only if most of its windows are such.
     """
     canon, own, kind, at = canonical(raw, off)
     opens = np.concatenate([[0], np.cumsum(kind == OPENING)])
     ways = []
     for slot, way in ((kind < OPENING, canon), (kind < WORD, np.where(kind == OPENING, NAME, canon))):
         ways.append((way, np.concatenate([[0], np.cumsum(slot)]), own[slot], np.flatnonzero(slot), kind[slot], grams(way, size, 31)))
+    verbatim = grams(own, size, 32)
+    none = np.zeros(0, np.int64)
     for i in range(len(off) - 1):
         lo, hi = at[i], at[i + 1]
         if hi - lo < size and not whole or hi == lo:
             continue
         n = min(size, hi - lo)
-        n_all = 0
+        told = lambda pos, fill, n=n: n - (fill[pos + n] - fill[pos]) >= min(LITERAL, (n + 1) // 2)
+        every = np.arange(lo, hi - n + 1)
+        plain = every[~told(every, ways[0][1])]
+        own_words = len(plain) > 0 and (not whole or 2 * len(plain) > len(every))
+        n_all = len(every) if own_words and whole else len(every) - len(plain)
         for k, (way, fill, filled, where, kinds, gram) in enumerate(ways):
-            pos = np.arange(lo, hi - n + 1)
-            if k:
-                pos = pos[opens[pos + n] > opens[pos]]
-                if not len(pos):
-                    continue
-            key = gram[pos] if n == size else grams(way[lo:hi], n, 31)
-            ok = n - (fill[pos + n] - fill[pos]) >= min(LITERAL, (n + 1) // 2)
-            n_all = n_all or int(ok.sum())
-            a, b = fill[lo], fill[hi]
-            yield i, n, (pos - lo)[ok], key[ok], fill[pos[ok]] - a, fill[pos[ok] + n] - a, filled[a:b], 8 * (where[a:b] - lo) + 4 * k + kinds[a:b], n_all
+            pos = every if k == 0 else every[opens[every + n] > opens[every]]
+            pos = pos[told(pos, fill)]
+            if len(pos):
+                key = gram[pos] if n == size else grams(way[lo:hi], n, 31)
+                a, b = fill[lo], fill[hi]
+                yield i, n, pos - lo, key, fill[pos] - a, fill[pos + n] - a, filled[a:b], 8 * (where[a:b] - lo) + 4 * k + kinds[a:b], n_all
+        if own_words:
+            key = verbatim[plain] if n == size else grams(own[lo:hi], n, 32)
+            yield i, n, plain - lo, key, np.zeros(len(plain), np.int64), np.zeros(len(plain), np.int64), none.astype(np.uint64), none, n_all
 
 
 FOUND = "id bigint, size int, key bigint, pos int, slots array<bigint>, places array<int>, of int"
@@ -181,14 +213,17 @@ def find_windows(batches: Iterator[pa.RecordBatch], sizes: list[int], held: dict
 
 
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = 0.6, most_held: int = MOST_HELD) -> DataFrame:
-    """doc_id, item_id, n_windows, n_matched, n_slots, n_changed: the leaked items of each document.
+    """doc_id, item_id, n_items, n_windows, n_matched, n_slots, n_changed: the leaked items of each document.
 
-    An item leaks into a document if at least share of its windows match in
-    consistent alignments. n_changed counts slots filled with another value.
+    A class of n_items items leaks into a document if at least share of its windows
+    match in consistent alignments. item_id is its smallest; n_changed counts slots
+    filled with another value than that item's.
     """
     items = benchmark.select(F.col("item_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    bench = materialize(items.mapInArrow(lambda it: find_windows(it, [window], None, True), FOUND))
+    by_class = items.mapInArrow(templates, "id bigint, text string, cls bigint").groupBy("cls")
+    classes = materialize(by_class.agg(F.min("id").alias("id"), F.min_by("text", "id").alias("text"), F.count_distinct("id").alias("n_items")))
+    bench = materialize(classes.select("id", "text").mapInArrow(lambda it: find_windows(it, [window], None, True), FOUND))
     keys = bench.select("size", "key").distinct()
     by_size = {r["size"]: r["n"] for r in keys.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most window rows
     held = None
@@ -197,8 +232,10 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         held = {n: np.sort(got.loc[got["size"] == n, "key"].to_numpy(np.int64).view(np.uint64)) for n in by_size}
     sizes = sorted(by_size)
     hits = texts.mapInArrow(lambda it: find_windows(it, sizes, held, False), FOUND)
-    both = hits.alias("d").join(bench.alias("b"), ["size", "key"])
-    aligned = both.select(F.col("d.id").alias("doc_id"), F.col("b.id").alias("item_id"), F.col("b.of").alias("of"), F.col("b.pos").alias("pos"), (F.col("d.pos") - F.col("b.pos")).alias("shift"), F.arrays_zip(F.col("b.slots").alias("b"), F.col("d.slots").alias("d"), F.col("b.places").alias("at")).alias("slots"))
+    left = hits.select("size", "key", F.col("id").alias("doc_id"), F.col("pos").alias("d_pos"), F.col("slots").alias("d"))
+    right = bench.select("size", "key", F.col("id").alias("item_id"), "of", "pos", F.col("slots").alias("b"), F.col("places").alias("at"))
+    both = spread_join(left, right, ["size", "key"], "doc_id", 8)
+    aligned = both.select("doc_id", "item_id", "of", "pos", (F.col("d_pos") - F.col("pos")).alias("shift"), F.arrays_zip("b", "d", "at").alias("slots"))
     aligned = materialize(aligned)
     key = ["doc_id", "item_id", "shift"]
     filled = aligned.select(*key, F.explode("slots").alias("s")).select(*key, F.col("s.b").alias("b"), F.col("s.d").alias("d"), F.col("s.at").alias("at"))
@@ -213,7 +250,8 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     conflict = F.exists("slots", lambda s: F.exists("bad", lambda x: (x["kind"] == s["at"] % 8) & (x["b"] == s["b"]) & (x["d"] == s["d"])))
     checked = aligned.join(slots, key, "left").where(~F.coalesce(conflict, F.lit(False)))
     matched = checked.groupBy("doc_id", "item_id").agg(F.max("of").cast("bigint").alias("n_windows"), F.count_distinct("pos").alias("n_matched"), F.max(F.coalesce("n_filled", F.lit(0))).cast("bigint").alias("n_slots"), F.max(F.coalesce("changed", F.lit(0))).cast("bigint").alias("n_changed"))
-    return matched.where(F.col("n_matched") >= share * F.col("n_windows"))
+    found = matched.where(F.col("n_matched") >= share * F.col("n_windows"))
+    return found.join(classes.select(F.col("id").alias("item_id"), "n_items"), "item_id").select("doc_id", "item_id", "n_items", "n_windows", "n_matched", "n_slots", "n_changed")
 
 
 def op8_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

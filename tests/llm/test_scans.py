@@ -273,3 +273,32 @@ def test_leaks_with_conflicting_slots(spark):
         assert {(0, 0), (1, 1), (2, 2), (3, 2), (4, 2), (5, 3)} == set(got)
         assert all(r.n_matched <= r.n_windows for r in got.values())
         assert got[0, 0].n_changed == got[1, 1].n_changed == 1 and got[3, 2].n_changed == 0
+
+
+def test_template_classes_and_number_items(spark):
+    """Items that differ in numbers are one class; items of mostly numbers are found verbatim only."""
+    items = [(k, f"what do you get when you add {k} to {k + 7} and take away {3 * k + 1} from that sum") for k in range(100, 140)]
+    items += [(k, t) for k, (_, t) in enumerate(items[:3], 500)]
+    items += [(900, "1 2 3 5 8 13 21 34 55 89 144 sum"), (901, "2 kg 3 kg 4 kg 5 kg 6 kg 7 kg"), (902, "so why do 7 and 7 make 14")]
+    texts = [(1, "Well: " + items[5][1]), (2, items[5][1].replace("105", "77").replace("112", "99")), (3, "Series 1 2 3 5 8 13 21 34 55 89 144 sum."), (4, "Series 1 2 3 5 8 13 21 34 55 90 145 summed"), (5, "9 8 7 6 5 4 3 2 1 0 " * 30), (6, "so why do 7 and 7 make 14"), (7, "so why do 8 and 8 make 16")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for held in (10**6, 0):
+        got = {(r.doc_id, r.item_id): r.n_items for r in decontam.benchmark_leaks(corpus(spark, texts), bench, most_held=held).collect()}
+        assert got == {(1, 100): 43, (2, 100): 43, (3, 900): 1, (6, 902): 1, (7, 902): 1}
+
+
+def test_recall_of_changed_items(spark):
+    """Questions with new numbers and names, planted in prose: at least 0.9 found, none in clean prose."""
+    rng = random.Random(21)
+    names = ["Ann", "Bob", "Carla", "Dmitri", "Eve", "Farid"]
+    plain = ["buys", "sells", "apples", "then", "gives", "half", "of", "them", "to", "a", "friend", "how", "many", "are", "left", "in", "the", "box", "after", "that", "day"]
+
+    def fill(shape, gen):
+        named, numbered = gen.sample(names, 2), [str(gen.randrange(2, 500)) for _ in range(3)]
+        return " ".join(named[w] if isinstance(w, int) and w < 2 else numbered[w - 2] if isinstance(w, int) else w for w in shape)
+
+    shapes = [[*rng.choices(plain, k=3), 0, *rng.choices(plain, k=5), 2, *rng.choices(plain, k=6), 1, *rng.choices(plain, k=6), 3, *rng.choices(plain, k=4), 0, *rng.choices(plain, k=4), 4] for _ in range(60)]
+    bench = spark.createDataFrame([(k, fill(s, rng)) for k, s in enumerate(shapes)], "item_id bigint, text string")
+    texts = [(k, f"{prose(rng, 30)} {fill(s, rng)} {prose(rng, 30)}") for k, s in enumerate(shapes)] + [(1000 + k, prose(rng, 60) + " " + " ".join(rng.choices(plain, k=40))) for k in range(60)]
+    got = {(r.doc_id, r.item_id) for r in decontam.benchmark_leaks(corpus(spark, texts), bench).collect()}
+    assert sum((k, k) in got for k in range(60)) >= 54 and got <= {(k, k) for k in range(60)}
