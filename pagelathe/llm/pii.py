@@ -1,16 +1,20 @@
 """Personal data by patterns and by bootstrapped contextual extraction.
 
-Base kinds come from fixed patterns. They seed the bootstrap: the one or two words
-before an entity are a lexical pattern; tokens with a digit that stand after the
-same words are its other instances. Spark scores the pattern-instance graph in
-rounds: a pattern's precision is the share of its occurrences in the whole corpus
-that hold known instances, its support the number of distinct known instances.
-Patterns with enough of both make their other instances known; after the last
-round such instances are reported as spans of kind `context`.
+Base kinds come from fixed patterns. They seed the bootstrap. The words around an
+entity are its lexical patterns: the word before, the two before, the word behind,
+and one before with one behind. Its other instances are what else stands in such a
+place: tokens with a digit, of any length, and runs of digit groups ('123 45 6789').
+Spark scores the pattern-instance graph in rounds, both ways: a pattern's confidence
+is the share of its occurrences in the whole corpus that hold instances, each counted
+with its confidence, its support the number of distinct instances more likely right
+than wrong; an instance's confidence is 1 for a base entity, else that at least one
+of its confident patterns is right. After the last round the instances in places of
+confident patterns are reported as spans of kind `context`. Tokens without a digit
+(names, addresses in words) are out of reach.
 
 The total occurrences of patterns are counted over all texts for every pattern
 with enough distinct instances. Workers hold those patterns if there are at most
-MOST_HELD; beyond, all word pairs are counted and joined. Both give the same counts.
+MOST_HELD; beyond, all patterns are counted and joined. Both give the same counts.
 
 Defined cases: a null text is empty; an empty text has no spans; repeated rows
 each get their result; extra columns are ignored; a null doc_id is passed on.
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, spread_join, table
 
 # Kinds in order, and what patterns match.
 KINDS = ("email", "ip", "card", "phone")
@@ -81,34 +85,63 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def patterns(before: list[str]) -> list[str]:
-    """The lexical patterns that the words before a place make."""
-    words = [w.lower().strip(EDGES) for w in before[-2:]]
-    out = [words[-1]] if words and words[-1] else []
-    return [*out, " ".join(words)] if len(words) == 2 and all(words) else out
+#: Stands for the entity in a pattern.
+SLOT = "_"
+_GROUP = re.compile(r"[0-9]+(?:[-/.][0-9]+)*")
+
+
+def patterns(before: list[str], after: list[str]) -> list[str]:
+    """The lexical patterns of a place from the two words before it and the one behind."""
+    left = [w.lower().strip(EDGES) for w in before[-2:]]
+    right = after[0].lower().strip(EDGES) if after else ""
+    out = []
+    if left and left[-1]:
+        out.append(f"{left[-1]} {SLOT}")
+        if len(left) == 2 and left[0]:
+            out.append(f"{left[0]} {left[1]} {SLOT}")
+    if right:
+        out.append(f"{SLOT} {right}")
+        if left and left[-1]:
+            out.append(f"{left[-1]} {SLOT} {right}")
+    return out
+
+
+def value_of(text: str) -> str:
+    """128 bits of an instance: values of any length have rows of one size."""
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
 def instances(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
-    """Base entities and other tokens with a digit, each with its patterns."""
+    """Base entities, tokens with a digit and runs of digit groups, each with its patterns."""
     if not base and not _DIGIT.search(text):
         return []
     found = list(_WORD.finditer(text))
     starts = [m.start() for m in found]
     taken = sorted((a, b) for _, a, b in base)
     out = []
+
+    def place(known: bool, a: int, b: int, first: int, last: int, value: str) -> None:
+        around = patterns([m[0] for m in found[max(0, first - 2) : first]], [m[0] for m in found[last + 1 : last + 2]])
+        out.append({"known": known, "start": a, "stop": b, "value": value, "patterns": around})
+
     for kind, a, b in base:
-        k = bisect_right(starts, a) - 1
-        out.append({"known": True, "start": a, "stop": b, "value": f"{kind}:{text[a:b]}", "patterns": patterns([m[0] for m in found[max(0, k - 2) : k]])})
-    t = 0
-    for k, m in enumerate(found):
-        if not _DIGIT.search(m[0]):
+        place(True, a, b, bisect_right(starts, a) - 1, bisect_right(starts, b - 1) - 1, f"{kind}{value_of(text[a:b])}")
+    t, k = 0, 0
+    while k < len(found):
+        first = k
+        k += 1
+        if not _DIGIT.search(found[first][0]):
             continue
-        core = m[0].strip(EDGES)
-        a = m.start() + m[0].find(core) if core else m.start()
+        if _GROUP.fullmatch(found[first][0]):
+            while k < len(found) and _GROUP.fullmatch(found[k][0].rstrip(EDGES)) and found[k - 1][0][-1] not in EDGES:
+                k += 1
+        head, tail = found[first], found[k - 1]
+        core = text[head.start() : tail.end()].strip(EDGES)
+        a = head.start() + text[head.start() : tail.end()].find(core)
         while t < len(taken) and taken[t][1] <= a:
             t += 1
-        if 5 <= len(core) <= 64 and not (t < len(taken) and taken[t][0] < a + len(core)):
-            out.append({"known": False, "start": a, "stop": a + len(core), "value": core, "patterns": patterns([x[0] for x in found[max(0, k - 2) : k]])})
+        if core and not (t < len(taken) and taken[t][0] < a + len(core)):
+            place(False, a, a + len(core), first, k - 1, value_of(core))
     return out
 
 
@@ -134,19 +167,19 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def count_patterns(batches: Iterator[pa.RecordBatch], held: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
-    """Occurrences of patterns before any following word, summed over a batch."""
+    """Occurrences of patterns around any word, summed over a batch."""
     for batch in batches:
         total: Counter = Counter()
         for x in batch.column("text"):
             words = [w.strip(EDGES) for w in (x.as_py() or "").lower().split()]
-            one = words[:-1]
-            two = map(" ".join, zip(words[:-2], words[1:-1], strict=True)) if len(words) > 2 else ()
-            if held is None:
-                total.update(w for w in one if w)
-                total.update(p for p in two if p[0] != " " and p[-1] != " ")
-            else:
-                total.update(filter(held.__contains__, one))
-                total.update(filter(held.__contains__, two))
+            ways = [
+                (f"{a} {SLOT}" for a in words[:-1] if a),
+                (f"{a} {b} {SLOT}" for a, b in zip(words[:-2], words[1:-1], strict=True) if a and b) if len(words) > 2 else (),
+                (f"{SLOT} {c}" for c in words[1:] if c),
+                (f"{a} {SLOT} {c}" for a, c in zip(words[:-2], words[2:], strict=True) if a and c) if len(words) > 2 else (),
+            ]
+            for way in ways:
+                total.update(way if held is None else filter(held.__contains__, way))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["pattern", "n"])
 
 
@@ -154,24 +187,25 @@ def bootstrap(docs: DataFrame, support: int, precision: float, rounds: int, most
     """docs (doc_id, text) -> scanned rows, their instances by pattern, and the patterns of high confidence."""
     found = materialize(docs.mapInArrow(scan, FOUND).withColumn("row", F.monotonically_increasing_id()))
     seen = found.select("row", F.explode("instances").alias("i")).select("row", "i.known", "i.start", "i.stop", "i.value", F.explode("i.patterns").alias("pattern"))
-    edges = seen.groupBy("pattern", "value").agg(F.max("known").alias("known"), F.count("*").alias("n"))
-    wide = edges.groupBy("pattern").agg(F.count("*").alias("values")).where(F.col("values") >= support).select("pattern")
-    wide = materialize(wide)
+    edges = materialize(seen.groupBy("pattern", "value").agg(F.max("known").alias("known"), F.count("*").alias("n")))
+    wide = materialize(edges.groupBy("pattern").agg(F.count("*").alias("values")).where(F.col("values") >= support).select("pattern"))
     held = None
     if wide.count() <= most_held:
         held = frozenset(r["pattern"] for r in wide.collect())
     counted = docs.select("text").mapInArrow(lambda it: count_patterns(it, held), "pattern string, n bigint")
     totals = counted.groupBy("pattern").agg(F.sum("n").alias("total")).join(wide, "pattern")
-    graph = materialize(edges.join(totals, "pattern"))
-    known = graph.where("known").select("value").distinct()
-    chosen = None
+    graph = materialize(spread_join(edges, totals, "pattern", "value"))
+    base = graph.where("known").select("value").distinct().withColumn("conf", F.lit(1.0))
+    sure, chosen = base, None
     for _ in range(rounds):
-        scored = graph.join(known.withColumn("is_known", F.lit(True)), "value", "left").groupBy("pattern").agg(
-            F.count_if("is_known").alias("support"), F.sum(F.when(F.col("is_known"), F.col("n")).otherwise(0)).alias("hits"), F.max("total").alias("total")
-        )
-        chosen = scored.where((F.col("support") >= support) & (F.col("hits") >= precision * F.col("total"))).select("pattern")
-        known = materialize(known.union(graph.join(chosen, "pattern").select("value")).distinct())
-    return found, seen, chosen
+        weight = F.coalesce("conf", F.lit(0.0))
+        scored = graph.join(sure, "value", "left").groupBy("pattern").agg(F.count_if(weight >= 0.5).alias("support"), F.sum(weight * F.col("n")).alias("hits"), F.max("total").alias("total"))
+        share = F.least(F.lit(1.0), F.col("hits") / F.col("total"))
+        chosen = materialize(scored.where((F.col("support") >= support) & (share >= precision)).select("pattern", share.alias("share")))
+        right = 1 - F.exp(F.sum(F.log(1 - F.least(F.lit(0.999), F.col("share")))))
+        found_out = spread_join(graph, chosen, "pattern", "value").groupBy("value").agg(right.alias("conf"))
+        sure = materialize(base.union(found_out).groupBy("value").agg(F.max("conf").alias("conf")))
+    return found, seen, chosen.select("pattern")
 
 
 def find_personal_data(docs: DataFrame, support: int = SUPPORT, precision: float = PRECISION, rounds: int = ROUNDS, most_held: int = MOST_HELD, key: str = "doc_id") -> DataFrame:
@@ -181,7 +215,7 @@ def find_personal_data(docs: DataFrame, support: int = SUPPORT, precision: float
     """
     docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found, seen, chosen = bootstrap(docs, support, precision, rounds, most_held)
-    added = seen.where("NOT known").join(chosen, "pattern").select("row", "start", "stop").distinct()
+    added = spread_join(seen.where("NOT known"), chosen, "pattern", "row").select("row", "start", "stop").distinct()
     by_row = added.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("added"))
     return found.drop("instances").join(by_row, "row", "left").drop("row").withColumnRenamed("doc_id", key).withColumn("added", F.coalesce("added", F.array().cast("array<struct<start:bigint,stop:bigint>>")))
 
