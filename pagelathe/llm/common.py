@@ -66,6 +66,11 @@ def parts_for(df: DataFrame, bytes_each: int, least: int = 1) -> int:
     return max(least, -(-input_bytes(df) // bytes_each))
 
 
+def any_names(docs: DataFrame, *needed: str) -> DataFrame:
+    """docs with names that nothing can clash with or misread, but for the needed ones; toDF(*docs.columns) brings them back."""
+    return docs.toDF(*[c if c in needed else f"column {k}" for k, c in enumerate(docs.columns)])
+
+
 #: Tasks that the rows of one join key are dealt over.
 WAYS = 32
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, spread_join, table
+from .common import any_names, materialize, spread_join, table
 
 # Kinds in order, and what patterns match.
 KINDS = ("email", "ip", "card", "phone")
@@ -247,7 +247,8 @@ def mask_texts(docs: DataFrame, most_held: int = MOST_HELD) -> DataFrame | None:
             texts = pa.array([None if x.as_py() is None else masked(x.as_py(), held.value) for x in batch.column("text")], pa.string())
             yield pa.RecordBatch.from_arrays([texts if n == "text" else c for n, c in zip(batch.schema.names, batch.columns, strict=True)], names=batch.schema.names)
 
-    return docs.mapInArrow(mask, docs.schema)
+    rows = any_names(docs, "text")
+    return rows.mapInArrow(mask, rows.schema).toDF(*docs.columns)
 
 
 def span_text(df: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import IS_SPACE, LOWER, BYTE, grams, input_bytes, materialize, mix64, powers, seeds, slices, table, text_bytes
+from .common import BYTE, IS_SPACE, LOWER, any_names, grams, input_bytes, materialize, mix64, powers, seeds, slices, table, text_bytes
 
 #: Buckets for each root of a byte of input, and the standard errors that a log ratio loses.
 LOAD, NOISE, SMOOTH, TEMPERATURE, ORDERS = 64, 4.0, 2.0, 1.0, (1,)
@@ -146,13 +146,13 @@ def weigh(batches: Iterator[pa.RecordBatch], ratios: tuple[np.ndarray, np.ndarra
         end = np.cumsum(size)
         # rounded, as sums over a batch depend on what stands before a row
         weight = np.round(total[end] - total[end - size], 3)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weight, pa.float64(), mask=size == 0)], names=[*batch.schema.names, "\0weight"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weight, pa.float64(), mask=size == 0)], names=[*batch.schema.names, "weight"])
 
 
 def weighed(docs: DataFrame, model: tuple) -> DataFrame:
-    """docs and a last column of log weights."""
+    """docs, whose names any_names() made, and a last column weight."""
     ratios, bits, orders = model
-    kinds = StructType([*docs.schema.fields, StructField("\0weight", DoubleType())])
+    kinds = StructType([*docs.schema.fields, StructField("weight", DoubleType())])
     return docs.mapInArrow(lambda it: weigh(it, ratios.value, bits, orders), kinds)
 
 
@@ -218,7 +218,7 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 7, temperature: flo
     """doc_id, weight, gumbel_key, kept: one row per row of docs."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model, good = fit(docs, labels, seed, orders)
-    rows = weighed(docs, model).toDF("doc_id", "text", "weight")
+    rows = weighed(docs, model)
     scored = materialize(rows.select("doc_id", "weight", gumbel_key(F.col("weight"), F.col("text"), seed, temperature).alias("gumbel_key")))
     least = threshold(scored.select(whole_key(F.col("gumbel_key")).alias("key")), good if fraction is None else fraction)
     kept = F.col("gumbel_key").isNull() | (whole_key(F.col("gumbel_key")) >= least if least is not None else F.lit(False))
@@ -230,14 +230,13 @@ def kept_rows(docs: DataFrame, labels: DataFrame, seed: int = 7, temperature: fl
 
     Rows are weighed once, into a table with their keys; the threshold filters that table.
     """
-    model, good = fit(docs, labels, seed, orders)
-    rows = weighed(docs, model)
-    text = F.col("text").cast("string")
-    whole = rows.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), whole_key(gumbel_key(F.col("`\0weight`"), text, seed, temperature)).alias("key"))
-    whole = materialize(whole)
+    rows = any_names(docs, "doc_id", "text")
+    model, good = fit(rows, labels, seed, orders)
+    key = whole_key(gumbel_key(F.col("weight"), F.col("text").cast("string"), seed, temperature))
+    whole = materialize(weighed(rows, model).select(*rows.columns, key.alias("key")))
     least = threshold(whole.select("key"), good if fraction is None else fraction)
     stays = F.col("key").isNull() | (F.col("key") >= least if least is not None else F.lit(False))
-    return whole.where(stays).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return whole.where(stays).drop("key").toDF(*docs.columns)
 
 
 def op4_quality_resample(spark, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,26 +167,92 @@ def test_kth_largest(spark):
     assert quality.kth_largest(df, 0) is None
 
 
+ODD = ["_row", "_weight", "_mark", "_spans", "_done", "key", "whole", "row", "cluster", "a.b", "n`c", "two words"]
+
+
+def written(spark, folder, texts, labels, items):
+    """Tables for the pipeline; documents with columns of odd names."""
+    docs = corpus(spark, texts).drop("row", "key")
+    for c in ODD:
+        docs = docs.withColumn(c, F.lit(1))
+    docs.write.parquet(str(folder / "documents.parquet"))
+    labels.write.parquet(str(folder / "labels.parquet"))
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(folder / "benchmark.parquet"))
+    return spark.read.parquet(str(folder / "documents.parquet"))
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
     rng = random.Random(6)
     texts, labels = labelled(spark, 6, 300)
     item = prose(rng, 30, 10**6)
-    texts += [(300, texts[1][1]), (301, prose(rng, 40, 500) + " " + item), (302, "mail me at a.b@c.org or +1 (386) 555-3733 now " + prose(rng, 40, 500)), (303, None), (304, "")]
-    corpus(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
-    labels.write.parquet(str(tmp_path / "labels.parquet"))
-    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    mail = "mail me at a.b@c.org or +1 (386) 555-3733 now " + prose(rng, 40, 500)
+    texts += [(300, texts[1][1]), (301, prose(rng, 40, 500) + " " + item), (302, mail), (303, None), (304, ""), (305, prose(rng, 60_000, 500))]
+    texts += [(2, texts[2][1])] * 3 + [(None, prose(rng, 40, 500) + " " + item), (None, prose(rng, 40, 500))]
+    docs = written(spark, tmp_path, texts, labels, [(1, item)])
     left = docs
     for name, stage in p.STAGES[:-1]:
         left = stage(spark, left, str(tmp_path))
         assert left.columns == docs.columns, name
-    kept = {r.doc_id: r for r in left.collect()}
+    rows = left.collect()
+    kept = {r.doc_id: r for r in rows}
     assert not {300, 301} & set(kept) and 1 in kept
+    assert [r.doc_id for r in rows].count(2) == 1 and [r.doc_id for r in rows].count(None) == 1
     assert kept[302].text.startswith("mail me at <EMAIL> or <PHONE> now ") and kept[302].n_chars == len(kept[302].text)
-    assert {303, 304} <= set(kept)
+    assert {303, 304, 305} <= set(kept) and kept[305].text == texts[305][1]
     assert sorted(map(str, p.mask_by_join(docs).collect())) == sorted(map(str, p.mask_personal_data(spark, docs, str(tmp_path)).collect()))
     out = p.run(spark, str(tmp_path))
     assert {r.doc_id for r in out.select("doc_id").collect()} == set(kept)
-    assert out.where(~F.col("round_trip")).count() == 0
+    assert out.where(~F.col("round_trip")).count() == 0 and out.where("doc_id = 1 AND size(others) = 3").count() == 1
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline as p
+
+    none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    docs = written(spark, tmp_path, [], none, [])
+    for name, stage in p.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0 and (name == p.STAGES[-1][0] or out.columns == docs.columns), name
+
+
+def brute_weights(texts, labels, bits):
+    """Weights and the share of good labels by plain dictionaries over the same buckets."""
+    found = [set(f.tolist()) for t in texts for f in quality.features(*quality.text_bytes(pa.array([t], pa.string())), bits)]
+    good = {i for i, q, bad in labels if q == 1 and not bad}
+    every, target = Counter(b for f in found for b in f), Counter(b for i, f in enumerate(found) if i in good for b in f)
+    median = lambda x: sorted(x)[(len(x) - 1) // 2]
+    scale = median([target[b] / n for b, n in every.items() if n >= median(every.values())])
+    out = []
+    for f in found:
+        total = 0.0
+        for b in f:
+            expected = every[b] * scale
+            ratio = math.log((target[b] + quality.SMOOTH) / (expected + quality.SMOOTH))
+            total += math.copysign(max(0.0, abs(ratio) - quality.NOISE / math.sqrt(expected + 1)), ratio)
+        out.append(total)
+    return out
+
+
+def test_quality_against_brute_force(spark):
+    texts, labels = labelled(spark, 7, 400)
+    rows = [tuple(r) for r in labels.collect()]
+    docs = corpus(spark, texts)
+    got = {r.doc_id: r for r in quality.resample(docs, labels).collect()}
+    want = brute_weights([t for _, t in texts], rows, quality.bucket_bits(docs.select("doc_id", "text")))
+    assert max(abs(got[i].weight - w) for i, w in enumerate(want)) < 0.01
+    k = round(sum(not bad for _, _, bad in rows) / len(rows) * len(texts))
+    keys = sorted((r.gumbel_key for r in got.values()), reverse=True)
+    assert {i for i, r in got.items() if r.kept} == {i for i, r in got.items() if round(r.gumbel_key * 1e6) >= round(keys[k - 1] * 1e6)}
+
+
+def test_gumbel_noise_decides(spark):
+    """At temperature 1 the noise, at 0.001 the weights decide; equal rows stay or go together."""
+    rng = random.Random(5)
+    texts, labels = labelled(spark, 3, 300)
+    docs = corpus(spark, texts + [texts[1]] * 3)
+    hot = {r.doc_id: r.kept for r in quality.resample(docs, labels, temperature=1000.0, fraction=0.5).collect()}
+    cold = quality.resample(docs, labels, temperature=0.001, fraction=0.5).collect()
+    assert sum(hot[i] for i in hot if i % 5 == 0) > 15 and sum(r.kept for r in cold if r.doc_id % 5 == 0) <= 2
+    assert len({r.kept for r in cold if r.doc_id == 1}) == 1 and rng
