@@ -48,8 +48,8 @@ base AS ({_spans(0, _ASSIGN, 1, "length(v) >= 6")} UNION ALL {_spans(1, "AKIA[A-
 tokens AS ({_spans(3, "[A-Za-z0-9+/_=-]{16,}", 0, "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')")}),
 free AS (SELECT * FROM tokens t WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = t.r AND b.a < t.b AND t.a < b.b)),
 held AS (SELECT * FROM base UNION ALL SELECT * FROM free),
-owners AS (SELECT v, count(DISTINCT coalesce(owner, chr(0))) AS n_owners FROM held GROUP BY v),
-judged AS (SELECT *, n_owners <= 2 AS live, ['assign', 'access', 'hex', 'owner'][kind + 1] || ':' || a::BIGINT || ':' || b::BIGINT AS s FROM held JOIN owners USING (v)),
+owners AS (SELECT v, count(DISTINCT coalesce(owner, chr(0))) AS n_owners, count(DISTINCT coalesce(repo, -1)) AS n_repos FROM held GROUP BY v),
+judged AS (SELECT *, n_owners <= 2 AND n_repos <= 10 AS live, ['assign', 'access', 'hex', 'owner'][kind + 1] || ':' || a::BIGINT || ':' || b::BIGINT AS s FROM held JOIN owners USING (v)),
 per AS (SELECT r, count_if(kind = 0) AS n_assign, count_if(kind = 1) AS n_access, count_if(kind = 2) AS n_hex,
   string_agg(s, ',' ORDER BY a, kind) FILTER (kind < 3) AS base, string_agg(s, ',' ORDER BY a, kind) FILTER (kind < 3 OR live) AS spans,
   count_if(kind < 3 AND live) AS n_live, count_if(kind < 3 AND NOT live) AS n_shared FROM judged GROUP BY r)
