@@ -72,7 +72,7 @@ def any_names(docs: DataFrame, *needed: str) -> DataFrame:
 
 
 #: Tasks that the rows of one join key are dealt over.
-WAYS = 32
+WAYS = 16
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str | list[str], by: str, ways: int = WAYS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Each round is two groupings and two joins over the edges, written to the shared
 folder; nothing is collected but one row of counts. A node of any degree is
-handled by partial aggregation and by joins that adaptive execution can split.
+handled by partial aggregation and by joins whose hot keys are dealt over tasks.
 """
 
 from __future__ import annotations
@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, spread_join
 
 
 def large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m"))
-    joined = both.join(low, "u").where("v > u")
+    joined = spread_join(both.where("v > u"), low, "u", "v", 8)
     return joined.select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 

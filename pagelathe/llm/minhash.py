@@ -190,11 +190,11 @@ def cells(placed: DataFrame, percent: int) -> DataFrame:
     """(pivot, cls, root, n_shingles) of pivots with several components -> rows of cells.
 
     A zone holds sizes within a factor of percent / 100, so a link never skips a zone.
-    A zone of n classes has blocks of 4 * sqrt(n), BLOCK at most. Every two blocks of
+    A zone of n classes has blocks of 16 * sqrt(n), from 512 to BLOCK. Every two blocks of
     a zone (next 0), and of a zone and the next (next 1), are one cell.
     """
     zoned = placed.withColumn("zone", F.floor(F.log("n_shingles") / math.log(100 / percent) + 1e-9).cast("int"))
-    block = F.least(F.lit(float(BLOCK)), F.greatest(F.lit(64.0), 4 * F.sqrt("n")))
+    block = F.least(F.lit(float(BLOCK)), F.greatest(F.lit(512.0), 16 * F.sqrt("n")))
     counts = zoned.groupBy("pivot", "zone").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n"))
     mixed = counts.groupBy("pivot").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.map_from_entries(F.collect_list(F.struct("zone", F.ceil(F.col("n") / block).cast("int").alias("k")))).alias("blocks"))
     rest = spread_join(zoned, mixed.where("a <> b").select("pivot", "blocks"), "pivot", "cls").where("cls <> pivot")
