@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
+import functools
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 # Guards before and after a number, the patterns, and which kind wins.
 BEFORE = r"(?<![\p{L}\p{N}./-])"
@@ -17,8 +24,6 @@ PATTERNS = {
     "telefone": BEFORE + r"(?:(?:\+55\s?)?\(\d{2}\)\s?9?\d{4}[\s-]?\d{4}|\+55\s?\d{2}\s?9?\d{4}[\s-]?\d{4}|\d{2}\s9\d{4}-\d{4}|9\d{4}-\d{4}|[2-5]\d{3}-\d{4})" + AFTER,
 }
 PRIORITY = ("cpf", "cnpj", "cartao", "email", "cep", "telefone")
-#: A cheap test that a text may hold the kind at all.
-HINT = {"cpf": "[0-9]", "cnpj": "[0-9]", "cartao": "[0-9]{4}", "email": "@", "cep": "[0-9]{3}", "telefone": "[0-9]{4}"}
 SPECIAL_SPACES = "   "
 
 
@@ -68,39 +73,91 @@ def valid_phone(text: Column) -> Column:
     return F.coalesce((code == "") | F.substring(digits(F.regexp_replace(code, r"\+55", "")), 1, 2).rlike("^[1-9]{2}$"), F.lit(False))
 
 
-VALID = {"cpf": valid_cpf, "cnpj": valid_cnpj, "cartao": valid_card, "telefone": valid_phone}
-_SPAN = "array<struct<start:int,stop:int,type:string,value:string>>"
+# --- spans of a text ---------------------------------------------------------
+# One pass over Arrow batches: the cost is linear in the text and in its matches.
+
+
+def _mod11(text: str, weights: list[int]) -> int:
+    return sum((ord(c) - 48) * w for c, w in zip(text, weights, strict=False)) % 11
+
+
+def _cpf(text: str) -> bool:
+    d = "".join(c for c in text if c in DIGITS)
+    right = lambda n: _mod11(d, list(range(n + 1, 1, -1))) * 10 % 11 % 10 == int(d[n])
+    return len(d) == 11 and len(set(d)) > 1 and right(9) and right(10)
+
+
+def _cnpj(text: str) -> bool:
+    c = text.upper().translate({ord(x): None for x in "./-"})
+    weights = [6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]
+
+    def right(n: int) -> bool:
+        rest = _mod11(c, weights[-n:])
+        return int(c[n]) == (0 if rest < 2 else 11 - rest)
+
+    return len(c) == 14 and all(x in DIGITS for x in c[12:]) and len(set(c)) > 1 and right(12) and right(13)
+
 
+def _card(text: str) -> bool:
+    d = [int(c) for c in reversed(text) if c in DIGITS]
+    return 13 <= len(d) <= 19 and sum(x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(d)) % 10 == 0
 
-def _matches(text: Column, original: Column, kind: str) -> Column:
-    """Valid matches of one kind with offsets: gaps of `split` and matches alternate."""
-    pattern = PATTERNS[kind]
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.arrays_zip(found.alias("m"), F.split(text, pattern, -1).alias("g"))
-    empty = F.array().cast(_SPAN)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
-        stop = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        span = F.struct(start.alias("start"), stop.alias("stop"), F.lit(kind).alias("type"), original.substr(start + 1, stop - start).alias("value"))
-        good = x["m"].isNotNull() & (VALID[kind](x["m"]) if kind in VALID else F.lit(True))
-        return F.struct(stop.alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+def _phone(text: str) -> bool:
+    code = _AREA.search(text)
+    return code is None or "0" not in next(x for x in code.groups() if x)
 
-    all_ = F.aggregate(both, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
-    return F.when(text.rlike(HINT[kind]) & text.rlike(pattern), all_).otherwise(empty)
+
+DIGITS = "0123456789"
+_AREA = re.compile(r"\((\d{2})\)|\+55\s?(\d{2})|^(\d{2})\s", re.A)
+_VALID = {"cpf": _cpf, "cnpj": _cnpj, "cartao": _card, "telefone": _phone}
+_SPAN = ArrayType(StructType([StructField("start", IntegerType()), StructField("stop", IntegerType()), StructField("type", StringType()), StructField("value", StringType())]))
+_ARROW = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("type", pa.string()), ("value", pa.string())])
+_HAS_DIGIT, _HAS_MAIL = re.compile("[0-9]{3}"), re.compile("@")
+
+
+@functools.cache
+def _compiled() -> list[tuple]:
+    import regex  # lookbehinds of several lengths
+
+    classes = lambda p: p.replace(r"\d", "[0-9]").replace(r"[\s", r"[ \t\n\x0B\f\r").replace(r"\s", r"[ \t\n\x0B\f\r]")
+    return [(k, _HAS_MAIL if k == "email" else _HAS_DIGIT, regex.compile(classes(PATTERNS[k]))) for k in PRIORITY]
+
+
+def spans_of(text: str) -> list[tuple[int, int, str]]:
+    """(start, stop, type) by start: a kind earlier in PRIORITY wins an overlap, one that loses or fails its check blocks nobody."""
+    plain = text.translate(_AS_BLANK) if not text.isascii() else text
+    starts: list[int] = []
+    kept: list[tuple[int, int, str]] = []
+    for kind, hint, pattern in _compiled():
+        if not hint.search(plain):
+            continue
+        for m in pattern.finditer(plain):
+            a, b = m.span()
+            k = bisect.bisect_left(starts, b)  # those before begin ahead of its end
+            if k and kept[k - 1][1] > a or kind in _VALID and not _VALID[kind](m[0]):
+                continue
+            starts.insert(k, a)
+            kept.insert(k, (a, b, kind))
+    return kept
+
+
+_AS_BLANK = {ord(c): " " for c in SPECIAL_SPACES}
 
 
 def find_sensitive(text: Column) -> Column:
-    """array<struct<start, stop, type, value>> by start, without overlaps.
+    """array<struct<start, stop, type, value>> by start, without overlaps; null of a null text.
 
     A kind earlier in PRIORITY wins an overlap; a match that loses or fails its
     check blocks nobody.
     """
-    plain = F.translate(text, SPECIAL_SPACES, "   ")
-    ordered = F.concat(*[_matches(plain, text, kind) for kind in PRIORITY])
-    keep = F.aggregate(
-        ordered,
-        F.array().cast(_SPAN),
-        lambda acc, s: F.when(F.exists(acc, lambda o: (s["start"] < o["stop"]) & (o["start"] < s["stop"])), acc).otherwise(F.concat(acc, F.array(s))),
-    )
-    return F.array_sort(keep)
+    return _find(text)
+
+
+@F.arrow_udf(_SPAN)
+def _find(texts: pa.Array) -> pa.Array:
+    found = [None if t is None else [(a, b, kind, t[a:b]) for a, b, kind in spans_of(t)] for t in texts.to_pylist()]
+    rows = [dict(zip(("start", "stop", "type", "value"), r, strict=True)) for x in found if x for r in x]
+    ends = np.concatenate([[0], np.cumsum([len(x or ()) for x in found])]).astype(np.int32)
+    gone = pa.array([x is None for x in found])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows, _ARROW), mask=gone)

@@ -77,17 +77,17 @@ def newest_objects(entries: DataFrame) -> DataFrame:
 def reachable(roots: DataFrame, refs: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """Nodes (doc_id, num) reached from roots along refs (doc_id, src, dst); cycles are fine.
 
-    A frontier loop: each round joins only the nodes found last; what is known is
-    written out, so the plan does not grow.
+    A frontier loop: each round joins only the nodes found last and writes only what
+    is new, so neither the plan nor what is written grows with the rounds.
     """
-    seen = roots.select("doc_id", "num").distinct().transform(cut)
-    front = seen
+    front = roots.select("doc_id", "num").distinct().transform(cut)
+    seen = front
     for _ in range(most_rounds):
         step = front.join(refs.select("doc_id", F.col("src").alias("num"), "dst"), ["doc_id", "num"]).select("doc_id", F.col("dst").alias("num")).distinct()
         front = step.join(seen, ["doc_id", "num"], "left_anti").transform(cut)
         if front.isEmpty():
             return seen
-        seen = cut(seen.union(front))
+        seen = seen.union(front)
     raise RuntimeError("reachability did not end")
 
 

@@ -83,10 +83,13 @@ def nearest_label(fields: DataFrame, pieces: DataFrame) -> DataFrame:
 
     fields: page_id, field_no, x0..y1; pieces: page_id, piece_no, str, x0..y1.
     """
+    tall = 0.25
     f, p = (lambda c: F.col(f"f.{c}")), (lambda c: F.col(f"p.{c}"))
+    fields = fields.withColumn("band", F.explode(F.sequence(F.floor((F.col("y0") - tall) / tall), F.floor(F.col("y1") / tall))))
+    pieces = pieces.withColumn("band", F.floor((F.col("y0") + F.col("y1")) / 2 / tall))
     middle = (p("y0") + p("y1")) / 2
     left = (middle > f("y0")) & (middle < f("y1")) & (p("x1") <= f("x0")) & (f("x0") - p("x1") <= 0.25)
     above = (p("y1") <= f("y0")) & (f("y0") - p("y1") <= 0.25) & (p("x0") < f("x1")) & (f("x0") < p("x1"))
-    pairs = fields.alias("f").join(pieces.alias("p"), (f("page_id") == p("page_id")) & (left | above))
+    pairs = fields.alias("f").join(pieces.alias("p"), (f("page_id") == p("page_id")) & (f("band") == p("band")) & (left | above))
     rank = F.struct(F.when(left, 0).otherwise(1), F.when(left, f("x0") - p("x1")).otherwise(f("y0") - p("y1")), p("piece_no"))
     return pairs.groupBy(f("page_id"), f("field_no")).agg(F.min_by(p("str"), rank).alias("label"))

@@ -2,29 +2,21 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import personal
 from ..lineage import cut
 
-#: Ancestors looked at: pointers double in each round.
-DEPTH_ROUNDS = 8
-_SPLIT_LEFT, _SPLIT_RIGHT = re.compile(r"\d$"), re.compile(r"^[./-]\d")
-_OPEN_LEFT, _OPEN_RIGHT = re.compile(r"\d[./-]$"), re.compile(r"^\d")
-
-
-def inherit(rows: DataFrame, key: str, parent: str, values: list[str], rounds: int = DEPTH_ROUNDS) -> DataFrame:
+def inherit(rows: DataFrame, key: str, parent: str, values: list[str]) -> DataFrame:
     """key and values, each null filled from the nearest ancestor that has one.
 
-    Pointer doubling: round k knows what 2**k ancestors give, so depth 2**rounds
-    takes `rounds` equi-joins, each written out; a cycle ends with the rounds.
+    Pointer doubling: round k knows what 2**k ancestors give, so a chain of n rows
+    takes log2(n) equi-joins, each written out. Longer than all rows no chain is:
+    what is still going on then is a cycle, and ends.
     """
     now = rows.select(key, F.col(parent).alias("_up"), *values)
-    for _ in range(rounds):
+    for _ in range(max(1, rows.count()).bit_length() + 1):
         now = cut(now)
         if now.where("_up IS NOT NULL").isEmpty():
             break
@@ -43,54 +35,68 @@ def locked_fields(fields: DataFrame, rules: DataFrame) -> DataFrame:
     return fields.alias("f").join(rules.alias("r"), (F.col("f.doc_id") == F.col("r.doc_id")) & hit, "left_semi")
 
 
+#: Heights of the bands that pages are cut into, so that a range join meets neighbours only.
+BAND = 0.05
+
+
+def bands(low, high):
+    """The bands from low to high."""
+    return F.sequence(F.floor(low / BAND), F.floor(high / BAND))
+
+
 def target_at(points: DataFrame, boxes: DataFrame, slack: float = 0.35) -> DataFrame:
     """points (page_id, point_no, x, y), boxes (page_id, box_no, x0..y1) -> the nearest box within slack heights."""
     away = lambda at, low, high: F.greatest(F.col(low) - F.col(at), F.col(at) - F.col(high), F.lit(0.0))
     dx, dy = away("p.x", "b.x0", "b.x1"), away("p.y", "b.y0", "b.y1")
-    near = points.alias("p").join(boxes.alias("b"), (F.col("p.page_id") == F.col("b.page_id")) & (F.greatest(dx, dy) <= slack * (F.col("b.y1") - F.col("b.y0"))))
+    reach = slack * (F.col("y1") - F.col("y0"))
+    banded = boxes.withColumn("band", F.explode(bands(F.col("y0") - reach, F.col("y1") + reach)))
+    here = points.withColumn("band", F.floor(F.col("y") / BAND))
+    near = here.alias("p").join(banded.alias("b"), (F.col("p.page_id") == F.col("b.page_id")) & (F.col("p.band") == F.col("b.band")) & (F.greatest(dx, dy) <= slack * (F.col("b.y1") - F.col("b.y0"))))
     rank = F.struct((dx * dx + dy * dy).alias("d"), F.col("b.box_no").alias("n"))
     return near.groupBy("p.page_id", "p.point_no").agg(F.min_by("b.box_no", rank).alias("box_no"))
 
 
-def piece_lines(pieces: pd.DataFrame) -> pd.DataFrame:
-    """Pieces of a page -> its lines: text, and for each letter the piece and place (-1: an inserted blank)."""
-    wide, tall = float(pieces["width"].iloc[0]), float(pieces["height"].iloc[0])
-    rows = sorted((r for r in pieces.itertuples() if r.str), key=lambda r: (r.y0 + r.y1, r.xs[0]))
-    lines: list[dict] = []
-    for r in rows:
-        middle, own = (r.y0 + r.y1) / 2, None if pd.isna(r.line) else int(r.line)
-        fits = (x for x in lines if (x["id"] == own if own is not None else x["id"] is None and x["y0"] < middle < x["y1"]))
-        line = next(fits, None)
-        if line is None:
-            line = {"id": own, "y0": r.y0, "y1": r.y1, "rows": []}
-            lines.append(line)
-        line["y0"], line["y1"] = min(line["y0"], r.y0), max(line["y1"], r.y1)
-        line["rows"].append(r)
-    out = []
-    for k, line in enumerate(lines):
-        text, places, before = "", [], None
-        for r in sorted(line["rows"], key=lambda r: r.xs[0]):
-            if before is not None:
-                gap = (r.xs[0] - before.xs[-1]) * wide
-                height = tall * (line["y1"] - line["y0"] if line["id"] is None else max(r.y1 - r.y0, before.y1 - before.y0))
-                cut = bool(_SPLIT_LEFT.search(before.str) and _SPLIT_RIGHT.search(r.str) or _OPEN_LEFT.search(before.str) and _OPEN_RIGHT.search(r.str))
-                if gap > 0.2 * height and not (cut and gap < 1.5 * height) and not text[-1:].isspace() and not r.str[0].isspace():
-                    text += " "
-                    places.append((-1.0, -1.0, 0.0, 0.0))
-            text += r.str
-            places += [(r.xs[i], r.xs[i + 1], r.y0, r.y1) for i in range(len(r.str))]
-            before = r
-        out.append((int(pieces["page_id"].iloc[0]), k, text, [[float(v) for v in p] for p in places]))
-    return pd.DataFrame(out, columns=["page_id", "line_no", "text", "places"])
+#: Letters that a number may go on with in the next piece.
+_GOES_ON = ((r"\d$", r"^[./-]\d"), (r"\d[./-]$", r"^\d"))
 
 
-def find_in_pieces(pieces: DataFrame) -> DataFrame:
-    """pieces (page_id, str, xs, y0, y1, line, width, height) -> page_id, type, value and the box of each finding.
+def piece_lines(pieces: DataFrame) -> DataFrame:
+    """pieces (page_id, str, xs, y0, y1, line, width, height) -> page_id, line_no, text, and for each letter its place (-1: an inserted blank).
 
-    Lines are folded a page at a time; the search itself is native.
+    Pieces with a line number of their own make those lines. The others are islands:
+    in order of their middles a piece opens a line where everything before it on the
+    page has ended above its middle.
     """
-    lines = pieces.groupBy("page_id").applyInPandas(piece_lines, "page_id bigint, line_no int, text string, places array<array<double>>")
-    found = lines.select("page_id", "line_no", "places", F.explode(personal.find_sensitive(F.col("text"))).alias("f"))
+    middle = (F.col("y0") + F.col("y1")) / 2
+    full = pieces.where("str <> ''").withColumn("middle", middle).withColumn("x", F.get("xs", F.lit(0))).withColumn("stop", F.element_at("xs", -1))
+    group = Window.partitionBy("page_id", "line")
+    down = group.orderBy("middle", "x", "str")
+    reach = F.max("y1").over(down.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(F.col("line").isNull() & (F.coalesce(reach, F.lit(float("-inf"))) <= F.col("middle")), 1).otherwise(0)
+    island = full.withColumn("opens", opens).withColumn("island", F.sum("opens").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    line = Window.partitionBy("page_id", "line", "island")
+    across = line.orderBy("x", "middle", "str")
+    before = lambda c: F.lag(c).over(across)
+    tall = F.max("y1").over(line) - F.min("y0").over(line)
+    set_ = island.select("*", tall.alias("tall"), before("str").alias("prior"), before("stop").alias("prior_stop"), (before("y1") - before("y0")).alias("prior_tall"), F.min(F.struct("middle", "x", "str")).over(line).alias("first"))
+    gap = (F.col("x") - F.col("prior_stop")) * F.col("width")
+    height = F.col("height") * F.when(F.col("line").isNull(), F.col("tall")).otherwise(F.greatest(F.col("y1") - F.col("y0"), "prior_tall"))
+    goes_on = F.lit(False)
+    for left, right in _GOES_ON:
+        goes_on = goes_on | (F.col("prior").rlike(left) & F.col("str").rlike(right))
+    blank = (gap > 0.2 * height) & ~(goes_on & (gap < 1.5 * height)) & ~F.col("prior").rlike(r"\s$") & ~F.col("str").rlike(r"^\s")
+    place = F.transform(F.sequence(F.lit(0), F.length("str") - 1), lambda i: F.array(F.get("xs", i), F.get("xs", i + 1), F.col("y0"), F.col("y1")))
+    none = F.array(F.array(F.lit(-1.0), F.lit(-1.0), F.lit(0.0), F.lit(0.0)))
+    parted = F.coalesce(blank, F.lit(False))
+    done = set_.select("page_id", "line", "island", "first", "x", "middle", F.when(parted, F.concat(F.lit(" "), "str")).otherwise(F.col("str")).alias("part"), F.when(parted, F.concat(none, place)).otherwise(place).alias("place"))
+    lines = done.groupBy("page_id", "line", "island").agg(F.min("first").alias("first"), F.array_sort(F.collect_list(F.struct("x", "middle", "part", "place"))).alias("p"))
+    number = F.row_number().over(Window.partitionBy("page_id").orderBy("first")) - 1
+    return lines.select("page_id", number.alias("line_no"), F.array_join("p.part", "").alias("text"), F.flatten("p.place").alias("places"))
+
+
+def find_in_pieces(pieces: DataFrame) -> DataFrame:
+    """pieces as in piece_lines -> page_id, line_no, type, value, start and the box of each finding."""
+    found = piece_lines(pieces).select("page_id", "line_no", "places", F.explode(personal.find_sensitive(F.col("text"))).alias("f"))
     real = F.filter(F.slice("places", F.col("f.start") + 1, F.col("f.stop") - F.col("f.start")), lambda p: p[0] >= 0)
     side = lambda pick, i: pick(F.transform(real, lambda p: p[i]))
     return found.select("page_id", "line_no", "f.start", "f.type", "f.value", side(F.array_min, 0).alias("x0"), side(F.array_min, 2).alias("y0"), side(F.array_max, 1).alias("x1"), side(F.array_max, 3).alias("y1"))

@@ -39,16 +39,16 @@ words AS (
 
 
 def rects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two rectangles on every third page, one of them with a replacement text."""
-    docs = load(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("page_id"))
+    """Two rectangles on every page, one of them with a replacement text."""
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"))
     one = docs.select("page_id", F.lit(0).alias("rect_no"), F.lit(0.2).alias("x0"), F.lit(0.004).alias("y0"), F.lit(0.4).alias("x1"), F.lit(0.0301).alias("y1"), F.lit(None).cast("string").alias("text"))
     two = docs.select("page_id", F.lit(1).alias("rect_no"), F.lit(0.61).alias("x0"), F.lit(0.05).alias("y0"), F.lit(0.62).alias("x1"), F.lit(0.0525).alias("y1"), F.lit("the").alias("text"))
     return one.union(two)
 
 
 RECTS = """rects AS (
-  SELECT doc_id AS page_id, 0 AS rect_no, 0.2::DOUBLE AS x0, 0.004::DOUBLE AS y0, 0.4::DOUBLE AS x1, 0.0301::DOUBLE AS y1, NULL AS text FROM documents WHERE doc_id % 3 = 0
-  UNION ALL SELECT doc_id, 1, 0.61, 0.05, 0.62, 0.0525, 'the' FROM documents WHERE doc_id % 3 = 0)"""
+  SELECT doc_id AS page_id, 0 AS rect_no, 0.2::DOUBLE AS x0, 0.004::DOUBLE AS y0, 0.4::DOUBLE AS x1, 0.0301::DOUBLE AS y1, NULL AS text FROM documents
+  UNION ALL SELECT doc_id, 1, 0.61, 0.05, 0.62, 0.0525, 'the' FROM documents)"""
 
 
 def taxpayers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,7 +45,8 @@ def pii_values(spark, sf_dir):
 
 @query(f"WITH {_FOUND} SELECT type, count(*) AS n_found, count(DISTINCT value) AS n_values, count(DISTINCT doc_id) AS n_docs FROM found GROUP BY type")
 def pii_summary_by_type(spark, sf_dir):
-    return findings(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n_found"), F.count_distinct("value").alias("n_values"), F.count_distinct("doc_id").alias("n_docs"))
+    once = findings(spark, sf_dir).groupBy("type", "value", "doc_id").agg(F.count("*").alias("n"))
+    return once.groupBy("type").agg(F.sum("n").alias("n_found"), F.count_distinct("value").alias("n_values"), F.count_distinct("doc_id").alias("n_docs"))
 
 
 @query(f"WITH {base.TAXPAYERS} SELECT c_custkey, cpf, {base.CPF_OK} AS valid FROM taxpayers")
@@ -127,11 +128,11 @@ def doc_type_titles(spark, sf_dir):
 
 @query(
     """SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(substr(regexp_replace(regexp_replace(regexp_replace(
- translate(lower(substr(text, 1, 60)), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9_-]+', '-', 'g'), '-{2,}', '-', 'g'), '^[-_]+|[-_]+$', '', 'g'), 1, 50),
+ translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9_-]+', '-', 'g'), '-{2,}', '-', 'g'), '^[-_]+|[-_]+$', '', 'g'), 1, 50),
  '-{2,}', '-', 'g'), '^[-_]+|[-_]+$', '', 'g'), ''), 'documento') AS name FROM documents"""
 )
 def safe_name(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", names.safe_name(F.substring("text", 1, 60)).alias("name"))
+    return load(spark, sf_dir, "documents").select("doc_id", names.safe_name(F.col("text")).alias("name"))
 
 
 _FILES = ["IMG_4521.jpg", "contrato.v2.docx", "2026-11-20 10.10.10.png", "scan01.pdf", "Conta de Luz Março.pdf"]
@@ -347,14 +348,14 @@ def redact_group_rects(spark, sf_dir):
 
 
 @query(
-    f"""WITH {base.WORDS}, f AS (SELECT * FROM words WHERE word_no % 11 = 5),
+    f"""WITH {base.WORDS}, f AS (SELECT * FROM words WHERE text LIKE '%.'),
 j AS (SELECT f.page_id, f.word_no AS field_no, p.text, p.word_no, (p.y0 + p.y1) / 2 > f.y0 AND (p.y0 + p.y1) / 2 < f.y1 AND p.x1 <= f.x0 AND f.x0 - p.x1 <= 0.25 AS isleft, f.x0 - p.x1 AS dx, f.y0 - p.y1 AS dy,
  p.y1 <= f.y0 AND f.y0 - p.y1 <= 0.25 AND p.x0 < f.x1 AND f.x0 < p.x1 AS isabove FROM f JOIN words p USING (page_id))
 SELECT page_id, field_no::INTEGER AS field_no, arg_min(text, [CASE WHEN isleft THEN 0 ELSE 1 END, CASE WHEN isleft THEN dx ELSE dy END, word_no]) AS label FROM j WHERE isleft OR isabove GROUP BY ALL"""
 )
 def nearest_label(spark, sf_dir):
     w = base.words(spark, sf_dir)
-    return reading.nearest_label(w.where("word_no % 11 = 5").withColumnRenamed("word_no", "field_no"), w.withColumnsRenamed({"word_no": "piece_no", "text": "str"}))
+    return reading.nearest_label(w.where("text LIKE '%.'").withColumnRenamed("word_no", "field_no"), w.withColumnsRenamed({"word_no": "piece_no", "text": "str"}))
 
 
 # --- rectangles --------------------------------------------------------------
@@ -589,13 +590,13 @@ def locked_fields(spark, sf_dir):
 
 
 @query(
-    f"""WITH {base.WORDS}, p AS (SELECT page_id, word_no AS point_no, x1 + 0.001::DOUBLE AS x, y0 + 0.001::DOUBLE AS y FROM words WHERE word_no % 13 = 4),
+    f"""WITH {base.WORDS}, p AS (SELECT page_id, word_no AS point_no, x1 + 0.001::DOUBLE AS x, y0 + 0.001::DOUBLE AS y FROM words WHERE text LIKE '%,'),
 d AS (SELECT p.page_id, p.point_no, w.word_no, greatest(w.x0 - p.x, p.x - w.x1, 0.0) AS dx, greatest(w.y0 - p.y, p.y - w.y1, 0.0) AS dy, w.y1 - w.y0 AS h FROM p JOIN words w USING (page_id))
 SELECT page_id, point_no::INTEGER AS point_no, arg_min(word_no, [dx * dx + dy * dy, word_no])::INTEGER AS box_no FROM d WHERE greatest(dx, dy) <= 0.35::DOUBLE * h GROUP BY ALL"""
 )
 def target_at_point(spark, sf_dir):
     w = base.words(spark, sf_dir)
-    points = w.where("word_no % 13 = 4").select("page_id", F.col("word_no").alias("point_no"), (F.col("x1") + 0.001).alias("x"), (F.col("y0") + 0.001).alias("y"))
+    points = w.where("text LIKE '%,'").select("page_id", F.col("word_no").alias("point_no"), (F.col("x1") + 0.001).alias("x"), (F.col("y0") + 0.001).alias("y"))
     return structure.target_at(points, w.withColumnRenamed("word_no", "box_no"))
 
 
@@ -606,13 +607,15 @@ def form_dates(spark, sf_dir):
     return o.select("o_orderkey", dates.print_date(F.col("o_orderdate"), "dd/mm/yyyy").alias("shown"), F.date_format(dates.read_date(typed), "yyyy-MM-dd").alias("read"))
 
 
-@query()
+@query(
+    f"""WITH {base.WORDS}, lines AS (SELECT page_id * 1000000 + word_no // 8 AS doc_id, string_agg(text, ' ' ORDER BY word_no) AS text FROM words GROUP BY ALL), {_FOUND.replace("FROM documents", "FROM lines")}
+SELECT doc_id // 1000000 AS page_id, (doc_id % 1000000)::INTEGER AS line_no, type, value, count(*) AS n FROM found GROUP BY ALL"""
+)
 def find_in_pieces(spark, sf_dir):
-    w = base.words(spark, sf_dir).where(F.col("text").rlike("[0-9@]"))
     n = F.length("text")
     xs = F.transform(F.sequence(F.lit(0), n), lambda i: F.col("x0") + (F.col("x1") - F.col("x0")) * i / n)
-    pieces = w.select("page_id", F.col("text").alias("str"), xs.alias("xs"), "y0", "y1", F.lit(None).cast("int").alias("line"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
-    return structure.find_in_pieces(pieces).select("page_id", "line_no", "start", "type", "value")
+    pieces = base.words(spark, sf_dir).select("page_id", F.col("text").alias("str"), xs.alias("xs"), "y0", "y1", F.lit(None).cast("int").alias("line"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
+    return structure.find_in_pieces(pieces).groupBy("page_id", "line_no", "type", "value").agg(F.count("*").alias("n"))
 
 
 def queries() -> dict:

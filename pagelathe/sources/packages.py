@@ -36,14 +36,24 @@ def decode_text(data: bytes) -> str:
     return data.decode("utf-8", "replace")
 
 
+#: Bytes that are unpacked at a time.
+PIECE = 256
+
+
 def inflate(data: bytes, limit: int, raw: bool = True, lenient: bool = False) -> bytes:
     """Unpacked data; an error as soon as it passes the limit. Lenient: what was readable of damaged data."""
-    engine, out = zlib.decompressobj(-15 if raw else 15), b""
+    engine, parts, size = zlib.decompressobj(-15 if raw else 15), [], 0
     try:
-        out = engine.decompress(data, limit + 1)
+        # in pieces, so that what came before the damage is kept
+        for at in range(0, len(data), PIECE):
+            parts.append(engine.decompress(data[at : at + PIECE], limit + 1 - size))
+            size += len(parts[-1])
+            if size > limit:
+                break
     except zlib.error as e:
         if not lenient:
             raise PackageError("damaged data") from e
+    out = b"".join(parts)
     if len(out) > limit:
         raise PackageError("too big")
     if not engine.eof and not lenient:

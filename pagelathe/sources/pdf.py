@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from .packages import PackageError, _each, inflate
@@ -142,10 +143,10 @@ class Pdf:
                 trailers.append(Values(data, m.end()).value())
             except PackageError:
                 continue
-        for num in list(self.where):
+        for num in sorted(self.where, key=self.where.__getitem__):
             found = self.get(Ref(num))
             if isinstance(found, Stream) and found.entries.get("Type") == "ObjStm":
-                self._unpack(found)
+                self._unpack(found, self.where[num])
             elif isinstance(found, Stream) and found.entries.get("Type") == "XRef":
                 trailers.append(found.entries)
         if any("Encrypt" in t for t in trailers if isinstance(t, dict)):
@@ -157,13 +158,14 @@ class Pdf:
         if not isinstance(self.catalog, dict):
             raise PackageError("no catalog")
 
-    def _unpack(self, stream: Stream) -> None:
+    def _unpack(self, stream: Stream, place: int) -> None:
         try:
             body = self.content(stream)
             first, n = int(self.get(stream.entries["First"])), int(self.get(stream.entries["N"]))
             pairs = Values(body)
             for num, at in [(pairs.value(), pairs.value()) for _ in range(n)]:
-                if num not in self.where:
+                # the later of a plain and a packed object counts
+                if num not in self.where or self.where[num] < place:
                     self.packed[num] = (body, first + at)
         except (KeyError, TypeError, PackageError):
             return
@@ -220,8 +222,10 @@ class Pdf:
         def walk(ref, inherited: dict, depth: int) -> None:
             key = ref.num if isinstance(ref, Ref) else id(ref)
             node = self.get(ref)
-            if not isinstance(node, dict) or key in seen or depth > MOST_DEPTH or len(out) >= MOST_PAGES:
+            if not isinstance(node, dict) or key in seen:
                 return
+            if depth > MOST_DEPTH or len(out) >= MOST_PAGES:
+                raise PackageError("too many pages")
             seen.add(key)
             passed = inherited | {k: node[k] for k in ("Resources", "MediaBox", "CropBox", "Rotate") if k in node}
             kids = self.get(node.get("Kids"))
@@ -286,27 +290,35 @@ def unpredict(data: bytes, params: dict) -> bytes:
         return data
     colors, bits, columns = (params.get(k, d) for k, d in (("Colors", 1), ("BitsPerComponent", 8), ("Columns", 1)))
     step, width = max(1, colors * bits // 8), (colors * bits * columns + 7) // 8
-    before, out = bytearray(width), bytearray()
-    for at in range(0, len(data) - width, width + 1):
-        kind, row = data[at], bytearray(data[at + 1 : at + 1 + width])
-        for i in range(width):
-            a = row[i - step] if i >= step else 0
-            b = before[i]
-            c = before[i - step] if i >= step else 0
-            if kind == 1:
-                guess = a
-            elif kind == 2:
-                guess = b
-            elif kind == 3:
-                guess = (a + b) // 2
-            elif kind == 4:
-                guess = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
-            else:
-                guess = 0
-            row[i] = (row[i] + guess) & 255
-        out += row
-        before = row
-    return bytes(out)
+    rows = np.frombuffer(data, np.uint8)[: len(data) // (width + 1) * (width + 1)].reshape(-1, width + 1)
+    out = np.zeros((len(rows), -(-width // step) * step), np.uint8)
+    before = np.zeros(out.shape[1], np.uint8)
+    for row, done in zip(rows, out, strict=True):
+        kind = row[0]
+        done[:width] = row[1:]
+        if kind == 1:
+            done[:] = np.cumsum(done.reshape(-1, step), axis=0, dtype=np.uint8).reshape(-1)
+        elif kind == 2:
+            done += before
+        elif kind in (3, 4):
+            _along(done.reshape(-1, step), before.reshape(-1, step).astype(np.int64), kind == 4)
+        before = done
+    return out[:, :width].tobytes()
+
+
+def _along(row: np.ndarray, above: np.ndarray, paeth: bool) -> None:
+    """A row whose pixels depend on the one to the left, all channels of a pixel together."""
+    left = np.zeros(row.shape[1], np.int64)
+    corner = left
+    for pixel, up in zip(row, above, strict=True):
+        if paeth:
+            guess = left + up - corner
+            far = [abs(guess - x) for x in (left, up, corner)]
+            guess = np.where((far[0] <= far[1]) & (far[0] <= far[2]), left, np.where(far[1] <= far[2], up, corner))
+        else:
+            guess = (left + up) // 2
+        pixel += guess.astype(np.uint8)
+        left, corner = pixel.astype(np.int64), up
 
 
 def _pages(data: bytes) -> list[tuple]:
