@@ -9,18 +9,7 @@ from ..functions import amounts, boxes, dates, names, personal, texts
 from ..operators import pages, reading, redact, structure
 from ..streaming import paper
 from . import base
-from .base import load
-
-QUERIES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = (f, sql)
-        return f
-
-    return add
-
+from .base import QUERIES, load, query
 
 # --- personal data -----------------------------------------------------------
 
@@ -618,6 +607,9 @@ def find_in_pieces(spark, sf_dir):
     return structure.find_in_pieces(pieces).groupBy("page_id", "line_no", "type", "value").agg(F.count("*").alias("n"))
 
 
+from . import forms, geometry, layout, records  # noqa: E402, F401  they add their queries
+
+
 def queries() -> dict:
     return {name: f for name, (f, _) in QUERIES.items()}
 
