@@ -27,7 +27,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from struct import pack
 
 import numpy as np
@@ -41,6 +41,8 @@ from .suffixes import digests, gather
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 PENALTY = 10.0
+#: Bits of a piece's hash that its slot has.
+SLOT_BITS = 20
 #: Segmentations of a text.
 N_BEST = 4
 #: Chunks kept by a worker in each of two generations.
@@ -198,7 +200,7 @@ class Pieces:
 
 def longer_first(edge_start: np.ndarray, edge_end: np.ndarray, relative: np.ndarray) -> np.ndarray:
     """Order of edges by relative end, end, and length, the longest first."""
-    return np.argsort((relative << 32) | (edge_end << 6) | (63 - (edge_end - edge_start)), kind="stable")
+    return np.argsort((relative << 32) | (edge_end << 6) | (63 - (edge_end - edge_start)))  # no two are equal
 
 
 class Lattice:
@@ -213,6 +215,10 @@ class Lattice:
         keys = np.array([self._hash(p) for p in codes], np.uint64)
         order = np.argsort(keys)
         self.keys, self.code = keys[order], np.array(list(codes.values()), np.int64)[order]
+        # first key of each leading SLOT_BITS bits, and the most keys that share them
+        slot = (self.keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        self.slots = np.searchsorted(slot, np.arange(1 << SLOT_BITS)).astype(np.int32)
+        self.shared = int(np.bincount(slot).max(initial=1))
         self.score = np.zeros(len(pieces.text))
         for _, i, x in listed:
             self.score[i] = x
@@ -227,6 +233,18 @@ class Lattice:
             h = (h * _MULTIPLIER + int(BYTE[b])) % (1 << 64)
         return h
 
+    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each hash among the keys, and whether it is one of them."""
+        at = self.slots[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+        last = len(self.keys) - 1
+        hit = self.keys[np.minimum(at, last)] == h
+        for k in range(1, self.shared):
+            open_ = np.flatnonzero(~hit)
+            more = np.minimum(at[open_] + k, last)
+            same = self.keys[more] == h[open_]
+            at[open_[same]], hit[open_[same]] = more[same], True
+        return np.minimum(at, last), hit
+
     def edges(self, flat: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, id or -1) of all nodes of the lattice; end: where the chunk of each byte ends."""
         size = np.zeros(len(flat), np.int64)  # of the character that begins here
@@ -240,8 +258,7 @@ class Lattice:
         while len(alive):
             h = h * np.uint64(_MULTIPLIER) + BYTE[flat[alive + length]]
             length += 1
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            hit = self.keys[at] == h
+            at, hit = self.look_up(h)
             alive, h, code = alive[hit], h[hit], self.code[at[hit]]
             piece = code >= 0
             starts.append(alive[piece])
@@ -254,8 +271,13 @@ class Lattice:
         cat = lambda x, y: np.concatenate([*x, y])
         return cat(starts, lone), cat(ends, lone + size[lone]), cat(ids, np.full(len(lone), -1))
 
-    def search(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Chunks flat[begin:begin + size], one after another -> for each of n ranks their ids, numbers of ids and scores (-inf: none)."""
+    def search(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, n: int, needed: Callable[[np.ndarray], np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Chunks flat[begin:begin + size], one after another -> for each of n ranks their ids, numbers of ids and scores (-inf: none).
+
+        After the first rank the front holds the score of each chunk's second; needed
+        tells from what the seconds lose which chunks go on. The others' fronts are
+        never popped.
+        """
         of = np.repeat(np.arange(len(begin)), size)
         start, end, piece = self.edges(flat, (begin + size)[of])
         relative = end - begin[of[start]]
@@ -303,9 +325,14 @@ class Lattice:
                 ways, ways_of = ways[leaves], ways_of[leaves]
                 reached = before[ways_of] + score[ways]
                 new = [chunk[ways_of], reached + best[place_of_start[ways]], place_of_start[ways], reached, ways, np.full(len(ways), rank)]
+                if not rank:
+                    second = np.full(len(begin), -np.inf)
+                    np.maximum.at(second, new[0], new[1])
+                    goes_on = needed(best[first + size] - second)[new[0]]
+                    new = [x[goes_on] for x in new]
                 front = [np.concatenate(x) for x in zip(front, new, strict=True)]
-                by_chunk = np.argsort(front[0], kind="stable")
-                front = [x[by_chunk] for x in front]
+                foremost = self.foremost(front, best[first + size], n - 1 - rank)
+                front = [x[foremost] for x in front]
             # the path: what was walked, the node that left the parent, the parent's nodes behind it
             left = edge >= 0
             path = [np.stack([chunk, walked]), np.stack([goes[left], edge[left]])]
@@ -324,17 +351,31 @@ class Lattice:
             if not len(front[0]):
                 goes = goes[:0]
             else:
-                heads = np.flatnonzero(np.append(True, front[0][1:] != front[0][:-1]))
-                top = np.repeat(np.maximum.reduceat(front[1], heads), np.diff(np.append(heads, len(front[0]))))
-                ties = np.flatnonzero(front[1] == top)
-                ties = ties[np.lexsort((ties, front[2][ties], front[0][ties]))]
-                popped = ties[np.append(True, front[0][ties][1:] != front[0][ties][:-1])]
+                popped = np.flatnonzero(np.append(True, front[0][1:] != front[0][:-1]))
                 goes, _, at, behind, edge, parent = (x[popped] for x in front)
                 front = [np.delete(x, popped) for x in front]
             if not len(goes):
                 at, behind, edge, parent = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
         return found
 
+    @staticmethod
+    def foremost(front: list[np.ndarray], top: np.ndarray, k: int) -> np.ndarray:
+        """The k ways of each chunk with the best priority, best first; more are never needed.
+
+        One sort by chunk and coarse loss leaves few; of equal ones the earlier place counts.
+        """
+        chunk, priority, place = front[:3]
+        coarse = np.minimum(np.maximum(top[chunk] - priority, 0) * 1024, (1 << 40) - 1).astype(np.int64)
+        order = np.argsort((chunk << 40) | coarse)
+        heads = np.flatnonzero(np.append(True, chunk[order][1:] != chunk[order][:-1])) if len(order) else order
+        count = np.diff(np.append(heads, len(order)))
+        least = np.repeat(coarse[order][heads + np.minimum(k, count) - 1], count)
+        few = order[coarse[order] <= least]
+        few = few[np.lexsort((few, place[few], -priority[few], chunk[few]))]
+        heads = np.flatnonzero(np.append(True, chunk[few][1:] != chunk[few][:-1])) if len(few) else few
+        rank = np.arange(len(few)) - np.repeat(heads, np.diff(np.append(heads, len(few))))
+        return few[rank < k]
+
     def spell(self, chunk: np.ndarray, piece: np.ndarray, start: np.ndarray, end: np.ndarray, flat: np.ndarray, n_chunks: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and numbers of ids of paths given by their nodes in order."""
         known, span = piece >= 0, end - start
@@ -390,12 +431,18 @@ class Lattice:
             digest = digests(flat, length)
             _, first, chunk = np.unique(digest[:, 0] ^ (digest[:, 1] << np.uint64(1)), return_index=True, return_inverse=True)
             some = gather(flat, begin[first], length[first])
-            found = self.search(some, np.cumsum(length[first]) - length[first], length[first], n)
+            per = np.searchsorted(begin, np.append(text_at, len(flat)))
+
+            def needed(loss: np.ndarray, chunk=chunk, per=per) -> np.ndarray:
+                taken = np.zeros(len(loss), bool)
+                taken[chunk[self.loosest(loss[chunk], per, n)[0]]] = True
+                return taken
+
+            found = self.search(some, np.cumsum(length[first]) - length[first], length[first], n, needed)
             ids = np.concatenate([x for x, _, _ in found])
             n_ids = np.stack([x for _, x, _ in found])
             ids_at = (np.cumsum(n_ids) - n_ids.ravel()).reshape(n_ids.shape)
             scores = np.stack([x for _, _, x in found])
-            per = np.searchsorted(begin, np.append(text_at, len(flat)))
             sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[per])
             total = sums(scores[0][chunk])
             ranks, right = [], np.ones(b - a, bool)
@@ -408,20 +455,23 @@ class Lattice:
                 right &= same | (score == -np.inf)
             yield a, b, ranks, right
 
+    @staticmethod
+    def loosest(loss: np.ndarray, per: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text the n - 1 chunks whose second way loses least, in that order: only they can differ from the best. And the text of each chunk."""
+        owner = np.repeat(np.arange(len(per) - 1), np.diff(per))
+        loose = np.flatnonzero(loss < np.inf)
+        loose = loose[np.lexsort((loose, loss[loose], owner[loose]))]
+        heads = np.flatnonzero(np.append(True, owner[loose][1:] != owner[loose][:-1])) if len(loose) else loose
+        rank = np.arange(len(loose)) - np.repeat(heads, np.diff(np.append(heads, len(loose))))
+        return loose[rank < n - 1], owner
+
     def picks(self, scores: np.ndarray, chunk: np.ndarray, per: np.ndarray, total: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each rank the scores of the texts and the rank taken of each of their chunks."""
         pick = np.zeros(len(chunk), np.int64)
         yield total, pick
         if n == 1:
             return
-        # only the n - 1 chunks whose second way loses least can differ from the best
-        loss = (scores[0] - scores[1])[chunk]
-        owner = np.repeat(np.arange(len(per) - 1), np.diff(per))
-        loose = np.flatnonzero(loss < np.inf)
-        loose = loose[np.lexsort((loose, loss[loose], owner[loose]))]
-        heads = np.flatnonzero(np.append(True, owner[loose][1:] != owner[loose][:-1])) if len(loose) else loose
-        rank = np.arange(len(loose)) - np.repeat(heads, np.diff(np.append(heads, len(loose))))
-        loose = loose[rank < n - 1]
+        loose, owner = self.loosest((scores[0] - scores[1])[chunk], per, n)
         losses = (scores[0] - scores)[:, chunk[loose]].T.tolist()
         heads = np.flatnonzero(np.append(True, owner[loose][1:] != owner[loose][:-1])).tolist() if len(loose) else []
         chosen = [(np.full(len(total), -np.inf), np.zeros(len(chunk), np.int64)) for _ in range(n - 1)]
