@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,33 +52,52 @@ def plain_text(words: DataFrame) -> DataFrame:
     return lines.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("line_no", "line")))["line"], "\n").alias("text"))
 
 
-def box_lines(boxes: pd.DataFrame) -> pd.DataFrame:
-    """Boxes of a page -> its text: a box joins the last line if its middle is near that of the line's first box."""
-    size = boxes["page_width"].iloc[0], boxes["page_height"].iloc[0]
-    rows = [(r.str, r.x0 * size[0], r.x1 * size[0], r.y0 * size[1], r.y1 * size[1]) for r in boxes.sort_values("box_no", kind="stable").itertuples() if r.str and r.str.strip()]
-    rows.sort(key=lambda r: (r[3] + r[4]) / 2)
-    lines: list = []
-    for r in rows:
-        middle, tall = (r[3] + r[4]) / 2, r[4] - r[3]
-        if lines and abs(middle - lines[-1][0]) < min(tall, lines[-1][1]) / 2:
-            lines[-1][2].append(r)
+def joined_lines(rows: list[tuple]) -> str:
+    """Boxes of a page as (middle, height, x0, x1, str), by middle -> its text.
+
+    A box stays on the line whose first box has its middle near; blanks come from gaps.
+    """
+    lines: list[list[tuple]] = []
+    for row in rows:
+        if lines and abs(row[0] - lines[-1][0][0]) < min(row[1], lines[-1][0][1]) / 2:
+            lines[-1].append(row)
         else:
-            lines.append((middle, tall, [r]))
+            lines.append([row])
     out = []
-    for _, _, parts in lines:
-        text, end = "", float("-inf")
-        for s, x0, x1, y0, y1 in sorted(parts, key=lambda r: r[1]):
-            if text and x0 - end > SPACE_GAP * (y1 - y0) and not text[-1].isspace() and not s[0].isspace():
-                text += " "
-            text, end = text + s, max(end, x1)
-        if joined := " ".join(text.split()):
-            out.append(joined)
-    return pd.DataFrame({"page_id": [boxes["page_id"].iloc[0]], "text": ["\n".join(out)]})
+    for line in lines:
+        parts, end, last = [], float("-inf"), " "
+        for _, tall, x0, x1, s in sorted(line, key=itemgetter(2)):
+            if x0 - end > SPACE_GAP * tall and not last.isspace() and not s[0].isspace():
+                parts.append(" ")
+            parts.append(s)
+            last, end = s[-1], max(end, x1)
+        if text := " ".join("".join(parts).split()):
+            out.append(text)
+    return "\n".join(out)
+
+
+def _page_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by page_id and middle -> one row a page; a page may go on in the next batch."""
+    page, rows = None, []
+    for batch in batches:
+        done = []
+        for key, row in zip(batch.column(0).to_pylist(), zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True), strict=True):
+            if key != page:
+                if rows:
+                    done.append((page, joined_lines(rows)))
+                page, rows = key, []
+            rows.append(row)
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], pa.int64()), pa.array([t for _, t in done], pa.string())], names=["page_id", "text"])
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([page], pa.int64()), pa.array([joined_lines(rows)], pa.string())], names=["page_id", "text"])
 
 
 def lines_text(boxes: DataFrame) -> DataFrame:
-    """boxes (page_id, box_no, str, x0..y1, page_width, page_height) -> page_id, text."""
-    return boxes.groupBy("page_id").applyInPandas(box_lines, "page_id bigint, text string")
+    """boxes (page_id, box_no, str, x0..y1, page_width, page_height) -> page_id, text. One shuffle; a task streams its pages."""
+    tall = (F.col("y1") - F.col("y0")) * F.col("page_height")
+    flat = boxes.where("page_id IS NOT NULL AND trim(str) <> ''").select(F.col("page_id").cast("bigint").alias("page_id"), ((F.col("y0") + F.col("y1")) * F.col("page_height") / 2).alias("middle"), tall.alias("tall"), (F.col("x0") * F.col("page_width")).alias("x0"), (F.col("x1") * F.col("page_width")).alias("x1"), "str", "box_no")
+    dealt = flat.repartition("page_id").sortWithinPartitions("page_id", "middle", "box_no").drop("box_no")
+    return dealt.mapInArrow(_page_texts, "page_id bigint, text string")
 
 
 def nearest_label(fields: DataFrame, pieces: DataFrame) -> DataFrame:

@@ -1 +1,173 @@
-"""Queries over layout items."""
+"""Queries over laid out items, characters of the standard fonts and tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import glyphs
+from ..operators import items
+from . import base
+from .base import load, query
+
+WIDTH, HEIGHT = 600.0, 800.0
+
+
+def _items(spark, sf_dir):
+    """Lines of eight words of each document, typed at a fixed width."""
+    w = base.words(spark, sf_dir).groupBy("page_id", F.floor(F.col("word_no") / 8).cast("int").alias("item_no")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("word_no", "text")))["text"], " ").alias("text"))
+    return w.select("page_id", "item_no", F.lit(40.0).alias("x"), (20.0 + 12 * F.col("item_no")).alias("y"), "text", F.lit("Courier").alias("font"), F.lit(10.0).alias("size"), F.lit(0.0).alias("rise"), F.lit(0.0).alias("word_spacing"))
+
+
+_ITEMS = f"{base.WORDS}, {base.RECTS}, it AS (SELECT page_id, (word_no // 8)::INTEGER AS item_no, string_agg(text, ' ' ORDER BY word_no) AS text FROM words GROUP BY ALL)"
+_LETTERS = """hr AS (SELECT i.page_id, i.item_no, i.text, 20.0::DOUBLE + 12 * i.item_no AS y, r.x0 * 600.0::DOUBLE AS a, r.x1 * 600.0::DOUBLE AS b, r.y0 * 800.0::DOUBLE AS t, r.y1 * 800.0::DOUBLE AS u FROM it i JOIN rects r USING (page_id)),
+hit AS (SELECT * FROM hr WHERE least(y + 10 * 0.22::DOUBLE, u) - greatest(y - 10 * 0.75::DOUBLE, t) >= ((y + 10 * 0.22::DOUBLE) - (y - 10 * 0.75::DOUBLE)) * 0.2::DOUBLE),
+ch AS (SELECT page_id, item_no, text, unnest(range(1, length(text) + 1)) AS k FROM it WHERE (page_id, item_no) IN (SELECT (page_id, item_no) FROM hit)),
+gone AS (SELECT DISTINCT c.page_id, c.item_no, c.k FROM ch c JOIN hit h USING (page_id, item_no) WHERE least(40 + (c.k - 1) * 6.0::DOUBLE + 6, h.b) - greatest(40 + (c.k - 1) * 6.0::DOUBLE, h.a) > 0.01::DOUBLE),
+mk AS (SELECT c.*, substr(c.text, c.k, 1) AS c, g.k IS NOT NULL AS gone FROM ch c LEFT JOIN gone g USING (page_id, item_no, k)),
+isl AS (SELECT *, sum(gone::INTEGER) OVER (PARTITION BY page_id, item_no ORDER BY k) AS island FROM mk),
+run AS (SELECT page_id, item_no, island, 40 + (min(k) - 1) * 6.0::DOUBLE AS x, string_agg(c, '' ORDER BY k) AS text FROM isl WHERE NOT gone GROUP BY ALL),
+parts AS (SELECT page_id, item_no, (row_number() OVER (PARTITION BY page_id, item_no ORDER BY island) - 1)::INTEGER AS part_no, x, text FROM run WHERE trim(text) <> ''
+ UNION ALL SELECT page_id, item_no, 0, 40.0, text FROM it WHERE (page_id, item_no) NOT IN (SELECT (page_id, item_no) FROM hit))"""
+
+
+@query(f"WITH {_ITEMS}, {_LETTERS} SELECT page_id, item_no, part_no, x, text FROM parts")
+def redact_letters(spark, sf_dir):
+    return items.redact_texts(_items(spark, sf_dir), base.rects(spark, sf_dir), WIDTH, HEIGHT)
+
+
+@query(
+    """WITH im AS (SELECT s_suppkey AS page_id, i AS item_no, 20.0::DOUBLE + i * 100 AS x, 10.0::DOUBLE + s_suppkey % 40 AS y, 60.0::DOUBLE + s_suppkey % 90 AS w, 30.0::DOUBLE + s_suppkey % 50 AS h FROM supplier, range(4) r(i)),
+rc AS (SELECT s_suppkey AS page_id, 0 AS rect_no, 0.2::DOUBLE * 600 AS x0, 0.004::DOUBLE * 800 AS y0, 0.4::DOUBLE * 600 AS x1, 0.0301::DOUBLE * 800 AS y1 FROM supplier UNION ALL SELECT s_suppkey, 1, 0.05::DOUBLE * 600, 0.05::DOUBLE * 800, 0.3::DOUBLE * 600, 0.07::DOUBLE * 800 FROM supplier)
+SELECT page_id, item_no::INTEGER AS item_no, rect_no, greatest(0, (x0 - x) / w) AS x0, greatest(0, (y0 - y) / h) AS y0, least(1, (x1 - x) / w) AS x1, least(1, (y1 - y) / h) AS y1 FROM im JOIN rc USING (page_id) WHERE x0 < x + w AND x < x1 AND y0 < y + h AND y < y1"""
+)
+def redact_image_areas(spark, sf_dir):
+    s = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page_id"))
+    k = F.col("page_id")
+    images = s.select("page_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("item_no")).select("page_id", "item_no", (20.0 + F.col("item_no") * 100).alias("x"), (10.0 + k % 40).alias("y"), (60.0 + k % 90).alias("w"), (30.0 + k % 50).alias("h"))
+    box = lambda n, *v: F.struct(F.lit(n).alias("rect_no"), *[F.lit(x).alias(c) for c, x in zip(("x0", "y0", "x1", "y1"), v, strict=True)], F.lit(None).cast("string").alias("text"))
+    rects = s.select("page_id", F.inline(F.array(box(0, 0.2, 0.004, 0.4, 0.0301), box(1, 0.05, 0.05, 0.3, 0.07))))
+    return items.image_areas(images, rects, WIDTH, HEIGHT)
+
+
+@query(f"WITH {_ITEMS} SELECT page_id, item_no, 40.0::DOUBLE / 600 AS x0, (40.0::DOUBLE + length(text) * 6) / 600 AS x1, ((20.0::DOUBLE + 12 * item_no) - 10 * 0.85::DOUBLE) / 800 AS y0, ((20.0::DOUBLE + 12 * item_no) + 10 * 0.25::DOUBLE) / 800 AS y1 FROM it")
+def layout_boxes(spark, sf_dir):
+    return items.boxes(_items(spark, sf_dir), WIDTH, HEIGHT).select("page_id", "item_no", "x0", "x1", "y0", "y1")
+
+
+_CHECK = """bx AS (SELECT *, x / 600 AS bx0, (x + length(text) * 6) / 600 AS bx1, ((20.0::DOUBLE + 12 * item_no) - 10 * 0.85::DOUBLE) / 800 AS by0, ((20.0::DOUBLE + 12 * item_no) + 10 * 0.25::DOUBLE) / 800 AS by1 FROM {0}),
+lk AS (SELECT b.page_id, b.item_no, b.x, bool_or(coalesce(contains(r.text, trim(b.text)), false)) AS own FROM bx b JOIN rects r ON b.page_id = r.page_id AND least(bx1, r.x1) - greatest(bx0, r.x0) > 0.001::DOUBLE AND least(by1, r.y1) - greatest(by0, r.y0) > 0.3::DOUBLE * (by1 - by0) GROUP BY ALL)"""
+
+
+@query(
+    f"""WITH {_ITEMS}, {_LETTERS}, {_CHECK.format('parts')},
+ln AS (SELECT page_id, item_no, trim(regexp_replace(string_agg(text, CASE WHEN true THEN ' ' END ORDER BY x), '\\s+', ' ', 'g')) AS line FROM parts GROUP BY ALL),
+pg AS (SELECT page_id, string_agg(line, chr(10) ORDER BY item_no) AS text FROM ln WHERE line <> '' GROUP BY ALL)
+SELECT page_id, CASE WHEN page_id NOT IN (SELECT page_id FROM lk WHERE NOT own) THEN text END AS text, page_id NOT IN (SELECT page_id FROM lk WHERE NOT own) AS clean FROM pg"""
+)
+def document_text_redacted(spark, sf_dir):
+    return items.clean_texts(_items(spark, sf_dir), base.rects(spark, sf_dir), WIDTH, HEIGHT)
+
+
+@query(
+    f"""WITH {_ITEMS}, {_LETTERS}, {_CHECK.format('parts')}, af AS (SELECT page_id, count_if(NOT own) AS n FROM lk GROUP BY ALL),
+{_CHECK.format("(SELECT page_id, item_no, 40.0::DOUBLE AS x, text FROM it)").replace('bx AS', 'bx2 AS').replace('FROM bx b', 'FROM bx2 b').replace('lk AS', 'lk2 AS')}, be AS (SELECT page_id, count_if(NOT own) AS n FROM lk2 GROUP BY ALL)
+SELECT page_id, coalesce(be.n, 0) AS before, coalesce(af.n, 0) AS after FROM (SELECT DISTINCT page_id FROM it) LEFT JOIN be USING (page_id) LEFT JOIN af USING (page_id)"""
+)
+def redaction_postcondition(spark, sf_dir):
+    whole, rects = _items(spark, sf_dir), base.rects(spark, sf_dir)
+    parts = items.redact_texts(whole, rects, WIDTH, HEIGHT).join(whole.drop("x", "text"), ["page_id", "item_no"])
+    count = lambda rows, name: items.left_under(items.boxes(rows, WIDTH, HEIGHT), rects).groupBy("page_id").agg(F.count("*").alias(name))
+    pages = whole.select("page_id").distinct()
+    return pages.join(count(whole, "before"), "page_id", "left").join(count(parts, "after"), "page_id", "left").na.fill(0)
+
+
+# --- characters --------------------------------------------------------------
+
+_ODD = ["x ≤ y → z", "bullet ● and 漢字", "café ‑ “quoted” €", "tab\tand\r\nbreak​", "Ω " + "", "plain"]
+
+
+def _texts(spark, sf_dir):
+    """Documents with a tail of odd characters."""
+    odd = F.element_at(F.array(*map(F.lit, _ODD)), (F.col("doc_id") % len(_ODD) + 1).cast("int"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("text"), F.lit(" "), odd).alias("t"))
+
+
+_TEXTS = "t AS (SELECT doc_id, nfc_normalize(text || ' ' || [" + ", ".join("'" + "' || chr(9) || '".join("' || chr(13) || chr(10) || '".join(y.split("\r\n")) for y in x.split("\t")) + "'" for x in _ODD) + f"][(doc_id % {len(_ODD)} + 1)::INTEGER]) AS t FROM documents)"
+_CODE = "\\x20-\\x7e\\x{a0}-\\x{ff}" + "".join(c for c in glyphs.HIGH if c)
+_STOOD = rf"""regexp_replace(regexp_replace(replace(replace(replace(replace(translate(regexp_replace(t, '[{glyphs.GONE}]', '', 'g'), '{glyphs.BLANKS}‐‑‒−―⁄∕◦○{glyphs.BULLETS}', '{" " * len(glyphs.BLANKS)}----—//oo{"•" * len(glyphs.BULLETS)}'), '≤', '<='), '≥', '>='), '→', '->'), '←', '<-'), '[\x00-\x1f\x7f\x{{80}}-\x{{9f}}\x{{fe00}}-\x{{fe0f}}]', '', 'g'), '[\x{{f000}}-\x{{f0ff}}]', '•', 'g')"""
+
+
+@query(f"WITH {_TEXTS}, s AS (SELECT doc_id, {_STOOD} AS s FROM t) SELECT doc_id, regexp_replace(s, '[^{_CODE}]', '?', 'g') AS text, len(list_distinct(regexp_extract_all(s, '[^{_CODE}]')))::INTEGER AS n_missing FROM s")
+def sanitize_text(spark, sf_dir):
+    return _texts(spark, sf_dir).select("doc_id", glyphs.sanitized(F.col("t")).alias("text"), F.size(glyphs.missing(F.col("t"))).alias("n_missing"))
+
+
+@query(
+    rf"""WITH {_TEXTS}, p AS (SELECT doc_id, replace(regexp_replace(t, '\r\n?', chr(10), 'g'), chr(9), ' ') AS p FROM t)
+SELECT doc_id, regexp_replace(p, '[^\n{_CODE}]', '', 'g') AS text, len(list_distinct(regexp_extract_all(regexp_replace(p, '[\x00-\x1f\x7f\x{{80}}-\x{{9f}}\x{{200b}}-\x{{200f}}\x{{fe00}}-\x{{fe0f}}]', '', 'g'), '[^{_CODE}]')))::INTEGER AS n_dropped FROM p"""
+)
+def winansi_filter(spark, sf_dir):
+    return _texts(spark, sf_dir).select("doc_id", glyphs.filtered(F.col("t")).alias("f")).select("doc_id", "f.text", F.size("f.dropped").alias("n_dropped"))
+
+
+@query(
+    f"""WITH {_TEXTS}, c AS (SELECT DISTINCT substr(t, k, 1) AS c FROM t, range(1, 20001) r(k) WHERE k <= length(t))
+SELECT c, coalesce(CASE WHEN ord(c) BETWEEN 32 AND 126 OR ord(c) BETWEEN 160 AND 255 THEN ord(c) ELSE nullif(list_position([{', '.join(str(ord(c)) if c else '-1' for c in glyphs.HIGH)}], ord(c)), 0) + 127 END, -1)::INTEGER AS code FROM c"""
+)
+def winansi_codes(spark, sf_dir):
+    c = _texts(spark, sf_dir).select(F.explode(F.split(glyphs.composed(F.col("t")), "")).alias("c")).where("c <> ''").distinct()
+    return c.select("c", F.coalesce(glyphs.byte_code(F.col("c")).cast("int"), F.lit(-1)).alias("code"))
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 4 WHEN 1 THEN ['Times-Roman', 'Times-Bold', 'Times-Italic', 'Times-BoldItalic'] WHEN 2 THEN ['Courier', 'Courier-Bold', 'Courier-Oblique', 'Courier-BoldOblique']
+ ELSE ['Helvetica', 'Helvetica-Bold', 'Helvetica-Oblique', 'Helvetica-BoldOblique'] END[(1 + p_size % 2 + 2 * (p_size // 2 % 2))::INTEGER] AS font, length(p_name) * (6 + p_size % 7) * 600 / 1000.0::DOUBLE AS width FROM part"""
+)
+def font_choice(spark, sf_dir):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    family = F.element_at(F.array(*map(F.lit, ["sans", "serif", "mono", "other"])), (k % 4 + 1).cast("int"))
+    width = glyphs.text_width(F.col("p_name"), F.lit("Courier"), 6 + size % 7)
+    return load(spark, sf_dir, "part").select("p_partkey", glyphs.font_name(family, size % 2 == 1, F.floor(size / 2) % 2 == 1).alias("font"), width.alias("width"))
+
+
+# --- tables and slots --------------------------------------------------------
+
+
+@query(
+    """WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::DOUBLE AS w FROM lineitem), t AS (SELECT *, sum(w) OVER (PARTITION BY l_orderkey) AS total FROM c),
+f AS (SELECT *, CASE WHEN total > 100 THEN w * 100 / total ELSE w END AS fit FROM t)
+SELECT l_orderkey, l_linenumber, round(fit, 6) AS width, round(coalesce(sum(fit) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS start FROM f"""
+)
+def column_offsets(spark, sf_dir):
+    """Columns of a table shrunk to the width there is, and where each begins."""
+    own = Window.partitionBy("l_orderkey")
+    w = F.col("l_quantity").cast("double")
+    total = F.sum(w).over(own)
+    fit = load(spark, sf_dir, "lineitem").withColumn("fit", F.when(total > 100, w * 100 / total).otherwise(w))
+    before = own.orderBy("l_linenumber", "l_partkey", "l_suppkey").rowsBetween(Window.unboundedPreceding, -1)
+    return fit.select("l_orderkey", "l_linenumber", F.round("fit", 6).alias("width"), F.round(F.coalesce(F.sum("fit").over(before), F.lit(0.0)), 6).alias("start"))
+
+
+@query(
+    """WITH r AS (SELECT l_orderkey, l_linenumber // 2 AS row_no, greatest(max(l_quantity::DOUBLE) FILTER (l_suppkey % 5 <> 0), 4) AS h, max(CASE WHEN l_suppkey % 3 = 0 THEN l_tax::DOUBLE * 100 END) AS exact FROM lineitem GROUP BY ALL)
+SELECT l_orderkey, row_no::INTEGER AS row_no, CASE WHEN exact > 0 THEN greatest(exact, 4) ELSE h END AS height, sum(CASE WHEN exact > 0 THEN greatest(exact, 4) ELSE h END) OVER (PARTITION BY l_orderkey) AS total FROM r"""
+)
+def table_row_heights(spark, sf_dir):
+    """A row is as tall as its tallest cell that is not merged, or as its exact height, 4 at least."""
+    rows = load(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.floor(F.col("l_linenumber") / 2).cast("int").alias("row_no")).agg(
+        F.greatest(F.max(F.when(F.col("l_suppkey") % 5 != 0, F.col("l_quantity").cast("double"))), F.lit(4.0)).alias("h"), F.max(F.when(F.col("l_suppkey") % 3 == 0, F.col("l_tax").cast("double") * 100)).alias("exact")
+    )
+    height = F.when(F.col("exact") > 0, F.greatest("exact", F.lit(4.0))).otherwise(F.col("h"))
+    return rows.select("l_orderkey", "row_no", height.alias("height"), F.sum(height).over(Window.partitionBy("l_orderkey")).alias("total"))
+
+
+@query(
+    """WITH s AS (SELECT user_id, event_id, event_type AS spot, 8.0::DOUBLE + event_id % 5 AS h FROM events)
+SELECT user_id, event_id, spot, 20 + coalesce(sum(h + 2) OVER (PARTITION BY user_id, spot ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset" FROM s"""
+)
+def slot_offsets(spark, sf_dir):
+    """Texts that share a slot of the page stack up from its edge."""
+    before = Window.partitionBy("user_id", "spot").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    s = load(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("spot"), (8.0 + F.col("event_id") % 5).alias("h"))
+    return s.select("user_id", "event_id", "spot", (20 + F.coalesce(F.sum(F.col("h") + 2).over(before), F.lit(0.0))).alias("offset"))
