@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 # Fixed values.
 MAGIC = {"jpeg": "FFD8FF", "png": "89504E470D0A1A0A", "gif": "47494638", "bmp": "424D"}
 STEEPEST, COARSE, FINE, LEAST_SKEW, LEAST_CONTRAST = 15.0, 0.5, 0.05, 2.0, 1.5
+HEAD, CURVE = 512, 1024
 
 
 def image_type(content: Column) -> Column:
@@ -144,8 +145,41 @@ def largest_region(mask: np.ndarray) -> tuple[int, tuple | None]:
 
 
 def pgm(plane: np.ndarray) -> bytes:
-    """A binary grey map."""
-    return f"P5\n{plane.shape[1]} {plane.shape[0]}\n255\n".encode() + plane.tobytes()
+    """A binary grey map whose head is filled up to HEAD bytes by a comment."""
+    tail = f"\n{plane.shape[1]} {plane.shape[0]}\n255\n"
+    return f"P5\n#{' ' * (HEAD - 4 - len(tail))}{tail}".encode() + plane.tobytes()
+
+
+def tone_curve(black: Column, white: Column, gamma: Column) -> Column:
+    """CURVE levels of a tone curve, for brightness from 0 to 1.5."""
+    level = lambda i: F.least(F.greatest((i / (CURVE - 1) * 1.5 - black) / (white - black), F.lit(0.0)), F.lit(1.0))
+    return F.transform(F.sequence(F.lit(0), F.lit(CURVE - 1)), lambda i: F.floor(255 * F.pow(level(i), gamma) + 0.5).cast("bigint"))
+
+
+def _planes(images: DataFrame, work, schema: str) -> DataFrame:
+    """image_id and what work gives of each plane, as columns of schema."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def batch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = [work(np.frombuffer(d, np.uint8).reshape(h, w)) for d, w, h in zip(pdf["data"], pdf["width"], pdf["height"], strict=True)]
+            yield pd.DataFrame({"image_id": pdf["image_id"], **{c: [r[k] for r in rows] for k, c in enumerate(names)}})
+
+    return images.select("image_id", "width", "height", "data").mapInPandas(batch, f"image_id bigint, {schema}")
+
+
+def filtered(images: DataFrame, r: int) -> DataFrame:
+    """image_id, blur, high, low: box means and local extremes of radius r, row by row."""
+    return _planes(images, lambda p: (box_mean(p, r).ravel(), extreme(p, r).ravel().astype(float), extreme(p, r, False).ravel().astype(float)), "blur array<double>, high array<double>, low array<double>")
+
+
+def regions(images: DataFrame, level: int) -> DataFrame:
+    """image_id, largest: pixels of the largest region at least as bright as level."""
+    return _planes(images, lambda p: (largest_region(p >= level)[0],), "largest int")
+
+
+def grey_maps(images: DataFrame) -> DataFrame:
+    return _planes(images, lambda p: (pgm(p),), "content binary")
 
 
 def measure(images: DataFrame) -> DataFrame:
