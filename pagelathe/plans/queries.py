@@ -204,7 +204,12 @@ def md5_sha2_text(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("md5"), F.sha2("text", 256).alias("sha256"))
 
 
-@query()
+_CRC32 = """WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, [1::BIGINT, 2, 3, 4, 5, 6, 7, 8]), lambda c, u: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+b AS (SELECT doc_id, hex(encode(text)) AS h FROM documents), l AS (SELECT doc_id, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS l FROM b)
+SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, l), lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1])), 4294967295::BIGINT) AS crc32 FROM l, t"""
+
+
+@query(_CRC32)
 def crc32_text(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.crc32("text").alias("crc32"))
 
@@ -477,12 +482,22 @@ def _frames(spark, sf_dir):
     return e.select((F.col("user_id") % 20).cast("string").alias("device"), ms.alias("ts_ms"), (F.floor(F.col("event_id") / 97) % 2 == 0).alias("found"), F.lit(None).cast("bigint").alias("busy_until"), (F.col("event_id") * 31 % 200).cast("double").alias("brightness"))
 
 
-@query()
+_FRAMES = "f AS (SELECT (user_id % 20)::VARCHAR AS device, event_id * 400 AS ts_ms, event_id // 97 % 2 = 0 AS found, (event_id * 31 % 200)::DOUBLE AS brightness FROM events)"
+
+
+@query(
+    f"""WITH RECURSIVE {_FRAMES}, n AS (SELECT *, row_number() OVER (PARTITION BY device ORDER BY ts_ms, found) AS i FROM f),
+s(device, i, ts_ms, announced, pending, since, last_at, said) AS (
+ SELECT DISTINCT device, 0::BIGINT, 0::BIGINT, NULL::BOOLEAN, NULL::BOOLEAN, 0::BIGINT, (-1000000000000)::BIGINT, false FROM n
+ UNION ALL SELECT device, i, ts_ms, CASE WHEN quiet THEN announced ELSE pending END, pending, since, CASE WHEN quiet THEN last_at ELSE ts_ms END, NOT quiet FROM (
+  SELECT *, pending IS NOT DISTINCT FROM announced OR ts_ms - since < 1000 OR ts_ms - last_at < 2500 AS quiet FROM (
+   SELECT n.device, n.i, n.ts_ms, s.announced, n.found AS pending, CASE WHEN n.found IS DISTINCT FROM s.pending THEN n.ts_ms ELSE s.since END AS since, s.last_at FROM s JOIN n ON n.device = s.device AND n.i = s.i + 1)))
+SELECT device, ts_ms, announced FROM s WHERE said"""
+)
 def paper_announcement(spark, sf_dir):
     return paper.announce(_frames(spark, sf_dir))
 
 
-_FRAMES = "f AS (SELECT (user_id % 20)::VARCHAR AS device, event_id * 400 AS ts_ms, event_id // 97 % 2 = 0 AS found, (event_id * 31 % 200)::DOUBLE AS brightness FROM events)"
 
 
 @query(f"WITH {_FRAMES} SELECT device, ts_ms, coalesce(last_value(CASE WHEN brightness < 60 THEN true WHEN brightness >= 80 THEN false END IGNORE NULLS) OVER (PARTITION BY device ORDER BY ts_ms ROWS UNBOUNDED PRECEDING), false) AS dark FROM f")

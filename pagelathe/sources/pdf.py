@@ -167,6 +167,7 @@ class Pdf:
                 # the later of a plain and a packed object counts
                 if num not in self.where or self.where[num] < place:
                     self.packed[num] = (body, first + at)
+                    self.cache.pop(num, None)
         except (KeyError, TypeError, PackageError):
             return
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -41,14 +42,24 @@ def fold(frames: pd.DataFrame, state: tuple = START) -> tuple[tuple, list]:
     return state, said
 
 
-def announce(frames: DataFrame) -> DataFrame:
-    """frames (device, ts_ms, found, busy_until) -> device, ts_ms, announced."""
+def _announced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by device and time -> announcements; of a device only its state is held."""
+    device, state = None, START
+    for batch in batches:
+        said = []
+        for key, *frame in zip(*(batch.column(c).to_pylist() for c in ("device", "found", "ts_ms", "busy_until")), strict=True):
+            if key != device:
+                device, state = key, START
+            state, now = step(state, *frame)
+            if now:
+                said.append((device, frame[1], state[0]))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in said], t) for k, t in enumerate((pa.string(), pa.int64(), pa.bool_()))], names=["device", "ts_ms", "announced"])
 
-    def of_device(pdf: pd.DataFrame) -> pd.DataFrame:
-        said = fold(pdf)[1]
-        return pd.DataFrame({"device": [pdf["device"].iloc[0]] * len(said), "ts_ms": [t for t, _ in said], "announced": [a for _, a in said]})
 
-    return frames.groupBy("device").applyInPandas(of_device, OUT)
+def announce(frames: DataFrame) -> DataFrame:
+    """frames (device, ts_ms, found, busy_until) -> device, ts_ms, announced."""
+    rows = frames.select("device", F.col("ts_ms").cast("bigint").alias("ts_ms"), "found", F.col("busy_until").cast("bigint").alias("busy_until"))
+    return rows.repartition("device").sortWithinPartitions("device", "ts_ms", "found").mapInArrow(_announced, OUT)
 
 
 def announce_stream(frames: DataFrame) -> DataFrame:

@@ -54,4 +54,5 @@ def test_regions_and_types(spark):
     heads = [b"\xff\xd8\xff\xe0", b"\x89PNG\r\n\x1a\n", b"GIF89a", b"BM00", b"RIFF0000WEBP", b"xx", None]
     rows = spark.createDataFrame([(i, bytearray(h) if h else None) for i, h in enumerate(heads)], "i int, c binary")
     assert [r[0] for r in rows.orderBy("i").select(images.image_type(rows.c)).collect()] == ["jpeg", "png", "gif", "bmp", "webp", None, None]
-    assert images.pgm(np.zeros((1, 2), np.uint8)) == b"P5\n2 1\n255\n\0\0"
+    made = images.pgm(np.zeros((1, 2), np.uint8))
+    assert len(made) == 514 and made.startswith(b"P5\n#  ") and made.endswith(b"\n2 1\n255\n\0\0")
