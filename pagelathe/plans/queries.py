@@ -622,7 +622,7 @@ def find_in_pieces(spark, sf_dir):
     return structure.find_in_pieces(pieces).groupBy("page_id", "line_no", "type", "value").agg(F.count("*").alias("n"))
 
 
-from . import files, forms, geometry, layout, records  # noqa: E402, F401  they add their queries
+from . import files, forms, geometry, layout, records, trees  # noqa: E402, F401  they add their queries
 
 
 def queries() -> dict:
