@@ -45,5 +45,6 @@ def new_findings(findings: DataFrame, rects: DataFrame) -> DataFrame:
 
 
 def grouped_findings(findings: DataFrame) -> DataFrame:
-    """page_id, type, value -> number of rectangles and their union."""
-    return findings.groupBy("page_id", "type", "value").agg(F.count("*").alias("n_rects"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    """page_id, type, value -> number of rectangles, the list of them in reading order, and their union."""
+    listed = F.array_sort(F.collect_list(F.struct("y0", "x0", "y1", "x1"))).alias("rects")
+    return findings.groupBy("page_id", "type", "value").agg(F.count("*").alias("n_rects"), listed, F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))

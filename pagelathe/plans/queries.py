@@ -336,9 +336,11 @@ def redact_skip_contained(spark, sf_dir):
     return redact.new_findings(_word_findings(spark, sf_dir), base.rects(spark, sf_dir)).select("page_id", "word_no", "type", "value")
 
 
-@query(f"WITH {base.WORDS}, {_WF} SELECT page_id, type, value, count(*) AS n_rects, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM wf GROUP BY ALL")
+@query(f"WITH {base.WORDS}, {_WF} SELECT page_id, type, value, count(*) AS n_rects, string_agg(round(y0 * 1000)::BIGINT || ':' || round(x0 * 1000)::BIGINT, ',' ORDER BY y0, x0) AS rects, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM wf GROUP BY ALL")
 def redact_group_rects(spark, sf_dir):
-    return redact.grouped_findings(_word_findings(spark, sf_dir))
+    whole = lambda c: F.round(c * 1000).cast("bigint").cast("string")
+    listed = F.array_join(F.transform("rects", lambda r: F.concat_ws(":", whole(r["y0"]), whole(r["x0"]))), ",")
+    return redact.grouped_findings(_word_findings(spark, sf_dir)).withColumn("rects", listed)
 
 
 @query(
