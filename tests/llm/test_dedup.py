@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from pagelathe.llm import components, minhash, passages, shards, suffixes
@@ -196,11 +197,11 @@ def test_many_arrays_of_one_anchor():
     core = prose(rng, 30)[:60]
     texts = [(i, prose(rng, 3)[: rng.randrange(10, 60)] + core + prose(rng, 12)[:50] + rng.choice(["", core * 3])) for i in range(40)]
     table = pa.table({"doc_id": [i for i, _ in texts], "text": [t for _, t in texts], "shard": pa.array([0] * len(texts), pa.int32())})
-    sent = suffixes.send_anchors(table, 100, 1)
-    from pagelathe.llm.shards import shared_keys
-
-    tried = suffixes.send_contexts(table, shared_keys(sent), 100, 1)
-    for array_bytes in (150, 1 << 20):
-        found = suffixes.find_repeats(tried, 100, array_bytes)
+    sent = suffixes.send_anchors(table, 100)
+    again = sent.filter(pc.greater(sent.column("n"), 1))
+    replies = pa.table({"shard": again.column("shard"), "key": again.column("key"), "total": again.column("n").cast(pa.int64())})
+    for array_bytes, unsplit in ((150, 13), (1 << 20, 13), (150, -9)):
+        tried = suffixes.send_contexts(table, replies, 100, unsplit).sort_by([(c, "ascending") for c in ("key", "context", "owner", "shard", "start")])
+        found = pa.Table.from_batches(list(suffixes.find_repeats(iter(tried.to_batches(max_chunksize=7)), 100, array_bytes)))
         got = suffixes.drop_bytes(table, found, False).to_pylist()
         assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == without_bytes(texts)
