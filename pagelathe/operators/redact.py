@@ -15,17 +15,18 @@ def drop_words(words: DataFrame, rects: DataFrame) -> DataFrame:
     last of its line if the next word went, or if a rectangle overlaps the box that
     spans it and the next kept word.
     """
-    w, r = columns("w"), columns("r")
-    hit = words.alias("w").join(rects.alias("r"), (F.col("w.page_id") == F.col("r.page_id")) & overlaps(w, r), "left_semi").select("page_id", "word_no", F.lit(True).alias("gone"))
+    sides = ("x0", "y0", "x1", "y1")
+    listed = rects.groupBy("page_id").agg(F.collect_list(F.struct(*sides)).alias("rects"))
+    hit = lambda box: F.coalesce(F.exists("rects", lambda r: overlaps(box, {c: r[c] for c in sides})), F.lit(False))
     order = Window.partitionBy("page_id").orderBy("word_no")
-    marked = words.join(hit, ["page_id", "word_no"], "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
-    marked = marked.withColumn("cut", F.coalesce(F.lead("gone").over(order), F.lit(False)))
-    kept = marked.where("NOT gone")
-    for c in ("x0", "y0", "x1", "y1"):
+    # one shuffle by page: the rectangles come as an array, both windows keep the partitioning
+    marked = words.join(listed, "page_id", "left").withColumn("gone", hit({c: F.col(c) for c in sides}))
+    kept = marked.withColumn("cut", F.coalesce(F.lead("gone").over(order), F.lit(False))).where("NOT gone")
+    for c in sides:
         kept = kept.withColumn(f"n{c}", F.lead(c).over(order))
-    span = {"x0": F.least("k.x0", "k.nx0"), "y0": F.least("k.y0", "k.ny0"), "x1": F.greatest("k.x1", "k.nx1"), "y1": F.greatest("k.y1", "k.ny1")}
-    split = kept.alias("k").where("k.nx0 IS NOT NULL AND NOT last").join(rects.alias("r"), (F.col("k.page_id") == F.col("r.page_id")) & overlaps(span, r), "left_semi").select("page_id", "word_no", F.lit(True).alias("split"))
-    return kept.join(split, ["page_id", "word_no"], "left").select("page_id", "word_no", "text", (F.col("last") | F.col("cut") | F.coalesce("split", F.lit(False))).alias("last"))
+    span = {c: (F.least if c in ("x0", "y0") else F.greatest)(c, f"n{c}") for c in sides}
+    split = F.col("nx0").isNotNull() & hit(span)
+    return kept.select("page_id", "word_no", "text", (F.col("last") | F.col("cut") | split).alias("last"))
 
 
 def leaks(boxes: DataFrame, rects: DataFrame) -> DataFrame:
