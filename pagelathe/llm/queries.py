@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, licenses, minhash, oracles, passages, pieces, pii, quality, secrets, suffixes, topk
+from . import centroids, decontam, licenses, minhash, oracles, passages, periods, pieces, pii, quality, secrets, suffixes, topk
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_benchmark_decontamination": decontam.op8_benchmark_decontamination,
         "op9_suffix_dedup": suffixes.op9_suffix_dedup,
         "op10_secret_scan": secrets.op10_secret_scan,
+        "op11_periodic_runs": periods.op11_periodic_runs,
+        "op13_centroid_clusters": centroids.op13_centroid_clusters,
     }
 
 
@@ -28,4 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_passage_dedup": oracles.OP6,
         "op9_suffix_dedup": oracles.OP9,
         "op10_secret_scan": oracles.OP10,
+        "op11_periodic_runs": periods.oracle(),
+        "op13_centroid_clusters": centroids.oracle(),
     }
