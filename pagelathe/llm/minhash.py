@@ -211,6 +211,23 @@ def cells(placed: DataFrame, percent: int) -> DataFrame:
     return rest.select("pivot", "cls", "root", F.explode(listed).alias("c")).select("pivot", "cls", "root", "c.*")
 
 
+def rows_of_classes(sketched: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc_id, row, n_shingles, component_id, cluster: each row with what its class belongs to.
+
+    A class of very many copies, and a component of very many classes, are dealt over
+    tasks; rows without a set or a doc_id meet no join.
+    """
+    joined = classes.select("digest", "rep", "cls").join(roots, F.col("cls") == F.col("node"), "left").withColumn("cluster", F.coalesce("root", "cls"))
+    several = joined.where("root IS NOT NULL").groupBy("cluster").agg(F.min("rep").alias("component"))
+    placed = spread_join(joined.where("root IS NOT NULL"), several, "cluster", "cls").select("digest", "cluster", "component")
+    placed = placed.union(joined.where("root IS NULL").select("digest", "cluster", F.col("rep").alias("component")))
+    rows = sketched.select("doc_id", "row", "n_shingles", "digest")
+    alone = F.col("digest").isNull() | F.col("doc_id").isNull()
+    told = ["doc_id", "row", "n_shingles", F.col("component").alias("component_id"), "cluster"]
+    found = spread_join(rows.where(~alone), placed, "digest", "row").select(*told)
+    return found.union(rows.where(alone).select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint")))
+
+
 def clusters(docs: DataFrame, shingle: int = 5, percent: int = 80, row: str = "doc_id") -> DataFrame:
     """doc_id, row, n_shingles, component_id, cluster: one row per row of docs.
 
@@ -241,13 +258,7 @@ def clusters(docs: DataFrame, shingle: int = 5, percent: int = 80, row: str = "d
         if not late.isEmpty():
             roots = components(links.union(late))
 
-    joined = classes.select("n_shingles", "digest", "rep", "cls").join(roots, F.col("cls") == F.col("node"), "left").withColumn("cluster", F.coalesce("root", "cls"))
-    several = joined.where("root IS NOT NULL").groupBy("cluster").agg(F.min("rep").alias("component"))
-    placed_classes = spread_join(joined.where("root IS NOT NULL"), several, "cluster", "cls").select("n_shingles", "digest", "cluster", "component")
-    placed_classes = placed_classes.union(joined.where("root IS NULL").select("n_shingles", "digest", "cluster", F.col("rep").alias("component")))
-    alike = sketched.select("doc_id", "row", "n_shingles", "digest").join(placed_classes, ["n_shingles", "digest"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return alike.select("doc_id", "row", "n_shingles", component.alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("cluster")).alias("cluster"))
+    return rows_of_classes(sketched, classes, roots)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:

@@ -3,18 +3,25 @@
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"list_filter(string_split_regex({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
-OP5 = f"""
+
+def _linked(n: int, more: str = "") -> str:
+    """Classes of documents whose sets of n-word shingles are alike, by all pairs that share a shingle."""
+    return f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')")} AS l FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(l) >= 4 THEN list_distinct(list_transform(range(1, len(l) - 2), lambda i: array_to_string(l[i:i + 3], ' ')))
+s AS (SELECT doc_id, CASE WHEN len(l) >= {n} THEN list_distinct(list_transform(range(1, len(l) - {n - 2}), lambda i: array_to_string(l[i:i + {n - 1}], ' ')))
                           WHEN len(l) > 0 THEN [array_to_string(l, ' ')] ELSE [] END AS s FROM d),
 e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id
       GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
 l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
 r(doc_id, o) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.o = l.a)
-SELECT s.doc_id, len(s.s) AS n_shingles, c.o AS component_id, s.doc_id = c.o AS kept
+SELECT s.doc_id, len(s.s) AS n_shingles, c.o AS component_id{more}
 FROM s JOIN (SELECT doc_id, min(o) AS o FROM r GROUP BY doc_id) c USING (doc_id)"""
 
+
+OP5 = _linked(4, ", s.doc_id = c.o AS kept")
+OP12 = _linked(5)
+
 OP6 = f"""
 WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS l FROM documents),
 w AS (SELECT doc_id, len(l) AS n, unnest(l) AS word, unnest(range(1, len(l) + 1)) AS pos, unnest(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN i + 49 <= len(l) THEN md5(array_to_string(l[i:i + 49], ' ')) END)) AS k FROM d),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, decontam, licenses, minhash, oracles, passages, periods, pieces, pii, quality, secrets, suffixes, topk
+from . import centroids, decontam, licenses, minhash, oracles, passages, periods, pieces, pii, prefixes, quality, secrets, suffixes, topk
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_suffix_dedup": suffixes.op9_suffix_dedup,
         "op10_secret_scan": secrets.op10_secret_scan,
         "op11_periodic_runs": periods.op11_periodic_runs,
+        "op12_jaccard_join": prefixes.op12_jaccard_join,
         "op13_centroid_clusters": centroids.op13_centroid_clusters,
     }
 
@@ -31,5 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op9_suffix_dedup": oracles.OP9,
         "op10_secret_scan": oracles.OP10,
         "op11_periodic_runs": periods.oracle(),
+        "op12_jaccard_join": oracles.OP12,
         "op13_centroid_clusters": centroids.oracle(),
     }
