@@ -155,18 +155,18 @@ _ENDS = r"([.!?:])[ \t\r\n]+"
 _BREAKS = "\n+"
 _JUNK = r"""["'`*#/]+"""
 _BLANK = "[ \t\r]+"
-_EDGE = r"^[ .,;:!?-]+|[ .,;:!?-]+$"
+_EDGE = " .,;:!?-"
 
 
 def normalized(sentence: Column) -> Column:
     """Lower case, without quotes and comment marks, single blanks, bare edges."""
     x = F.regexp_replace(F.lower(sentence), _JUNK, "")
-    return F.regexp_replace(F.regexp_replace(x, _BLANK, " "), _EDGE, "")
+    return F.btrim(F.regexp_replace(x, _BLANK, " "), F.lit(_EDGE))
 
 
 def table_key(sentence: str) -> str:
     """normalized() of a constant."""
-    return re.sub(_EDGE, "", re.sub(_BLANK, " ", re.sub(_JUNK, "", sentence.lower())))
+    return re.sub(_BLANK, " ", re.sub(_JUNK, "", sentence.lower())).strip(_EDGE)
 
 
 def known_pattern() -> str:
@@ -176,7 +176,8 @@ def known_pattern() -> str:
     word = lambda w: "".join(f"{junk}*+" if c == "/" else c if c.isalnum() else rf"{junk}*+\{c}" for c in w)
     listed = sorted(KNOWN_SENTENCES, key=lambda s: (-len(s), s))
     edge = r"""["'`*#/ \t\r.,;:!?-]"""
-    return rf"(?:^|\n|[.!?:][ \t\r\n]){edge}*+(?i:" + "|".join(gap.join(map(word, s.split(" "))) for s in listed) + rf")(?={edge}*+(?:\n|\z)|{edge}*?[.!?:][ \t\r\n])"
+    # a break is looked for from the first sign of a run only, so runs of signs cost their length
+    return rf"(?:^|\n|(?<!{edge})(?>{edge}*?[.!?:][ \t\r\n])){edge}*+(?i:" + "|".join(gap.join(map(word, s.split(" "))) for s in listed) + rf")(?={edge}*+(?:\n|\z)|{edge}*?[.!?:][ \t\r\n])"
 
 
 _MARKS = r"""["'`*#/ \t\r;%-]*+"""
@@ -242,7 +243,7 @@ def oracle() -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
     names = ", ".join(f"CASE WHEN regexp_matches(sequence, {q(rule_pattern(v))}) THEN {q(k)} END" for k, v in RULES.items())
     table = ", ".join(f"({q(k)}, {q(v)})" for k, v in SENTENCES.items())
-    norm = f"regexp_replace(regexp_replace(regexp_replace(lower(x), {q(_JUNK)}, '', 'g'), '[ \\t\\r]+', ' ', 'g'), {q(_EDGE)}, '', 'g')"
+    norm = f"trim(regexp_replace(regexp_replace(lower(x), {q(_JUNK)}, '', 'g'), '[ \\t\\r]+', ' ', 'g'), {q(_EDGE)})"
     return f"""
 WITH known(sentence, id) AS (VALUES {table}),
 cut AS (SELECT doc_id, rowid AS r, unnest(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?:])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), '\\n+')) AS x,

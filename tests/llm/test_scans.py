@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 from pagelathe.llm import decontam, licenses, pii, secrets
 
@@ -23,6 +24,14 @@ def test_licences(spark):
     assert licenses.scan_licences(corpus(spark, [])).count() == 0
 
 
+def test_very_long_runs_of_signs(spark):
+    """Runs of signs at the edges of a sentence are cut in one pass."""
+    texts = ["-" * 1_000_000 + "x license", "MIT license" + " ." * 500_000, "_" * 1_000_000 + " licence x"]
+    start = time.time()
+    assert licenses.scan_licences(corpus(spark, list(enumerate(texts)))).where("n_sentences > 0").count() == 3
+    assert time.time() - start < 20
+
+
 def test_licence_keywords():
     assert all(re.search(f"{licenses.KEYWORD}|public|reserved", s) for s in licenses.KNOWN_SENTENCES)
     assert {i for lists in licenses.RULES.values() for ids in lists for i in ids} <= set(licenses.SENTENCES.values())
