@@ -14,7 +14,12 @@ memory is, too. Both sides of a cell have about as many bytes, components travel
 GROUP_QUERIES queries only. A block whose largest norm cannot reach a query's
 threshold is skipped.
 
-Defined cases: vectors that are null, empty, or hold null or non-finite components
+Scores are exact at any size: floats hold them where norms keep every sum below 2^53,
+else floats only choose, with a margin, and Python integers score what is left. The
+order of results is that of the exact scores; a score outside of a long is given as the
+nearest long.
+
+Defined cases: vectors whose scaled components leave the range of a double, and vectors that are null, empty, or hold null or non-finite components
 take no part; vectors of another length than the query's are no candidates; a null
 vec_id takes no part; a row is no candidate of queries with its own vec_id; ties go
 to the smaller vec_id; equal rows each count; extra columns are ignored.
@@ -31,6 +36,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+#: Whole numbers up to this are exact as floats; a margin that covers the rounding of norms.
+EXACT, SLACK = 2.0**53, 1e-9
+MOST = (1 << 63) - 1
+
 #: Rows of a block of candidates, most blocks of a group, queries of a group, queries scored together, dimensions of a step.
 BLOCK_ROWS, GROUP_BLOCKS, GROUP_QUERIES, TOGETHER, STEP = 4096, 4, 8192, 256, 16
 #: Cells that a grid has at least, if there are so many blocks.
@@ -38,10 +47,10 @@ LEAST_CELLS = 32
 
 
 def whole_vectors(vectors: DataFrame, scale: int) -> DataFrame:
-    """vec_id, v: the usable vectors with components floor(scale * x)."""
+    """vec_id, v: the usable vectors with components scale * x; blocks take the floor."""
     x = F.col("embedding").cast("array<double>")
-    good = F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)))
-    v = F.transform(x, lambda c: F.floor(c * scale).cast("double"))
+    v = F.transform(x, lambda c: c * scale)
+    good = F.forall(v, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)))
     return vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.when(good & (F.size(x) > 0), v).alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
 
 
@@ -51,7 +60,7 @@ def to_block(rows: pa.Table) -> pa.Table:
     ids = rows.column("vec_id").to_numpy().astype(np.int64)
     flat = rows.column("v").combine_chunks()
     flat = flat.flatten() if not isinstance(flat, pa.ChunkedArray) else pa.concat_arrays(flat.chunks).flatten()
-    planes = np.ascontiguousarray(flat.to_numpy(zero_copy_only=False).reshape(len(ids), -1).T)
+    planes = np.floor(np.ascontiguousarray(flat.to_numpy(zero_copy_only=False).reshape(len(ids), -1).T))
     if np.abs(planes).max() < 1 << 15:
         planes = planes.astype(np.int16)
     first = {k: rows.column(k)[0].as_py() for k in ("dim", "part")}
@@ -69,7 +78,8 @@ def read_block(row: dict) -> tuple[np.ndarray, np.ndarray]:
 
 def tails(planes: np.ndarray, step: int) -> np.ndarray:
     """Norms of what is left of each vector after 0, 1, 2... steps of dimensions."""
-    square = np.add.reduceat(planes**2, np.arange(0, len(planes), step), axis=0)
+    with np.errstate(over="ignore"):
+        square = np.add.reduceat(planes**2, np.arange(0, len(planes), step), axis=0)
     left = np.cumsum(square[::-1], axis=0)[::-1]
     return np.sqrt(np.concatenate([left, np.zeros((1, planes.shape[1]))]))
 
@@ -83,36 +93,66 @@ class Best:
 
     def add(self, q: int, score: np.ndarray, ids: np.ndarray) -> None:
         score, ids = np.concatenate([self.score[q], score]), np.concatenate([self.ids[q], ids])
-        if len(score) > self.k:
-            near = np.flatnonzero(score >= np.partition(score, len(score) - self.k)[len(score) - self.k])
-            score, ids = score[near], ids[near]
-        order = np.lexsort((ids, -score))[: self.k]
+        if score.dtype == object:
+            order = np.array(sorted(range(len(score)), key=lambda i: (-int(score[i]), ids[i]))[: self.k], np.int64)
+        else:
+            if len(score) > self.k:
+                near = np.flatnonzero(score >= np.partition(score, len(score) - self.k)[len(score) - self.k])
+                score, ids = score[near], ids[near]
+            order = np.lexsort((ids, -score))[: self.k]
         self.score[q], self.ids[q] = score[order], ids[order]
         if len(order) == self.k:
-            self.least[q] = score[order[-1]]
+            self.least[q] = float(score[order[-1]])
+
+
+def whole_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of one vector and each column, as Python integers."""
+    mine = [int(c) for c in q.tolist()]
+    return np.array([sum(a * int(c) for a, c in zip(mine, column, strict=True)) for column in x.T.tolist()], dtype=object)
 
 
 def scan_block(best: Best, q_ids: np.ndarray, q: np.ndarray, q_left: np.ndarray, ids: np.ndarray, x: np.ndarray, step: int) -> None:
     """One block of candidates against a group of queries."""
     left = tails(x, step)
     dims = np.arange(0, len(x), step)
-    # a small slack covers rounding of the norms; scores themselves are whole numbers
-    able = np.flatnonzero(q_left[0] * left[0].max(initial=0) * (1 + 1e-9) + 1e-6 >= best.least)
+    longest = left[0].max(initial=0)
+    # a margin covers rounding: of the norms, and of sums that floats do not hold
+    able = np.flatnonzero(~(q_left[0] * longest * (1 + SLACK) + 1e-6 < best.least))
     for k, i in enumerate(able.tolist()):
         if k % TOGETHER == 0:
-            head = q[:step, able[k : k + TOGETHER]].T @ x[:step]
+            with np.errstate(over="ignore", invalid="ignore"):
+                head = q[:step, able[k : k + TOGETHER]].T @ x[:step]
         part, alive = head[k % TOGETHER], None
+        exact = q_left[0, i] * longest < EXACT
+        margin = 1e-6 if exact else 1e-6 + SLACK * q_left[0, i] * longest
         for s in range(1, len(dims) + 1):
             room = left[s] if alive is None else left[s][alive]
-            stay = np.flatnonzero(part + q_left[s, i] * room * (1 + 1e-9) + 1e-6 >= best.least[i])
+            with np.errstate(over="ignore", invalid="ignore"):
+                stay = np.flatnonzero(~(part + q_left[s, i] * room * (1 + SLACK) + margin < best.least[i]))
             alive = stay if alive is None else alive[stay]
             part = part[stay]
             if s == len(dims) or not len(alive):
                 break
-            part = part + q[dims[s] : dims[s] + step, i] @ x[dims[s] : dims[s] + step, alive]
+            with np.errstate(over="ignore", invalid="ignore"):
+                part = part + q[dims[s] : dims[s] + step, i] @ x[dims[s] : dims[s] + step, alive]
         if len(alive):
             own = ids[alive] != q_ids[i]
-            best.add(i, part[own], ids[alive][own])
+            alive, part = alive[own], part[own]
+            best.add(i, part if exact else whole_scores(q[:, i], x[:, alive]), ids[alive])
+
+
+def order_keys(score: np.ndarray) -> list[bytes]:
+    """Bytes that sort like the scores, of any size: 8 bytes for most, length and digits beyond."""
+    out = []
+    for s in score.tolist():
+        s = int(s)
+        if -(1 << 62) <= s < 1 << 62:
+            out.append(b"\x01" + (s + (1 << 63)).to_bytes(8))
+        else:
+            size = -(-abs(s).bit_length() // 8)
+            digits = size.to_bytes(4) + abs(s).to_bytes(size)
+            out.append(b"\x02" + digits if s > 0 else b"\x00" + bytes(255 - c for c in digits))
+    return out
 
 
 def scan_groups(batches: Iterator[pa.RecordBatch], k: int, step: int) -> Iterator[pa.RecordBatch]:
@@ -122,7 +162,9 @@ def scan_groups(batches: Iterator[pa.RecordBatch], k: int, step: int) -> Iterato
     def results() -> Iterator[pa.RecordBatch]:
         if best is not None:
             n = [len(s) for s in best.score]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(queries[0], n)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.score).astype(np.int64))], names=["query_id", "vec_id", "score"])
+            score = np.concatenate(best.score)
+            given = np.array([max(-MOST - 1, min(MOST, int(x))) for x in score], np.int64) if score.dtype == object else score.astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(queries[0], n)), pa.array(np.concatenate(best.ids)), pa.array(given), pa.array(order_keys(score), pa.binary())], names=["query_id", "vec_id", "score", "key"])
 
     for batch in batches:
         for row in batch.to_pylist():
@@ -153,8 +195,8 @@ def top_k(vectors: DataFrame, k: int = 20, scale: int = 64, every: int = 20) ->
     blocks = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))).alias("qgroup"), F.pmod("part", F.lit(groups)).cast("int").alias("cgroup"), F.lit(1).alias("side"))
     cells = min(groups * q_parts, 4096)
     dealt = asked.union(blocks).repartition(cells, "dim", "qgroup", "cgroup").sortWithinPartitions("dim", "qgroup", "cgroup", "side", "part")
-    local = dealt.mapInArrow(lambda it: scan_groups(it, k, STEP), "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    local = dealt.mapInArrow(lambda it: scan_groups(it, k, STEP), "query_id bigint, vec_id bigint, score bigint, key binary")
+    order = Window.partitionBy("query_id").orderBy(F.desc("key"), "vec_id")
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
