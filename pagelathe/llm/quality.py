@@ -2,26 +2,27 @@
 
 Tokens are runs of letters and digits or runs of other signs, in lower case; a token
 equal to the one before it is written as one token REPEAT, whatever it is. N-grams
-are runs of so many tokens as `orders` lists, and runs of 2, 4, 8 ... REPEATs. (On
-check_s single tokens alone keep 99.4 % of the good and 4.4 % of the bad documents,
-with pairs 99.2 % and 6.0 % for four times the counts.) Two generative models over
-hashed n-grams are counted in documents: the target from those labelled good
-and not toxic, the raw one from all. A text's log importance weight is the sum over
-its distinct n-grams of log p_target - log p_raw, where
+are runs of so many tokens as `orders` lists, one and two by default, and runs of 2,
+4, 8 ... REPEATs. Two generative models over hashed n-grams are counted in documents:
+the target from those labelled good and not toxic, the raw one from all. A text's log
+importance weight is the sum over its distinct n-grams of log p_target - log p_raw,
+where
 
 - both models are scaled to agree on the bulk (the median ratio of frequent
   buckets), so length carries no weight of its own, and
-- each log ratio is shrunk by NOISE standard errors of its count, so rare n-grams
-  without evidence add nothing.
+- each log ratio is shrunk twice: SMOOTH documents of prior agreement stand beside the
+  counts, and NOISE standard errors of the count are taken off, so rare n-grams without
+  evidence add nothing, while common ones add little or much, up or down.
 
 The k rows with the largest keys, weight / temperature + Gumbel noise, are kept:
 sampling without replacement in proportion to exp(weight / temperature). k is
 `fraction` of the rows that have words; by default the share of good documents
 among the labelled ones.
 
-Buckets grow with the root of the input's bytes, as vocabularies do. Counts are
-summed by Spark per bucket; only buckets with a log ratio other than 0 go to the
-workers. Labels of at most MOST_LABELLED documents, chosen by hash, are held by the
+Buckets grow with the root of the texts' bytes, which are counted, so the way the
+input is stored changes nothing. Counts are summed by Spark per bucket. Log ratios are
+whole millionths, so sums do not depend on their order; up to MOST_HELD of them other
+than 0 go to the workers, more are joined to the n-grams of the rows. Labels of at most MOST_LABELLED documents, chosen by hash, are held by the
 workers (9 bytes each), so texts are never shuffled. The raw model and k cover all rows.
 
 Defined cases: a null or wordless text has weight 0 and is kept outside of k;
@@ -42,11 +43,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import BYTE, IS_SPACE, LOWER, any_names, grams, input_bytes, materialize, mix64, powers, seeds, slices, table, text_bytes
+from .common import BYTE, IS_SPACE, LOWER, any_names, grams, materialize, mix64, powers, seeds, slices, spread_join, table, text_bytes
 
-#: Buckets for each root of a byte of input, and the standard errors that a log ratio loses.
-LOAD, NOISE, SMOOTH, TEMPERATURE, ORDERS = 64, 4.0, 2.0, 1.0, (1,)
+#: Buckets for each root of a byte of text; the standard errors that a log ratio loses and its prior documents.
+LOAD, NOISE, SMOOTH, TEMPERATURE, ORDERS = 64, 1.0, 8.0, 1.0, (1, 2)
 MOST_LABELLED = 200_000
+#: Log ratios that workers hold (12 bytes each); more are joined.
+MOST_HELD = 1 << 22
 REPEAT = seeds(1, 606)
 RUNS = seeds(40, 707)
 
@@ -57,8 +60,9 @@ CLASS[48:58] = CLASS[65:91] = CLASS[97:123] = CLASS[128:] = 1
 
 
 def bucket_bits(docs: DataFrame) -> int:
-    """log2 of the number of buckets."""
-    return max(12, math.ceil(math.log2(LOAD * math.sqrt(max(1, input_bytes(docs))))))
+    """log2 of the number of buckets, by the bytes of all texts."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).collect()[0][0] or 1
+    return max(12, math.ceil(math.log2(LOAD * math.sqrt(size))))
 
 
 def tokens(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,6 +137,10 @@ def log_ratio(good: Column, every: Column, scale: float) -> Column:
     return F.signum(ratio) * F.greatest(F.lit(0.0), F.abs(ratio) - NOISE / F.sqrt(expected + 1))
 
 
+def in_millionths(ratio: Column) -> Column:
+    return F.round(ratio * 1e6).cast("int")
+
+
 def weigh(batches: Iterator[pa.RecordBatch], ratios: tuple[np.ndarray, np.ndarray], bits: int, orders: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
     """The rows with their log weight (null: no words) as the last column."""
     known, ratio = np.append(ratios[0], np.iinfo(np.int64).max), np.append(ratios[1], 0)  # sorted
@@ -142,18 +150,31 @@ def weigh(batches: Iterator[pa.RecordBatch], ratios: tuple[np.ndarray, np.ndarra
         size = np.array([len(f) for f in found], np.int64)
         flat = np.concatenate(found) if found else np.zeros(0, np.int64)
         at = np.searchsorted(known, flat)
-        total = np.concatenate([[0.0], np.cumsum(np.where(known[at] == flat, ratio[at], 0))])
+        total = np.concatenate([[0], np.cumsum(np.where(known[at] == flat, ratio[at], 0), dtype=np.int64)])
         end = np.cumsum(size)
-        # rounded, as sums over a batch depend on what stands before a row
-        weight = np.round(total[end] - total[end - size], 3)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weight, pa.float64(), mask=size == 0)], names=[*batch.schema.names, "weight"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((total[end] - total[end - size]) / 1e6, pa.float64(), mask=size == 0)], names=[*batch.schema.names, "weight"])
+
+
+def listed(batches: Iterator[pa.RecordBatch], bits: int, orders: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """(mark, bucket) for each n-gram of each row."""
+    for batch in batches:
+        found = list(features(*text_bytes(batch.column("text")), bits, orders))
+        mark = np.repeat(batch.column("mark").to_numpy(), [len(f) for f in found])
+        yield pa.RecordBatch.from_arrays([pa.array(mark, pa.int64()), pa.array(np.concatenate(found) if found else mark, pa.int64())], names=["mark", "bucket"])
 
 
 def weighed(docs: DataFrame, model: tuple) -> DataFrame:
-    """docs, whose names any_names() made, and a last column weight."""
+    """docs, whose names any_names() made, and a last column weight (null: no words)."""
     ratios, bits, orders = model
-    kinds = StructType([*docs.schema.fields, StructField("weight", DoubleType())])
-    return docs.mapInArrow(lambda it: weigh(it, ratios.value, bits, orders), kinds)
+    if not isinstance(ratios, DataFrame):
+        kinds = StructType([*docs.schema.fields, StructField("weight", DoubleType())])
+        return docs.mapInArrow(lambda it: weigh(it, ratios.value, bits, orders), kinds)
+    rows = materialize(docs.withColumn("mark", F.monotonically_increasing_id()))
+    grams_of = rows.select("mark", F.col("text").cast("string").alias("text")).mapInArrow(lambda it: listed(it, bits, orders), "mark bigint, bucket bigint")
+    total = spread_join(grams_of, ratios, "bucket", "mark").groupBy("mark").agg(F.sum("r").alias("r"))
+    has_words = F.coalesce(F.col("text").cast("string").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    weight = F.when(has_words, F.coalesce("r", F.lit(0)) / F.lit(1e6))
+    return rows.join(total, "mark", "left").select(*docs.columns, weight.alias("weight"))
 
 
 def gumbel_key(weight: Column, text: Column, seed: int, temperature: float) -> Column:
@@ -186,7 +207,7 @@ def kth_largest(keys: DataFrame, k: int) -> int | None:
 
 
 def fit(docs: DataFrame, labels: DataFrame, seed: int, orders: tuple[int, ...]) -> tuple[tuple, float]:
-    """(broadcast of the log ratios other than 0, bits, orders), and the share of good documents among the sampled labels."""
+    """(log ratios other than 0 as a broadcast, or as a table if they are many; bits; orders), and the share of good documents among the sampled labels."""
     marked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).alias("good"))
     sample = marked.orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").limit(MOST_LABELLED).toPandas().sort_values("doc_id")
     share = docs.sparkSession.sparkContext.broadcast
@@ -199,13 +220,14 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int, orders: tuple[int, ...])
     seen = bulk.agg(F.percentile_approx(F.col("good") / F.col("every"), 0.5).alias("median")).collect()[0]
     total = counts.agg((F.sum("good") / F.sum("every")).alias("mean")).collect()[0]["mean"] or 0.0
     scale = seen["median"] or total
-    if scale:
-        told = counts.select("bucket", log_ratio(F.col("good"), F.col("every"), float(scale)).cast("float").alias("r")).where("r <> 0").toPandas()  # few of the buckets, which grow with the root of the input
-        told = told.sort_values("bucket")
-        ratios = told["bucket"].to_numpy(np.int64), told["r"].to_numpy(np.float64)
-    else:
-        ratios = np.zeros(0, np.int64), np.zeros(0)
-    return (share(ratios), bits, orders), float(sample["good"].mean()) if len(sample) and scale else 1.0
+    good = float(sample["good"].mean()) if len(sample) and scale else 1.0
+    if not scale:
+        return (share((np.zeros(0, np.int64), np.zeros(0, np.int32))), bits, orders), good
+    told = materialize(counts.select("bucket", in_millionths(log_ratio(F.col("good"), F.col("every"), float(scale))).alias("r")).where("r <> 0"))
+    if told.count() > MOST_HELD:
+        return (told, bits, orders), good
+    held_ratios = told.toPandas().sort_values("bucket")
+    return (share((held_ratios["bucket"].to_numpy(np.int64), held_ratios["r"].to_numpy(np.int32))), bits, orders), good
 
 
 def threshold(scored: DataFrame, fraction: float) -> int | None:

@@ -2,7 +2,9 @@
 
 import math
 import random
+import re
 from collections import Counter
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -217,9 +219,18 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
         assert out.count() == 0 and (name == p.STAGES[-1][0] or out.columns == docs.columns), name
 
 
-def brute_weights(texts, labels, bits):
-    """Weights and the share of good labels by plain dictionaries over the same buckets."""
-    found = [set(f.tolist()) for t in texts for f in quality.features(*quality.text_bytes(pa.array([t], pa.string())), bits)]
+def spelt_features(text):
+    """The n-grams of a text, written out: tokens, pairs of tokens and runs of repeats."""
+    found = re.findall("[0-9A-Za-z\x80-\U0010ffff]+|[^0-9A-Za-z\x80-\U0010ffff \t\n\x0b\x0c\r]+", text)
+    parts = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t) for t in found]
+    said = ["<again>" if i and parts[i] == parts[i - 1] else t for i, t in enumerate(parts)]
+    longest = max((len(x) for x in re.findall("a+", "".join("a" if t == "<again>" else "-" for t in said))), default=1)
+    return {(t,) for t in said} | set(pairwise(said)) | {("run", k, k) for k in range(1, longest.bit_length())}
+
+
+def brute_weights(texts, labels):
+    """Weights by plain dictionaries over spelt n-grams."""
+    found = [spelt_features(t) for t in texts]
     good = {i for i, q, bad in labels if q == 1 and not bad}
     every, target = Counter(b for f in found for b in f), Counter(b for i, f in enumerate(found) if i in good for b in f)
     median = lambda x: sorted(x)[(len(x) - 1) // 2]
@@ -235,18 +246,38 @@ def brute_weights(texts, labels, bits):
     return out
 
 
-def test_quality_against_brute_force(spark):
+def test_quality_against_brute_force(spark, monkeypatch):
+    """N-grams spelt out; so many buckets that none holds two of them."""
+    monkeypatch.setattr(quality, "LOAD", 1 << 36)
     texts, labels = labelled(spark, 7, 400)
+    texts = [(i, t + (" lucid and clear" if i % 3 and i % 5 else "")) for i, t in texts]
+    texts[5] = (5, "No, no no NO no no no; x--y ñ1 ñ1! " + texts[5][1])
     rows = [tuple(r) for r in labels.collect()]
     docs = corpus(spark, texts)
     got = {r.doc_id: r for r in quality.resample(docs, labels).collect()}
-    want = brute_weights([t for _, t in texts], rows, quality.bucket_bits(docs.select("doc_id", "text")))
+    want = brute_weights([t for _, t in texts], rows)
     assert max(abs(got[i].weight - w) for i, w in enumerate(want)) < 0.01
+    assert max(want) > 1 and sum(w == 0 for w in want) < len(want) / 2
     k = round(sum(not bad for _, _, bad in rows) / len(rows) * len(texts))
     keys = sorted((r.gumbel_key for r in got.values()), reverse=True)
     assert {i for i, r in got.items() if r.kept} == {i for i, r in got.items() if round(r.gumbel_key * 1e6) >= round(keys[k - 1] * 1e6)}
 
 
+def test_storage_and_joined_ratios_change_nothing(spark, tmp_path, monkeypatch):
+    """Two codecs, and ratios that are joined instead of held, give the same weights."""
+    texts, labels = labelled(spark, 8, 300)
+    rows = [*texts, (300, None), (301, "  "), (None, texts[1][1])]
+    for codec in ("uncompressed", "zstd"):
+        corpus(spark, rows).write.option("compression", codec).parquet(str(tmp_path / codec))
+    run = lambda codec: sorted(map(str, quality.resample(spark.read.parquet(str(tmp_path / codec)), labels).collect()))
+    want = run("zstd")
+    assert run("uncompressed") == want
+    monkeypatch.setattr(quality, "MOST_HELD", 10)
+    assert run("zstd") == want
+    kept = quality.kept_rows(corpus(spark, rows), labels)
+    assert kept.columns == corpus(spark, rows).columns and kept.where("doc_id = 300").count() == 1
+
+
 def test_gumbel_noise_decides(spark):
     """At temperature 1 the noise, at 0.001 the weights decide; equal rows stay or go together."""
     rng = random.Random(5)
@@ -256,3 +287,24 @@ def test_gumbel_noise_decides(spark):
     cold = quality.resample(docs, labels, temperature=0.001, fraction=0.5).collect()
     assert sum(hot[i] for i in hot if i % 5 == 0) > 15 and sum(r.kept for r in cold if r.doc_id % 5 == 0) <= 2
     assert len({r.kept for r in cold if r.doc_id == 1}) == 1 and rng
+
+
+def test_top_k_of_large_components(spark):
+    """Scores beyond 2^53, and beyond a long, keep their exact order; small ones stand beside them."""
+    rng = random.Random(4)
+    rows = [(0, [float(2**27 + 1), 1.0]), (1, [float(2**27 + 1), 1.0]), (2, [float(2**27 + 1), 2.0])]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), scale=1).orderBy("rank").collect()]
+    assert got == [(0, 1, 2, (2**27 + 1) ** 2 + 2), (0, 2, 1, (2**27 + 1) ** 2 + 1)]
+    rows = [(i, [float(rng.choice([1, 2**26, 2**40, -(2**70)]) * rng.randrange(1, 9) + rng.randrange(3)) for _ in range(20)]) for i in range(80)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), k=10).collect()
+    want = []
+    for q, a in rows[::20]:
+        score = sorted((-sum(64 * int(x) * 64 * int(y) for x, y in zip(a, b, strict=True)), i) for i, b in rows if i != q)
+        want += [(q, k + 1, i, max(-(2**63), min(2**63 - 1, -s))) for k, (s, i) in enumerate(score[:10])]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_order_keys():
+    scores = sorted([0, 1, -1, 2**62, -(2**62) - 1, 2**62 - 1, 2**200, -(2**200), 2**63, -(2**70), 5, 2**64 + 1, 2**64])
+    keys = topk.order_keys(np.array(scores, dtype=object))
+    assert keys == sorted(keys) and len(set(keys)) == len(keys)
