@@ -43,11 +43,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import BYTE, IS_SPACE, LOWER, any_names, grams, materialize, mix64, powers, seeds, slices, spread_join, table, text_bytes
+from .common import BYTE, IS_SPACE, LOWER, any_names, grams, materialize, mix64, parts_for, powers, seeds, slices, spread_join, table, text_bytes
 
 #: Buckets for each root of a byte of text; the standard errors that a log ratio loses and its prior documents.
 LOAD, NOISE, SMOOTH, TEMPERATURE, ORDERS = 64, 1.0, 8.0, 1.0, (1, 2)
 MOST_LABELLED = 200_000
+#: Bytes of input files that one task counts: its buckets are summed before they are shuffled.
+COUNTED_TOGETHER = 64 << 20
 #: Log ratios that workers hold (12 bytes each); more are joined.
 MOST_HELD = 1 << 22
 REPEAT = seeds(1, 606)
@@ -214,7 +216,8 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int, orders: tuple[int, ...])
     held = share((sample["doc_id"].to_numpy(np.int64), sample["good"].to_numpy(bool)))
     bits = bucket_bits(docs)
     few = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counted = few.mapInArrow(lambda it: count(it, held.value, bits, orders), "bucket bigint, good int, every int")
+    tasks = parts_for(docs, COUNTED_TOGETHER, docs.sparkSession.sparkContext.defaultParallelism)
+    counted = few.coalesce(tasks).mapInArrow(lambda it: count(it, held.value, bits, orders), "bucket bigint, good int, every int")
     counts = materialize(counted.groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("every").alias("every")))
     bulk = counts.where(F.col("every") >= (counts.agg(F.percentile_approx("every", 0.5).alias("m")).collect()[0]["m"] or 1))
     seen = bulk.agg(F.percentile_approx(F.col("good") / F.col("every"), 0.5).alias("median")).collect()[0]
