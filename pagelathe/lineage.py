@@ -6,6 +6,10 @@ import re
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Tasks that the rows which share a key are dealt over.
+WAYS = 8
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -17,3 +21,9 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lineage-"))
     return df.checkpoint()
+
+
+def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """left outer join of rows of which very many may share a key: they are dealt over WAYS tasks by their own columns, the other side goes to all."""
+    dealt = left.withColumn("_way", F.pmod(F.xxhash64(*by), F.lit(WAYS)))
+    return dealt.join(right.withColumn("_way", F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1)).cast("array<bigint>"))), [*keys, "_way"], "left").drop("_way")

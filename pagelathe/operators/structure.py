@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import personal
-from ..lineage import cut
+from ..lineage import cut, dealt_join
 
 def inherit(rows: DataFrame, key: str, parent: str, values: list[str]) -> DataFrame:
     """key and values, each null filled from the nearest ancestor that has one.
 
     Pointer doubling: round k knows what 2**k ancestors give, so a chain of n rows
-    takes log2(n) equi-joins, each written out. Longer than all rows no chain is:
+    takes log2(n) equi-joins, each written out; rows that share an ancestor, as late
+    rounds do, are dealt over several tasks. Longer than all rows no chain is:
     what is still going on then is a cycle, and ends.
     """
     now = rows.select(key, F.col(parent).alias("_up"), *values)
@@ -21,7 +22,7 @@ def inherit(rows: DataFrame, key: str, parent: str, values: list[str]) -> DataFr
         if now.where("_up IS NOT NULL").isEmpty():
             break
         above = now.select(F.col(key).alias("_up"), F.col("_up").alias("_next"), *[F.col(v).alias(f"_{v}") for v in values])
-        now = now.join(above, "_up", "left").select(key, F.col("_next").alias("_up"), *[F.coalesce(v, f"_{v}").alias(v) for v in values])
+        now = dealt_join(now, above, ["_up"], [key]).select(key, F.col("_next").alias("_up"), *[F.coalesce(v, f"_{v}").alias(v) for v in values])
     return now.drop("_up")
 
 

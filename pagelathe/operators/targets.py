@@ -1,75 +1,41 @@
-"""Targets of a touch: pieces of one phrase joined, page by page in a stream."""
+"""Targets of a touch: neighbouring pieces of text as phrases, by islands."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import groupby
-from operator import itemgetter
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values, in heights of the text: gaps within a phrase of words and of pieces, from where on a blank stands, how much sizes may differ.
 GAP_WORDS, GAP_PIECES, BLANK, SAME_SIZE = 0.6, 0.08, 0.15, 1.35
 
-_OUT = "page_id bigint, target_no int, text string, x0 double, y0 double, x1 double, y1 double"
-_IN = ["str", "x0", "y0", "x1", "y1", "line", "words", "family"]
-
-
-def _line_of(lines: list[list[tuple]], piece: tuple) -> list[tuple]:
-    """The first line whose first piece is on the height of this one, or has its number; a new one otherwise."""
-    middle = (piece[2] + piece[4]) / 2
-    for line in lines:
-        head = line[0]
-        if piece[5] is not None and head[5] is not None:
-            if piece[5] == head[5]:
-                return line
-        elif head[2] < middle < head[4] or piece[2] < (head[2] + head[4]) / 2 < piece[4]:
-            return line
-    lines.append([])
-    return lines[-1]
-
-
-def phrases(pieces: list[tuple]) -> list[tuple]:
-    """Pieces of a page as in _IN -> (text, x0, y0, x1, y1) of each phrase, in reading order."""
-    lines: list[list[tuple]] = []
-    numbered: dict = {}
-    for p in pieces:
-        text = " ".join((p[0] or "").split())
-        if text and p[3] > p[1] and p[4] > p[2]:
-            known = numbered.get(p[5]) if p[5] is not None else None
-            line = known if known is not None else _line_of(lines, p)
-            if p[5] is not None and not line:
-                numbered[p[5]] = line
-            line.append((text, *p[1:]))
-    found = []
-    for line in lines:
-        now = None
-        for text, x0, y0, x1, y1, _, words, family in sorted(line, key=itemgetter(1)):
-            tall = y1 - y0
-            if now is not None:
-                least, gap = min(tall, now[4] - now[2]), x0 - now[3]
-                both = bool(words and now[5])
-                ratio = (now[4] - now[2]) / tall
-                if gap < (GAP_WORDS if both else GAP_PIECES) * least and 1 / SAME_SIZE < ratio < SAME_SIZE and family == now[6]:
-                    now[0] += (" " if both or gap > BLANK * least else "") + text
-                    now[2], now[3], now[4] = min(now[2], y0), max(now[3], x1), max(now[4], y1)
-                    continue
-            now = [text, x0, y0, x1, y1, words, family]
-            found.append(now)
-    return [tuple(t[:5]) for t in sorted(found, key=itemgetter(2, 1))]
-
-
-def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = ((page, row) for b in batches for page, row in zip(b.column(0).to_pylist(), zip(*(b.column(c).to_pylist() for c in _IN), strict=True), strict=True))
-    for page, listed in groupby(rows, itemgetter(0)):
-        found = phrases([r for _, r in listed])
-        cells = list(zip(*found, strict=True)) if found else [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array([page] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()), pa.array(cells[0], pa.string()), *(pa.array(c, pa.float64()) for c in cells[1:])], names=[c.split()[0] for c in _OUT.split(", ")])
-
 
 def text_targets(pieces: DataFrame) -> DataFrame:
-    """pieces (page_id, piece_no, str, x0..y1, line, words, family) -> the phrases of each page, in reading order. One shuffle."""
-    flat = pieces.select(F.col("page_id").cast("bigint").alias("page_id"), *_IN, "piece_no").repartition("page_id").sortWithinPartitions("page_id", "piece_no").drop("piece_no")
-    return flat.mapInArrow(_stream, _OUT)
+    """pieces (page_id, piece_no, str, x0..y1, line, words, family) -> page_id, target_no, text, x0..y1: the phrases of each page, in reading order.
+
+    Lines are the numbers that pieces bring, or islands of heights: from the top, a piece
+    opens a line where all before it have ended above its middle. Along a line a piece
+    opens a phrase where the gap behind everything before it is wide, or where it differs
+    in size or family from the piece before. Windows only; a page's lines are its groups.
+    """
+    text = F.trim(F.regexp_replace("str", r"\s+", " "))
+    tall = F.col("y1") - F.col("y0")
+    rows = pieces.withColumn("str", text).where((F.col("str") != "") & (F.col("x1") > F.col("x0")) & (tall > 0)).withColumn("middle", (F.col("y0") + F.col("y1")) / 2).withColumn("tall", tall)
+    down = Window.partitionBy("page_id", "line").orderBy("middle", "x0", "piece_no")
+    reach = F.max("y1").over(down.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("opens", F.when(F.col("line").isNull() & (F.coalesce(reach, F.lit(float("-inf"))) <= F.col("middle")), 1).otherwise(0))
+    rows = rows.withColumn("island", F.sum("opens").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    line = Window.partitionBy("page_id", "line", "island")
+    along = line.orderBy("x0", "piece_no")
+    before = lambda c: F.lag(c).over(along)
+    gap = F.col("x0") - F.max("x1").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.select("*", gap.alias("gap"), before("tall").alias("tall_before"), (before("words") & F.col("words")).alias("both"), (before("family").eqNullSafe(F.col("family"))).alias("same"))
+    least = F.least("tall", "tall_before")
+    near = F.col("gap") < F.when(F.col("both"), GAP_WORDS).otherwise(GAP_PIECES) * least
+    ratio = F.col("tall_before") / F.col("tall")
+    joins = F.coalesce(near & F.col("same") & (ratio < SAME_SIZE) & (ratio > 1 / SAME_SIZE), F.lit(False))
+    rows = rows.withColumn("joins", joins).withColumn("phrase", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    part = F.when(F.col("joins") & (F.coalesce("both", F.lit(False)) | (F.col("gap") > BLANK * least)), F.concat(F.lit(" "), "str")).otherwise(F.col("str"))
+    ordered = F.array_sort(F.collect_list(F.struct("x0", "piece_no", part.alias("part"))))
+    found = rows.groupBy("page_id", "line", "island", "phrase").agg(ordered.alias("parts"), *[pick(c).alias(c) for pick, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))])
+    number = F.row_number().over(Window.partitionBy("page_id").orderBy("y0", "x0", "line", "island", "phrase")) - 1
+    return found.select("page_id", number.alias("target_no"), F.array_join("parts.part", "").alias("text"), "x0", "y0", "x1", "y1")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import cut
+from ..lineage import cut, dealt_join
 
 # How far list links are followed; angles in degrees that a page is turned for reading.
 MOST_LINKS = 3
@@ -28,7 +28,7 @@ def field_tree(fields: DataFrame, inherited: list[str]) -> DataFrame:
             break
         above = now.select("doc_id", F.col("num").alias("up"), F.col("up").alias("next"), F.col("name").alias("above"), *[F.col(c).alias(f"above_{c}") for c in inherited])
         name = F.when(F.col("above").isNull() | (F.col("above") == ""), F.col("name")).when(F.col("name") == "", F.col("above")).otherwise(F.concat_ws(".", "above", "name"))
-        now = now.join(above, ["doc_id", "up"], "left").select("doc_id", "num", F.col("next").alias("up"), name.alias("name"), *[F.coalesce(c, f"above_{c}").alias(c) for c in inherited])
+        now = dealt_join(now, above, ["doc_id", "up"], ["num"]).select("doc_id", "num", F.col("next").alias("up"), name.alias("name"), *[F.coalesce(c, f"above_{c}").alias(c) for c in inherited])
     return now.drop("up")
 
 

@@ -124,15 +124,16 @@ def subset_tags(spark, sf_dir):
 @query(
     """WITH c AS (SELECT c_custkey, CASE WHEN length(to_hex(c_custkey * 7919)) % 2 = 1 THEN '0' ELSE '' END || to_hex(c_custkey * 7919) AS h FROM customer),
 b AS (SELECT c_custkey, upper(CASE WHEN h[1:1] >= '8' THEN '00' || h ELSE h END) AS b FROM c)
-SELECT c_custkey, '02' || lpad(to_hex(length(b) // 2), 2, '0') || b AS "integer", '06' || CASE WHEN c_custkey < 128 THEN '03' ELSE '04' END || '2A06' || CASE WHEN c_custkey < 128 THEN lpad(upper(to_hex(c_custkey)), 2, '0') ELSE upper(to_hex(128 + c_custkey // 128 % 128)) || lpad(upper(to_hex(c_custkey % 128)), 2, '0') END AS oid,
- '31' || '06' || array_to_string(list_sort([lpad(upper(to_hex(c_custkey % 251)), 2, '0') || '01', lpad(upper(to_hex(c_custkey % 7)), 2, '0') || 'FF', '1002']), '') AS "set" FROM b WHERE c_custkey < 16384"""
+SELECT c_custkey, '02' || lpad(to_hex(length(b) // 2), 2, '0') || b AS "integer", '06' || CASE WHEN c_custkey < 128 THEN '03' WHEN c_custkey < 16384 THEN '04' WHEN c_custkey < 2097152 THEN '05' ELSE '06' END || '2A06' ||
+ CASE WHEN c_custkey >= 2097152 THEN upper(to_hex(128 + c_custkey // 2097152 % 128)) ELSE '' END || CASE WHEN c_custkey >= 16384 THEN upper(to_hex(128 + c_custkey // 16384 % 128)) ELSE '' END || CASE WHEN c_custkey >= 128 THEN upper(to_hex(128 + c_custkey // 128 % 128)) ELSE '' END || lpad(upper(to_hex(c_custkey % 128)), 2, '0') AS oid,
+ '31' || '06' || array_to_string(list_sort([lpad(upper(to_hex(c_custkey % 251)), 2, '0') || '01', lpad(upper(to_hex(c_custkey % 7)), 2, '0') || 'FF', '1002']), '') AS "set" FROM b"""
 )
 def der_values(spark, sf_dir):
     k = F.col("c_custkey")
     byte = lambda c: F.lpad(F.hex(c.cast("bigint")), 2, "0")
     oid = F.concat(F.lit("1.2.6."), k.cast("string"))
     items = F.array(F.concat(byte(k % 251), F.lit("01")), F.concat(byte(k % 7), F.lit("FF")), F.lit("1002"))
-    return load(spark, sf_dir, "customer").where("c_custkey < 16384").select("c_custkey", v.der_integer(k * 7919).alias("integer"), v.der_oid(oid).alias("oid"), v.der_set(items).alias("set"))
+    return load(spark, sf_dir, "customer").select("c_custkey", v.der_integer(k * 7919).alias("integer"), v.der_oid(oid).alias("oid"), v.der_set(items).alias("set"))
 
 
 # --- lists and trees ---------------------------------------------------------
