@@ -4,7 +4,7 @@ Both functions take a table or a stream of changes (form_id, field, ts, seq, val
 original). Over a stream they are Spark's own keyed state: the last value of a field is
 an aggregate, so rows that come in any order, in any batch, give the same store; a
 series of changes is a session that ends when the watermark has passed its gap, and
-rows older than the watermark are dropped.
+rows older than the watermark of the batch before are dropped.
 """
 
 from __future__ import annotations
