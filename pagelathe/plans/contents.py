@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import contents, copies
+from ..operators import contents, copies, extras
 from ..streaming import forms
 from . import base
 from .base import load, query
@@ -80,3 +80,20 @@ SELECT form_id, min(ts) AS first_ts, max(ts) AS last_ts, array_to_string(list_so
 )
 def form_notifications(spark, sf_dir):
     return forms.notifications(_changes(spark, sf_dir), "10 hours").withColumn("fields", F.array_join("fields", ","))
+
+
+@query(
+    """WITH p AS (SELECT o_custkey % 300 AS file_no, o_orderkey AS position, CASE o_orderkey % 4 WHEN 0 THEN 'top' WHEN 1 THEN 'bottom' WHEN 2 THEN 'left' END AS number_spot, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS header,
+ CASE WHEN o_orderkey % 5 < 2 THEN o_orderstatus END AS footer, CASE WHEN o_orderkey % 7 = 0 THEN 'copy' END AS watermark, 8.0::DOUBLE + o_orderkey % 3 AS h FROM orders),
+n AS (SELECT *, row_number() OVER (PARTITION BY file_no ORDER BY position) AS n, count(*) OVER (PARTITION BY file_no) AS total FROM p)
+SELECT file_no, position, number_spot AS spot, 20.0::DOUBLE AS place, n || ' de ' || total AS text FROM n WHERE number_spot IS NOT NULL
+UNION ALL SELECT file_no, position, 'top', CASE WHEN number_spot = 'top' THEN 22 + h ELSE 20 END, header FROM n WHERE header IS NOT NULL
+UNION ALL SELECT file_no, position, 'bottom', CASE WHEN number_spot = 'bottom' THEN 22 + h ELSE 20 END, footer FROM n WHERE footer IS NOT NULL
+UNION ALL SELECT file_no, position, 'middle', 0, watermark FROM n WHERE watermark IS NOT NULL"""
+)
+def page_extras(spark, sf_dir):
+    """Numbers, headers, footers and watermarks of 300 files by a table function in SQL."""
+    k = F.col("o_orderkey")
+    spot = F.when(k % 4 == 0, "top").when(k % 4 == 1, "bottom").when(k % 4 == 2, "left")
+    pages = load(spark, sf_dir, "orders").select((F.col("o_custkey") % 300).alias("file_no"), k.alias("position"), spot.alias("number_spot"), F.when(k % 3 == 0, F.col("o_orderpriority")).alias("header"), F.when(k % 5 < 2, F.col("o_orderstatus")).alias("footer"), F.when(k % 7 == 0, "copy").alias("watermark"), (8.0 + k % 3).cast("double").alias("height"))
+    return extras.page_extras(spark, pages)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import glyphs
 from ..operators import items
+from ..operators import layout as lines
 from . import base
 from .base import load, query
 
@@ -171,3 +172,48 @@ def slot_offsets(spark, sf_dir):
     before = Window.partitionBy("user_id", "spot").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
     s = load(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("spot"), (8.0 + F.col("event_id") % 5).alias("h"))
     return s.select("user_id", "event_id", "spot", (20 + F.coalesce(F.sum(F.col("h") + 2).over(before), F.lit(0.0))).alias("offset"))
+
+
+# --- lines and spanning cells --------------------------------------------------
+
+_LINE, _FIRST = 4000, 3600
+
+
+@query(
+    rf"""WITH RECURSIVE {base.WORDS}, lw AS (SELECT page_id, word_no, text, [54, 60, 72][(word_no % 3 + 1)::INTEGER] AS c FROM words),
+p AS (SELECT page_id, word_no, c, unnest(l) AS t, generate_subscripts(l, 1) - 1 AS part FROM (SELECT *, CASE WHEN length(text) * c > {_FIRST} THEN string_split(text, '') ELSE [text] END AS l FROM lw)),
+i AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY word_no, part) - 1 AS n, t, length(t) * c AS width, CASE WHEN part = 0 THEN c ELSE 0 END AS blank FROM p),
+s AS (SELECT *, sum(width + blank) OVER (PARTITION BY page_id ORDER BY n) AS stop FROM i),
+q AS (SELECT page_id, n, stop - width + CASE WHEN n = 0 THEN {_FIRST} ELSE {_LINE} END AS room FROM s),
+x AS MATERIALIZED (SELECT q.page_id, q.n, greatest(s.n, q.n + 1) AS next FROM q ASOF JOIN s ON q.page_id = s.page_id AND q.room < s.stop),
+r(page_id, n, line_no) AS (SELECT page_id, n, 0::BIGINT FROM i WHERE n = 0 UNION ALL SELECT r.page_id, x.next, line_no + 1 FROM r JOIN x ON r.page_id = x.page_id AND r.n = x.n),
+l AS (SELECT i.*, r.line_no, i.n > r.n AND blank > 0 AS gap FROM i ASOF JOIN r ON i.page_id = r.page_id AND i.n >= r.n),
+g AS (SELECT page_id, line_no, string_agg(CASE WHEN gap THEN ' ' || t ELSE t END, '' ORDER BY n) AS text, sum(width + CASE WHEN gap THEN blank ELSE 0 END)::BIGINT AS width, count_if(gap) AS gaps FROM l GROUP BY ALL),
+m AS (SELECT *, line_no = max(line_no) OVER (PARTITION BY page_id) AS last, CASE WHEN line_no = 0 THEN {_FIRST} ELSE {_LINE} END - width AS room FROM g)
+SELECT page_id, line_no, text, width, round(CASE WHEN last OR gaps = 0 OR room <= 0 THEN 0.0::DOUBLE ELSE room / gaps END, 6) AS spacing FROM m"""
+)
+def broken_lines(spark, sf_dir):
+    """Whole texts as justified lines, words in letters of three widths, overlong words cut."""
+    letter = F.element_at(F.array(*map(F.lit, (54, 60, 72))), (F.col("word_no") % 3 + 1).cast("int"))
+    w = base.words(spark, sf_dir).select(F.col("page_id").alias("para_no"), "word_no", "text", letter.alias("letter"), letter.alias("blank"))
+    return lines.broken_lines(w, _LINE, _FIRST).select(F.col("para_no").alias("page_id"), "line_no", "text", "width", F.round("spacing", 6).alias("spacing"))
+
+
+@query(
+    """WITH RECURSIVE o AS (SELECT l_orderkey AS t, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS k, count(*) OVER (PARTITION BY l_orderkey) AS n, l_suppkey, l_quantity::DOUBLE AS h FROM lineitem),
+c AS (SELECT t, k // 2 AS row_no, k AS cell_no, h, CASE WHEN l_suppkey % 3 = 0 THEN least(1 + h::BIGINT % 3, (n - 1) // 2 - k // 2 + 1) ELSE 1 END AS span FROM o),
+hs AS (SELECT t, list(own ORDER BY row_no) AS hs FROM (SELECT t, row_no, greatest(coalesce(max(h) FILTER (span = 1), 0), 4) AS own FROM c GROUP BY t, row_no) GROUP BY t),
+s AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY row_no, cell_no) AS nth FROM c WHERE span > 1),
+r(t, nth, hs) AS (SELECT t, 0::BIGINT, hs FROM hs UNION ALL SELECT r.t, s.nth, list_transform(r.hs, lambda x, i: CASE WHEN i = s.row_no + s.span THEN x + greatest(0, s.h - list_sum(r.hs[s.row_no + 1:s.row_no + s.span])) ELSE x END) FROM r JOIN s ON r.t = s.t AND s.nth = r.nth + 1),
+d AS (SELECT t, arg_max(hs, nth) AS hs FROM r GROUP BY t)
+SELECT t AS l_orderkey, unnest(range(len(hs)))::INTEGER AS row_no, round(unnest(hs), 6) AS height FROM d"""
+)
+def spanned_rows(spark, sf_dir):
+    """Tables of two cells a row, some of them over several rows."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    k, n, h = F.row_number().over(order) - 1, F.count("*").over(Window.partitionBy("l_orderkey")), F.col("l_quantity").cast("double")
+    o = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("table_no"), k.alias("cell_no"), n.alias("n"), "l_suppkey", h.alias("height"))
+    row = F.floor(F.col("cell_no") / 2)
+    span = F.when(F.col("l_suppkey") % 3 == 0, F.least(1 + F.col("height").cast("bigint") % 3, F.floor((F.col("n") - 1) / 2) - row + 1)).otherwise(1)
+    cells = o.select("table_no", row.alias("row_no"), "cell_no", "height", span.alias("span"))
+    return lines.spanned_rows(cells).select(F.col("table_no").alias("l_orderkey"), "row_no", F.round("height", 6).alias("height"))
