@@ -50,6 +50,8 @@ LOAD, NOISE, SMOOTH, TEMPERATURE, ORDERS = 64, 1.0, 8.0, 1.0, (1, 2)
 MOST_LABELLED = 200_000
 #: Bytes of input files that one task counts: its buckets are summed before they are shuffled.
 COUNTED_TOGETHER = 64 << 20
+#: Bytes of text whose n-grams a worker holds at a time.
+TOGETHER = 8 << 20
 #: Log ratios that workers hold (12 bytes each); more are joined.
 MOST_HELD = 1 << 22
 REPEAT = seeds(1, 606)
@@ -117,19 +119,17 @@ def marks_of(ids: pa.Array, marks: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 
 def count(batches: Iterator[pa.RecordBatch], marks: tuple[np.ndarray, np.ndarray], bits: int, orders: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    """(bucket, documents of the target, all documents), summed over each batch."""
+    """(bucket, documents of the target, all documents), summed over some MB of texts at a time."""
     for batch in batches:
         raw, off = text_bytes(batch.column("text"))
-        found = list(features(raw, off, bits, orders))
-        if not found:
-            continue
-        size = np.array([len(f) for f in found])
-        flat = np.concatenate(found)
-        target = np.repeat(marks_of(batch.column("doc_id"), marks) == 1, size)
-        bucket, where = np.unique(flat, return_inverse=True)
-        every = np.bincount(where, minlength=len(bucket))
-        good = np.bincount(where[target], minlength=len(bucket))
-        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(good.astype(np.int32)), pa.array(every.astype(np.int32))], names=["bucket", "good", "every"])
+        marked = marks_of(batch.column("doc_id"), marks) == 1
+        for a, b in slices(off, TOGETHER):
+            found = list(features(raw[off[a] : off[b]], off[a : b + 1] - off[a], bits, orders))
+            target = np.repeat(marked[a:b], [len(f) for f in found])
+            bucket, where = np.unique(np.concatenate(found), return_inverse=True)
+            every = np.bincount(where, minlength=len(bucket))
+            good = np.bincount(where[target], minlength=len(bucket))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(good.astype(np.int32)), pa.array(every.astype(np.int32))], names=["bucket", "good", "every"])
 
 
 def log_ratio(good: Column, every: Column, scale: float) -> Column:
@@ -148,13 +148,16 @@ def weigh(batches: Iterator[pa.RecordBatch], ratios: tuple[np.ndarray, np.ndarra
     known, ratio = np.append(ratios[0], np.iinfo(np.int64).max), np.append(ratios[1], 0)  # sorted
     for batch in batches:
         raw, off = text_bytes(batch.column(batch.schema.names.index("text")))
-        found = list(features(raw, off, bits, orders))
-        size = np.array([len(f) for f in found], np.int64)
-        flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-        at = np.searchsorted(known, flat)
-        total = np.concatenate([[0], np.cumsum(np.where(known[at] == flat, ratio[at], 0), dtype=np.int64)])
-        end = np.cumsum(size)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((total[end] - total[end - size]) / 1e6, pa.float64(), mask=size == 0)], names=[*batch.schema.names, "weight"])
+        weight, empty = np.zeros(len(batch)), np.ones(len(batch), bool)
+        for a, b in slices(off, TOGETHER):
+            found = list(features(raw[off[a] : off[b]], off[a : b + 1] - off[a], bits, orders))
+            size = np.array([len(f) for f in found], np.int64)
+            flat = np.concatenate(found)
+            at = np.searchsorted(known, flat)
+            total = np.concatenate([[0], np.cumsum(np.where(known[at] == flat, ratio[at], 0), dtype=np.int64)])
+            end = np.cumsum(size)
+            weight[a:b], empty[a:b] = (total[end] - total[end - size]) / 1e6, size == 0
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weight, pa.float64(), mask=empty)], names=[*batch.schema.names, "weight"])
 
 
 def listed(batches: Iterator[pa.RecordBatch], bits: int, orders: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
