@@ -624,7 +624,7 @@ def find_in_pieces(spark, sf_dir):
     return structure.find_in_pieces(pieces).groupBy("page_id", "line_no", "type", "value").agg(F.count("*").alias("n"))
 
 
-from . import contents, drawings, files, forms, geometry, inputs, layout, records, trees  # noqa: E402, F401  they add their queries
+from . import contents, drawings, files, forms, geometry, inputs, layout, marks, records, trees  # noqa: E402, F401  they add their queries
 
 
 def queries() -> dict:

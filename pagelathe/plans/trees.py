@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import pages, targets, trees
@@ -115,16 +115,20 @@ def taken_names(spark, sf_dir):
     return dropped.groupBy("user_id").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.map_keys("resources"))))), ",").alias("taken"))
 
 
-@query(
-    f"""WITH {base.WORDS}, o AS (SELECT page_id, word_no // 8 AS line, word_no, text, coalesce(lag(text LIKE '%.') OVER (PARTITION BY page_id, word_no // 8 ORDER BY word_no), true) AS opens FROM words),
-i AS (SELECT *, sum(opens::INTEGER) OVER (PARTITION BY page_id, line ORDER BY word_no) AS island FROM o)
-SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY line, island) - 1)::INTEGER AS target_no, string_agg(text, ' ' ORDER BY word_no) AS text FROM i GROUP BY page_id, line, island"""
-)
-def text_targets(spark, sf_dir):
+def phrases(spark, sf_dir) -> DataFrame:
     """Words set tightly, with a wide gap behind each that ends in a dot: phrases end there and at line ends."""
     w = base.words(spark, sf_dir).withColumn("line", F.floor(F.col("word_no") / 8))
     before = Window.partitionBy("page_id", "line").orderBy("word_no").rowsBetween(Window.unboundedPreceding, -1)
     wide = F.length("text") * 0.01
     start = F.coalesce(F.sum(wide + F.when(F.col("text").endswith("."), 0.03).otherwise(0.004)).over(before), F.lit(0.0))
     pieces = w.select("page_id", F.col("word_no").alias("piece_no"), F.col("text").alias("str"), start.alias("x0"), (F.col("line") * 0.02).alias("y0"), (start + wide).alias("x1"), (F.col("line") * 0.02 + 0.01).alias("y1"), "line", F.lit(True).alias("words"), F.lit("sans").alias("family"))
-    return targets.text_targets(pieces).select("page_id", "target_no", "text")
+    return targets.text_targets(pieces)
+
+
+@query(
+    f"""WITH {base.WORDS}, o AS (SELECT page_id, word_no // 8 AS line, word_no, text, coalesce(lag(text LIKE '%.') OVER (PARTITION BY page_id, word_no // 8 ORDER BY word_no), true) AS opens FROM words),
+i AS (SELECT *, sum(opens::INTEGER) OVER (PARTITION BY page_id, line ORDER BY word_no) AS island FROM o)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY line, island) - 1)::INTEGER AS target_no, string_agg(text, ' ' ORDER BY word_no) AS text FROM i GROUP BY page_id, line, island"""
+)
+def text_targets(spark, sf_dir):
+    return phrases(spark, sf_dir).select("page_id", "target_no", "text")
