@@ -108,6 +108,7 @@ def canonical(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     name = _IS_UPPER[head] & ~opens
     unit = np.zeros(len(a), bool)
     unit[1:] = number[:-1] & np.isin(own[1:], _UNIT_HASHES)
+    unit[at[:-1][at[:-1] < len(start)]] = False
     canon = np.where(number, NUMBER, np.where(name, NAME, np.where(unit, UNIT, own)))
     kind = np.where(number | unit, VALUE, np.where(name, NAMED, np.where(_IS_UPPER[head], OPENING, WORD)))
     kind[name & unit] = NAMED
@@ -216,8 +217,9 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """doc_id, item_id, n_items, n_windows, n_matched, n_slots, n_changed: the leaked items of each document.
 
     A class of n_items items leaks into a document if at least share of its windows
-    match in consistent alignments. item_id is its smallest; n_changed counts slots
-    filled with another value than that item's.
+    match in consistent alignments; windows without slots need no alignment. item_id is
+    its smallest; of the alignments with matching slots n_slots is the most values one
+    fills, n_changed the most that it fills with another value than that item's.
     """
     items = benchmark.select(F.col("item_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
@@ -232,7 +234,9 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         held = {n: np.sort(got.loc[got["size"] == n, "key"].to_numpy(np.int64).view(np.uint64)) for n in by_size}
     sizes = sorted(by_size)
     hits = texts.mapInArrow(lambda it: find_windows(it, sizes, held, False), FOUND)
-    left = hits.select("size", "key", F.col("id").alias("doc_id"), F.col("pos").alias("d_pos"), F.col("slots").alias("d"))
+    # a window without slots counts wherever it stands: once a text, however often it comes
+    placed = F.when(F.size("slots") > 0, F.col("pos"))
+    left = hits.select("size", "key", F.col("id").alias("doc_id"), placed.alias("d_pos"), F.col("slots").alias("d")).distinct()
     right = bench.select("size", "key", F.col("id").alias("item_id"), "of", "pos", F.col("slots").alias("b"), F.col("places").alias("at"))
     both = spread_join(left, right, ["size", "key"], "doc_id", 8)
     aligned = both.select("doc_id", "item_id", "of", "pos", (F.col("d_pos") - F.col("pos")).alias("shift"), F.arrays_zip("b", "d", "at").alias("slots"))

@@ -24,9 +24,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -111,59 +113,69 @@ def value_of(text: str) -> str:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
-def instances(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
+def instances(text: str, base: list[tuple[int, int, int]]) -> Iterator[dict]:
     """Base entities, tokens with a digit and runs of digit groups, each with its patterns."""
     if not base and not _DIGIT.search(text):
-        return []
-    found = list(_WORD.finditer(text))
-    starts = [m.start() for m in found]
+        return
+    starts, ends = array("q"), array("q")
+    for m in _WORD.finditer(text):
+        starts.append(m.start())
+        ends.append(m.end())
     taken = sorted((a, b) for _, a, b in base)
-    out = []
+    word = lambda k: text[starts[k] : ends[k]]
 
-    def place(known: bool, a: int, b: int, first: int, last: int, value: str) -> None:
-        around = patterns([m[0] for m in found[max(0, first - 2) : first]], [m[0] for m in found[last + 1 : last + 2]])
-        out.append({"known": known, "start": a, "stop": b, "value": value, "patterns": around})
+    def place(known: bool, a: int, b: int, first: int, last: int, value: str) -> dict:
+        around = patterns([word(k) for k in range(max(0, first - 2), first)], [word(last + 1)] if last + 1 < len(starts) else [])
+        return {"known": known, "start": a, "stop": b, "value": value, "patterns": around}
 
     for kind, a, b in base:
-        place(True, a, b, bisect_right(starts, a) - 1, bisect_right(starts, b - 1) - 1, f"{kind}{value_of(text[a:b])}")
+        yield place(True, a, b, bisect_right(starts, a) - 1, bisect_right(starts, b - 1) - 1, f"{kind}{value_of(text[a:b])}")
     t, k = 0, 0
-    while k < len(found):
+    while k < len(starts):
         first = k
         k += 1
-        if not _DIGIT.search(found[first][0]):
+        if not _DIGIT.search(text, starts[first], ends[first]):
             continue
-        if _GROUP.fullmatch(found[first][0]):
-            while k < len(found) and _GROUP.fullmatch(found[k][0].rstrip(EDGES)) and found[k - 1][0][-1] not in EDGES:
+        if _GROUP.fullmatch(text, starts[first], ends[first]):
+            while k < len(starts) and _GROUP.fullmatch(word(k).rstrip(EDGES)) and text[ends[k - 1] - 1] not in EDGES:
                 k += 1
-        head, tail = found[first], found[k - 1]
-        core = text[head.start() : tail.end()].strip(EDGES)
-        a = head.start() + text[head.start() : tail.end()].find(core)
+        whole = text[starts[first] : ends[k - 1]]
+        core = whole.strip(EDGES)
+        a = starts[first] + whole.find(core)
         while t < len(taken) and taken[t][1] <= a:
             t += 1
         if core and not (t < len(taken) and taken[t][0] < a + len(core)):
-            place(False, a, a + len(core), first, k - 1, value_of(core))
-    return out
+            yield place(False, a, a + len(core), first, k - 1, value_of(core))
 
 
-FOUND = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, base_sha256 string, instances array<struct<known:boolean,start:bigint,stop:bigint,value:string,patterns:array<string>>>"
+FOUND = "row bigint, doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, base_sha256 string, instances array<struct<known:boolean,start:bigint,stop:bigint,value:string,patterns:array<string>>>"
 _INSTANCES = pa.list_(pa.struct([("known", pa.bool_()), ("start", pa.int64()), ("stop", pa.int64()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))]))
+_SCANNED = pa.schema([(n, pa.int64()) for n in ("row", "doc_id", "n_email", "n_ip", "n_card", "n_phone")] + [("base", pa.string()), ("base_sha256", pa.string()), ("instances", _INSTANCES)])
+#: Instances that a row, and that a worker holds at a time.
+HELD_INSTANCES = 20_000
 
 
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row of each text with its base spans; instances beyond HELD_INSTANCES come in more rows, with nulls for the rest."""
     for batch in batches:
-        counts, base, sha, found = [[], [], [], []], [], [], []
-        for x in batch.column("text"):
+        rows: list[list] = []
+        held = 0
+        for row, doc_id, x in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             text = x.as_py() or ""
             spans = base_spans(text)
-            for k in range(4):
-                counts[k].append(sum(s[0] == k for s in spans))
-            base.append(",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans))
-            sha.append(hashlib.sha256(base[-1].encode()).hexdigest())
-            found.append(instances(text, spans))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(sha, pa.string()), pa.array(found, _INSTANCES)],
-            names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "instances"],
-        )
+            counts = Counter(k for k, _, _ in spans)
+            base = ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
+            told = [doc_id, *(counts[k] for k in range(4)), base, hashlib.sha256(base.encode()).hexdigest()]
+            places = instances(text, spans)
+            while (some := list(islice(places, HELD_INSTANCES))) or told[-1]:
+                rows.append([row, *told, some])
+                told = [None] * len(told)
+                held += len(some)
+                if held >= HELD_INSTANCES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SCANNED.types, strict=True)], schema=_SCANNED)
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SCANNED.types, strict=True)], schema=_SCANNED)
 
 
 def count_patterns(batches: Iterator[pa.RecordBatch], held: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
@@ -185,7 +197,7 @@ def count_patterns(batches: Iterator[pa.RecordBatch], held: frozenset[str] | Non
 
 def bootstrap(docs: DataFrame, support: int, precision: float, rounds: int, most_held: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """docs (doc_id, text) -> scanned rows, their instances by pattern, and the patterns of high confidence."""
-    found = materialize(docs.mapInArrow(scan, FOUND).withColumn("row", F.monotonically_increasing_id()))
+    found = materialize(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(scan, FOUND))
     seen = found.select("row", F.explode("instances").alias("i")).select("row", "i.known", "i.start", "i.stop", "i.value", F.explode("i.patterns").alias("pattern"))
     edges = materialize(seen.groupBy("pattern", "value").agg(F.max("known").alias("known"), F.count("*").alias("n")))
     wide = materialize(edges.groupBy("pattern").agg(F.count("*").alias("values")).where(F.col("values") >= support).select("pattern"))
@@ -198,8 +210,8 @@ def bootstrap(docs: DataFrame, support: int, precision: float, rounds: int, most
     base = graph.where("known").select("value").distinct().withColumn("conf", F.lit(1.0))
     sure, chosen = base, None
     for _ in range(rounds):
-        weight = F.coalesce("conf", F.lit(0.0))
-        scored = graph.join(sure, "value", "left").groupBy("pattern").agg(F.count_if(weight >= 0.5).alias("support"), F.sum(weight * F.col("n")).alias("hits"), F.max("total").alias("total"))
+        # values without a confidence add nothing; those in very many places are dealt over tasks by pattern
+        scored = spread_join(graph, sure, "value", "pattern").groupBy("pattern").agg(F.count_if(F.col("conf") >= 0.5).alias("support"), F.sum(F.col("conf") * F.col("n")).alias("hits"), F.max("total").alias("total"))
         share = F.least(F.lit(1.0), F.col("hits") / F.col("total"))
         chosen = materialize(scored.where((F.col("support") >= support) & (share >= precision)).select("pattern", share.alias("share")))
         right = 1 - F.exp(F.sum(F.log(1 - F.least(F.lit(0.999), F.col("share")))))
@@ -217,7 +229,7 @@ def find_personal_data(docs: DataFrame, support: int = SUPPORT, precision: float
     found, seen, chosen = bootstrap(docs, support, precision, rounds, most_held)
     added = spread_join(seen.where("NOT known"), chosen, "pattern", "row").select("row", "start", "stop").distinct()
     by_row = added.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("added"))
-    return found.drop("instances").join(by_row, "row", "left").drop("row").withColumnRenamed("doc_id", key).withColumn("added", F.coalesce("added", F.array().cast("array<struct<start:bigint,stop:bigint>>")))
+    return found.where("base_sha256 IS NOT NULL").drop("instances").join(by_row, "row", "left").drop("row").withColumnRenamed("doc_id", key).withColumn("added", F.coalesce("added", F.array().cast("array<struct<start:bigint,stop:bigint>>")))
 
 
 def masked(text: str, chosen: frozenset[str]) -> str:

@@ -333,3 +333,136 @@ def test_recall_of_changed_items(spark):
     texts = [(k, f"{prose(rng, 30)} {fill(s, rng)} {prose(rng, 30)}") for k, s in enumerate(shapes)] + [(1000 + k, prose(rng, 60) + " " + " ".join(rng.choices(plain, k=40))) for k in range(60)]
     got = {(r.doc_id, r.item_id) for r in decontam.benchmark_leaks(corpus(spark, texts), bench).collect()}
     assert sum((k, k) in got for k in range(60)) >= 54 and got <= {(k, k) for k in range(60)}
+
+
+def brute_words(text):
+    """(own, kind, canonical) of each word; kinds as in the module: 0 number or unit, 1 name, 2 capital that opens, 3 word."""
+    punct, out, opens, before = set("!\"#&'()*+,-./:;<=>?@[\\]^_`{|}~"), [], True, None
+    for m in re.finditer(r"[^\x20\x09-\x0D]+", text or ""):
+        opens = opens or "\n" in text[before:m.start()] if before is not None else True
+        w = m[0]
+        a, b = 0, len(w)
+        while a < b and w[a] in punct:
+            a += 1
+        while a < b and w[b - 1] in punct:
+            b -= 1
+        core = w[a:b] or w
+        own = "".join(c.lower() if c < "\x80" else c for c in core)
+        number = core[0] in "0123456789" or core[0] == "$" and core[1:2] in set("0123456789")
+        capital = "A" <= core[0] <= "Z"
+        unit = bool(out) and out[-1][2] == "<number>" and own in decontam.UNITS
+        kind = 1 if capital and not opens else 0 if number or unit else 2 if capital else 3
+        out.append((own, kind, "<number>" if number else "<name>" if kind == 1 else "<unit>" if unit else own))
+        opens, before = w[-1] in ".!?:", m.end()
+    return out
+
+
+def brute_windows(words, sizes, whole):
+    """size, key, pos, [(own, place)], windows of the text."""
+    for size in sizes:
+        if not words or len(words) < size and not whole:
+            continue
+        n = min(size, len(words))
+        every = range(len(words) - n + 1)
+        for_way = [lambda w: w[2], lambda w: "<name>" if w[1] == 2 else w[2]]
+        told = lambda p, most: sum(w[1] >= most for w in words[p : p + n]) >= min(4, (n + 1) // 2)
+        plain = [p for p in every if not told(p, 2)]
+        verbatim = bool(plain) and (not whole or 2 * len(plain) > len(every))
+        of = len(every) if verbatim and whole else len(every) - len(plain)
+        for k, most in ((0, 2), (1, 3)):
+            for p in every:
+                part = words[p : p + n]
+                if told(p, most) and (k == 0 or any(w[1] == 2 for w in part)):
+                    yield n, tuple(for_way[k](w) for w in part), p, [(w[0], (p + j, 4 * k + w[1])) for j, w in enumerate(part) if w[1] < most], of
+        if verbatim:
+            for p in plain:
+                yield n, ("verbatim", *(w[0] for w in words[p : p + n])), p, [], of
+
+
+def brute_leaks(texts, items, window, share):
+    classes = {}
+    for i, t in sorted((i, t) for i, t in items if t is not None):
+        words = brute_words(t)
+        first = {}
+        alike = [first.setdefault(w[0], k) if w[1] < 2 else None for k, w in enumerate(words)]
+        classes.setdefault(tuple((w[2], a) for w, a in zip(words, alike, strict=True)), []).append((i, words))
+    out = {}
+    bench = [(members[0][0], len({m[0] for m in members}), list(brute_windows(members[0][1], [window], True))) for members in classes.values()]
+    sizes = sorted({w[0] for _, _, ws in bench for w in ws})
+    for doc, text in texts:
+        mine = list(brute_windows(brute_words(text), sizes, False))
+        for item, n_items, theirs in bench:
+            free, shifts = set(), {}
+            for n, key, pos, slots, of in theirs:
+                for dn, dkey, dpos, filled, _ in mine:
+                    if (n, key) == (dn, dkey):
+                        if slots:
+                            shifts.setdefault(dpos - pos, []).append((pos, [(b, d, at) for (b, at), (d, _) in zip(slots, filled, strict=True)]))
+                        else:
+                            free.add(pos)
+            matched, n_slots, n_changed = set(free), 0, 0
+            for aligned in shifts.values():
+                votes = {}
+                for b, d, word, kind in {(b, d, at[0], kind) for _, s in aligned for b, d, at in s for kind in ((at[1], at[1] + 4) if at[1] < 4 else (at[1],))}:
+                    per = votes.setdefault((kind, b), {})
+                    per[d] = per.get(d, 0) + 1
+                good = {}
+                for (kind, b), per in votes.items():
+                    top = [d for d, c in per.items() if c == max(per.values())]
+                    good[kind, b] = set(top) if kind % 4 == 0 or len(top) == 1 else set()
+                kept = {pos for pos, s in aligned if all(d in good[at[1], b] for b, d, at in s)}
+                if kept:
+                    changed = {b for (_, b), per in votes.items() if set(per) != {b}}
+                    n_changed = max(n_changed, len(changed))
+                    n_slots = max(n_slots, len({b for (kind, b), per in votes.items() if kind % 4 < 2 or set(per) != {b}}))
+                matched |= kept
+            of = theirs[0][4] if theirs else 0
+            if matched and len(matched) >= share * of:
+                out[doc, item] = (n_items, of, len(matched), n_slots, n_changed)
+    return out
+
+
+def test_leaks_against_brute_force(spark):
+    """Random items with repeated phrases, numbers, units, names and openings, in changed copies: the same rows as all windows of all pairs."""
+    rng = random.Random(77)
+    plain = ["how", "many", "in", "a", "box", "left", "then", "g", "the", "min"]
+
+    def piece(n):
+        made = []
+        for _ in range(n):
+            w = rng.choice([rng.choice(plain), rng.choice(plain), rng.choice(plain), str(rng.randrange(1, 6)), rng.choice(["Ann", "Bob", "Eve"]), "$" + str(rng.randrange(1, 4))])
+            made.append(w + rng.choice(["", "", "", "", ".", ",", ":"]))
+        return made
+
+    items, texts = [], []
+    for i in range(60):
+        some = piece(rng.randrange(2, 7))
+        words = [w for _ in range(rng.randrange(1, 4)) for w in some + piece(rng.randrange(0, 5))]
+        words[0] = words[0].capitalize()
+        items.append((i, " ".join(words)))
+    items += [(100, items[3][1]), (101, ""), (102, None), (103, "12 5")]
+    for d in range(80):
+        words = rng.choice(items[:60])[1].split()
+        swap = {str(k): str(rng.randrange(1, 9)) for k in range(1, 6)} | {"Ann": rng.choice(["Ann", "Zoe"])}
+        words = [swap.get(w, w) if rng.random() < 0.9 else rng.choice(plain) for w in words]
+        texts.append((d, rng.choice([" ", "\n", "  "]).join(piece(rng.randrange(4)) + words * rng.choice([1, 1, 3]) + piece(rng.randrange(4)))))
+    texts += [(200, None), (201, ""), (202, "the box " * 400), (203, "A " + items[5][1])]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for share in (0.6, 0.2):
+        want = brute_leaks(texts, items, 8, share)
+        assert len(want) > 40
+        for held in (10**6, 0):
+            got = decontam.benchmark_leaks(corpus(spark, texts), bench, share=share, most_held=held).collect()
+            assert {(r.doc_id, r.item_id): (r.n_items, r.n_windows, r.n_matched, r.n_slots, r.n_changed) for r in got} == want
+            assert len(got) == len(want)
+
+
+def test_instances_of_a_long_text(spark, monkeypatch):
+    """Instances come in rows of bounded size; a null doc_id and a text of very many numbers have their results."""
+    texts = ["write to a1@b.cd please", None, "", " ".join(f"n{k}" for k in range(90_000))]
+    rows = spark.createDataFrame([(k, None if k == 0 else k, t) for k, t in enumerate(texts)], "row bigint, doc_id bigint, text string")
+    scanned = rows.coalesce(1).mapInArrow(pii.scan, pii.FOUND).collect()
+    assert sorted(r.row for r in scanned if r.base_sha256) == [0, 1, 2, 3]
+    assert max(len(r.instances) for r in scanned) <= pii.HELD_INSTANCES and sum(len(r.instances) for r in scanned if r.row == 3) == 90_000
+    got = pii.find_personal_data(rows.select("doc_id", "text")).collect()
+    assert sorted((r.doc_id or 0, r.n_email) for r in got) == [(0, 1), (1, 0), (2, 0), (3, 0)]
