@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import images
+from ..operators import images, photos
 from ..sources import headers, packages, pdf, writer
 from . import base
 from .base import load, query
@@ -129,3 +129,34 @@ def tone_curves(spark, sf_dir):
     curve = images.tone_curve((k % 30) / F.lit(100.0), 0.7 + (k % 40) / F.lit(100.0), 0.5 + (k % 9) / F.lit(4.0))
     total = F.aggregate(F.transform(curve, lambda x, i: x * (i % 7 + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return load(spark, sf_dir, "part").select("p_partkey", total.alias("curve"))
+
+
+_NEAR = lambda source, r, what: f"(SELECT a.image_id, a.y, a.x, {what} AS v FROM {source} a JOIN {source} b ON a.image_id = b.image_id AND abs(a.x - b.x) <= {r} AND abs(a.y - b.y) <= {r} GROUP BY ALL)"
+_PAPER = f"""{_PLANE}, up AS {_NEAR("p", 2, "max(b.v)")}, dn AS {_NEAR("up", 2, "min(b.v)")}, sm AS {_NEAR("dn", 1, "avg(b.v)")}, rg AS {_NEAR("sm", 4, "avg(b.v)")},
+br AS (SELECT image_id, greatest(max(v), 1) AS br FROM rg GROUP BY image_id),
+pp AS (SELECT image_id, y, x, br, greatest(sm.v, rg.v * 0.6::DOUBLE, br * 0.35::DOUBLE, 1) AS level FROM sm JOIN rg USING (image_id, y, x) JOIN br USING (image_id))"""
+
+
+@query(f"WITH {_PAPER} SELECT image_id, round(max(br), 6) AS brightest, round(sum(level * (1 + x + 8 * y)), 4) AS paper FROM pp GROUP BY image_id")
+def paper_brightness(spark, sf_dir):
+    """Brightness of the paper of planes, as a sum weighted by place, from tiles of four pixels a side."""
+    found = photos.papers(photos.tiles(_planes(spark, sf_dir), 4))
+    return found.select("image_id", F.round("brightest", 6).alias("brightest"), F.round(F.aggregate(F.transform("paper", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 4).alias("paper"))
+
+
+@query(
+    f"""WITH {_PAPER}, e AS (SELECT image_id, max(y) AS last FROM p GROUP BY image_id),
+so AS (SELECT a.image_id, a.y, a.x, sum(b.v * (2 - abs(a.x - b.x)) * (2 - abs(a.y - b.y))) / 16.0::DOUBLE AS soft FROM p a JOIN p b ON a.image_id = b.image_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY ALL),
+m AS (SELECT p.*, level, soft, (1 - level / br) * 1.8::DOUBLE AS mix, p.x BETWEEN 1 AND 6 AND p.y > 0 AND p.y < last AS inner_ FROM p JOIN pp USING (image_id, y, x) JOIN so USING (image_id, y, x) JOIN e USING (image_id)),
+c AS (SELECT *, round_even(CASE WHEN inner_ AND mix > 0.05::DOUBLE THEN v + (soft - v) * least(mix, 1) ELSE v END, 0) AS g FROM m),
+t AS (SELECT *, least(greatest((floor(least(1023, g / level * 682)) / 682 - 0.4::DOUBLE) / 0.5::DOUBLE, 0), 1) AS d FROM c)
+SELECT image_id, sum(floor(255 * pow(d, 1.5::DOUBLE) + 0.5) * (1 + x + 8 * y))::BIGINT AS document, sum(CASE WHEN g < level * 0.75::DOUBLE THEN 0 ELSE 255 END * (1 + x + 8 * y))::BIGINT AS bw FROM t GROUP BY image_id"""
+)
+def photo_filters(spark, sf_dir):
+    """Planes without their shadows, grey and in black and white, each as a sum weighted by place."""
+    pieces = photos.tiles(_planes(spark, sf_dir), 4)
+    places = F.flatten(F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda y: F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda x: (F.col("top") + y) * 8 + F.col("left") + x + 1)))
+    level = lambda i: F.conv(F.hex(F.substring(F.col("data"), i + 1, F.lit(1))), 16, 10).cast("bigint")
+    total = F.aggregate(F.transform(places, lambda place, i: place * level(i)), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    made = [photos.filtered(pieces, kind).groupBy("image_id").agg(F.sum(total).alias(kind)) for kind in ("document", "bw")]
+    return made[0].join(made[1], "image_id")

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from pagelathe.operators import images
+from pagelathe.operators import images, photos
 
 
 def test_grey_and_threshold(spark):
@@ -56,3 +56,27 @@ def test_regions_and_types(spark):
     assert [r[0] for r in rows.orderBy("i").select(images.image_type(rows.c)).collect()] == ["jpeg", "png", "gif", "bmp", "webp", None, None]
     made = images.pgm(np.zeros((1, 2), np.uint8))
     assert len(made) == 514 and made.startswith(b"P5\n#  ") and made.endswith(b"\n2 1\n255\n\0\0")
+
+
+def test_shadows_by_tiles(spark):
+    """Tiles give what one whole photo gives; a shadow over paper goes, ink stays."""
+    y, x = np.mgrid[0:500, 0:700]
+    rng = np.random.default_rng(3)
+    plane = 220 - 110 * (x > 350) + rng.integers(-6, 7, (500, 700))
+    plane[100:400:25, 60:640] = plane[100:400:25, 60:640] // 5
+    rows = [(1, 700, 500, bytearray(plane.astype(np.uint8).tobytes())), (2, 1, 1, bytearray(b"\0")), (3, 3, 2, bytearray(range(6))), (4, 0, 0, bytearray()), (5, 2, 2, None)]
+    frame = spark.createDataFrame(rows, "image_id bigint, width int, height int, data binary")
+
+    def put(side, kind):
+        out = {}
+        for t in photos.filtered(photos.tiles(frame, side), kind).collect():
+            out.setdefault(t.image_id, np.zeros((t.height, t.width), np.uint8))[t.top : t.top + t.rows, t.left : t.left + t.cols] = np.frombuffer(t.data, np.uint8).reshape(t.rows, t.cols)
+        return out
+
+    for kind in photos.FILTERS:
+        whole, cut = put(4096, kind), put(129, kind)
+        assert set(whole) == {1, 2, 3} == set(cut) and all((whole[k] == cut[k]).all() for k in whole)
+    assert cut[1][110:114, 100:300].min() == cut[1][110:114, 400:600].min() == 255
+    assert cut[1][100, 60:340].max() == cut[1][100, 360:640].max() == 0
+    with pytest.raises(ValueError):
+        photos.filtered(photos.tiles(frame), "sepia")
