@@ -46,7 +46,7 @@ m AS (SELECT page_id, target_no, size, rtrim(txt) AS txt, least(greatest(x0 - a,
 u AS (SELECT *, greatest(0.5::DOUBLE, list_max(list_transform(string_split(txt, chr(10)), lambda l: length(l) * 0.6::DOUBLE))) + 0.4::DOUBLE AS bw, len(string_split(txt, chr(10))) * 1.25::DOUBLE + 0.4::DOUBLE AS bh FROM m),
 g AS (SELECT *, CASE WHEN size > 0 AND trim(txt) <> '' THEN greatest(x1, least(1, x0 + bw * size * 800 / 600)) ELSE x1 END AS r FROM u),
 f AS (SELECT *, least((r - x0) * 600 / bw, CASE WHEN size > 0 THEN size * 800 ELSE (y1 - y0) * 800 / bh END) AS pts FROM g)
-SELECT page_id, target_no::INTEGER AS target_no, r > x1 + 1e-9 AS grew, CASE WHEN trim(txt) <> '' AND pts > 0 THEN round(pts, 6) END AS points, CASE WHEN trim(txt) <> '' AND pts > 0 THEN round(y0 + ((y1 - y0) * 800 - pts * bh) / 2 / 800, 6) END AS top, CASE WHEN trim(txt) <> '' AND pts > 0 THEN round(x0 + pts * bw / 600, 6) END AS ends FROM f"""
+SELECT page_id, target_no::INTEGER AS target_no, r > x1 + 1e-9 AS grew, CASE WHEN trim(txt) <> '' AND pts > 0 THEN round(pts, 9) END AS points, CASE WHEN trim(txt) <> '' AND pts > 0 THEN round(y0 + ((y1 - y0) * 800 - pts * bh) / 2 / 800, 9) END AS top, CASE WHEN trim(txt) <> '' AND pts > 0 THEN round(x0 + pts * bw / 600, 9) END AS ends FROM f"""
 )
 def replaced_texts(spark, sf_dir):
     """Every phrase replaced: by a short text, one of two lines, a longer one, or a blank; every third without a known size."""
@@ -55,4 +55,4 @@ def replaced_texts(spark, sf_dir):
     text = F.when(n % 4 == 0, F.upper(F.concat(F.col("page_id").cast("string"), F.lit("abc")))).when(n % 4 == 1, F.concat("text", F.lit("\nand more of it"))).when(n % 4 == 2, F.concat("text", F.lit(" "), "text")).otherwise(" ")
     found = phrases(spark, sf_dir).withColumns({"size": size, "text": text, "family": F.lit("mono"), "page_width": F.lit(600.0), "page_height": F.lit(800.0)})
     rows = replace.fitted(replace.marks(found))
-    return rows.select("page_id", "target_no", "grew", F.round("edit.points", 6).alias("points"), F.round("edit.y0", 6).alias("top"), F.round("edit.x1", 6).alias("ends"))
+    return rows.select("page_id", "target_no", "grew", F.round("edit.points", 9).alias("points"), F.round("edit.y0", 9).alias("top"), F.round("edit.x1", 9).alias("ends"))
