@@ -93,3 +93,14 @@ def test_boxes(spark):
     assert tuple(row.n) == (0.2, 0.4, 0.8, 0.6)
     assert row.none is None
     assert tuple(row.r) == pytest.approx((0.7, 0.1, 0.8, 0.4))
+
+
+def test_size_of_sheets_at_limits(spark):
+    """Sides whose depth is the least one that counts, up to rounding, as the formula with determinants has them."""
+    from pagelathe.functions import geometry
+
+    part = lambda k, m: (k % m) / 100.0
+    corners = lambda k: [(part(k, 7), part(k, 11)), (1 - part(k, 13), part(k, 5)), (1 - part(k, 9), 1 - part(k, 8)), (part(k, 12), 1 - part(k, 6))]
+    rows = spark.createDataFrame([(k, [[x * 1200, y * 1600] for x, y in corners(k)]) for k in (92253, 116119)], "k int, q array<array<double>>")
+    size = rows.select("k", geometry.quad_size(F.col("q"), F.lit(1200.0), F.lit(1600.0)).alias("s"))
+    assert [(round(r.s.width, 4), round(r.s.height, 4)) for r in size.orderBy("k").collect()] == [(1141.7951, 1521.903), (1197.9584, 1536.7498)]
