@@ -56,7 +56,8 @@ def paper(small: np.ndarray) -> tuple[np.ndarray, float]:
     Closing takes out ink, a mean smooths; a share of the region's mean is the floor, so large dark areas stay dark.
     """
     smooth = box_mean(extreme(extreme(small.astype(float), 2), 2, False), 1)
-    region = box_mean(smooth, max(4, int(np.floor(max(small.shape) / 4 + 0.5))))
+    # clipped squares hold 1, 2, 3, 4, 6 or 9 pixels, so their means are whole in 36ths and those of the regions are rounded once
+    region = box_mean(np.rint(smooth * 36), max(4, int(np.floor(max(small.shape) / 4 + 0.5))), 36)
     brightest = max(1.0, float(region.max()))
     return np.maximum(np.maximum(smooth, region * REGION), max(brightest * BRIGHTEST, 1.0)), brightest
 

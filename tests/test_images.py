@@ -80,3 +80,16 @@ def test_shadows_by_tiles(spark):
     assert cut[1][100, 60:340].max() == cut[1][100, 360:640].max() == 0
     with pytest.raises(ValueError):
         photos.filtered(photos.tiles(frame), "sepia")
+
+
+def test_paper_rounds_once():
+    """Levels that meet a limit exactly must not fall beside it: means of regions against fractions."""
+    from fractions import Fraction
+
+    rng = np.random.default_rng(4)
+    mean = lambda p, r: [[sum((v := [v for row in p[max(0, y - r) : y + r + 1] for v in row[max(0, x - r) : x + r + 1]]), Fraction()) / len(v) for x in range(8)] for y in range(8)]
+    for _ in range(20):
+        plane = rng.integers(0, 256, (8, 8)).astype(np.uint8)
+        closed = images.extreme(images.extreme(plane, 2), 2, False)
+        region = mean(mean([[Fraction(int(v)) for v in row] for row in closed], 1), 4)
+        assert photos.paper(plane)[1] == float(max(map(max, region)))
