@@ -24,6 +24,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
-    """left outer join of rows of which very many may share a key: they are dealt over WAYS tasks by their own columns, the other side goes to all."""
-    dealt = left.withColumn("_way", F.pmod(F.xxhash64(*by), F.lit(WAYS)))
-    return dealt.join(right.withColumn("_way", F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1)).cast("array<bigint>"))), [*keys, "_way"], "left").drop("_way")
+    """left outer join of rows of which very many may share a key: they are dealt over WAYS tasks by their own columns, the other side goes to all.
+
+    Both sides are shuffled: the size of files says little about rows copied WAYS times,
+    and a broadcast chosen by it has to fit the driver.
+    """
+    own = F.xxhash64(*by)
+    # rows without a key meet nothing, so they may go anywhere
+    dealt = left.withColumn("_way", F.when(F.col(keys[-1]).isNull(), F.lit(WAYS) + F.pmod(own, F.lit(1 << 20))).otherwise(F.pmod(own, F.lit(WAYS))))
+    copied = right.withColumn("_way", F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1)).cast("array<bigint>")))
+    return dealt.join(copied.hint("merge"), [*keys, "_way"], "left").drop("_way")

@@ -47,3 +47,14 @@ def test_dates(spark):
     assert got == [date(2024, 2, 5), date(2024, 2, 5), date(2049, 2, 5), date(1950, 2, 5), date(2024, 2, 5), None, None, date(2024, 2, 5), date(2021, 3, 3), None, None]
     shown = spark.range(1).select(*[dates.print_date(F.lit("2024-02-05 14:03:09").cast("timestamp"), p) for p in ("dd/mm/yyyy", "mmm d, yyyy", "HH:MM", "h:MM tt")]).first()
     assert tuple(shown) == ("05/02/2024", "Feb 5, 2024", "14:03", "2:03 pm")
+
+
+def test_dealt_join_is_not_broadcast(spark, tmp_path):
+    """Files that compress well look small, but their rows need not fit the driver."""
+    from pagelathe.lineage import dealt_join
+
+    spark.range(1000).selectExpr("id", "id div 2 AS up").write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    made = dealt_join(rows, rows.selectExpr("id AS up", "up AS next"), ["up"], ["id"])
+    assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+    assert made.where("next = up div 2").count() == 1000
