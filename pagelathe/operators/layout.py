@@ -1,81 +1,74 @@
-"""Text layout: line breaks by pointer jumping, rows of tables with spanning cells."""
+"""Text layout: line breaks, rows of tables with spanning cells."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Iterator
 
-from ..lineage import cut
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 
 def items_of(words: DataFrame, line: float) -> DataFrame:
-    """words (para_no, word_no, text, letter, blank) -> para_no, item_no, text, width, blank: what a line can break between.
+    """words (para_no, word_no, text, letter, blank) -> para_no, word_no, part, text, width, blank: what a line can break between.
 
     letter: width of each letter; blank: width of the gap before the word. A word that no
     line can hold falls into its letters; they follow each other without a gap.
     """
     wide = F.length("text") * F.col("letter") > line
     parts = F.when(wide, F.split("text", "")).otherwise(F.array("text"))
-    rows = words.select("para_no", "word_no", "letter", "blank", F.posexplode(parts).alias("part", "text")).where("text <> ''")
-    number = F.row_number().over(Window.partitionBy("para_no").orderBy("word_no", "part")) - 1
-    return rows.select("para_no", number.cast("bigint").alias("item_no"), "text", (F.length("text") * F.col("letter")).alias("width"), F.when(F.col("part") == 0, F.col("blank")).otherwise(0).alias("blank"))
-
-
-def following(items: DataFrame, line: float, first: float) -> DataFrame:
-    """para_no, item_no, next: the first item that a line beginning at item_no does not hold.
-
-    Ends of items and the ends that lines would have are sorted together; the nearest end
-    of an item beyond a line's is the last one seen from the far side.
-    """
-    order = Window.partitionBy("para_no").orderBy("item_no").rowsBetween(Window.unboundedPreceding, 0)
-    placed = items.withColumn("stop", F.sum(F.col("width") + F.col("blank")).over(order))
-    room = F.col("stop") - F.col("width") + F.when(F.col("item_no") == 0, first).otherwise(line)
-    both = F.array(F.struct(F.col("stop").cast("double").alias("at"), F.lit(0).alias("asks"), F.col("item_no").alias("item")), F.struct(room.cast("double").alias("at"), F.lit(1).alias("asks"), F.lit(None).cast("bigint").alias("item")))
-    rows = placed.select("para_no", "item_no", F.explode(both).alias("e")).select("para_no", "item_no", "e.*")
-    far = Window.partitionBy("para_no").orderBy(F.desc("at"), F.desc("asks"), F.desc("item_no")).rowsBetween(Window.unboundedPreceding, 0)
-    found = rows.withColumn("next", F.last("item", ignorenulls=True).over(far)).where("asks = 1")
-    return found.select("para_no", "item_no", F.greatest("next", F.when(F.col("next").isNotNull(), F.col("item_no") + 1)).alias("next"))
-
-
-def line_starts(items: DataFrame, line: float, first: float) -> DataFrame:
-    """para_no, item_no of the items that begin a line.
-
-    Pointer jumping: with the first 2**k lines known, a jump over 2**k lines from each of
-    them gives as many again, so a paragraph of n lines takes log2(n) rounds of joins.
-    """
-    jump = following(items, line, first).where("next IS NOT NULL").transform(cut)
-    found = items.where("item_no = 0").select("para_no", "item_no")
-    while True:
-        more = found.join(jump, ["para_no", "item_no"]).select("para_no", F.col("next").alias("item_no")).transform(cut)
-        if more.isEmpty():
-            return found
-        found = found.unionByName(more).transform(cut)
-        ahead = jump.select("para_no", F.col("item_no").alias("next"), F.col("next").alias("after"))
-        jump = jump.join(ahead, ["para_no", "next"]).select("para_no", "item_no", F.col("after").alias("next")).transform(cut)
+    rows = words.select(F.col("para_no").cast("bigint").alias("para_no"), "word_no", "letter", "blank", F.posexplode(parts).alias("part", "text")).where("text <> ''")
+    return rows.select("para_no", "word_no", "part", "text", (F.length("text") * F.col("letter")).alias("width"), F.when(F.col("part") == 0, F.col("blank")).otherwise(0).alias("blank"))
+
+
+def _filled(batches: Iterator[pa.RecordBatch], line: float, first: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Items sorted by paragraph and place -> lines; only the line that is open is held."""
+    none = object()
+    para, number, parts, width, gaps, stop, room = none, 0, [], 0, 0, 0, 0
+
+    def told(last: bool) -> tuple:
+        free = (first if number == 0 else line) - width
+        return para, number, "".join(parts), width, 0.0 if last or not gaps or free <= 0 else free / gaps
+
+    for batch in batches:
+        done = []
+        for key, text, wide, blank in zip(*(batch.column(c).to_pylist() for c in ("para_no", "text", "width", "blank")), strict=True):
+            fresh = key != para
+            if fresh:
+                if parts:
+                    done.append(told(True))
+                para, number, stop = key, 0, 0
+            stop += wide + blank
+            if fresh or stop > room:
+                if not fresh:
+                    done.append(told(False))
+                    number += 1
+                parts, width, gaps, room = [text], wide, 0, stop - wide + (first if fresh else line)
+            else:
+                parts.append(" " + text if blank > 0 else text)
+                width, gaps = width + wide + blank, gaps + (blank > 0)
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), schema, strict=True)], schema=schema)
+    if parts:
+        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(told(True), schema, strict=True)], schema=schema)
 
 
 def broken_lines(words: DataFrame, line: float, first: float | None = None) -> DataFrame:
     """words as in items_of -> para_no, line_no, text, width, spacing: lines no wider than line (the first one: first).
 
     A blank at a line's end does not count. spacing is what each blank of a justified
-    line is wider by; the last line of a paragraph has none.
+    line is wider by; the last line of a paragraph has none. Items are shuffled once and
+    stream through a task in their order.
     """
     first = line if first is None else first
-    items = items_of(words, min(line, first)).transform(cut)
-    begins = line_starts(items, line, first).withColumn("begins", F.lit(1))
-    order = Window.partitionBy("para_no").orderBy("item_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = items.join(begins, ["para_no", "item_no"], "left").withColumn("line_no", F.sum(F.coalesce("begins", F.lit(0))).over(order) - 1)
-    inner = F.col("begins").isNull()
-    part = F.when(inner & (F.col("blank") > 0), F.concat(F.lit(" "), "text")).otherwise(F.col("text"))
-    lines = rows.groupBy("para_no", "line_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_no", part.alias("part")))), lambda p: p["part"]), "").alias("text"),
-        F.sum(F.col("width") + F.when(inner, F.col("blank")).otherwise(0)).alias("width"),
-        F.count_if(inner & (F.col("blank") > 0)).alias("gaps"),
-    )
-    last = F.col("line_no") == F.max("line_no").over(Window.partitionBy("para_no"))
-    room = F.when(F.col("line_no") == 0, first).otherwise(line) - F.col("width")
-    spacing = F.when(last | (F.col("gaps") == 0) | (room <= 0), 0.0).otherwise(room / F.col("gaps"))
-    return lines.select("para_no", "line_no", "text", "width", spacing.alias("spacing"))
+    items = items_of(words, min(line, first))
+    whole = all(isinstance(items.schema[c].dataType, IntegralType) for c in ("width", "blank"))
+    kind = "bigint" if whole else "double"
+    items = items.select("para_no", "word_no", "part", "text", *[F.col(c).cast(kind).alias(c) for c in ("width", "blank")])
+    schema = pa.schema([("para_no", pa.int64()), ("line_no", pa.int64()), ("text", pa.string()), ("width", pa.int64() if whole else pa.float64()), ("spacing", pa.float64())])
+    dealt = items.repartition("para_no").sortWithinPartitions("para_no", "word_no", "part").drop("word_no", "part")
+    return dealt.mapInArrow(lambda parts: _filled(parts, line, first, schema), f"para_no bigint, line_no bigint, text string, width {kind}, spacing double")
 
 
 def spanned_rows(cells: DataFrame, least: float = 4.0) -> DataFrame:

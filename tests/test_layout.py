@@ -64,3 +64,10 @@ def test_spanned_rows(spark):
     for r in layout.spanned_rows(spark.createDataFrame(cells, "table_no bigint, row_no bigint, cell_no bigint, height double, span bigint")).orderBy("table_no", "row_no").collect():
         got.setdefault(r.table_no, []).append(r.height)
     assert got == want
+
+
+def test_lines_take_one_shuffle(spark):
+    """No joins and no tables between: what is written grows with the items only."""
+    words = spark.range(1000).selectExpr("id % 7 AS para_no", "id AS word_no", "'abcd' AS text", "1 AS letter", "1 AS blank")
+    plan = layout.broken_lines(words, 49)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
