@@ -1,17 +1,15 @@
-"""Hidden layers taken out of page contents, as windows over rows of tokens.
+"""Hidden layers taken out of page contents: one shuffle, then each content's tokens stream through a task in their order.
 
-Markers nest, so what a closing marker ends follows from running depths: a marker and
-its end are neighbours among the markers of one depth. A token is hidden while more
-hidden layers have opened than closed before it. Text modes are saved and restored by
-nested blocks; a block without a mode of its own inherits that of the block around it.
+Markers and blocks nest, so a task holds a stack of each: the markers that are open and
+whether they hide, the text modes of the blocks that are open.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Iterator
 
-from .structure import inherit
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 # Operators that paint, that move the text to a place of their own, that show text; clipping text modes.
 PAINT = ["S", "s", "f", "F", "f*", "B", "B*", "b", "b*"]
@@ -21,46 +19,63 @@ CLIPPING = 4
 MARKS, KEPT = ["BDC", "BMC", "EMC"], ["q", "Q", "Tr"]
 
 
-def nested(tokens: DataFrame, opens: Column, closes: Column, name: str) -> DataFrame:
-    """Adds `name`: the depth after each token; ends without a beginning change nothing."""
-    order = Window.partitionBy("content_no").orderBy("token_no").rowsBetween(Window.unboundedPreceding, 0)
-    walk = tokens.withColumn("_walk", F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(order))
-    return walk.withColumn(name, (F.col("_walk") - F.least(F.lit(0), F.min("_walk").over(order))).cast("int")).drop("_walk")
+OUT = pa.schema([("content_no", pa.int64()), ("token_no", pa.int64()), ("op", pa.string()), ("refused", pa.string())])
 
 
-def with_hidden(tokens: DataFrame) -> DataFrame:
-    """Adds hidden: whether a token stands inside a hidden layer."""
-    opens, closes = F.col("op").isin("BDC", "BMC"), F.col("op") == "EMC"
-    order = Window.partitionBy("content_no").orderBy("token_no")
-    rows = nested(tokens, opens, closes, "_depth")
-    level = F.when(opens, F.col("_depth")).when(closes & (F.lag("_depth", 1, 0).over(order) > 0), F.col("_depth") + 1)
-    hides = opens & F.coalesce(~F.col("shown"), F.lit(False))
-    rows = rows.withColumn("_level", level).withColumn("_hides", hides)
-    begun = F.lag("_hides").over(Window.partitionBy("content_no", "_level").orderBy("token_no"))
-    rows = rows.withColumn("_step", F.when(F.col("_level").isNull(), 0).when(F.col("_hides"), 1).when(closes & begun, -1).otherwise(0))
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("hidden", F.sum("_step").over(running) > 0).drop("_depth", "_level", "_hides", "_step")
+def _left(op: str | None, shown: bool | None, hidden: bool) -> str | None:
+    """What is left of a token."""
+    if op == "BDC" and shown is not None:
+        return "/OC BMC"
+    if op == "Do" and shown is False:
+        return None
+    if not hidden or op in MARKS or op in KEPT:
+        return op
+    if op in PAINT:
+        return "n"
+    return {"'": "T*", '"': "Tw Tc T*", "Tj": None, "TJ": None, "sh": None, "Do": None, "BI": None}.get(op, op)
 
 
-def text_modes(tokens: DataFrame) -> DataFrame:
-    """content_no, token_no, mode_then: the text mode at each token that shows text."""
-    few = tokens.where(F.col("op").isin(*KEPT, *SHOW))
-    rows = nested(few, F.col("op") == "q", F.col("op") == "Q", "_depth").select("content_no", "token_no", "op", "mode", "_depth")
-    # a token that opens a block belongs to the block around it, too
-    inner = F.struct(F.col("_depth").alias("level"), (F.col("op") == "q").alias("opens"))
-    outer = F.struct((F.col("_depth") - 1).alias("level"), F.lit(False).alias("opens"))
-    placed = rows.withColumn("_at", F.explode(F.when(F.col("op") == "q", F.array(outer, inner)).otherwise(F.array(inner))))
-    placed = placed.select("content_no", "token_no", "op", "mode", "_at.level", "_at.opens")
-    before = Window.partitionBy("content_no", "level").orderBy("token_no").rowsBetween(Window.unboundedPreceding, 0)
-    block = F.when(F.col("level") > 0, F.last(F.when(F.col("opens"), F.col("token_no")), ignorenulls=True).over(before))
-    placed = placed.withColumn("block", block).withColumn("_set", F.when(F.col("op") == "Tr", F.coalesce("mode", F.lit(0))))
-    own = Window.partitionBy("content_no", "level", "block").orderBy("token_no").rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn("own", F.last("_set", ignorenulls=True).over(own))
-    key = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col("content_no").alias("c"), F.col(c).alias("t")))
-    blocks = placed.where("op = 'q' AND NOT opens").select(key("token_no").alias("key"), key("block").alias("up"), F.col("own").alias("entry"))
-    known = inherit(blocks, "key", "up", ["entry"])
-    shows = placed.where(F.col("op").isin(*SHOW)).withColumn("key", key("block"))
-    return shows.join(known, "key", "left").select("content_no", "token_no", F.coalesce("own", "entry", F.lit(0)).alias("mode_then"))
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens sorted by content and place -> what is left; the tokens of one content are held until its end, as a late one may refuse it."""
+    content, kept, refused = None, [], None
+    marks: list[bool] = []
+    modes, deep, lost = [0], 0, False
+    for batch in batches:
+        done = []
+        for key, no, op, shown, mode in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != content:
+                done += kept if refused is None else [(content, None, None, refused)]
+                content, kept, refused, marks, modes, deep, lost = key, [], None, [], [0], 0, False
+            if op in ("BDC", "BMC"):
+                marks.append(shown is False)
+                deep += marks[-1]
+            elif op == "EMC" and marks:
+                deep -= marks.pop()
+            elif op == "q":
+                modes.append(modes[-1])
+            elif op == "Q" and len(modes) > 1:
+                modes.pop()
+            elif op == "Tr":
+                modes[-1] = mode or 0
+            hidden = deep > 0
+            if refused is None and op in SHOW:
+                if hidden and modes[-1] >= CLIPPING:
+                    refused = "hidden text clips"
+                elif not hidden and lost and op in ("Tj", "TJ"):
+                    refused = "visible text goes on after hidden text"
+            if op in SHOW and hidden:
+                lost = True
+            elif op in MOVE:
+                lost = False
+            if refused is not None:
+                kept = []
+            elif (new := _left(op, shown, hidden)) is not None:
+                kept.append((key, no, new, None))
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), OUT, strict=True)], schema=OUT)
+    done = kept if refused is None else [(content, None, None, refused)]
+    if done:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), OUT, strict=True)], schema=OUT)
 
 
 def without_hidden(tokens: DataFrame) -> DataFrame:
@@ -71,26 +86,6 @@ def without_hidden(tokens: DataFrame) -> DataFrame:
     its path, hidden text moves on only. A content where that would change what stays
     visible is refused: one row without token, op and the first reason.
     """
-    op = F.col("op")
-    rows = with_hidden(tokens.select("content_no", "token_no", "op", F.col("shown").cast("boolean").alias("shown"), F.col("mode").cast("int").alias("mode")))
-    rows = rows.join(text_modes(tokens), ["content_no", "token_no"], "left")
-    order = Window.partitionBy("content_no").orderBy("token_no")
-    hidden = F.col("hidden")
-    event = F.when(hidden & op.isin(*SHOW), True).when(op.isin(*MOVE), False)
-    lost = F.coalesce(F.last(event, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    reason = F.when(hidden & op.isin(*SHOW) & (F.col("mode_then") >= CLIPPING), "hidden text clips").when(~hidden & op.isin("Tj", "TJ") & lost, "visible text goes on after hidden text")
-    unseen = hidden & ~op.isin(*MARKS, *KEPT)
-    new = (
-        F.when((op == "BDC") & F.col("shown").isNotNull(), "/OC BMC")
-        .when((op == "Do") & ~F.coalesce("shown", F.lit(True)), None)
-        .when(~unseen, op)
-        .when(op.isin(*PAINT), "n")
-        .when(op == "'", "T*")
-        .when(op == '"', "Tw Tc T*")
-        .when(op.isin("Tj", "TJ", "sh", "Do", "BI"), None)
-        .otherwise(op)
-    )
-    told = rows.select("content_no", "token_no", new.alias("op"), reason.alias("reason"))
-    bad = told.where("reason IS NOT NULL").groupBy("content_no").agg(F.min_by("reason", "token_no").alias("refused"))
-    left = told.where("op IS NOT NULL").join(bad, "content_no", "left_anti").select("content_no", "token_no", "op", F.lit(None).cast("string").alias("refused"))
-    return left.unionByName(bad.select("content_no", F.lit(None).cast("bigint").alias("token_no"), F.lit(None).cast("string").alias("op"), "refused"))
+    rows = tokens.selectExpr("CAST(content_no AS bigint)", "CAST(token_no AS bigint)", "op", "CAST(shown AS boolean)", "CAST(mode AS int)")
+    dealt = rows.repartition("content_no").sortWithinPartitions("content_no", "token_no")
+    return dealt.mapInArrow(_walked, "content_no bigint, token_no bigint, op string, refused string")

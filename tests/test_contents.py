@@ -178,3 +178,15 @@ def test_names_of_long_runs_and_other_scripts(spark):
     assert got == ["a", "b", "sukru-o-naive-angstrom-e", "documento"]
     assert time.time() - start < 10
     assert spark.range(1).select(names.unaccent(F.lit("Ελλάδα й ş"))).collect()[0][0] == "Ελλαδα и s"
+
+
+def test_hidden_layers_take_one_shuffle(spark):
+    """A stack per content instead of joins: nested blocks, ends without a beginning, a content that a late token refuses."""
+    ops = ["Q", "EMC", "q", "Tr", "q", "BDC", "Tj", "f", "EMC", "Td", "Q", "Tj"]
+    rows = [(c, k, op, False if op == "BDC" else None, 7 if c == 2 else 0) for c in (1, 2) for k, op in enumerate(ops)]
+    made = contents.without_hidden(spark.createDataFrame(rows, "content_no bigint, token_no bigint, op string, shown boolean, mode int"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    got = sorted(((r.content_no, r.token_no, r.op, r.refused) for r in made.collect()), key=str)
+    left = [(1, k, {"BDC": "/OC BMC", "f": "n"}.get(op, op), None) for k, op in enumerate(ops) if k != 6]
+    assert got == sorted([*left, (2, None, None, "hidden text clips")], key=str)
