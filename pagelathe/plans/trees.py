@@ -92,7 +92,7 @@ def image_cuts(spark, sf_dir):
     edits = load(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("page_id"), k.alias("edit_no"), x.alias("x0"), y.alias("y0"), (x + 0.3).alias("x1"), (y + 0.4).alias("y1"), (k % 4 * 90).cast("int").alias("turn"))
     p, q = (s % 60) / F.lit(100.0), (s % 50) / F.lit(100.0)
     rects = load(spark, sf_dir, "supplier").select((s % 50).alias("page_id"), p.alias("x0"), q.alias("y0"), (p + 0.2).alias("x1"), (q + 0.1).alias("y1"))
-    return trees.image_cuts(edits, rects).select("page_id", "edit_no", F.array_join("cuts", ";").alias("cuts"))
+    return trees.image_cuts(edits, rects, ";")
 
 
 @query(

@@ -58,3 +58,16 @@ def test_dealt_join_is_not_broadcast(spark, tmp_path):
     made = dealt_join(rows, rows.selectExpr("id AS up", "up AS next"), ["up"], ["id"])
     assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
     assert made.where("next = up div 2").count() == 1000
+
+
+def test_cuts_of_shared_places(spark):
+    """Edits and rectangles that share their places meet once; every copy keeps its cuts."""
+    from pagelathe.operators import trees
+
+    sides = "page_id int, {} x0 double, y0 double, x1 double, y1 double"
+    edits = spark.createDataFrame([(1, n, 0.0, 0.0, 0.5, 0.5, 0) for n in range(3)] + [(1, 9, 0.0, 0.0, 0.5, 0.5, 180), (2, 0, 0.0, 0.0, 1.0, 1.0, 0)], sides.format("edit_no int,") + ", turn int")
+    rects = spark.createDataFrame([(1, 0.0, 0.0, 0.25, 0.25)] * 2 + [(1, 0.4, 0.4, 0.9, 0.9)], sides.format(""))
+    one, two, back, far = "0.0000,0.0000,0.5000,0.5000", "0.8000,0.8000,1.0000,1.0000", "0.5000,0.5000,1.0000,1.0000", "0.0000,0.0000,0.2000,0.2000"
+    got = {(r.page_id, r.edit_no): r.cuts for r in trees.image_cuts(edits, rects, ";").collect()}
+    assert got == {**{(1, n): ";".join([one, one, two]) for n in range(3)}, (1, 9): ";".join([far, back, back])}
+    assert trees.image_cuts(edits, rects).where("edit_no = 0").first().cuts == [one, one, two]
