@@ -71,3 +71,14 @@ def test_lines_take_one_shuffle(spark):
     words = spark.range(1000).selectExpr("id % 7 AS para_no", "id AS word_no", "'abcd' AS text", "1 AS letter", "1 AS blank")
     plan = layout.broken_lines(words, 49)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_items_of_documents_take_no_shuffle(spark, tmp_path):
+    from pagelathe.plans import layout as plans
+
+    rows = [(1, "\n".join(f"w{i}" for i in range(17))), (2, " \t\n"), (3, None), (4, "one")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    made = plans._items(spark, str(tmp_path))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    got = [(r.page_id, r.item_no, r.text) for r in made.orderBy("page_id", "item_no").collect()]
+    assert got == [(1, 0, "w0 w1 w2 w3 w4 w5 w6 w7"), (1, 1, "w8 w9 w10 w11 w12 w13 w14 w15"), (1, 2, "w16"), (4, 0, "one")]
