@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import bound
 from ..operators import pages, targets, trees
 from . import base
 from .base import load, query
@@ -61,12 +62,18 @@ def layer_visibility(spark, sf_dir):
 SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY word_no) - 1)::INTEGER AS word_no, text, x0 * 600 / 600 AS x0, y0 * 800 / 800 AS y0, word_no = max(word_no) OVER (PARTITION BY page_id, word_no // 8) AS last, c AS confidence FROM k"""
 )
 def flat_words(spark, sf_dir):
-    """Nested readings (blocks, paragraphs, lines, words) built from the words, flattened again."""
-    w = base.words(spark, sf_dir)
-    word = F.struct("text", (F.col("x0") * 600).alias("x0"), (F.col("y0") * 800).alias("y0"), (F.col("x1") * 600).alias("x1"), (F.col("y1") * 800).alias("y1"), F.col("confidence").cast("double").alias("confidence"))
-    lines = w.groupBy("page_id", F.floor(F.col("word_no") / 8).alias("line")).agg(F.array_sort(F.collect_list(F.struct("word_no", word.alias("w")))).alias("ws")).select("page_id", "line", F.struct(F.transform("ws", lambda x: x["w"]).alias("words")).alias("l"))
-    blocks = lines.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("line", "l"))).alias("ls"))
-    nested = blocks.select("page_id", F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.array(F.struct(F.array(F.struct(F.transform("ls", lambda x: x["l"]).alias("lines"))).alias("paragraphs"))).alias("blocks"))
+    """Nested readings (blocks, paragraphs, lines, words) made inside the rows of documents as base.words has them, flattened again."""
+    made = F.filter(F.split("text", "[ \t\n\r]+"), lambda w: w != "")
+    sized = lambda x, side: (x * side).alias
+
+    def word(text, line, place):
+        x, y = place * 0.125, line * 0.01
+        confidence = ((line * 8 + place) * 37 + F.col("doc_id") * 11) % 101
+        return F.struct(text.alias("text"), sized(x, 600)("x0"), sized(y, 800)("y0"), sized(x + 0.1, 600)("x1"), sized(y + 0.008, 800)("y1"), confidence.cast("double").alias("confidence"))
+
+    line = lambda w, i: F.struct(F.transform(F.slice(w, i * 8 + 1, F.lit(8)), lambda t, k: word(t, i, k)).alias("words"))
+    lines = bound(made, lambda w: F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / 8).cast("int")), lambda i: line(w, i))))
+    nested = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.array(F.struct(F.array(F.struct(lines.alias("lines"))).alias("paragraphs"))).alias("blocks"))
     return trees.flat_words(nested).select("page_id", "word_no", "text", "x0", "y0", "last", "confidence")
 
 

@@ -140,3 +140,12 @@ def test_quads(spark):
     assert one(spark, lambda q: geometry.is_convex(q), square) and one(spark, lambda q: geometry.is_full_frame(q), square)
     assert one(spark, lambda q: geometry.polygon_area(q), square) == 1.0
     assert one(spark, lambda q: F.size(geometry.without_rect(q, F.lit(0.25), F.lit(0.25), F.lit(0.5), F.lit(0.5))), square) == 4
+
+
+def test_readings_of_documents_take_no_shuffle(spark, tmp_path):
+    from pagelathe.plans import trees as plans
+
+    spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(10))), (2, "  "), (3, None)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    made = plans.flat_words(spark, str(tmp_path))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert [(r.word_no, r.text, r["last"]) for r in made.orderBy("word_no").collect()] == [(i, f"w{i}", i in (7, 9)) for i in range(10)]
