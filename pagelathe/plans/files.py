@@ -21,7 +21,7 @@ LINES = 60
 
 def _lines(spark, sf_dir) -> DataFrame:
     """Lines of eight words on pages of LINES lines."""
-    w = base.words(spark, sf_dir).groupBy("page_id", F.floor(F.col("word_no") / 8).cast("int").alias("line")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("word_no", "text")))["text"], " ").alias("text"))
+    w = base.lines(spark, sf_dir)
     return w.select(F.col("page_id").alias("doc_id"), F.floor(F.col("line") / LINES).cast("int").alias("page_no"), (F.col("line") % LINES).alias("item_no"), F.lit(40.0).alias("x"), (30.0 + 12 * (F.col("line") % LINES)).alias("y"), "text", F.lit("Helvetica").alias("font"), F.lit(10.0).alias("size"))
 
 
