@@ -113,3 +113,22 @@ def test_damaged_files_are_refused_or_read(make):
         except (packages.PackageError, markup.MarkupError):
             outcomes["refused"] += 1
     assert min(outcomes.values()) > 3
+
+
+def test_tokens_of_contents():
+    """Plain tokens are read by one pattern, all others by the reader; both see the same strings."""
+    shown = [r"BT (plain) Tj ET", r"BT (a\(b\)\101) Tj ET", r"BT [(no) -300 (w)] TJ ET", r"BT <414243> Tj T* (next) ' ET", "BT (in (side)) Tj % (gone) Tj\n ET", r"BT (last) 1 0 R Tj ET", r"BT (true) true Tj ET", r"BT /F#31 1.5 Tf -.5 +7 Td(tight)Tj ET"]
+    body = "\n".join(shown).encode()
+    data = b"%%PDF-1.7\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Kids [3 0 R] >>\nendobj\n3 0 obj\n<< /Contents 4 0 R >>\nendobj\n4 0 obj\n<< /Length %d >>\nstream\n%b\nendstream\nendobj\ntrailer\n<< /Root 1 0 R >>" % (len(body), body)
+    doc = pdf.Pdf(data)
+    assert doc.text(doc.pages()[0]).split("\n") == ["plain", "a(b)A", "no w", "ABC", "next", "in (side)", "tight"]
+
+
+def test_lines_to_write_cross_no_network(spark, tmp_path):
+    """Lines of documents are made inside their rows; before, each word of them was shuffled."""
+    from pagelathe.plans import files
+
+    spark.createDataFrame([(1, " ".join(str(k) for k in range(20))), (2, " \n"), (3, None)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    made = files._lines(spark, str(tmp_path))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert [(r.doc_id, r.item_no, r.text) for r in made.orderBy("item_no").collect()] == [(1, 0, "0 1 2 3 4 5 6 7"), (1, 1, "8 9 10 11 12 13 14 15"), (1, 2, "16 17 18 19")]
