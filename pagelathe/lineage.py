@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Tasks that the rows which share a key are dealt over.
 WAYS = 8
 
+#: Tasks beyond which an estimate of a size is not believed.
+MOST_TASKS = 100_000
+
 
 def cut(df: DataFrame) -> DataFrame:
     """A checkpoint of df in spark.checkpoint.dir. Where none is set a local master gets a folder of its own, a cluster an error."""
@@ -23,6 +26,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(rows: DataFrame, bytes_each: int, *keys: str) -> DataFrame:
+    """rows dealt by keys over as many tasks as bytes_each of their estimated size make, one a core at least.
+
+    The count is fixed, so few bytes with much work stay spread and no task gets more than its share.
+    Rows of unknown size, which Spark takes for endless, make spark.sql.shuffle.partitions tasks.
+    """
+    session = rows.sparkSession
+    tasks = -(-int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // bytes_each)
+    known = tasks if tasks <= MOST_TASKS else int(session.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(session.sparkContext.defaultParallelism, known), *keys)
+
+
 def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """left outer join of rows of which very many may share a key: they are dealt over WAYS tasks by their own columns, the other side goes to all.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import personal
@@ -86,13 +86,20 @@ def piece_lines(pieces: DataFrame) -> DataFrame:
     for left, right in _GOES_ON:
         goes_on = goes_on | (F.col("prior").rlike(left) & F.col("str").rlike(right))
     blank = (gap > 0.2 * height) & ~(goes_on & (gap < 1.5 * height)) & ~F.col("prior").rlike(r"\s$") & ~F.col("str").rlike(r"^\s")
-    place = F.transform(F.sequence(F.lit(0), F.length("str") - 1), lambda i: F.array(F.get("xs", i), F.get("xs", i + 1), F.col("y0"), F.col("y1")))
-    none = F.array(F.array(F.lit(-1.0), F.lit(-1.0), F.lit(0.0), F.lit(0.0)))
     parted = F.coalesce(blank, F.lit(False))
-    done = set_.select("page_id", "line", "island", "first", "x", "middle", F.when(parted, F.concat(F.lit(" "), "str")).otherwise(F.col("str")).alias("part"), F.when(parted, F.concat(none, place)).otherwise(place).alias("place"))
-    lines = done.groupBy("page_id", "line", "island").agg(F.min("first").alias("first"), F.array_sort(F.collect_list(F.struct("x", "middle", "part", "place"))).alias("p"))
+    done = set_.select("page_id", "line", "island", "first", "x", "middle", "str", F.when(parted, F.concat(F.lit(" "), "str")).otherwise(F.col("str")).alias("part"), parted.alias("parted"), "xs", "y0", "y1")
+    # places in a list of their own, so that they and the ends of letters go where nobody reads them
+    told = F.array_sort(F.collect_list(F.struct("x", "middle", "part"))).alias("p")
+    boxes = F.array_sort(F.collect_list(F.struct("x", "middle", "part", "xs", "y0", "y1", "str", "parted"))).alias("q")
+    lines = done.groupBy("page_id", "line", "island").agg(F.min("first").alias("first"), told, boxes)
     number = F.row_number().over(Window.partitionBy("page_id").orderBy("first")) - 1
-    return lines.select("page_id", number.alias("line_no"), F.array_join("p.part", "").alias("text"), F.flatten("p.place").alias("places"))
+    none = F.array(F.array(F.lit(-1.0), F.lit(-1.0), F.lit(0.0), F.lit(0.0)))
+
+    def places(piece: Column) -> Column:
+        own = F.transform(F.sequence(F.lit(0), F.length(piece["str"]) - 1), lambda i: F.array(F.get(piece["xs"], i), F.get(piece["xs"], i + 1), piece["y0"], piece["y1"]))
+        return F.when(piece["parted"], F.concat(none, own)).otherwise(own)
+
+    return lines.select("page_id", number.alias("line_no"), F.array_join("p.part", "").alias("text"), F.flatten(F.transform("q", places)).alias("places"))
 
 
 def find_in_pieces(pieces: DataFrame) -> DataFrame:
