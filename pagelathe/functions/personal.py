@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from .geometry import bound
+
 # Guards before and after a number, the patterns, and which kind wins.
 BEFORE = r"(?<![\p{L}\p{N}./-])"
 AFTER = r"(?![\p{L}\p{N}]|[./-]\p{N})"
@@ -50,15 +52,14 @@ def valid_cpf(text: Column) -> Column:
 
 def valid_cnpj(text: Column) -> Column:
     """Twelve digits or capitals and two check digits; a letter counts as its code less 48."""
-    c = F.regexp_replace(F.upper(text), "[./-]", "")
     weights = [6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]
 
-    def check(n: int) -> Column:
-        rest = _weighted(c, weights[-n:]) % 11
-        return F.when(rest < 2, 0).otherwise(11 - rest)
+    def right(c: Column, n: int) -> Column:
+        return bound(_weighted(c, weights[-n:]) % 11, lambda rest: F.when(rest < 2, 0).otherwise(11 - rest)) == F.ascii(F.substring(c, n + 1, 1)) - 48
 
-    digit = lambda i: F.ascii(F.substring(c, i + 1, 1)) - 48
-    return F.coalesce(c.rlike("^[0-9A-Z]{12}[0-9]{2}$") & ~c.rlike(r"^(.)\1{13}$") & (check(12) == digit(12)) & (check(13) == digit(13)), F.lit(False))
+    # filters write a column out wherever it is used, so what is read letter by letter is bound to a name
+    plain = F.regexp_replace(F.upper(text), "[./-]", "")
+    return F.coalesce(bound(plain, lambda c: c.rlike("^[0-9A-Z]{12}[0-9]{2}$") & right(c, 12) & right(c, 13) & ~c.rlike(r"^(.)\1{13}$")), F.lit(False))
 
 
 def valid_card(text: Column) -> Column:

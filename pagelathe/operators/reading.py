@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from operator import itemgetter
 
 import pyarrow as pa
@@ -76,28 +75,18 @@ def joined_lines(rows: list[tuple]) -> str:
     return "\n".join(out)
 
 
-def _page_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by page_id and middle -> one row a page; a page may go on in the next batch."""
-    page, rows = None, []
-    for batch in batches:
-        done = []
-        for key, row in zip(batch.column(0).to_pylist(), zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True), strict=True):
-            if key != page:
-                if rows:
-                    done.append((page, joined_lines(rows)))
-                page, rows = key, []
-            rows.append(row)
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], pa.int64()), pa.array([t for _, t in done], pa.string())], names=["page_id", "text"])
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array([page], pa.int64()), pa.array([joined_lines(rows)], pa.string())], names=["page_id", "text"])
+def _page_text(boxes: pa.Table) -> pa.Table:
+    """The boxes of one page -> its row."""
+    rows = boxes.sort_by([("middle", "ascending"), ("box_no", "ascending")])
+    text = joined_lines(list(zip(*(rows[c].to_numpy().tolist() for c in ("middle", "tall", "x0", "x1", "str")), strict=True)))
+    return pa.table({"page_id": rows["page_id"].slice(0, 1), "text": pa.array([text], pa.string())})
 
 
 def lines_text(boxes: DataFrame) -> DataFrame:
-    """boxes (page_id, box_no, str, x0..y1, page_width, page_height) -> page_id, text. One shuffle; a task streams its pages."""
+    """boxes (page_id, box_no, str, x0..y1, page_width, page_height) -> page_id, text. One shuffle, none of boxes that are dealt by page; a page at a time is sorted and read."""
     tall = (F.col("y1") - F.col("y0")) * F.col("page_height")
     flat = boxes.where("page_id IS NOT NULL AND trim(str) <> ''").select(F.col("page_id").cast("bigint").alias("page_id"), ((F.col("y0") + F.col("y1")) * F.col("page_height") / 2).alias("middle"), tall.alias("tall"), (F.col("x0") * F.col("page_width")).alias("x0"), (F.col("x1") * F.col("page_width")).alias("x1"), "str", "box_no")
-    dealt = flat.repartition("page_id").sortWithinPartitions("page_id", "middle", "box_no").drop("box_no")
-    return dealt.mapInArrow(_page_texts, "page_id bigint, text string")
+    return flat.groupBy("page_id").applyInArrow(_page_text, "page_id bigint, text string")
 
 
 def nearest_label(fields: DataFrame, pieces: DataFrame) -> DataFrame:

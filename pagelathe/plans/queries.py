@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import amounts, boxes, dates, names, personal, texts
 from ..operators import pages, reading, redact, structure
 from ..streaming import paper
+from ..lineage import dealt
 from . import base
 from .base import QUERIES, load, query
 
@@ -43,6 +44,10 @@ def cpf_check_digits(spark, sf_dir):
     return base.taxpayers(spark, sf_dir).select("c_custkey", "cpf", personal.valid_cpf(F.col("cpf")).alias("valid"))
 
 
+#: Bytes of roots whose endings a task tries.
+ROOTS_TOGETHER = 1 << 20
+
+
 def _company(letters: bool):
     root = F.lpad((F.col("s_suppkey") * 104729).cast("string"), 8, "0")
     head = F.concat(F.char(65 + F.col("s_suppkey") % 26), F.substring(root, 2, 7)) if letters else root
@@ -57,7 +62,8 @@ def _company_sql(letters: bool) -> str:
 def _companies(spark, sf_dir, letters):
     """Identifiers with both check digits tried: all 100 endings of a root, one of which is right."""
     roots = load(spark, sf_dir, "supplier").select("s_suppkey", _company(letters).alias("root"))
-    tried = roots.select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("e"), "root").select("s_suppkey", F.concat("root", F.lpad(F.col("e").cast("string"), 2, "0")).alias("cnpj"))
+    # a hundred rows come of each, so a small table is work for every core
+    tried = dealt(roots, ROOTS_TOGETHER, "s_suppkey").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("e"), "root").select("s_suppkey", F.concat("root", F.lpad(F.col("e").cast("string"), 2, "0")).alias("cnpj"))
     return tried.where(personal.valid_cnpj(F.col("cnpj")))
 
 
@@ -294,7 +300,7 @@ def plain_text_lines(spark, sf_dir):
 
 @query(f"WITH {base.WORDS}, l AS (SELECT page_id, word_no // 8 AS line_no, string_agg(text, ' ' ORDER BY word_no) AS line FROM words GROUP BY ALL) SELECT page_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM l GROUP BY page_id")
 def lines_text(spark, sf_dir):
-    w = base.words(spark, sf_dir).select("page_id", F.col("word_no").alias("box_no"), F.col("text").alias("str"), "x0", "y0", "x1", "y1", F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"))
+    w = base.words(spark, sf_dir, True).select("page_id", F.col("word_no").alias("box_no"), F.col("text").alias("str"), "x0", "y0", "x1", "y1", F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"))
     return reading.lines_text(w)
 
 
@@ -310,7 +316,7 @@ SELECT page_id, word_no::INTEGER AS word_no, text, last OR cut OR (nx0 IS NOT NU
   AND least(k.x0, nx0) < r.x1 AND r.x0 < greatest(k.x1, nx1) AND least(k.y0, ny0) < r.y1 AND r.y0 < greatest(k.y1, ny1))) AS last FROM k"""
 )
 def redact_words_anti(spark, sf_dir):
-    return redact.drop_words(base.words(spark, sf_dir), base.rects(spark, sf_dir))
+    return redact.drop_words(base.words(spark, sf_dir, True), base.rects(spark, sf_dir))
 
 
 @query(
@@ -620,7 +626,7 @@ SELECT doc_id // 1000000 AS page_id, (doc_id % 1000000)::INTEGER AS line_no, typ
 def find_in_pieces(spark, sf_dir):
     n = F.length("text")
     xs = F.transform(F.sequence(F.lit(0), n), lambda i: F.col("x0") + (F.col("x1") - F.col("x0")) * i / n)
-    pieces = base.words(spark, sf_dir).select("page_id", F.col("text").alias("str"), xs.alias("xs"), "y0", "y1", F.lit(None).cast("int").alias("line"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
+    pieces = base.words(spark, sf_dir, True).select("page_id", F.col("text").alias("str"), xs.alias("xs"), "y0", "y1", F.lit(None).cast("int").alias("line"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
     return structure.find_in_pieces(pieces).groupBy("page_id", "line_no", "type", "value").agg(F.count("*").alias("n"))
 
 
