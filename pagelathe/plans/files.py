@@ -11,12 +11,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import dealt, dealt_join
 from ..operators import images, photos
 from ..sources import headers, packages, pdf, writer
 from . import base
 from .base import load, query
 
 LINES = 60
+#: Bytes of settings whose curves a task makes.
+SETTINGS_TOGETHER = 1 << 20
 
 
 def _lines(spark, sf_dir) -> DataFrame:
@@ -125,10 +128,13 @@ def plane_files(spark, sf_dir):
 SELECT p_partkey, sum(floor(255 * pow(least(greatest((i / (1023 / 1.5::DOUBLE) - b) / (w - b), 0), 1), g) + 0.5) * (i % 7 + 1))::BIGINT AS curve FROM c, range(1024) r(i) GROUP BY p_partkey"""
 )
 def tone_curves(spark, sf_dir):
+    """Curves of settings that parts share are made once."""
     k = F.col("p_partkey")
-    curve = images.tone_curve((k % 30) / F.lit(100.0), 0.7 + (k % 40) / F.lit(100.0), 0.5 + (k % 9) / F.lit(4.0))
-    total = F.aggregate(F.transform(curve, lambda x, i: x * (i % 7 + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return load(spark, sf_dir, "part").select("p_partkey", total.alias("curve"))
+    rows = load(spark, sf_dir, "part").select("p_partkey", ((k % 30) / F.lit(100.0)).alias("black"), (0.7 + (k % 40) / F.lit(100.0)).alias("white"), (0.5 + (k % 9) / F.lit(4.0)).alias("gamma"))
+    keys = ["black", "white", "gamma"]
+    total = F.aggregate(F.transform(images.tone_curve(*map(F.col, keys)), lambda x, i: x * (i % 7 + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    made = dealt(rows.select(*keys).distinct(), SETTINGS_TOGETHER, *keys).select(*keys, total.alias("curve"))
+    return dealt_join(rows, made, keys, ["p_partkey"]).select("p_partkey", "curve")
 
 
 _NEAR = lambda source, r, what: f"(SELECT a.image_id, a.y, a.x, {what} AS v FROM {source} a JOIN {source} b ON a.image_id = b.image_id AND abs(a.x - b.x) <= {r} AND abs(a.y - b.y) <= {r} GROUP BY ALL)"
