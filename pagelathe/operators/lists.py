@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import dealt
+
 # Bytes and share of images that make a file heavy.
 HEAVY_BYTES, HEAVY_SHARE = 1 << 20, 0.4
+#: Bytes of numbers that a task sorts at a time.
+NUMBERS_TOGETHER = 16 << 20
 
 
 def sections(numbers: DataFrame, by: str, number: str) -> DataFrame:
     """by, first, n: the runs of consecutive numbers, repeated ones once."""
-    once = numbers.select(by, number).distinct()
-    island = F.col(number) - F.row_number().over(Window.partitionBy(by).orderBy(number))
-    return once.withColumn("island", island).groupBy(by, "island").agg(F.min(number).alias("first"), F.count("*").alias("n")).drop("island")
+    rank = F.dense_rank().over(Window.partitionBy(by).orderBy(number))
+    # ranks pass over repeated numbers, and a run is as long as its ends are apart, so no set of numbers is held
+    islands = dealt(numbers.select(by, number), NUMBERS_TOGETHER, by).withColumn("island", F.col(number) - rank).groupBy(by, "island")
+    return islands.agg(F.min(number).alias("first"), F.coalesce((F.max(number) - F.min(number)).cast("bigint") + 1, F.lit(1).cast("bigint")).alias("n")).drop("island")
 
 
 def counters(items: DataFrame, by: str, order: str, levels: int) -> DataFrame:
