@@ -124,7 +124,7 @@ def taken_names(spark, sf_dir):
 
 def phrases(spark, sf_dir) -> DataFrame:
     """Words set tightly, with a wide gap behind each that ends in a dot: phrases end there and at line ends."""
-    w = base.words(spark, sf_dir).withColumn("line", F.floor(F.col("word_no") / 8))
+    w = base.words(spark, sf_dir, True).withColumn("line", F.floor(F.col("word_no") / 8))
     before = Window.partitionBy("page_id", "line").orderBy("word_no").rowsBetween(Window.unboundedPreceding, -1)
     wide = F.length("text") * 0.01
     start = F.coalesce(F.sum(wide + F.when(F.col("text").endswith("."), 0.03).otherwise(0.004)).over(before), F.lit(0.0))
