@@ -22,9 +22,9 @@ FAMILIES = {
 }
 FIXED_WIDTH = 600
 
-_KNOWN = "\\x20-\\x7e\\xa0-\\xff" + "".join(c for c in HIGH if c)
-#: A character that the code lacks.
-OUTSIDE = f"[^{_KNOWN}]"
+_COMMON, _RARE = "\\x20-\\x7e\\xa0-\\xff", "".join(c for c in HIGH if c)
+#: A character that the code lacks; the common ones are told by two ranges, the others by a list.
+OUTSIDE = f"(?![{_COMMON}])[^{_RARE}]"
 #: Dropped without a word by the reports: control characters and marks of no width.
 SILENT = "[\\x00-\\x1f\\x7f-\\x9f\\u200b-\\u200f\\ufe00-\\ufe0f]"
 CONTROL = "[\\x00-\\x1f\\x7f-\\x9f\\ufe00-\\ufe0f]"
@@ -45,9 +45,10 @@ def _marks() -> dict[str, str]:
 
 
 def _compose(text: Column) -> Column:
-    for pair, letter in _marks().items():
-        text = F.replace(text, F.lit(pair), F.lit(letter))
-    return text
+    """Only pairs that the text holds are looked for; none of them makes or breaks another."""
+    letters = F.create_map(*[F.lit(x) for pair in _marks().items() for x in pair])
+    pairs = F.array_distinct(F.regexp_extract_all(text, F.lit(r"[A-Za-z]\p{M}"), F.lit(0)))
+    return F.aggregate(pairs, text, lambda t, pair: F.coalesce(F.replace(t, pair, F.try_element_at(letters, pair)), t))
 
 
 def byte_code(character: Column) -> Column:
@@ -80,7 +81,7 @@ def missing(text: Column) -> Column:
 def filtered(text: Column) -> Column:
     """struct<text, dropped>: line breaks stay, tabs become blanks, what the code lacks is left out and listed once."""
     plain = F.replace(F.regexp_replace(composed(text), "\r\n?", "\n"), F.lit("\t"), F.lit(" "))
-    left = F.regexp_replace(plain, f"[^\\n{_KNOWN}]", "")
+    left = F.regexp_replace(plain, f"(?![\\n{_COMMON}])[^{_RARE}]", "")
     told = F.regexp_replace(F.regexp_replace(plain, SILENT, ""), "\n", "")
     return F.struct(left.alias("text"), F.array_distinct(F.regexp_extract_all(told, F.lit(OUTSIDE), F.lit(0))).alias("dropped"))
 

@@ -67,3 +67,28 @@ def test_sections_hold_no_set_of_numbers(spark):
     got = lists.sections(rows, "d", "n")
     assert plan(got).count("HashAggregate(keys=[d") <= 2
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 3, 2), (1, 7, 1), (1, None, 1), (2, -1, 2), (None, 5, 1)], key=str)
+
+
+@pytest.mark.parametrize("name", ["sanitize_text", "winansi_filter"])
+def test_texts_are_dealt_before_they_are_read(spark, tables, name):
+    told = plan(made(name, spark, tables))
+    assert told.index("Project") < told.index("REPARTITION_BY_NUM")
+    assert len(told) < 100_000  # one replacement for each pair of letter and mark before
+
+
+def test_composed_letters(spark):
+    from pagelathe.functions import glyphs
+
+    every = "".join(glyphs._marks())
+    texts = [every, "a\u0301\u0301b", "x\u0301", "\u0301a\u0308\u0302", "e\n\u0301 e\u0301", "漢\u0301€\x07ÿ\x85", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
+
+    def want(t):
+        for pair, letter in glyphs._marks().items():
+            t = t.replace(pair, letter)
+        return t
+
+    assert [r[0] for r in rows.select(glyphs.composed(F.col("t"))).collect()] == [t and want(t) if t is not None else None for t in texts]
+    known = {*map(chr, [*range(0x20, 0x7F), *range(0xA0, 0x100)]), *(c for c in glyphs.HIGH if c)}
+    got = rows.select(F.regexp_extract_all("t", F.lit(glyphs.OUTSIDE), F.lit(0))).collect()
+    assert [r[0] for r in got] == [None if t is None else [c for c in t if c not in known] for t in texts]
