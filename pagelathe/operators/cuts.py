@@ -90,11 +90,13 @@ def cut_strokes(strokes: DataFrame, rects: DataFrame, edge: float = EDGE) -> Dat
     that at its start and that at its end stay two. A covered stroke gives no row, and one
     of fewer than two points, or null ones, has no length to cut: it is left out.
     Rectangles without a number or without extent cut as far as their grown sides reach.
+    Other columns of strokes pass.
     """
+    others = [c for c in strokes.columns if c not in ("page_id", "stroke_no", "points", "closed")]
     gone = hidden_ways(strokes, rects, edge).groupBy("page_id", "stroke_no").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("gone"))
-    rows = strokes.where(F.size("points") > 1).select("page_id", "stroke_no", "points", F.coalesce("closed", F.lit(False)).alias("closed")).join(gone, ["page_id", "stroke_no"], "left")
+    rows = strokes.where(F.size("points") > 1).select("page_id", "stroke_no", "points", F.coalesce("closed", F.lit(False)).alias("closed"), *others).join(gone, ["page_id", "stroke_no"], "left")
     line = F.when(F.col("closed") & F.col("gone").isNotNull(), F.concat("points", F.slice("points", 1, 1))).otherwise(F.col("points"))
-    rows = rows.select("page_id", "stroke_no", line.alias("line"), "closed", "gone")
+    rows = rows.select("page_id", "stroke_no", line.alias("line"), "closed", "gone", *others)
     spot = lambda at: F.struct(at.cast("int").alias("at"), F.lit(0.0).alias("share"))
     ends = F.concat(F.col("gone.from"), F.array(spot(F.size("line") - 1)))
     starts = F.concat(F.array(spot(F.lit(0))), F.col("gone.to"))
@@ -110,7 +112,7 @@ def cut_strokes(strokes: DataFrame, rects: DataFrame, edge: float = EDGE) -> Dat
         return F.concat(F.array(point(g["a"])), within, F.array(point(g["b"])))
 
     pieces = F.when(F.col("gone").isNull(), F.array("line")).otherwise(bound(gaps, lambda g: F.transform(g, piece)))
-    return rows.select("page_id", "stroke_no", F.posexplode(pieces).alias("piece_no", "points"), (F.col("closed") & F.col("gone").isNull()).alias("closed"))
+    return rows.select("page_id", "stroke_no", F.posexplode(pieces).alias("piece_no", "points"), (F.col("closed") & F.col("gone").isNull()).alias("closed"), *others)
 
 
 def area_outside(points: Column, rects: Column, edge: float = EDGE) -> Column:

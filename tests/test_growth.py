@@ -92,3 +92,13 @@ def test_composed_letters(spark):
     known = {*map(chr, [*range(0x20, 0x7F), *range(0xA0, 0x100)]), *(c for c in glyphs.HIGH if c)}
     got = rows.select(F.regexp_extract_all("t", F.lit(glyphs.OUTSIDE), F.lit(0))).collect()
     assert [r[0] for r in got] == [None if t is None else [c for c in t if c not in known] for t in texts]
+
+
+def test_curves_are_drawn_twice_at_most(spark, tables):
+    """Once to find what is hidden, once to cut; before, a third time to count points."""
+    rows = [(k, k % 4, [float((k * 7 + i * 3) % 11) / 10 for i in range(20)]) for k in range(30)]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").write.mode("overwrite").parquet(f"{tables}/embeddings.parquet")
+    df = made("curve_cuts", spark, tables)
+    assert plan(df).count("collect_list(struct(step_no") <= 4  # a partial and a final one each
+    assert "REPARTITION_BY_NUM" in plan(df)
+    assert all(r.n_points > 1 for r in df.collect())
