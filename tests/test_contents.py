@@ -93,6 +93,23 @@ def test_copied_pages(spark):
         assert mine == {x: (k, sorted(number[d, b] for d, a, b in refs if (d, a) == x and (d, b) in number)) for x, k in number.items()}
 
 
+def test_copied_pages_take_files_together(spark):
+    """One row holds 64 files; numbers below 0 and missing ones count as files, missing objects as objects."""
+    wanted = [(f, 1, 40) for f in range(-70, 130)] + [(None, 1, 40), (None, 1, 3), (5, None, None), (5, 2, None)]
+    refs = [(1, 40, 20), (1, 20, 10), (1, 10, 10), (1, 10, 3), (1, 20, None), (None, 40, 8)]
+    frame = lambda rows, names_: spark.createDataFrame(rows, names_)
+    told = frame(wanted, "file_no bigint, doc_id bigint, num bigint"), frame(refs, "doc_id bigint, src bigint, dst bigint"), frame([(1, 40), (1, 3)], "doc_id bigint, num bigint")
+    assert copies.needed_objects(*told).where("num = 10").count() == 6
+    got = {}
+    for r in copies.copied_pages(*told).collect():
+        got.setdefault(r.file_no, {})[r.doc_id, r.num] = (r.new_num, r.refs)
+    plain = {(1, 10): (1, [1]), (1, 20): (2, [1]), (1, 40): (3, [2])}
+    assert {f: w for f, w in got.items() if f not in (None, 5)} == {f: plain for f in range(-70, 130) if f != 5}
+    assert got[5] == plain | {(2, None): (4, []), (None, None): (5, [])}
+    # as in SQL, objects of no file are numbered but their references meet nothing
+    assert got[None] == {(1, 3): (1, []), (1, 10): (2, []), (1, 20): (3, []), (1, 40): (4, [])}
+
+
 def test_dense_numbers_of_one_large_group(spark):
     """A group over many parts is numbered without being in one of them."""
     rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v"), F.when(F.col("id") % 10 == 0, 1).otherwise(0).alias("g"))
