@@ -102,11 +102,13 @@ def sketch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
 
 
 def whole_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """(cls, digest, text) -> (cls, items: sorted 64-bit shingles) where the text has the class's set."""
+    """(cls, digest, text) -> (cls, items: sorted 64-bit shingles) where the text has the class's set, each class once a task."""
+    told: set[int] = set()
     for batch in batches:
         cls, items = [], []
         for c, d, s in zip(batch.column("cls").to_pylist(), batch.column("digest").to_pylist(), shingle_sets(*text_bytes(batch.column("text")), n), strict=True):
-            if len(s) and digest_of(s) == d:
+            if len(s) and c not in told and digest_of(s) == d:
+                told.add(c)
                 cls.append(c)
                 items.append(s.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(items, pa.binary())], names=["cls", "items"])

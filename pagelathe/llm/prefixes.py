@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, spread_join, table, text_bytes
+from .common import materialize, maybe_in, spread_join, table, text_bytes
 from .components import components
 from .minhash import CELL, cells, confirmed, digest_of, intersections, rows_of_classes, shingle_sets, unpacked, whole_sets
 
@@ -53,6 +53,8 @@ PIECES = 16
 EVERY, FREQUENT, FEW = 64, 1 / 500, 8
 #: Frequent grams that are broadcast; more are joined.
 MOST_HELD = 1 << 20
+#: Classes beyond which a bucket is large: its pivot goes to its classes, wherever they are.
+LARGE = 1024
 
 
 def prefix_size(n, percent: int):
@@ -115,7 +117,11 @@ def prefixes(classes: DataFrame, grams: DataFrame, percent: int, below: np.uint6
 def met_pairs(prefix: DataFrame, percent: int) -> DataFrame:
     """(pivot, cls, n, passes): classes and the pivots of their buckets; passes: length and positions allow a link in every bucket."""
     buckets = prefix.groupBy("key").agg(F.min(F.struct("cls", "n", "pos")).alias("p"), F.count("*").alias("size")).where("size > 1")
-    both = spread_join(prefix, buckets.select("key", F.col("p.cls").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.pos").alias("pp")), "key", "cls")
+    buckets = materialize(buckets.select("key", "size", F.col("p.cls").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.pos").alias("pp")))
+    # at most one of LARGE rows of the prefixes is a large bucket
+    large, small = (buckets.where(c).drop("size") for c in (F.col("size") > LARGE, F.col("size") <= LARGE))
+    told = prefix.join(F.broadcast(large), "key", "left")
+    both = told.where("pivot IS NOT NULL").unionByName(told.where("pivot IS NULL").select(prefix.columns).join(small, "key"))
     need = F.ceil((F.col("n") + F.col("pn")) * percent / (100 + percent))
     long = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
     room = F.least("pos", "pp") + 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("pn") - F.col("pp") - 1) >= need
@@ -190,14 +196,18 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, counte
     first = linked.groupBy("n_shingles", "digest").agg(F.min(F.struct("doc_id", "row")).alias("f")).select("digest", F.col("f.doc_id").alias("rep"), F.col("f.row").alias("row"))
     chosen = linked.select("row", "n_shingles", "counted", "pieces").join(first, "row")
     classes = materialize(chosen.select(F.col("row").alias("cls"), "n_shingles", "digest", "rep", "counted", "pieces"))
-    grams = linked.select(F.col("row").alias("cls"), "grams").join(classes.select("cls"), "cls", "left_semi")
+    # grams of copies are left out; what is no copy for certain is not shuffled for that
+    copies = materialize(linked.select(F.col("row").alias("cls")).join(classes.select("cls"), "cls", "left_anti"))
+    told = maybe_in(linked.select(F.col("row").alias("cls"), "grams"), copies, "cls")
+    grams = told.where("NOT maybe").union(told.where("maybe").join(classes.select("cls"), "cls", "left_semi")).drop("maybe")
 
     prefix = materialize(prefixes(classes, grams, percent, below))
     member = materialize(met_pairs(prefix, percent))
     met = member.select("cls").union(member.select("pivot")).distinct()
-    wanted = classes.join(met, "cls", "left_semi").select("cls", "digest", F.col("rep").alias("doc_id"))
-    texts = docs.where("doc_id IS NOT NULL").join(wanted, "doc_id")
-    sets = materialize(texts.select("cls", "digest", "text").mapInArrow(lambda it: whole_sets(it, shingle), "cls bigint, items binary").dropDuplicates(["cls"]))
+    wanted = materialize(classes.join(met, "cls", "left_semi").select("cls", "digest", F.col("rep").alias("doc_id")))
+    texts = maybe_in(docs.where("doc_id IS NOT NULL"), wanted, "doc_id").where("maybe").join(wanted, "doc_id")
+    # a class that comes from several tasks is there several times, which only repeats its links
+    sets = materialize(texts.select("cls", "digest", "text").mapInArrow(lambda it: whole_sets(it, shingle), "cls bigint, items binary"))
     passed = alike_by_pieces(member.where("passes").select("cls", "pivot"), classes, percent)
     links = materialize(confirmed(passed, sets, percent))
     roots = components(links)

@@ -7,8 +7,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from pagelathe.llm import centroids, periods, prefixes
+from pagelathe.llm import centroids, common, minhash, periods, prefixes
 
 from .helpers import WORD, corpus, edited, mixed, prose
 from .test_dedup import classes, near_group
@@ -146,6 +147,43 @@ def test_jaccard_join_of_odd_tables(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == sorted([(None, 2, None), (3, 2, 2), (3, 2, 2), (2, 2, 2), (1, 0, 1), (5, 0, 5)], key=str)
 
 
+def met_by_hand(rows):
+    """(pivot, cls): the smallest class of each key with all others of it."""
+    keys = {}
+    for key, cls, _, _ in rows:
+        keys.setdefault(key, []).append(cls)
+    return {(min(c), x) for c in keys.values() for x in c if x != min(c)}
+
+
+@pytest.mark.parametrize("large", [1024, 3])
+def test_buckets_meet_without_copies_of_them(spark, monkeypatch, large):
+    """A bucket's pivot is told once, not once for each task that may ask; large buckets are not brought together."""
+    monkeypatch.setattr(prefixes, "LARGE", large)
+    rng = random.Random(12)
+    rows = [(k, c, 100, rng.randrange(20)) for k in range(40) for c in rng.sample(range(200), 1 + k % 6)] + [(99, c, 100, 0) for c in range(150)]
+    found = prefixes.met_pairs(spark.createDataFrame(rows, "key bigint, cls bigint, n bigint, pos bigint"), 80)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    got = found.collect()
+    assert {(r.pivot, r.cls) for r in got} == met_by_hand(rows) and len(got) == len(met_by_hand(rows))
+
+
+@pytest.mark.parametrize("most", [common.MOST_FILTERED, 10])
+def test_filter_passes_all_that_meet(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MOST_FILTERED", most)
+    rows, keys = spark.range(5000).select(F.col("id").alias("k")), spark.range(0, 5000, 50).select(F.col("id").alias("k"))
+    got = {r.k: r.maybe for r in common.maybe_in(rows, keys, "k").collect()}
+    assert len(got) == 5000 and all(got[k] for k in range(0, 5000, 50))
+    assert sum(got.values()) < 800 or most == 10
+    assert common.maybe_in(rows, keys.limit(0), "k").where("maybe").count() == 0 or most == 0
+
+
+def test_sets_are_made_once_a_class():
+    """Rows of one class give one set, so that no shuffle has to drop the others."""
+    items = next(minhash.shingle_sets(*common.text_bytes(pa.array(["a b c d e f"])), 5))
+    batch = pa.RecordBatch.from_pydict({"cls": [7, 7, 8], "digest": [minhash.digest_of(items)] * 3, "text": ["a b c d e f"] * 3})
+    assert [x for b in minhash.whole_sets(iter([batch, batch]), 5) for x in b.column("cls").to_pylist()] == [7, 8]
+
+
 # --- centroid clusters ------------------------------------------------------------
 
 
