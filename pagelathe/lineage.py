@@ -26,16 +26,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def dealt(rows: DataFrame, bytes_each: int, *keys: str) -> DataFrame:
+def dealt(rows: DataFrame, bytes_each: int, *keys: str, joined: bool = False) -> DataFrame:
     """rows dealt by keys over as many tasks as bytes_each of their estimated size make, one a core at least.
 
     The count is fixed, so few bytes with much work stay spread and no task gets more than its share.
     Rows of unknown size, which Spark takes for endless, make spark.sql.shuffle.partitions tasks.
+    joined: that many at least, since a join deals the side of fewer tasks anew.
     """
     session = rows.sparkSession
     tasks = -(-int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // bytes_each)
-    known = tasks if tasks <= MOST_TASKS else int(session.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(max(session.sparkContext.defaultParallelism, known), *keys)
+    usual = int(session.conf.get("spark.sql.shuffle.partitions"))
+    known = tasks if tasks <= MOST_TASKS else usual
+    return rows.repartition(max(session.sparkContext.defaultParallelism, known, usual if joined else 1), *keys)
 
 
 def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from operator import itemgetter
 
 import pyarrow as pa
@@ -52,7 +53,7 @@ def plain_text(words: DataFrame) -> DataFrame:
 
 
 def joined_lines(rows: list[tuple]) -> str:
-    """Boxes of a page as (middle, height, x0, x1, str), by middle -> its text.
+    """Boxes of a page as (middle, height, x0, x1, str, ...), by middle -> its text.
 
     A box stays on the line whose first box has its middle near; blanks come from gaps.
     """
@@ -65,7 +66,7 @@ def joined_lines(rows: list[tuple]) -> str:
     out = []
     for line in lines:
         parts, end, last = [], float("-inf"), " "
-        for _, tall, x0, x1, s in sorted(line, key=itemgetter(2)):
+        for _, tall, x0, x1, s, *_ in sorted(line, key=itemgetter(2)):
             if x0 - end > SPACE_GAP * tall and not last.isspace() and not s[0].isspace():
                 parts.append(" ")
             parts.append(s)
@@ -75,18 +76,24 @@ def joined_lines(rows: list[tuple]) -> str:
     return "\n".join(out)
 
 
-def _page_text(boxes: pa.Table) -> pa.Table:
-    """The boxes of one page -> its row."""
-    rows = boxes.sort_by([("middle", "ascending"), ("box_no", "ascending")])
-    text = joined_lines(list(zip(*(rows[c].to_numpy().tolist() for c in ("middle", "tall", "x0", "x1", "str")), strict=True)))
-    return pa.table({"page_id": rows["page_id"].slice(0, 1), "text": pa.array([text], pa.string())})
+def _page_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages with their boxes -> their texts."""
+    for batch in batches:
+        boxes, texts, end = batch.column("boxes").flatten(), [], 0
+        columns = [boxes.field(c) for c in ("middle", "tall", "x0", "x1", "str", "box_no")]
+        for n in batch.column("boxes").value_lengths().to_pylist():
+            rows = zip(*(c.slice(end, n).to_pylist() for c in columns), strict=True)
+            texts.append(joined_lines(sorted(rows, key=itemgetter(0, 5))))
+            end += n
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(texts, pa.string()), *batch.columns[2:]], names=["page_id", "text", *batch.schema.names[2:]])
 
 
-def lines_text(boxes: DataFrame) -> DataFrame:
-    """boxes (page_id, box_no, str, x0..y1, page_width, page_height) -> page_id, text. One shuffle, none of boxes that are dealt by page; a page at a time is sorted and read."""
+def lines_text(boxes: DataFrame, flag: str | None = None) -> DataFrame:
+    """boxes (page_id, box_no, str, x0..y1, page_width, page_height) -> page_id, text, flag (true if that of any box is). One shuffle, none of boxes that are dealt by page; a page at a time is sorted and read."""
     tall = (F.col("y1") - F.col("y0")) * F.col("page_height")
-    flat = boxes.where("page_id IS NOT NULL AND trim(str) <> ''").select(F.col("page_id").cast("bigint").alias("page_id"), ((F.col("y0") + F.col("y1")) * F.col("page_height") / 2).alias("middle"), tall.alias("tall"), (F.col("x0") * F.col("page_width")).alias("x0"), (F.col("x1") * F.col("page_width")).alias("x1"), "str", "box_no")
-    return flat.groupBy("page_id").applyInArrow(_page_text, "page_id bigint, text string")
+    box = F.struct(((F.col("y0") + F.col("y1")) * F.col("page_height") / 2).alias("middle"), "box_no", tall.alias("tall"), (F.col("x0") * F.col("page_width")).alias("x0"), (F.col("x1") * F.col("page_width")).alias("x1"), "str")
+    rows = boxes.where("page_id IS NOT NULL").groupBy(F.col("page_id").cast("bigint").alias("page_id")).agg(F.collect_list(F.when(F.trim("str") != "", box)).alias("boxes"), *[F.max(c).alias(c) for c in [flag] if c])
+    return rows.where(F.size("boxes") > 0).mapInArrow(_page_texts, "page_id bigint, text string" + (f", {flag} boolean" if flag else ""))
 
 
 def nearest_label(fields: DataFrame, pieces: DataFrame) -> DataFrame:

@@ -102,3 +102,22 @@ def test_curves_are_drawn_twice_at_most(spark, tables):
     assert plan(df).count("collect_list(struct(step_no") <= 4  # a partial and a final one each
     assert "REPARTITION_BY_NUM" in plan(df)
     assert all(r.n_points > 1 for r in df.collect())
+
+
+@pytest.mark.parametrize("name", ["redact_letters", "document_text_redacted", "redaction_postcondition"])
+def test_texts_cross_once_to_be_redacted(spark, tables, name):
+    """Lines are made above the only exchange of texts, and neither they nor what is left of them is dealt again."""
+    told = plan(made(name, spark, tables))
+    assert told.index("Generate posexplode") < told.index("REPARTITION_BY_NUM")
+    dealings = [line for line in told.splitlines() if "Exchange" in line]
+    assert all("item_no" not in line for line in dealings)
+
+
+def test_blank_boxes_of_a_page(spark):
+    """A page of blank boxes has no lines; a flag of a blank box counts for its page."""
+    from pagelathe.operators import reading
+
+    rows = [(1, 2, "b", False), (1, 1, "a", False), (1, 3, " ", True), (2, 1, " ", True), (3, 1, "c", False), (None, 1, "d", True)]
+    boxes = spark.createDataFrame(rows, "page_id int, box_no int, str string, under boolean").selectExpr("*", "0D AS x0", "box_no / 10D AS y0", "1D AS x1", "box_no / 10D + 0.05D AS y1", "100D AS page_width", "100D AS page_height")
+    assert sorted(map(tuple, reading.lines_text(boxes, "under").collect())) == [(1, "a\nb", True), (3, "c", False)]
+    assert sorted(map(tuple, reading.lines_text(boxes).collect())) == [(1, "a\nb"), (3, "c")]
