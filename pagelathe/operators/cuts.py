@@ -18,15 +18,17 @@ def _norm(x: Column, y: Column) -> Column:
     return F.sqrt(x * x + y * y)
 
 
-def flattened(commands: DataFrame) -> DataFrame:
+def flattened(commands: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """commands (path_id, step_no, op, v) -> path_id, part_no, points, closed: the parts of each path as lines.
 
     op is M, L, Q, C or Z with the numbers of its points in v. A curve becomes as many
     equal steps of its parameter as keep it within FLAT. A path goes on at its start
     after Z. A null op or v and other ops are left out; a lone M is a part of one point.
+    by: columns that a path has one value of; they pass, and commands dealt by them are not dealt again.
     """
+    path = [*by, "path_id"]
     rows = commands.where(F.col("op").isin("M", "L", "Q", "C", "Z") & ((F.col("op") == "Z") | F.col("v").isNotNull()))
-    order = Window.partitionBy("path_id").orderBy("step_no")
+    order = Window.partitionBy(*path).orderBy("step_no")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     n = F.size("v")
     end = F.when(F.col("op") != "Z", F.array(F.get("v", n - 2), F.get("v", n - 1)))
@@ -36,44 +38,47 @@ def flattened(commands: DataFrame) -> DataFrame:
     origin = F.array(F.lit(0.0), F.lit(0.0))
     at = F.coalesce(F.lag("end").over(order), F.lag("start").over(order), origin)
     rows = rows.withColumn("at", at).withColumn("opens", F.coalesce(opens, F.lit(True)))
-    p = [[F.col("at")[k], *[F.get("v", F.lit(2 * j + k)) for j in range(3)]] for k in range(2)]
-    bend = lambda j: _norm(*[p[k][j] - 2 * p[k][j + 1] + p[k][j + 2] for k in range(2)])
+    # numbers of their own columns: a row a point is made by compiled code, elements of arrays inside lambdas are not
+    numbers = [F.col("at")[k].alias(f"{c}0") for k, c in enumerate("xy")] + [F.get("v", F.lit(2 * j + k)).alias(f"{c}{j + 1}") for k, c in enumerate("xy") for j in range(3)]
+    rows = rows.select(*path, "part_no", "step_no", "op", "opens", F.col("end")[0].alias("x"), F.col("end")[1].alias("y"), *numbers)
+    bend = lambda j: _norm(*[F.col(f"{c}{j}") - 2 * F.col(f"{c}{j + 1}") + F.col(f"{c}{j + 2}") for c in "xy"])
     off = F.when(F.col("op") == "Q", bend(0) / 4).when(F.col("op") == "C", 0.75 * F.greatest(bend(0), bend(1))).otherwise(0.0)
-    steps = F.greatest(F.lit(1), F.least(F.lit(MOST_STEPS), F.ceil(F.sqrt(off / FLAT)))).cast("int")
+    rows = rows.withColumn("steps", F.greatest(F.lit(1), F.least(F.lit(MOST_STEPS), F.ceil(F.sqrt(off / FLAT)))).cast("int"))
+    # a part that no M opens begins where the path stands; Z draws nothing
+    first = F.when(F.col("opens") & (F.col("op") != "M"), 0).otherwise(1)
+    rows = rows.withColumn("i", F.explode_outer(F.when(F.col("op") != "Z", F.sequence(first, F.col("steps")))))
 
-    def on_curve(i: Column) -> Column:
-        t = i / F.col("steps")
+    def on_curve(c: str) -> Column:
+        t = F.col("i") / F.col("steps")
         s = 1 - t
-        quad = [s * s * a + 2 * s * t * b + t * t * c for a, b, c, _ in p]
-        cube = [s * s * s * a + 3 * s * s * t * b + 3 * s * t * t * c + t * t * t * d for a, b, c, d in p]
-        return F.when(F.col("op") == "Q", F.array(*quad)).when(F.col("op") == "C", F.array(*cube)).otherwise(F.col("end"))
+        p0, p1, p2, p3 = (F.col(f"{c}{j}") for j in range(4))
+        quad = s * s * p0 + 2 * s * t * p1 + t * t * p2
+        cube = s * s * s * p0 + 3 * s * s * t * p1 + 3 * s * t * t * p2 + t * t * t * p3
+        return F.when(F.col("i") == 0, p0).when(F.col("op") == "Q", quad).when(F.col("op") == "C", cube).otherwise(F.col(c))
 
-    rows = rows.withColumn("steps", steps)
-    drawn = F.when(F.col("op") == "Z", F.array().cast("array<array<double>>")).otherwise(F.transform(F.sequence(F.lit(1), F.col("steps")), on_curve))
-    # a part that no M opens begins where the path stands
-    points = F.when(F.col("opens") & ~F.col("op").isin("M", "Z"), F.concat(F.array("at"), drawn)).otherwise(drawn)
-    rows = rows.select("path_id", "part_no", "step_no", points.alias("points"), (F.col("op") == "Z").alias("closes"))
-    parts = rows.groupBy("path_id", "part_no").agg(F.array_sort(F.collect_list(F.struct("step_no", "points"))).alias("p"), F.max("closes").alias("closed"))
-    return parts.select("path_id", "part_no", F.flatten("p.points").alias("points"), "closed").where(F.size("points") > 0)
-
-
-def _covered(a: str, b: str, low: Column, high: Column) -> Column:
-    """struct<from, to>: the shares of the way from a to b that lie strictly between low and high; null where none does."""
-    p, way = F.col(a), F.col(b) - F.col(a)
-    one, two = (low - p) / way, (high - p) / way
-    level = F.when((p > low) & (p < high), F.struct(F.lit(float("-inf")).alias("from"), F.lit(float("inf")).alias("to")))
-    return F.when(way == 0, level).otherwise(F.struct(F.least(one, two).alias("from"), F.greatest(one, two).alias("to")))
+    point = F.struct("step_no", "i", F.array(on_curve("x"), on_curve("y")).alias("p"))
+    rows = rows.select(*path, "part_no", F.when(F.col("i").isNotNull(), point).alias("point"), (F.col("op") == "Z").alias("closes"))
+    parts = rows.groupBy(*path, "part_no").agg(F.array_sort(F.collect_list("point"))["p"].alias("points"), F.max("closes").alias("closed"))
+    return parts.select(*path, "part_no", "points", "closed").where(F.size("points") > 0)
 
 
 def hidden_ways(strokes: DataFrame, rects: DataFrame, edge: float = EDGE) -> DataFrame:
     """page_id, stroke_no, from, to: the stretches of each stroke inside rectangles grown by edge, overlapping ones as one."""
     line = F.when(F.col("closed"), F.concat("points", F.slice("points", 1, 1))).otherwise(F.col("points"))
-    segment = F.transform(F.slice(F.col("line"), F.lit(1), F.size("line") - 1), lambda p, i: F.struct(p[0].alias("px"), p[1].alias("py"), F.get("line", i + 1)[0].alias("qx"), F.get("line", i + 1)[1].alias("qy")))
-    ways = strokes.where(F.size("points") > 1).select("page_id", "stroke_no", line.alias("line")).select("page_id", "stroke_no", F.posexplode(segment).alias("at", "s")).select("page_id", "stroke_no", "at", "s.*")
+    legs = F.size("line") - 1
+    segment = F.arrays_zip(F.slice(F.col("line"), F.lit(1), legs).alias("p"), F.slice(F.col("line"), F.lit(2), legs).alias("q"))
+    ways = strokes.where(F.size("points") > 1).select("page_id", "stroke_no", line.alias("line")).select("page_id", "stroke_no", F.posexplode(segment).alias("at", "s"))
+    ways = ways.select("page_id", "stroke_no", "at", *[F.col(f"s.{e}")[k].alias(e + c) for e in "pq" for k, c in enumerate("xy")])
+    # all that needs the segment alone is made before the join: the compiled step of a pair must stay short, or Java only interprets it
+    reach = [f("p" + c, "q" + c).alias(f"{name}_{c}") for c in "xy" for name, f in (("low", F.least), ("high", F.greatest))]
+    ways = ways.select("page_id", "stroke_no", "at", "px", "py", *[F.nullif(F.col("q" + c) - F.col("p" + c), F.lit(0.0)).alias("way_" + c) for c in "xy"], *reach)
     r = rects.select("page_id", (F.col("x0") - edge).alias("x0"), (F.col("y0") - edge).alias("y0"), (F.col("x1") + edge).alias("x1"), (F.col("y1") + edge).alias("y1"))
-    near = (F.greatest("px", "qx") > F.col("x0")) & (F.least("px", "qx") < F.col("x1")) & (F.greatest("py", "qy") > F.col("y0")) & (F.least("py", "qy") < F.col("y1"))
-    met = ways.join(r, "page_id").where(near).select("page_id", "stroke_no", "at", _covered("px", "qx", F.col("x0"), F.col("x1")).alias("x"), _covered("py", "qy", F.col("y0"), F.col("y1")).alias("y"))
-    met = met.where("x is not null and y is not null").select("page_id", "stroke_no", "at", F.greatest("x.from", "y.from", F.lit(0.0)).alias("a"), F.least("x.to", "y.to", F.lit(1.0)).alias("b")).where("a < b")
+    near = (F.col("high_x") > F.col("x0")) & (F.col("low_x") < F.col("x1")) & (F.col("high_y") > F.col("y0")) & (F.col("low_y") < F.col("y1"))
+    # the share of the segment at a side; null for one along the axis, which lies between both sides if it is near
+    at_side = lambda c, side: (F.col(f"{c}{side}") - F.col("p" + c)) / F.col("way_" + c)
+    met = ways.join(r, "page_id").where(near).select("page_id", "stroke_no", "at", *[at_side(c, side).alias(f"{c}_{side}") for c in "xy" for side in (0, 1)])
+    enters, leaves = F.greatest(F.least("x_0", "x_1"), F.least("y_0", "y_1"), F.lit(0.0)), F.least(F.greatest("x_0", "x_1"), F.greatest("y_0", "y_1"), F.lit(1.0))
+    met = met.select("page_id", "stroke_no", "at", enters.alias("a"), leaves.alias("b")).where("a < b")
     place = lambda share: F.when(F.col(share) < 1, F.struct(F.col("at"), F.col(share).alias("share"))).otherwise(F.struct((F.col("at") + 1).alias("at"), F.lit(0.0).alias("share")))
     met = met.select("page_id", "stroke_no", place("a").alias("from"), place("b").alias("to"))
     along = Window.partitionBy("page_id", "stroke_no").orderBy("from", "to")

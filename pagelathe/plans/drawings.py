@@ -17,8 +17,8 @@ def _drawings(spark, sf_dir):
     """Embeddings as strokes of two components a point, ten a page, each also a rectangle from its first point a quarter of the way to its second."""
     e = F.col("embedding")
     points = F.transform(F.sequence(F.lit(0), F.floor(F.size(e) / 2).cast("int") - 1), lambda i: F.array(F.get(e, 2 * i).cast("double") * 100, F.get(e, 2 * i + 1).cast("double") * 100))
-    vectors = dealt(load(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), VECTORS_TOGETHER, "vec_id")
-    rows = vectors.select(F.floor(F.col("vec_id") / 10).alias("page_id"), F.col("vec_id").alias("stroke_no"), points.alias("points"), (F.col("label") % 3 == 0).alias("closed"))
+    vectors = dealt(load(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("page_id"), "vec_id", "label", "embedding"), VECTORS_TOGETHER, "page_id", joined=True)
+    rows = vectors.select("page_id", F.col("vec_id").alias("stroke_no"), points.alias("points"), (F.col("label") % 3 == 0).alias("closed"))
     first = lambda k: F.col("points")[0][k]
     side = lambda pick, k: pick(first(k), first(k) + (F.col("points")[1][k] - first(k)) / 4)
     rects = rows.select("page_id", side(F.least, 0).alias("x0"), side(F.least, 1).alias("y0"), side(F.greatest, 0).alias("x1"), side(F.greatest, 1).alias("y1"))
@@ -78,8 +78,8 @@ def curve_cuts(spark, sf_dir):
         .when((i % 5 == 3), F.struct(i.alias("step_no"), F.lit("C").alias("op"), F.concat(at(i - 2), at(i - 1), at(i)).alias("v")))
         .when((i % 5 == 0), F.struct(i.alias("step_no"), F.lit("Q").alias("op"), F.concat(at(i - 1), at(i)).alias("v")))
     )
-    commands = strokes.select(F.col("stroke_no").alias("path_id"), F.explode(F.filter(F.transform(steps, command), lambda c: c.isNotNull())).alias("c")).select("path_id", "c.*")
-    drawn = cuts.flattened(commands).select(F.floor(F.col("path_id") / 10).alias("page_id"), F.col("path_id").alias("stroke_no"), "points", "closed", F.size("points").alias("n_points"))
+    commands = strokes.select("page_id", F.col("stroke_no").alias("path_id"), F.explode(F.filter(F.transform(steps, command), lambda c: c.isNotNull())).alias("c")).select("page_id", "path_id", "c.*")
+    drawn = cuts.flattened(commands, ("page_id",)).select("page_id", F.col("path_id").alias("stroke_no"), "points", "closed", F.size("points").alias("n_points"))
     return cuts.cut_strokes(drawn, rects).groupBy("stroke_no", "n_points").agg(F.round(F.sum(cuts.length(F.col("points"))), 6).alias("visible"))
 
 

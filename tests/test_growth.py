@@ -121,3 +121,29 @@ def test_blank_boxes_of_a_page(spark):
     boxes = spark.createDataFrame(rows, "page_id int, box_no int, str string, under boolean").selectExpr("*", "0D AS x0", "box_no / 10D AS y0", "1D AS x1", "box_no / 10D + 0.05D AS y1", "100D AS page_width", "100D AS page_height")
     assert sorted(map(tuple, reading.lines_text(boxes, "under").collect())) == [(1, "a\nb", True), (3, "c", False)]
     assert sorted(map(tuple, reading.lines_text(boxes).collect())) == [(1, "a\nb"), (3, "c")]
+
+
+def test_steps_of_cut_curves_are_compiled(spark, tables):
+    """Java only interprets methods of over 8,000 bytes: the step that meets segments with rectangles was one of these."""
+    rows = [(k, k % 4, [float((k * 7 + i * 3) % 11) / 10 for i in range(20)]) for k in range(30)]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").write.mode("overwrite").parquet(f"{tables}/embeddings.parquet")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made_ = made("curve_cuts", spark, tables)
+        told = made_._jdf.queryExecution().debug().codegenToSeq()
+        sizes = [told.apply(k)._3().maxMethodCodeSize() for k in range(told.size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sizes and max(sizes) < 8000
+
+
+def test_commands_dealt_by_pages_are_not_dealt_again(spark):
+    from pagelathe.operators import cuts
+
+    rows = [(p, 10 * p + k, s, "MLQZC"[s], [float(p + k + s + i) for i in range([2, 2, 4, 0, 6][s])]) for p in range(3) for k in range(2) for s in range(5)]
+    commands = spark.createDataFrame(rows, "page_id int, path_id int, step_no int, op string, v array<double>")
+    drawn = cuts.flattened(commands.repartition(5, "page_id"), ("page_id",))
+    assert plan(drawn).count("Exchange") == 1
+    plain = {(r.path_id, r.part_no): (r.points, r.closed) for r in cuts.flattened(commands).collect()}
+    assert len(plain) == 12 and {(r.path_id, r.part_no): (r.points, r.closed) for r in drawn.collect()} == plain
+    assert all(r.path_id // 10 == r.page_id for r in drawn.collect())
